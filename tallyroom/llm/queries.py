@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontaminate, line_dedup, mixing
+from . import binary_codes, dart_minhash, decontaminate, line_dedup, mixing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,14 +41,32 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_codes.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT r, vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+      AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.r AS a, b.r AS b, a.vec_id AS va, b.vec_id AS vb FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+c AS (SELECT r AS a, r AS b FROM v UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a),
+m AS (SELECT c.a, min(v.vec_id) AS m FROM c JOIN v ON v.r = c.b GROUP BY c.a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.m AS component_id, v.vec_id = m.m AS kept
+FROM v JOIN m ON m.a = v.r LEFT JOIN n ON n.a = v.r
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_line_dedup, op6_dart_minhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op7_binary_codes": OP7_SQL}
