@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_codes, dart_minhash, decontaminate, line_dedup, mixing
+from . import binary_codes, cotrain, dart_minhash, decontaminate, line_dedup, mixing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    return cotrain.quality_scores(docs, _read(spark, sf_dir, "labels")).select("doc_id", *cotrain.RESULT)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -65,7 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
