@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -130,11 +131,28 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    @property
-    def hashes(self) -> np.ndarray:
+    @cached_property
+    def _sums(self) -> np.ndarray:
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_P, len(self.data)), out=total[1:])
-        return mix64((total[self.ends] - total[self.starts]) * _power(_PINV, len(self.data) + 1)[self.starts])
+        return total
+
+    def _span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((self._sums[ends] - self._sums[starts]) * _power(_PINV, len(self.data) + 1)[starts])
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return self._span_hashes(self.starts, self.ends)
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of the first `size` bytes of the longer words."""
+        at = self.ends - self.starts > size
+        return self.doc[at], self._span_hashes(self.starts[at], self.starts[at] + size)
+
+    def suffixes(self, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of the last `size` bytes of the words chosen by the mask, less where words are shorter."""
+        ends = self.ends[at]
+        return self.doc[at], self._span_hashes(np.maximum(self.starts[at], ends - size), ends)
 
     def grams(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of k consecutive words in one row, and their hashes."""

@@ -1,6 +1,6 @@
 """Operator 4: quality classifier by co-training.
 
-Two views of a document: its text (which words occur, and shares of capitals,
+Two views of a document: its text (which words and word beginnings occur, the symbols that words end in, and shares of capitals,
 digits, symbols, repeats and line lengths, in bins) and its metadata (source,
 language, size, in bins). Each view has a logistic classifier. In every round
 each view labels the unlabelled pool, and what it is confident about, by its
@@ -31,6 +31,10 @@ from pyspark.sql import types as T
 from .common import PUNCT_BYTES, Words, drop_clashes, mix64, slices, stage
 
 DIM, META_DIM = 1 << 18, 1 << 12
+#: Bytes of the word beginnings that count as features beside whole words: a stem has many endings.
+STEMS = (4, 5, 6)
+#: Features per share, so that the penalty on weights binds the few shares less than the many words.
+COPIES = 8
 RESULT = ["text_score", "meta_score", "score", "keep"]
 
 
@@ -55,11 +59,21 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # shares in steps of a factor of two; the last steps are fine, to tell all from most
     step = lambda x: np.clip(np.round(np.log2(np.maximum(x, 1 / 1024)) * 2) + 20, 0, 63).astype(np.int64)
     stats = [step(share(upper)), step(share(lower)), step(share((d >= 48) & (d <= 57))), step(share(symbol)), step(share(d == 33)), step(share(d >= 128)), step(distinct / np.maximum(1, w.counts)), step(w.counts / 1024), step(np.diff(off) / np.maximum(1, raw.counts) / 64), step(raw.counts / lines / 1024)]
+    ends = symbol[raw.ends - 1] if len(raw) else np.zeros(0, bool)
+    stats.append(step(np.bincount(raw.doc, ends, n) / np.maximum(1, raw.counts)))
+    top = DIM - 64 * COPIES * len(stats)
     rows = [(key >> np.uint64(40)).astype(np.int64)]
-    feats = [((key & np.uint64((1 << 40) - 1)) % np.uint64(DIM - 64 * len(stats))).astype(np.int64)]
-    for k, s in enumerate(stats):
+    feats = [((key & np.uint64((1 << 40) - 1)) % np.uint64(top)).astype(np.int64)]
+    for size in STEMS:
+        row, h = w.prefixes(size)
+        rows.append(row)
+        feats.append((mix64(h, size) % np.uint64(top)).astype(np.int64))
+    row, h = raw.suffixes(2, ends)
+    rows.append(row)
+    feats.append((mix64(h, 99) % np.uint64(top)).astype(np.int64))
+    for k, s in enumerate(stats * COPIES):
         rows.append(np.arange(n))
-        feats.append(DIM - 64 * (k + 1) + s)
+        feats.append(top + 64 * k + s)
     both = np.unique(np.concatenate(rows) * DIM + np.concatenate(feats))
     return both // DIM, both % DIM
 
@@ -108,8 +122,8 @@ class Rows:
         return np.bincount(self.col, g[self.row], self.dim)
 
 
-def fit(x: Rows, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 40) -> np.ndarray:
-    """Logistic weights, the last is the intercept, by L-BFGS on the whole of x."""
+def fit(x: Rows, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 60, start: np.ndarray | None = None) -> np.ndarray:
+    """Logistic weights, the last is the intercept, by L-BFGS on the whole of x, from `start` if given."""
 
     def value(w):
         z = x.times(w[:-1]) + w[-1]
@@ -117,7 +131,7 @@ def fit(x: Rows, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 40)
         g = weight * (_sigmoid(z) - y)
         return loss, np.append(x.back(g) + l2 * w[:-1], g.sum())
 
-    w = np.zeros(x.dim + 1)
+    w = np.zeros(x.dim + 1) if start is None else start
     old, grad = value(w)
     past: list[tuple] = []
     for _ in range(rounds):
@@ -188,11 +202,12 @@ def cotrain(rows: list[dict], rounds: int, sure: float, per_round: int, l2: floa
     held_x, pool_x = ({v: Rows([r[v] for r in part], dims[v]) for v in dims} for part in (held, pool))
     y = np.array([r["good"] for r in held], float)
     taken = {v: np.zeros(len(pool), bool) for v in dims}
+    w: dict = {}
     for k in range(rounds + 1):
-        w, cal, p = {}, {}, {}
+        cal, p = {}, {}
         for v in dims:
             lists, labels = sets[v]
-            w[v] = fit(Rows(lists, dims[v]), np.array(labels, float), np.ones(len(labels)), l2s[v])
+            w[v] = fit(Rows(lists, dims[v]), np.array(labels, float), np.ones(len(labels)), l2s[v], start=w.get(v))
             cal[v] = calibrate((held_x[v].times(w[v][:-1]) + w[v][-1])[:, None], y)
             p[v] = _sigmoid(cal[v][0] * (pool_x[v].times(w[v][:-1]) + w[v][-1]) + cal[v][1])
         if k == rounds:
@@ -239,8 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, meta: l
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("source", "lang", "n_chars"), max_labelled: int = 12_000, max_pool: int = 8_000,
-    rounds: int = 3, sure: float = 0.97, per_round: int = 1_000, l2: float = 0.3, threshold: float = 0.5, seed: int = 4,
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("source", "lang", "n_chars"), max_labelled: int = 16_000, max_pool: int = 6_000,
+    rounds: int = 2, sure: float = 0.97, per_round: int = 1_000, l2: float = 0.03, threshold: float = 0.75, seed: int = 4,
 ) -> DataFrame:
     """docs with text_score, meta_score and score (probabilities of a good document by text, by metadata, by both) and keep (score >= threshold)."""
     docs = drop_clashes(docs, RESULT)
