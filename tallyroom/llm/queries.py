@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_codes, cotrain, dart_minhash, decontaminate, line_dedup, mixing
+from . import binary_codes, cotrain, dart_minhash, decontaminate, line_dedup, mixing, phrase_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,23 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.dedup_phrases(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+h AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM s),
+m AS (SELECT g, min(doc_id) AS m FROM h GROUP BY g HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT DISTINCT h.r, h.i + o.o AS j FROM h JOIN m USING (g), range(13) o(o) WHERE m.m < h.doc_id),
+l AS (SELECT d.r, d.doc_id, u.word, u.j FROM d, LATERAL (SELECT unnest(d.w) AS word, unnest(range(1, len(d.w) + 1)) AS j) u),
+k AS (SELECT l.r, string_agg(l.word, ' ' ORDER BY l.j) AS t, count(*) AS n FROM l LEFT JOIN x ON x.r = l.r AND x.j = l.j WHERE x.r IS NULL GROUP BY l.r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r
+"""
+
+
 def op4_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
     return cotrain.quality_scores(docs, _read(spark, sf_dir, "labels")).select("doc_id", *cotrain.RESULT)
@@ -70,8 +87,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_phrase_dedup, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op7_binary_codes": OP7_SQL}
+    return {"op3_phrase_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_binary_codes": OP7_SQL}
