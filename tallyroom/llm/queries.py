@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_codes, cotrain, dart_minhash, decontaminate, line_dedup, mixing, phrase_dedup
+from . import binary_codes, cotrain, dart_minhash, decontaminate, licenses, line_dedup, mixing, phrase_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,14 +81,43 @@ FROM v JOIN m ON m.a = v.r LEFT JOIN n ON n.a = v.r
 """
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs, licenses.known_licenses(spark)).select("doc_id", "digest", "license_id", "n_notices", "notices")
+
+
+def _op8_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def canonical(c: str) -> str:
+        for pattern, to in (("\r\n?", "\n"), ("(?m)" + licenses.COPYRIGHT_LINE, ""), ("(?m)" + licenses.TITLE_LINE, "")):
+            c = f"regexp_replace({c}, {quote(pattern)}, {quote(to)}, 'g')"
+        c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+        for word, known in sorted(licenses.SPELLINGS, key=lambda s: -len(s[0])):
+            c = f"replace({c}, {quote(f' {word} ')}, {quote(f' {known} ')})"
+        return f"trim({c})"
+
+    values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in (*licenses.LICENSES, *licenses.NOTICES))
+    return f"""
+WITH k AS (SELECT id, {canonical("lower(t)")} AS c FROM (VALUES {values}) v(id, t)),
+g AS (SELECT sha256(c) AS d, min(id) AS id FROM k WHERE c <> '' GROUP BY 1),
+x AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+w AS (SELECT r, doc_id, sha256({canonical("lower(coalesce(text, ''))")}) AS digest FROM x),
+l AS (SELECT r, sha256({canonical("lower(line)")}) AS d FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM x)),
+n AS (SELECT r, count(*) AS n, string_agg(DISTINCT g.id, ',' ORDER BY g.id) AS ids FROM l JOIN g USING (d) GROUP BY r)
+SELECT w.doc_id, w.digest, g.id AS license_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_notices, coalesce(n.ids, '') AS notices
+FROM w LEFT JOIN g ON g.d = w.digest LEFT JOIN n ON n.r = w.r
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_phrase_dedup, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_phrase_dedup, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op8_license_scan, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_phrase_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_binary_codes": OP7_SQL}
+    return {"op3_phrase_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_binary_codes": OP7_SQL, "op8_license_scan": _op8_sql()}
