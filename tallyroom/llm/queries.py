@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_codes, cotrain, dart_minhash, decontaminate, licenses, line_dedup, mixing, phrase_dedup
+from . import attention_lm, binary_codes, cotrain, dart_minhash, decontaminate, licenses, line_dedup, mixing, phrase_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -110,13 +110,23 @@ FROM w LEFT JOIN g ON g.d = w.digest LEFT JOIN n ON n.r = w.r
 """
 
 
+def public_tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.lm_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizer())
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_phrase_dedup, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op8_license_scan, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_phrase_dedup, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op8_license_scan, op9_attention_lm, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
