@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, binary_codes, cotrain, dart_minhash, decontaminate, licenses, line_dedup, mixing, phrase_dedup
+from . import attention_lm, binary_codes, cotrain, dart_minhash, decontaminate, html_extract, licenses, line_dedup, mixing, phrase_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.dedup_phrases(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
 
@@ -126,7 +131,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_phrase_dedup, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op8_license_scan, op9_attention_lm, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_phrase_dedup, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op8_license_scan, op9_attention_lm, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
