@@ -112,14 +112,20 @@ class Rows:
     def __init__(self, lists: list[np.ndarray], dim: int):
         self.n, self.dim = len(lists), dim
         self.sizes = np.array([len(x) for x in lists], np.int64)
-        self.row = np.repeat(np.arange(self.n), self.sizes)
-        self.col = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
+        self.col = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
+        # products go block by block: their temporary arrays stay small
+        cuts = np.arange(0, self.n + 1000, 1000).clip(max=self.n)
+        at = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.blocks = [(a, b, at[a], at[b]) for a, b in zip(cuts, cuts[1:]) if a < b]
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col], self.n)
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), self.sizes[a:b]), w[self.col[i:j]], b - a) for a, b, i, j in self.blocks] or [np.zeros(0)])
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, g[self.row], self.dim)
+        out = np.zeros(self.dim)
+        for a, b, i, j in self.blocks:
+            out += np.bincount(self.col[i:j], np.repeat(g[a:b], self.sizes[a:b]), self.dim)
+        return out
 
 
 def fit(x: Rows, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 60, start: np.ndarray | None = None) -> np.ndarray:
@@ -247,10 +253,17 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, meta: l
     rest = ids.join(known, "__id", "left_anti").distinct().orderBy(order, "__id").limit(max_pool).withColumn("__good", F.lit(None).cast("int"))
     chosen = stage(some.unionByName(rest))  # at most max_labelled + max_pool rows: small enough to broadcast
     wide = docs.select(F.col(doc_id).alias("__id"), text, *meta).join(F.broadcast(chosen), "__id").select("__id", "__good", text, *meta)
-    got = wide.mapInArrow(lambda it: _gather(it, text, meta), "id long, good int, text array<int>, meta array<int>").collect()
-    got.sort(key=lambda r: (r["id"], r["text"]))
-    held = {r["id"] for r in got if mix64(np.array([r["id"]], np.int64).view(np.uint64), seed)[0] % np.uint64(5) == 0}
-    return cotrain([{"text": np.array(r["text"], np.int64), "meta": np.array(r["meta"], np.int64), "good": r["good"], "held": r["id"] in held} for r in got], rounds, sure, per_round, l2)
+    got = wide.mapInArrow(lambda it: _gather(it, text, meta), "id long, good int, text array<int>, meta array<int>").toArrow().combine_chunks()
+
+    def lists(column: str) -> list[np.ndarray]:
+        values = pa.concat_arrays(got.column(column).chunks) if got.column(column).num_chunks else pa.array([], pa.list_(pa.int32()))
+        flat, at = values.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.asarray(values.value_lengths()))))
+        return [flat[a:b] for a, b in zip(at, at[1:])]
+
+    ids, good, texts, metas = got.column("id").to_pylist(), got.column("good").to_pylist(), lists("text"), lists("meta")
+    held = mix64(np.array(ids, np.int64).view(np.uint64), seed) % np.uint64(5) == 0 if ids else []
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k].tobytes()))
+    return cotrain([{"text": texts[k], "meta": metas[k], "good": good[k], "held": bool(held[k])} for k in order], rounds, sure, per_round, l2)
 
 
 def quality_scores(
