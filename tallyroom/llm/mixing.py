@@ -101,7 +101,7 @@ def mix_sources(
     shards = cells.join(seats.select(*key, "given"), key).withColumn("votes", F.col("blocks").cast("double"))
     shards = _sainte_lague(shards, key, [*key, "__shard"], "votes", "given")
     p = F.get(F.array(*[F.lit(x) for x in _PRIMES]), F.pmod(F.xxhash64(F.lit(seed + 2), *key, "__shard"), F.lit(len(_PRIMES))).cast("int"))
-    shards = stage(shards.select(*key, "__shard", F.col("n").alias("__n"), F.col("blocks").alias("__blocks"), F.least("quota", F.floor(F.col("blocks") * cap)).alias("__quota"), p.alias("__p"), F.pmod(F.xxhash64(F.lit(seed + 3), *key, "__shard"), F.greatest("blocks", F.lit(1))).alias("__c")))
+    shards = stage(shards.select(*key, "__shard", F.greatest("n", F.lit(1)).alias("__n"), F.greatest("blocks", F.lit(1)).alias("__blocks"), F.least("quota", F.floor(F.col("blocks") * cap)).alias("__quota"), p.alias("__p"), F.pmod(F.xxhash64(F.lit(seed + 3), *key, "__shard"), F.greatest("blocks", F.lit(1))).alias("__c")))
 
     at = Window.partitionBy(*key, "__shard").orderBy("__order", doc_id, "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.withColumn("__end", F.sum("size").over(at)).join(shards, [*key, "__shard"])
@@ -122,6 +122,6 @@ def mix_sources(
     # the blocks around the place that the document's ends have, one more on either side for rounding
     near = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(F.col("__start") * F.col("__blocks") / F.col("__n")) - 1), F.least(F.col("__blocks") - 1, F.floor(F.col("__end") * F.col("__blocks") / F.col("__n")) + 1))
     spans = F.filter(F.transform(near, span), lambda s: (s["start"] < s["end"]) & (s["times"] > 0))
-    rows = rows.withColumn("spans", F.when(F.col("size") > 0, spans).otherwise(F.filter(F.transform(F.array(F.lit(0).cast("long")), span), lambda s: F.lit(False))))
+    rows = rows.withColumn("spans", F.when(F.col("size") > 0, spans).otherwise(F.expr("cast(array() AS array<struct<start: bigint, end: bigint, times: bigint>>)")))
     rows = rows.withColumn("taken", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + (s["end"] - s["start"]) * s["times"]))
     return rows.select(*docs.columns, *names)
