@@ -44,6 +44,20 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def smallest(df: DataFrame, order: Column, n: int, rows: int | None = None) -> DataFrame:
+    """The n rows of df with the smallest values of a 64-bit hash.
+
+    Rows far above the n-th smallest are left out first, so that no more than a
+    few times n rows, and not n from each partition, reach the last sort.
+    """
+    rows = df.count() if rows is None else rows
+    if rows > 8 * n:
+        few = df.where(order < int(-(2**63) + 2**64 * 4 * n / rows))
+        if few.count() >= n:
+            df = few
+    return df.orderBy(order, *df.columns).limit(n)
+
+
 def drop_clashes(df: DataFrame, names: list[str]) -> DataFrame:
     """Columns that an operator is about to add replace input columns of the same name."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PUNCT_BYTES, Words, drop_clashes, mix64, slices, stage
+from .common import PUNCT_BYTES, Words, drop_clashes, mix64, slices, smallest, stage
 
 DIM, META_DIM = 1 << 18, 1 << 12
 #: Bytes of the word beginnings that count as features beside whole words: a stem has many endings.
@@ -249,8 +249,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, meta: l
     known = known.agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("__good"))
     order = F.xxhash64(F.lit(seed), "__id")
     ids = docs.select(F.col(doc_id).alias("__id")).where("__id IS NOT NULL")
-    some = known.orderBy(order, "__id").limit(max_labelled)
-    rest = ids.join(known, "__id", "left_anti").distinct().orderBy(order, "__id").limit(max_pool).withColumn("__good", F.lit(None).cast("int"))
+    some = smallest(known, order, max_labelled)
+    rest = smallest(ids.join(known, "__id", "left_anti").distinct(), order, max_pool).withColumn("__good", F.lit(None).cast("int"))
     chosen = stage(some.unionByName(rest))  # at most max_labelled + max_pool rows: small enough to broadcast
     wide = docs.select(F.col(doc_id).alias("__id"), text, *meta).join(F.broadcast(chosen), "__id").select("__id", "__good", text, *meta)
     got = wide.mapInArrow(lambda it: _gather(it, text, meta), "id long, good int, text array<int>, meta array<int>").toArrow().combine_chunks()

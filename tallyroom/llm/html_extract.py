@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_clashes, slices
+from .common import drop_clashes, slices, smallest
 from .html_blocks import _AD, _FOOT, _FORM, _HEAD, _MAIN, _NAV, _NOTICE, _SHARE, _SIDE, _TALK, Block, blocks, labelled
 
 DIM = 1 << 14
@@ -213,7 +213,7 @@ def self_labelled(page: str) -> tuple[list[Block], list[int]] | None:
 def extract_main_text(pages: DataFrame, *, html: str = "html", made_pages: int = 1500, own_pages: int = 150, max_chars: int = 100_000, seed: int = 2) -> DataFrame:
     """pages with text and n_chars. own_pages: at most so many of the table's pages, of at most max_chars, join the training."""
     pages = drop_clashes(pages, ["text", "n_chars"])
-    some = pages.where(F.length(html) <= max_chars).select(html).orderBy(F.xxhash64(F.lit(seed), html), html).limit(own_pages).collect()
+    some = smallest(pages.where(F.length(html) <= max_chars).select(html), F.xxhash64(F.lit(seed), html), own_pages).collect()
     chain = train(labelled(seed, made_pages) + [x for r in some if (x := self_labelled(r[0]))])
     names = pages.columns
 
