@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, meta: l
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("source", "lang", "n_chars"), max_labelled: int = 16_000, max_pool: int = 6_000,
-    rounds: int = 2, sure: float = 0.97, per_round: int = 1_000, l2: float = 0.03, threshold: float = 0.75, seed: int = 4,
+    rounds: int = 2, sure: float = 0.97, per_round: int = 1_000, l2: float = 0.03, threshold: float = 0.5, seed: int = 4,
 ) -> DataFrame:
     """docs with text_score, meta_score and score (probabilities of a good document by text, by metadata, by both) and keep (score >= threshold)."""
     docs = drop_clashes(docs, RESULT)
