@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import mix64, stage
 from .graph import components
 
-CODES = 4
+CODES = 2
 
 
 def turn(x: np.ndarray, seed: int, rotation: int) -> np.ndarray:
@@ -106,7 +106,7 @@ def _place(batches, tables: int, concat: int, seed: int):
                 keys = mix64(keys ^ group[:, None], 5) + np.arange(tables, dtype=np.uint64)
                 n = own.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("rep"), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables), pa.array(mix64(keys, 9).reshape(-1).view(np.int64)))], names=["rep", "keys"])
+                    [own.column("rep"), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables), pa.array(mix64(keys, 9).reshape(-1).view(np.int64))), pa.array([x.tobytes() for x in c.astype(np.uint16)], pa.binary())], names=["rep", "keys", "cells"])
 
 
 def pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def _links(batches, cosine: float, tables: int, concat: int, seed: int, sigmas:
         sizes = np.diff(np.append(cut, len(key)))
         rep, mult, sub, dim = (t.column(c).to_numpy() for c in ("rep", "mult", "sub", "dim"))
         table = t.column("table").to_numpy()
-        vectors = t.column("vector").combine_chunks()
+        vectors, named = t.column("vector").combine_chunks(), t.column("cells").combine_chunks()
         split = key[:, 1] != key[:, 2]
         at = 0
         while at < len(sizes):
@@ -155,16 +155,16 @@ def _links(batches, cosine: float, tables: int, concat: int, seed: int, sigmas:
             u = None
             if len(np.unique(dim[lo:hi])) == 1:
                 u = _padded(_units(vectors.slice(lo, hi - lo)))
-                yield from pairs(u, sizes[at:to], rep[lo:hi], mult[lo:hi], sub[lo:hi], split[lo:hi], table[lo:hi])
+                yield from pairs(u, named.slice(lo, hi - lo), sizes[at:to], rep[lo:hi], mult[lo:hi], sub[lo:hi], split[lo:hi], table[lo:hi])
             else:  # groups have one length each: by length
                 for g in range(at, to):
                     a, b = cut[g], cut[g] + sizes[g]
-                    yield from pairs(_padded(_units(vectors.slice(a, b - a))), sizes[g : g + 1], rep[a:b], mult[a:b], sub[a:b], split[a:b], table[a:b])
+                    yield from pairs(_padded(_units(vectors.slice(a, b - a))), named.slice(a, b - a), sizes[g : g + 1], rep[a:b], mult[a:b], sub[a:b], split[a:b], table[a:b])
             at = to
 
-    def pairs(u, sizes, rep, mult, sub, split, table):
+    def pairs(u, named, sizes, rep, mult, sub, split, table):
         d = u.shape[1]
-        c = cells(u, tables, concat, seed).reshape(len(u), tables, concat)
+        c = np.frombuffer(b"".join(named.to_pylist()), np.uint16).reshape(len(u), tables, concat)
         turned = [turn(u, seed, r) for r in range(CODES)]
         signs = [y > 0 for y in turned]
         factors = [np.abs(y).sum(1) / math.sqrt(d) for y in turned]
@@ -236,21 +236,22 @@ def near_vectors(
         chance = min(meeting_chance(d, cosine, seed) for d in {shape["low"], shape["high"]})
         tables = math.ceil(math.log(miss) / math.log(1 - min(0.999, chance**concat)))
 
-    placed = classes.select("rep", "label", "dim", "vector").mapInArrow(lambda it: _place(it, tables, concat, seed), "rep long, keys array<long>")
-    placed = stage(placed.select("rep", F.posexplode("keys").alias("table", "key")))
+    placed = classes.select("rep", "label", "dim", "vector").mapInArrow(lambda it: _place(it, tables, concat, seed), "rep long, keys array<long>, cells binary")
+    named = stage(placed)
+    placed = named.select("rep", F.posexplode("keys").alias("table", "key"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("in")).where("in > 1").withColumn("blocks", F.ceil(F.col("in") / block).cast("int"))
     shared = placed.join(sizes, "key").withColumn("sub", F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col("blocks")).cast("int"))
     dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "table", "key", "sub", F.least("sub", "other").alias("lo"), F.greatest("sub", "other").alias("hi"))
-    full = dealt.join(classes.select("rep", "mult", "dim", "vector"), "rep")
+    full = dealt.join(classes.select("rep", "mult", "dim", "vector").join(named.select("rep", "cells"), "rep"), "rep")
     full = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
-    found = full.select("key", "lo", "hi", "rep", "mult", "sub", "dim", "table", "vector").mapInArrow(lambda it: _links(it, cosine, tables, concat, seed, sigmas), "rep long, root long, n long")
+    found = full.select("key", "lo", "hi", "rep", "mult", "sub", "dim", "table", "vector", "cells").mapInArrow(lambda it: _links(it, cosine, tables, concat, seed, sigmas), "rep long, root long, n long")
     found = stage(found)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.select("rep", "least", "mult").join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
-    lowest = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = named.join(lowest, "part").join(counts, "rep", "left").select("rep", "component_id", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    labelled = classes.select("rep", "least", "mult").join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+    lowest = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
+    labelled = labelled.join(lowest, "part").join(counts, "rep", "left").select("rep", "component_id", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     out = rows.withColumn("rep", F.when(F.coalesce(good, F.lit(False)), F.xxhash64(F.lit(seed), "label", "vector"))).select("vec_id", "rep")
-    out = out.join(stage(named), "rep", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
+    out = out.join(stage(labelled), "rep", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
