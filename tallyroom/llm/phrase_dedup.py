@@ -185,22 +185,28 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept), pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept])], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
-def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, gram: int = 6, piece: int = 20_000) -> DataFrame:
+def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, gram: int = 4, piece: int = 20_000) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text, kept_sha256."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # rows that repeat an id are told apart by a hash of their text
     repeats = not base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    base = base.withColumn("tag", F.xxhash64("text").bitwiseAND(0x7FFFFFFF) if repeats else F.lit(0).cast("long"))
+    keys = ["doc_id", "tag"] if repeats else ["doc_id"]
+    tag = F.xxhash64("text").bitwiseAND(0x7FFFFFFF) if repeats else F.lit(0).cast("long")
     known = base.where("doc_id IS NOT NULL")
-    grams = known.mapInArrow(lambda it: _gram_rows(it, width, gram), "h long, doc_id long, at long")
-    common = grams.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h")
+    if repeats:
+        known = known.withColumn("tag", tag)
+    tagged = (lambda df: df) if repeats else (lambda df: df.withColumn("tag", tag))
+    grams = tagged(known).mapInArrow(lambda it: _gram_rows(it, width, gram), "h long, doc_id long, at long")
+    # a document names a gram once in each task's output or more: counts of rows are at least counts of documents
+    common = grams.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     hits = grams.join(common, "h", "left_semi").select("doc_id", F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
-    places = hits.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))
-    found = known.join(places, ["doc_id", "tag"]).select("doc_id", "text", "tag", F.col("places").cast("array<long>").alias("places"))
+    places = hits.groupBy(*keys).agg(F.collect_list("place").alias("places"))
+    # both joins by document have the same left side, so its texts are shuffled once
+    found = tagged(known.join(places, keys)).select("doc_id", "text", "tag", F.col("places").cast("array<long>").alias("places"))
     segments = found.mapInArrow(lambda it: _segments(it, width, gram), "h long, doc_id long, at long, words binary")
     segments = segments.repartition("h").sortWithinPartitions("h", "doc_id")
     marks = segments.mapInArrow(lambda it: _shards(it, width, piece), "doc_id long, tag long, start long, end long")
-    spans = marks.groupBy("doc_id", "tag").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
-    out = known.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
+    spans = marks.groupBy(*keys).agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
+    out = known.join(spans, keys, "left").select("doc_id", "text", "spans")
     out = out.unionByName(base.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans")))
     return out.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
