@@ -11,11 +11,14 @@ the probability of their weighted Jaccard similarity.
 
 Joining: coordinates are hashed in bands. Documents of equal shingle sets are
 one class first. In each bucket all classes meet the bucket's smallest class,
-and the exact similarity decides. Pairs of a bucket that these links leave in
-different components meet too, unless the distances to the smallest class tell
-that they are further apart than the limit (the Jaccard distance is a metric).
-So no pair of a bucket whose link could join components is left out, and the
-pairs of a tight group stay linear.
+and the exact similarity decides. Buckets that these links leave in several
+components get longer signatures (`long` coordinates), which tasks compare
+block by block: first every class without a link to its bucket's head meets its
+likeliest partner in each other component, then, after joining, all partners
+that the estimate does not put 4.5 standard errors below the limit, nor the
+distances to the head beyond it (the Jaccard distance is a metric). The exact
+similarity decides again. So the pairs of a group stay linear in its size but
+for classes at its very edge, and no bucket pair that could join components is left out.
 
 Defined results: shingles are `width` consecutive words (A-Z lower-cased); a
 text of fewer words, but not none, is one shingle; null and wordless texts are
@@ -152,8 +155,54 @@ def _similarity(batches, width: int, weighted: bool):
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim)], names=["a", "b", "sim"])
 
 
+def _long_signatures(batches, width: int, weighted: bool, long: int, seed: int):
+    """One byte of each coordinate of a long signature."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows, grams, weights = shingles(part.column("text"), width, weighted)
+            sig = (signatures(rows, grams, weights, part.num_rows, long, seed + 1) >> np.uint64(56)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([r.tobytes() for r in sig], pa.binary())], names=["rep", "sig"])
+
+
+def _likely(batches, least: float, near: float, best: bool):
+    """Pairs (a, b) to compare exactly: classes away from their head, and partners of another component."""
+
+    def pairs(t: pa.Table):
+        loose = t.column("loose").to_numpy(zero_copy_only=False)
+        rep, part, far = (t.column(c).to_numpy() for c in ("rep", "part", "far"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(rep), -1)
+        others, out = np.flatnonzero(~loose), [[], []]
+        for i in np.flatnonzero(loose):
+            may = others[(part[others] != part[i]) & (np.abs(far[others] - far[i]) <= near)]
+            est = (sig[may] == sig[i]).mean(1)
+            may, est = may[est >= least], est[est >= least]
+            if best and len(may):  # the likeliest of each component
+                order = np.lexsort((rep[may], -est, part[may]))
+                may = may[order][np.append(True, np.diff(part[may][order]) != 0)]
+            out[0] += [rep[i]] * len(may)
+            out[1] += rep[may].tolist()
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy() for c in ("key", "lb", "ob")], 1)
+        cut = np.append(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)) if len(key) else []
+        at = 0
+        for to in cut:
+            if held and tuple(key[at]) != last:
+                yield from pairs(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(at, to - at))
+            last = tuple(key[at])
+            at = to
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
 def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, min_similarity: float = 0.8, weighted: bool = False, bands: int = 20, depth: int = 4, seed: int = 6,
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, min_similarity: float = 0.8, weighted: bool = False, bands: int = 20, depth: int = 4, long: int = 512, block: int = 4096, seed: int = 6,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of the component) and keep (doc_id = class_id).
 
@@ -184,15 +233,26 @@ def near_duplicates(
     far = star.groupBy(F.col("a").alias("head"), F.col("b").alias("rep")).agg((1 - F.max("sim")).alias("far"))
     known = placed.join(groups, F.col("rep") == F.col("node"), "left").select("key", "rep", "head", F.coalesce("component", "rep").alias("part"))
     known = known.join(far, ["head", "rep"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-    mixed = known.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    left_over = stage(known.join(mixed, "key", "left_semi"))
     near = 1 - min_similarity + 1e-9
-    loose = left_over.where((F.col("rep") != F.col("head")) & (F.col("far") > near)).select("key", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("far").alias("fa"))
-    other = left_over.where("rep <> head").select("key", F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("far").alias("fb"))
-    cross = loose.join(other, "key").where((F.col("pa") != F.col("pb")) & (F.abs(F.col("fa") - F.col("fb")) <= near))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verify(cross).where(F.col("sim") >= min_similarity).select("a", "b")
-    final = components(stage(links.union(more)))
+    known = stage(known)
+    mixed = known.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("in")).where("p < q").withColumn("g", F.ceil(F.col("in") / block)).select("key", "g")
+    left_over = stage(known.join(mixed, "key").select("key", "rep", "part", "far", "g", ((F.col("rep") != F.col("head")) & (F.col("far") > near)).alias("away")))
+    some = left_over.select("rep").distinct().join(base.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    sigs = stage(some.mapInArrow(lambda it: _long_signatures(it, width, weighted, long, seed), "rep long, sig binary").dropDuplicates(["rep"]))
+    least = min_similarity - 4.5 * (min_similarity * (1 - min_similarity) / long) ** 0.5
+    for best in (True, False):
+        now = left_over.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("part", F.coalesce("c", "rep")).drop("c")
+        still = now.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+        now = now.join(still, "key", "left_semi").withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col("g")))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))
+        asks = now.where("away").select("key", F.col("b").alias("lb"), every.alias("ob"), "rep", "part", "far", F.lit(True).alias("loose"))
+        gives = now.select("key", every.alias("lb"), F.col("b").alias("ob"), "rep", "part", "far", F.lit(False).alias("loose"))
+        dealt = asks.unionByName(gives).join(sigs, "rep").repartition("key", "lb", "ob").sortWithinPartitions("key", "lb", "ob", "loose", "rep")
+        likely = dealt.mapInArrow(lambda it: _likely(it, least, near, best), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = verify(likely).where(F.col("sim") >= min_similarity).select("a", "b")
+        links = stage(links.union(more))
+        groups = components(links)
+    final = groups
     out = base.select("doc_id").join(final, F.col("doc_id") == F.col("node"), "left")
     out = out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
     return out.withColumn("keep", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
