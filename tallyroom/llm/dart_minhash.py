@@ -171,9 +171,13 @@ def _likely(batches, least: float, near: float, best: bool):
         loose = t.column("loose").to_numpy(zero_copy_only=False)
         rep, part, far = (t.column(c).to_numpy() for c in ("rep", "part", "far"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(rep), -1)
+        keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(rep), -1)
+        here = t.column("key")[0].as_py()
         others, out = np.flatnonzero(~loose), [[], []]
         for i in np.flatnonzero(loose):
             may = others[(part[others] != part[i]) & (np.abs(far[others] - far[i]) <= near)]
+            shared = keys[may] == keys[i]
+            may = may[(keys[i][shared.argmax(1)] == here) | ~shared.any(1)]  # a pair counts in the first bucket that it shares (an id with several texts: in all)
             est = (sig[may] == sig[i]).mean(1)
             may, est = may[est >= least], est[est >= least]
             if best and len(may):  # the likeliest of each component
@@ -239,6 +243,8 @@ def near_duplicates(
     left_over = stage(known.join(mixed, "key").select("key", "rep", "part", "far", "g", ((F.col("rep") != F.col("head")) & (F.col("far") > near)).alias("away")))
     some = left_over.select("rep").distinct().join(base.select(F.col("doc_id").alias("rep"), "text"), "rep")
     sigs = stage(some.mapInArrow(lambda it: _long_signatures(it, width, weighted, long, seed), "rep long, sig binary").dropDuplicates(["rep"]))
+    every_key = sketch.join(classes, ["n", "s1", "s2"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "keys")
+    sigs = stage(sigs.join(every_key, "rep"))
     least = min_similarity - 4.5 * (min_similarity * (1 - min_similarity) / long) ** 0.5
     for best in (True, False):
         now = left_over.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("part", F.coalesce("c", "rep")).drop("c")
