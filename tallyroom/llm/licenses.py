@@ -58,15 +58,35 @@ COPYRIGHT_LINE = r"^[ \t#*/;-]*(copyright\b.*\d.*|\(c\).*|©.*|copr\..*|portions
 TITLE_LINE = r"^[ \t#*/;-]*(the )?(mit|isc|zlib|bsd|simplified|new bsd|modified bsd|0bsd|zero-clause bsd|2-clause bsd|3-clause bsd|bsd 2-clause|bsd 3-clause|bsd zero clause)( (license|licence))?( \((mit|isc|zlib|bsd|0bsd|expat)\))?:?[ \t]*$"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text."""
+def _spelled(c: Column, spellings: tuple) -> Column:
+    """c with known spellings. Words stand between two spaces each, so that neighbours share none."""
+    for word, known in sorted(spellings, key=lambda s: (-len(s[0]), s[0])):
+        c = F.replace(c, F.lit(f" {word.replace(' ', '  ')} "), F.lit(f" {known.replace(' ', '  ')} "))
+    return c
+
+
+def _squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, " +", " "))
+
+
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text (null: one empty line) with each line's canonical form, words between double spaces."""
     c = F.lower(F.coalesce(text, F.lit("")))
     c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "(?md)" + COPYRIGHT_LINE, "")
     c = F.regexp_replace(c, "(?md)" + TITLE_LINE, "")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    for word, known in sorted(SPELLINGS, key=lambda s: -len(s[0])):
-        c = F.replace(c, F.lit(f" {word} "), F.lit(f" {known} "))
-    return F.trim(c)
+    c = F.replace(F.regexp_replace(c, r"[^\p{L}\p{N}\n]+", "  "), F.lit("\n"), F.lit("  \n  "))
+    return F.split(_spelled(F.concat(F.lit("  "), c, F.lit("  ")), SPELLINGS), "\n", -1)
+
+
+def whole(lines: Column) -> Column:
+    """The canonical form of an entire text from its lines': only spellings of two words can cross lines."""
+    flat = F.regexp_replace(F.array_join(lines, ""), " +", "  ")
+    return _squeezed(_spelled(flat, tuple(s for s in SPELLINGS if " " in s[0])))
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text."""
+    return whole(canonical_lines(text))
 
 
 def digest(text: Column) -> Column:
@@ -83,9 +103,10 @@ def scan_licenses(docs: DataFrame, known: DataFrame, *, text: str = "text") -> D
     table = known.select("license_id", canonical(F.col("text")).alias("c")).where("c <> '' AND license_id IS NOT NULL")
     table = stage(table.groupBy(F.sha2(F.col("c").cast("binary"), 256).alias("__d")).agg(F.min("license_id").alias("license_id")))
     keys = {"__t1": F.xxhash64(F.lit(8), text), "__t2": F.xxhash64(F.col(text), F.lit(8))}
-    lines = docs.withColumns(keys).select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    hits = lines.withColumn("__d", digest(F.col("line"))).join(table, "__d").groupBy(*keys).agg(F.collect_set(F.struct("pos", "license_id")).alias("__hits"))
-    whole = docs.withColumns({"digest": digest(F.col(text)), **keys})
-    whole = whole.join(table.withColumnsRenamed({"license_id": "__id"}), F.col("digest") == F.col("__d"), "left").join(hits, list(keys), "left")
+    formed = docs.withColumns(keys).withColumn("__lines", canonical_lines(F.col(text)))
+    lines = formed.select(*keys, F.posexplode("__lines").alias("pos", "line"))
+    hits = lines.withColumn("__d", F.sha2(_squeezed(F.col("line")).cast("binary"), 256)).join(table, "__d").groupBy(*keys).agg(F.collect_set(F.struct("pos", "license_id")).alias("__hits"))
+    own = formed.withColumn("digest", F.sha2(whole(F.col("__lines")).cast("binary"), 256)).drop("__lines")
+    own = own.join(table.withColumnsRenamed({"license_id": "__id"}), F.col("digest") == F.col("__d"), "left").join(hits, list(keys), "left")
     ids = F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["license_id"])))
-    return whole.select(*docs.columns, "digest", F.col("__id").alias("license_id"), F.coalesce(F.size("__hits"), F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join(ids, ","), F.lit("")).alias("notices"))
+    return own.select(*docs.columns, "digest", F.col("__id").alias("license_id"), F.coalesce(F.size("__hits"), F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join(ids, ","), F.lit("")).alias("notices"))

@@ -97,9 +97,10 @@ def _op8_sql() -> str:
     def canonical(c: str) -> str:
         for pattern, to in (("\r\n?", "\n"), ("(?m)" + licenses.COPYRIGHT_LINE, ""), ("(?m)" + licenses.TITLE_LINE, "")):
             c = f"regexp_replace({c}, {quote(pattern)}, {quote(to)}, 'g')"
-        c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
-        for word, known in sorted(licenses.SPELLINGS, key=lambda s: -len(s[0])):
-            c = f"replace({c}, {quote(f' {word} ')}, {quote(f' {known} ')})"
+        c = f"'  ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || '  '"
+        for word, known in sorted(licenses.SPELLINGS, key=lambda s: (-len(s[0]), s[0])):
+            c = f"replace({c}, {quote(f' {word} '.replace(' ', '  ')[1:-1])}, {quote(f' {known} '.replace(' ', '  ')[1:-1])})"
+        c = f"regexp_replace({c}, ' +', ' ', 'g')"
         return f"trim({c})"
 
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in (*licenses.LICENSES, *licenses.NOTICES))
