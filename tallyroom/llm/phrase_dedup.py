@@ -187,7 +187,9 @@ def _cut(batches):
 
 def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, gram: int = 4, piece: int = 20_000) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text, kept_sha256."""
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    base = docs.select(doc_id, text)
+    if (doc_id, text, base.schema[doc_id].dataType.simpleString()) != ("doc_id", "text", "bigint"):  # a new name makes the two left sides below look different
+        base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # rows that repeat an id are told apart by a hash of their text
     repeats = not base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     keys = ["doc_id", "tag"] if repeats else ["doc_id"]
