@@ -28,6 +28,15 @@ def band_join(a: DataFrame, b: DataFrame, amount_a: str, amount_b: str, percent:
     return x.join(y, "__k").where(F.abs(p - q) / F.greatest(p, q) <= percent / 100).drop("__k")
 
 
+def band_counts(a: DataFrame, b: DataFrame, key: str, amount_a: str, amount_b: str, percent: float) -> DataFrame:
+    """(key, n): the rows of b within percent % of the amounts of each key of a that has any. Equal amounts meet once: both sides are distinct amounts with counts."""
+    x = a.where(F.col(amount_a) > 0)
+    own = x.select(F.col(amount_a).alias("__a")).distinct()
+    other = b.where(F.col(amount_b) > 0).groupBy(F.col(amount_b).alias("__b")).agg(F.count("*").alias("__n"))
+    found = band_join(own, other, "__a", "__b", percent).groupBy("__a").agg(F.sum("__n").alias("__n"))
+    return x.join(found, F.col(amount_a) == F.col("__a")).groupBy(key).agg(F.sum("__n").alias("n"))
+
+
 def _prefixes(df: DataFrame, name: str, least: float, rarity: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(name, token): the rarest (character, occurrence) tokens of each name, enough that similar names share one."""
     s = F.col(name)

@@ -167,6 +167,8 @@ FROM {FRESH} f JOIN {KNOWN} k ON {ratio_sql(suffix_sql('f.n'), suffix_sql('k.n')
 query("j3_exact_amount_join", "contract_id i, project_id i", "SELECT c.id AS contract_id, p.id AS project_id FROM {contract} c JOIN {project} p ON c.amount = p.cost")(lambda t: t("contract").select(F.col("id").alias("contract_id"), F.col("amount").alias("cost")).join(t("project").select(F.col("id").alias("project_id"), "cost"), "cost"))
 query("j4_band_join", "contract_id i, n i", "SELECT c.id AS contract_id, count(*) AS n FROM {contract} c JOIN {project} p ON c.amount > 0 AND p.cost > 0 AND abs(CAST(c.amount AS DOUBLE) - CAST(p.cost AS DOUBLE)) / greatest(CAST(c.amount AS DOUBLE), CAST(p.cost AS DOUBLE)) <= 0.01 AND c.id % 10 = p.id % 10 GROUP BY 1")(
     lambda t: M.band_join(t("contract").select(F.col("id").alias("contract_id"), "amount"), t("project").select(F.col("id").alias("project_id"), "cost"), "amount", "cost", 1.0).where("contract_id % 10 = project_id % 10").groupBy("contract_id").agg(F.count("*").alias("n")))
+query("j4_band_join_whole", "contract_id i, n i", "SELECT c.id AS contract_id, count(*) AS n FROM {contract} c JOIN {project} p ON c.amount > 0 AND p.cost > 0 AND abs(CAST(c.amount AS DOUBLE) - CAST(p.cost AS DOUBLE)) / greatest(CAST(c.amount AS DOUBLE), CAST(p.cost AS DOUBLE)) <= 0.05 GROUP BY 1")(
+    lambda t: M.band_counts(t("contract").select(F.col("id").alias("contract_id"), "amount"), t("project").select("cost"), "contract_id", "amount", "cost", 5.0))
 same_sql = f"CASE WHEN upper(c.awardee) = upper(p.contractor) THEN 1.0 ELSE {ratio_sql('upper(c.awardee)', 'upper(p.contractor)')} END"
 title_sql = f"greatest({ratio_sql('upper(c.award_title)', 'upper(p.project_name)')}, {ratio_sql('upper(c.notice_title)', 'upper(p.project_name)')})"
 query("e9_match_by_amount", "contract_id i, project_id i, score d", f"SELECT contract_id, project_id, score FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY score DESC, project_id) AS r FROM (SELECT c.id AS contract_id, p.id AS project_id, round(({title_sql} * 0.6 + {same_sql} * 0.4) * 100, 2) AS score FROM {{contract}} c JOIN {{project}} p ON c.amount = p.cost AND c.amount > 0) x WHERE score >= 60) y WHERE r = 1")(lambda t: M.match_by_amount(t("contract"), t("project")))
