@@ -8,15 +8,16 @@ a bucket an id has its share of the bucket's counts. A document is read in
 overlapping windows: each window scores its second half with the first half as
 context, so every token is scored once, in batches with a causal mask.
 
-Training: every training document gives a window of tokens per `words_per_window`
-words, so what is learned from grows with the input. Spark shards take Adam
-steps on their windows and the driver averages the shards' weights, in
-`rounds` rounds. Ids and buckets come from the counts over all windows.
+Training: windows tile every training document, so that each token is a target
+once a round. Spark shards stream their documents through Adam steps and the
+driver averages the shards' weights, in `rounds` rounds. Ids and buckets come
+from the counts of all tokens of all training documents.
 
 Base: the unigram model over whole words and an end, with counts of all
-training documents. Words that hold at least a `hot` share of the windows'
-words (at most 1 / hot of them) are counted and looked up in the tasks; all
-others meet their counts in a join by hash.
+training documents. Words that hold at least a `hot` share of a sample (some
+words per `words_per_window`; at most 1 / hot of them) are counted and looked up
+in the tasks, all others meet their counts in a join by hash. The sample only
+chooses the way; both ways count every word.
 
 Defined results: null and empty texts are the end alone; rows without doc_id
 are learned from and not held out; rows that repeat are scored alike and each is learned from once;
@@ -181,26 +182,50 @@ class Model:
             g[name] = out
         return g
 
-    def learn(self, windows: np.ndarray, sizes: np.ndarray, steps: int, batch: int, rate: float, seed: int) -> None:
-        """Adam over windows (rows of ids, `sizes` of them real), at least `steps` steps and one pass."""
+    def learn(self, chunks, steps: int, batch: int, rate: float, seed: int, expected: int) -> int:
+        """Adam over all windows of chunks of (rows of ids, how many of them are real), at least `steps` steps: the first windows repeat if there are fewer. Returns the number of windows."""
         rng = np.random.default_rng(seed)
+        self.params = {k: v.copy() for k, v in self.params.items()}
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         s = {k: np.zeros_like(v) for k, v in self.params.items()}
-        total = max(steps, -(-len(windows) // batch))
-        order = rng.permutation(len(windows))
-        at = 0
-        for t in range(1, total + 1):
-            if at >= len(order):
-                order, at = rng.permutation(len(windows)), 0
-            pick = order[at : at + batch]
-            at += batch
-            x, n = windows[pick], sizes[pick]
+        total, t, seen = max(steps, -(-expected // batch)), 0, 0
+
+        def step(x: np.ndarray, n: np.ndarray) -> None:
+            nonlocal t
+            t += 1
             g = self.gradient(x[:, :-1], x[:, 1:], np.arange(SPAN)[None] < (n - 1)[:, None])
-            lr = rate * min(1.0, 2 * (1 - t / (total + 1)))
+            lr = rate * max(0.05, min(1.0, 2 * (1 - t / (total + 1))))  # a shard with more windows than expected still learns
             for k, v in g.items():
-                m[k] = 0.9 * m[k] + 0.1 * v
-                s[k] = 0.99 * s[k] + 0.01 * v * v
-                self.params[k] = self.params[k] - (lr / (1 - 0.9**t)) * m[k] / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
+                m[k] *= 0.9
+                m[k] += 0.1 * v
+                s[k] *= 0.99
+                v *= v
+                s[k] += 0.01 * v
+                root = np.sqrt(s[k] / (1 - 0.99**t))
+                root += 1e-8
+                self.params[k] -= np.float32(lr / (1 - 0.9**t)) * m[k] / root
+
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        rest = (np.zeros((0, SPAN + 1), np.int32), np.zeros(0, np.int64))
+        for windows, sizes in chunks:
+            if seen < steps * batch:
+                kept.append((windows, sizes))
+            seen += len(windows)
+            order = rng.permutation(len(windows))
+            windows, sizes = np.concatenate((rest[0], windows[order])), np.concatenate((rest[1], sizes[order]))
+            full = len(windows) // batch * batch
+            for at in range(0, full, batch):
+                step(windows[at : at + batch], sizes[at : at + batch])
+            rest = windows[full:], sizes[full:]
+        if len(rest[0]):
+            step(*rest)
+        if seen and t < steps:
+            windows, sizes = (np.concatenate(x) for x in zip(*kept))
+            while t < steps:
+                order = rng.permutation(len(windows))
+                for at in range(0, min(len(order), (steps - t) * batch), batch):
+                    step(windows[order[at : at + batch]], sizes[order[at : at + batch]])
+        return seen
 
     def pack(self) -> bytes:
         return b"".join(self.params[k].astype(np.float32).tobytes() for k in sorted(self.params))
@@ -213,57 +238,68 @@ class Model:
             at += n
 
 
-def _windows(batches, tokenizer, words_per_window: int, seed: int):
-    """Token windows of every document, and the hashes of their words."""
-    sub = None
+def tiles(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of SPAN + 1 tokens, how many are real) over all rows of `streams`: every token after a row's first is a target once."""
+    pieces = -(-(np.diff(starts) - 1) // SPAN)
+    row = np.repeat(np.arange(len(pieces)), pieces)
+    first = starts[row] + SPAN * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    sizes = np.minimum(starts[row + 1] - first, SPAN + 1)
+    place = np.arange(SPAN + 1)[None]
+    windows = np.where(place < sizes[:, None], tokens[np.minimum(first[:, None] + place, max(0, len(tokens) - 1))], 0)
+    return windows.astype(np.int32), sizes
+
+
+SUBWORD, SAMPLED, WINDOWS = 0, 1, 2
+
+
+def _tallies(batches, tokenizer, words_per_window: int, seed: int):
+    """(kind, key, n): counts of all subword ids (and ends), of the hashes of sampled words, and the number of windows."""
+    sub, ids_seen, windows = None, None, 0
     for batch in batches:
         sub = sub or Subwords(tokenizer)
+        ids_seen = np.zeros(sub.end + 1, np.int64) if ids_seen is None else ids_seen
         for part in slices(batch, "text"):
             w = Words(part.column("text"), lower=True)
-            n = part.num_rows
+            ids, sizes = sub.ids(w, w.hashes)
+            ids_seen += np.bincount(ids, minlength=sub.end + 1)
+            ids_seen[sub.end] += part.num_rows
+            windows += int((-(-np.diff(streams(w, ids, sizes, sub.end)[1] - np.arange(part.num_rows + 1)) // SPAN)).sum())
             number = 1 + w.counts // words_per_window
-            row = np.repeat(np.arange(n), number)
+            row = np.repeat(np.arange(part.num_rows), number)
             k = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
             h = mix64(part.column("rid").to_numpy()[row].view(np.uint64) + k.astype(np.uint64), seed)
-            at = (h % np.maximum(1, w.counts[row]).astype(np.uint64)).astype(np.int64)
-            first, last = w.first[row] + at, np.minimum(w.first[row] + at + SPAN, w.first[row + 1])
-            size = last - first
+            first = w.first[row] + (h % np.maximum(1, w.counts[row]).astype(np.uint64)).astype(np.int64)
+            size = np.minimum(12, w.first[row + 1] - first)
             pick = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            hashes = w.hashes
-            out = _Picked(w, pick)
-            ids, sizes = sub.ids(out, hashes[pick])
-            run = np.concatenate(([0], np.cumsum(sizes)))
-            cut = np.concatenate(([0], np.cumsum(size)))
-            rows, words = [], []
-            for i in range(len(row)):
-                x = ids[run[cut[i]] : run[cut[i + 1]]].tolist()
-                if at[i] == 0:
-                    x.insert(0, sub.end)
-                if last[i] == w.first[row[i] + 1]:
-                    x.append(sub.end)
-                rows.append(x[: SPAN + 1])
-            used = np.minimum(size, 12)  # the words that the tokens surely hold
-            for i in range(len(row)):
-                words.append(hashes[first[i] : first[i] + used[i]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int64()))], names=["ids", "words"])
-
-
-class _Picked:
-    """Some words of a Words."""
-
-    def __init__(self, w: Words, pick: np.ndarray):
-        self.data, self.starts, self.ends = w.data, w.starts[pick], w.ends[pick]
-
-
-def _learned(batches, model: Model, steps: int, batch: int, rate: float, seed: int):
-    lists = [x for b in batches for x in b.column("ids").to_pylist()]
-    lists = [x for x in lists if len(x) > 1]
-    if lists:
-        windows = np.zeros((len(lists), SPAN + 1), np.int32)
-        for i, x in enumerate(lists):
-            windows[i, : len(x)] = x
-        model.learn(windows, np.array([len(x) for x in lists]), steps, batch, rate, seed)
-        yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary()), pa.array([len(lists)], pa.int64())], names=["params", "n"])
+            sampled, n = np.unique(w.hashes[pick], return_counts=True)
+            yield _tally(SAMPLED, sampled.view(np.int64), n)
+    if sub:
+        some = np.flatnonzero(ids_seen)
+        yield _tally(SUBWORD, some, ids_seen[some])
+        yield _tally(WINDOWS, np.zeros(1, np.int64), np.array([windows]))
+
+
+def _tally(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
+
+
+def subword_counts(tallies: DataFrame) -> dict[int, int]:
+    """Counts by subword id; the tokenizer's ids bound it."""
+    return {r["key"]: r["n"] for r in tallies.where(F.col("kind") == SUBWORD).groupBy("key").agg(F.sum("n").alias("n")).collect()}
+
+
+def _learned(batches, model: Model, tokenizer, steps: int, batch: int, rate: float, seed: int, expected: int):
+    sub = Subwords(tokenizer)
+
+    def chunks():
+        for b in batches:
+            for part in slices(b, "text"):
+                w = Words(part.column("text"), lower=True)
+                yield tiles(*streams(w, *sub.ids(w, w.hashes), sub.end))
+
+    n = model.learn(chunks(), steps, batch, rate, seed, expected)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary()), pa.array([n], pa.int64())], names=["params", "n"])
 
 
 def _hot_counts(batches, hot: np.ndarray):
@@ -340,18 +376,20 @@ def lm_scores(
     base = base.withColumns({"rid": rid, "held_out": held})
     own = base.where("NOT held_out")
 
-    windows = stage(own.mapInArrow(lambda it: _windows(it, tokenizer, words_per_window, seed), "ids array<int>, words array<long>"))
-    counts = {r["id"]: r["n"] for r in windows.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).collect()}  # the tokenizer's ids bound it
-    n_windows, n_words = windows.agg(F.count("*"), F.sum(F.size("words"))).first()
-    words = windows.select(F.explode("words").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, hot * (n_words or 0)))
+    tallies = stage(own.mapInArrow(lambda it: _tallies(it, tokenizer, words_per_window, seed), "kind int, key long, n long"))
+    counts = subword_counts(tallies)
+    total_of = {r["kind"]: r["n"] for r in tallies.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    n_windows, n_words = total_of.get(WINDOWS, 0), total_of.get(SAMPLED, 0)
+    words = tallies.where(F.col("kind") == SAMPLED).groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, hot * n_words))
     table = np.sort(np.array([r["h"] for r in words.select("h").collect()], np.int64).view(np.uint64))  # at most 1 / hot rows
 
     model = Model(counts, _tokenizer(*tokenizer)[1] + 1)
     shards = max(1, min(max_shards, -(-n_windows // shard_windows)))
-    dealt = windows.select("ids", F.pmod(F.xxhash64("ids", F.lit(seed)), F.lit(shards)).alias("shard"))
+    order = F.xxhash64("rid", F.lit(seed))
+    dealt = own.select("rid", "text", F.pmod(order, F.lit(shards)).alias("shard")).repartition(shards, "shard").sortWithinPartitions("shard", order, "rid")
     for k in range(rounds if n_windows else 0):
         now = model
-        got = dealt.repartition(shards, "shard").sortWithinPartitions("ids").mapInArrow(lambda it: _learned(it, now, steps, batch, rate / (k + 1), seed + k), "params binary, n long").collect()
+        got = dealt.mapInArrow(lambda it: _learned(it, now, tokenizer, steps, batch, rate / (k + 1), seed + k, -(-n_windows // shards)), "params binary, n long").collect()
         if got:
             got.sort(key=lambda r: (r["n"], r["params"]))
             model.unpack(np.average([np.frombuffer(r["params"], np.float32) for r in got], axis=0, weights=[r["n"] for r in got]))
