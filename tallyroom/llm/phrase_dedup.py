@@ -10,8 +10,9 @@ A shard, in pieces of bounded size: windows that start in two documents or more
 are confirmed word for word, they are compiled into an Aho-Corasick automaton
 whose values are the smallest doc_id, and all segments stream through it. A
 hit from a smaller doc_id marks its words. Inside an automaton a word is one
-character. Segments come in the order of doc_id, so the piece that continues
-a very common gram only needs the first document of each window so far.
+character. A gram with more than `piece` segments goes to no shard: its windows
+meet word for word in an aggregation, combined before the shuffle, and a join,
+so a shard's windows and words are bounded by two pieces.
 
 Defined results: words are runs of characters other than ASCII blanks,
 unchanged; null has none; windows are judged on the input; rows with equal
@@ -19,8 +20,8 @@ doc_id do not remove each other's words; rows without doc_id keep all their
 words and remove none; kept words are joined by one space.
 
 Shuffles: the grams' hashes twice, once pre-aggregated and once to meet the
-recurring ones; the texts once, both joins by document use it; and the segments of recurring
-grams.
+recurring ones; the texts once, all joins by document use it; the segments of
+recurring grams, and the windows of very common ones.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import BLANK_BYTES, Words, slices
 
 _BASE = 0x10000
+_CHARS = 0x110000 - _BASE
 
 
 def named_grams(w: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +99,17 @@ def _segments(batches, width: int, gram: int):
             yield pa.RecordBatch.from_arrays([pa.array(h), part.column("doc_id").take(pa.array(row)), pa.array(tag), text.cast(pa.binary())], names=["h", "doc_id", "at", "words"])
 
 
+def _hot_windows(batches, width: int, gram: int):
+    """(doc_id, tag, place, words joined by one space) of each window of the runs whose place is in `places`."""
+    for batch in _segments(batches, width, gram):
+        for doc, at, text in zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), batch.column("words").to_pylist()):
+            words = text.split()
+            n = len(words) - width + 1
+            place = (at & 0xFFFFFFFF) + np.arange(n)
+            windows = [b" ".join(words[i : i + width]) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.full(n, at >> 32)), pa.array(place), pa.array(windows, pa.binary())], names=["doc_id", "tag", "start", "words"])
+
+
 class Shard:
     """First documents of the windows seen, for the grams of one piece."""
 
@@ -187,6 +200,7 @@ def _cut(batches):
 
 def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, gram: int = 4, piece: int = 20_000) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text, kept_sha256."""
+    piece = min(piece, _CHARS // (2 * (2 * width - gram)))  # a shard of two pieces has a character for each word
     base = docs.select(doc_id, text)
     if (doc_id, text, base.schema[doc_id].dataType.simpleString()) != ("doc_id", "text", "bigint"):  # a new name makes the two left sides below look different
         base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -200,14 +214,21 @@ def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     tagged = (lambda df: df) if repeats else (lambda df: df.withColumn("tag", tag))
     grams = tagged(known).mapInArrow(lambda it: _gram_rows(it, width, gram), "h long, doc_id long, at long")
     # a document names a gram once in each task's output or more: counts of rows are at least counts of documents
-    common = grams.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    hits = grams.join(common, "h", "left_semi").select("doc_id", F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
-    places = hits.groupBy(*keys).agg(F.collect_list("place").alias("places"))
-    # both joins by document have the same left side, so its texts are shuffled once
-    found = tagged(known.join(places, keys)).select("doc_id", "text", "tag", F.col("places").cast("array<long>").alias("places"))
-    segments = found.mapInArrow(lambda it: _segments(it, width, gram), "h long, doc_id long, at long, words binary")
+    common = grams.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    hits = grams.join(common, "h").select("doc_id", F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"), "n")
+
+    def found(which: str) -> DataFrame:
+        places = hits.where(which).groupBy(*keys).agg(F.collect_list("place").alias("places"))
+        # all joins by document have the same left side, so its texts are shuffled once
+        return tagged(known.join(places, keys)).select("doc_id", "text", "tag", F.col("places").cast("array<long>").alias("places"))
+
+    segments = found(f"n <= {piece}").mapInArrow(lambda it: _segments(it, width, gram), "h long, doc_id long, at long, words binary")
     segments = segments.repartition("h").sortWithinPartitions("h", "doc_id")
     marks = segments.mapInArrow(lambda it: _shards(it, width, piece), "doc_id long, tag long, start long, end long")
+    windows = found(f"n > {piece}").mapInArrow(lambda it: _hot_windows(it, width, gram), "doc_id long, tag long, start long, words binary")
+    origins = windows.groupBy("words").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last")
+    again = windows.join(origins, "words").where("origin < doc_id")
+    marks = marks.unionByName(again.select("doc_id", "tag", "start", (F.col("start") + width).alias("end")))
     spans = marks.groupBy(*keys).agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
     out = known.join(spans, keys, "left").select("doc_id", "text", "spans")
     out = out.unionByName(base.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans")))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyroom.llm import attention_lm, common, queries
+from tallyroom.llm import attention_lm, common, phrase_dedup, queries
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,45 @@ def test_lm_learns_from_every_window(monkeypatch):
     full = np.full(50, attention_lm.SPAN + 1)
     assert model.learn(((windows[a : a + 17], full[a : a + 17]) for a in range(0, 50, 17)), 1, 8, 0.02, 9, 50) == 50
     assert seen == Counter(range(50))
+
+
+def test_phrases_of_a_hot_gram(spark, monkeypatch):
+    """A stock phrase with other neighbours in every document: no shard sees more than two pieces of it."""
+    piece = 20
+    for k in range(300):  # until the stock phrase is the gram that most documents name
+        rng = np.random.default_rng(6)
+        rows = [(i, " ".join([*(f"v{rng.integers(60)}" for _ in range(12)), f"s{k} bb cc dd", *(f"v{rng.integers(60)}" for _ in range(12))])) for i in range(80)]
+        rows += [(100 + i, rows[i % 9][1].replace(" ", "\t ")) for i in range(30)]
+        named = phrase_dedup.named_grams(common.Words(pa.array([t for _, t in rows])), 13, 4)[3]
+        if np.unique(named, return_counts=True)[1].max() >= 5 * piece:
+            break
+    else:
+        pytest.fail("no hot gram")
+    marks = phrase_dedup.Shard.marks
+
+    def bounded(self, docs, segments):
+        out = marks(self, docs, segments)
+        assert len(self.first) <= 2 * piece * 10
+        self.seen = getattr(self, "seen", 0) + len(docs)
+        assert self.seen <= 2 * piece
+        return out
+
+    shards = phrase_dedup._shards
+
+    def watched(batches, width, size):
+        phrase_dedup.Shard.marks = bounded
+        yield from shards(batches, width, size)
+
+    monkeypatch.setattr(phrase_dedup, "_shards", watched)
+    first = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            k = tuple(w[i : i + 13])
+            first[k] = min(first.get(k, d), d)
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        want[d] = len({j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)})
+    got = phrase_dedup.dedup_phrases(spark.createDataFrame(rows, "doc_id long, text string"), piece=piece).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == want and sum(want.values())
