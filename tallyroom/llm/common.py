@@ -6,6 +6,7 @@ memory follows the slice and not the batch.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,22 +29,36 @@ def lower_ascii(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose tasks run on this machine, gets a new one where it is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tallyroom-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner a known size."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the folders that `stage` wrote, but for the last `keep`: once a result is written, nothing reads what it was made from."""
+    gone, _staged[:] = _staged[: len(_staged) - keep], _staged[len(_staged) - keep :]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def smallest(df: DataFrame, order: Column, n: int, rows: int | None = None) -> DataFrame:
     """The n rows of df with the smallest values of a 64-bit hash.
 
@@ -113,6 +128,12 @@ def mix64(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; by sorting, which is many times faster on integers than np.unique's hash table."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Words:
     """Words of a string column, found on its UTF-8 bytes without Python objects.
 
@@ -178,3 +199,31 @@ class Words:
             h = h * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + n]
         at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
         return at, mix64(h[at])
+
+
+def minimise(value, x: np.ndarray, rounds: int, tolerance: float = 1e-7, memory: int = 8) -> np.ndarray:
+    """The minimum of value(x) -> (loss, gradient), from x, by L-BFGS with backtracking."""
+    old, grad = value(x)
+    past: list[tuple] = []
+    for _ in range(rounds):
+        q, alphas = grad.copy(), []
+        for s, t, r in reversed(past):
+            alphas.append(r * (s @ q))
+            q -= alphas[-1] * t
+        q *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(grad).sum() ** 0.5)
+        for (s, t, r), a in zip(past, reversed(alphas)):
+            q += s * (a - r * (t @ q))
+        length, slope = 1.0, grad @ q
+        while True:
+            now, g = value(x - length * q)
+            if now <= old - 1e-4 * length * slope or length < 1e-6:
+                break
+            length /= 2
+        s, t = -length * q, g - grad
+        if s @ t > 1e-12:
+            past = [*past[1 - memory :], (s, t, 1 / (s @ t))]
+        done = abs(old - now) <= tolerance * max(1.0, abs(old))
+        x, old, grad = x + s, now, g
+        if done:
+            break
+    return x

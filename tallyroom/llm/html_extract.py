@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_clashes, slices, smallest
+from .common import drop_clashes, minimise, slices, smallest
 from .html_blocks import _AD, _FOOT, _FORM, _HEAD, _MAIN, _NAV, _NOTICE, _SHARE, _SIDE, _TALK, Block, blocks, labelled
 
 DIM = 1 << 14
@@ -145,30 +145,7 @@ def train(pages: list[tuple[list[Block], list[int]]], l2: float = 0.5, rounds: i
         loss, gw, gt, gs = likelihood(b, x[:DIM], x[DIM : DIM + 4].reshape(2, 2), x[DIM + 4 :])
         return loss + 0.5 * l2 * x @ x, np.concatenate((gw, gt.reshape(-1), gs)) + l2 * x
 
-    x = np.zeros(DIM + 6)
-    old, grad = value(x)
-    past: list[tuple] = []
-    for _ in range(rounds):
-        q, alphas = grad.copy(), []
-        for s, t, r in reversed(past):
-            alphas.append(r * (s @ q))
-            q -= alphas[-1] * t
-        q *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / np.abs(grad).sum()
-        for (s, t, r), a in zip(past, reversed(alphas)):
-            q += s * (a - r * (t @ q))
-        length, slope = 1.0, grad @ q
-        while True:
-            now, g = value(x - length * q)
-            if now <= old - 1e-4 * length * slope or length < 1e-6:
-                break
-            length /= 2
-        s, t = -length * q, g - grad
-        if s @ t > 1e-12:
-            past = [*past[-7:], (s, t, 1 / (s @ t))]
-        done = old - now <= 1e-6 * abs(old)
-        x, old, grad = x + s, now, g
-        if done:
-            break
+    x = minimise(value, np.zeros(DIM + 6), rounds, 1e-6)
     out = Chain()
     out.w, out.trans, out.start = x[:DIM].astype(np.float32), x[DIM : DIM + 4].reshape(2, 2), x[DIM + 4 :]
     return out

@@ -87,11 +87,11 @@ def mix_sources(
     by = by.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), turn))
     by = _level(by, share, cap)
     per_shard = F.greatest(F.lit(shard_words), F.ceil(F.col("all") / max_shards))
-    by = stage(by.select("source", "none", F.col("size").alias("source_size"), "target", F.greatest(F.lit(1), F.ceil(F.col("size") / per_shard)).cast("long").alias("shards")))
+    by = stage(by.select("source", "none", F.col("size").alias("source_size"), "target", F.greatest(F.lit(1), F.ceil(F.col("size") / per_shard)).cast("long").alias("__shards")))
 
     key = ["__src", "__none"]
     named = by.withColumnsRenamed({"source": "__src", "none": "__none"})
-    placed = sized.join(named, key).withColumns({"__order": F.xxhash64(F.lit(seed), doc_id), "__shard": F.pmod(F.xxhash64(F.lit(seed + 1), doc_id), F.col("shards"))})
+    placed = sized.join(named, key).withColumns({"__order": F.xxhash64(F.lit(seed), doc_id), "__shard": F.pmod(F.xxhash64(F.lit(seed + 1), doc_id), F.col("__shards"))})
     cells = placed.groupBy(*key, "__shard").agg(F.sum("size").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_words).cast("long"))
     cells = stage(cells)
     seats = named.join(cells.groupBy(*key).agg(F.sum("blocks").alias("blocks")), key)

@@ -227,11 +227,68 @@ def test_logistic_gradient_descends():
     rng = np.random.default_rng(0)
     lists = [np.unique(rng.integers(0, 50, 8)) for _ in range(200)]
     y = np.array([float(3 in x or 7 in x) for x in lists])
-    w = cotrain.fit(cotrain.Rows(lists, 50), y, np.ones(200), 0.1)
-    z = cotrain.Rows(lists, 50).times(w[:-1]) + w[-1]
+    w = cotrain.fit(cotrain.Rows.of(lists, 50), y, 0.1)
+    z = cotrain.Rows.of(lists, 50).times(w[:-1]) + w[-1]
     assert np.mean((z > 0) == y) == 1
 
 
+def _dense(model, text, meta):
+    """Scores by plain loops over sets of features."""
+    out = {}
+    for v, sets in (("text", text), ("meta", meta)):
+        out[v] = np.array([sum(float(model.w[v][f]) for f in s) + float(model.w[v][-1]) for s in sets])
+    return out
+
+
+def test_cotrain_by_brute_force(spark):
+    """Pseudo-label sums and scores against loops over single documents."""
+    rng = np.random.default_rng(7)
+    texts = [None, "", "same text", "same text", *(sentence(rng, int(rng.integers(1, 60))) for _ in range(40)), "long " * 40_000]
+    rows = [(i, t, ["a", None, "b"][i % 3], "en", i, "x", "y", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[5], (None, *rows[6][1:])], DOCS)
+    batch = pa.RecordBatch.from_pylist([{"text": r["text"], "source": r["source"], "lang": r["lang"]} for r in df.collect()], schema=pa.schema([("text", pa.string()), ("source", pa.string()), ("lang", pa.string())]))
+    n = batch.num_rows
+    got = {"text": cotrain.text_features(batch.column("text")), "meta": cotrain.meta_features(batch, ["source", "lang"])}
+    sets = {v: [set(f[r == i].tolist()) for i in range(n)] for v, (r, f) in got.items()}
+    for i in range(n):  # a document's features do not depend on the rows beside it
+        one = cotrain.text_features(batch.column("text").slice(i, 1))
+        assert set(one[1].tolist()) == sets["text"][i]
+    model = cotrain.Model(0.5)
+    model.w = {v: rng.normal(0, scale, cotrain.DIMS[v] + 1) for v, scale in (("text", 0.05), ("meta", 1.0))}
+    model.cal, model.both = {v: np.array([1.5, 0.1]) for v in cotrain.VIEWS}, np.array([0.7, 0.4, -0.1])
+    free = np.arange(n) % 4 != 0
+    sums = cotrain.pseudo_sums(model, got["text"], got["meta"], n, free, 0.6)
+    raw = _dense(model, sets["text"], sets["meta"])
+    p = {v: 1 / (1 + np.exp(-(1.5 * z + 0.1))) for v, z in raw.items()}
+    for view, other in (("text", "meta"), ("meta", "text")):
+        slope, bend, count = np.zeros(cotrain.DIMS[view] + 1), np.zeros(cotrain.DIMS[view] + 1), 0
+        for i in np.flatnonzero(free):
+            label = 1 if p[other][i] >= 0.6 and 1 - p[view][i] < 0.6 else 0 if 1 - p[other][i] >= 0.6 and p[view][i] < 0.6 else None
+            if label is not None:
+                count += 1
+                for f in [*sets[view][i], cotrain.DIMS[view]]:
+                    slope[f] += 1 / (1 + np.exp(-raw[view][i])) - label
+                    bend[f] += (len(sets[view][i]) + 1) / 4
+        assert count == sums[view][2] > 0
+        assert np.allclose(slope, sums[view][0]) and np.allclose(bend, sums[view][1])
+    text, meta, both = model.scores(raw)
+    assert np.allclose(text, p["text"]) and np.allclose(meta, p["meta"])
+    assert np.allclose(both, 1 / (1 + np.exp(-(0.7 * np.clip(1.5 * raw["text"] + 0.1, -15, 15) + 0.4 * np.clip(1.5 * raw["meta"] + 0.1, -15, 15) - 0.1))))
+
+
+def test_pseudo_bound_is_above_the_loss():
+    rng = np.random.default_rng(9)
+    lists = [np.unique(rng.integers(0, 40, 6)) for _ in range(50)]
+    x, y, at = cotrain.Rows.of(lists, 40), (np.arange(50) % 2).astype(float), rng.normal(size=41)
+    loss = lambda w: np.sum(np.logaddexp(0, x.times(w[:-1]) + w[-1]) - y * (x.times(w[:-1]) + w[-1]))
+    g = 1 / (1 + np.exp(-(x.times(at[:-1]) + at[-1]))) - y
+    size = (np.array([len(f) for f in lists]) + 1) / 4
+    slope, bend = np.append(x.back(g), g.sum()), np.append(x.back(size), size.sum())
+    for _ in range(50):
+        step = rng.normal(size=41)
+        assert loss(at + step) <= loss(at) + step @ slope + 0.5 * (step * step) @ bend + 1e-9
+
+
 # 5 ------------------------------------------------------------------------
 
 
