@@ -82,7 +82,8 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iter
     """Cut a batch into runs of rows whose text has about max_bytes bytes (one row at least)."""
     if not batch.num_rows:
         return
-    sizes = batch.column(column).cast(pa.large_string()).combine_chunks() if isinstance(batch.column(column), pa.ChunkedArray) else batch.column(column).cast(pa.large_string())
+    column_ = batch.column(column)
+    sizes = column_.cast(pa.large_binary() if pa.types.is_binary(column_.type) or pa.types.is_large_binary(column_.type) else pa.large_string())
     off = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
     at = 0
     while at < len(sizes):

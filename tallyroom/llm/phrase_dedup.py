@@ -6,22 +6,25 @@ in one document only rules out all windows that name it. What is left is cut
 into segments, the windows that name one gram, and dealt out by the gram, so
 each shard holds every occurrence of its windows.
 
-A shard, in pieces of bounded size: windows that start in two documents or more
-are confirmed word for word, they are compiled into an Aho-Corasick automaton
-whose values are the smallest doc_id, and all segments stream through it. A
-hit from a smaller doc_id marks its words. Inside an automaton a word is one
-character. A gram with more than `piece` segments goes to no shard: its windows
+A shard takes whole grams until it has `piece` segments: windows that start in
+two documents or more are confirmed word for word, they are compiled into an
+Aho-Corasick automaton whose values are the smallest doc_id, and all segments
+stream through it. A hit from a smaller doc_id marks its words. Inside an
+automaton a word is one character, and every shard has an alphabet of its own.
+A gram with more than `piece` segments goes to no shard: its windows
 meet word for word in an aggregation, combined before the shuffle, and a join,
 so a shard's windows and words are bounded by two pieces.
 
 Defined results: words are runs of characters other than ASCII blanks,
 unchanged; null has none; windows are judged on the input; rows with equal
 doc_id do not remove each other's words; rows without doc_id keep all their
-words and remove none; kept words are joined by one space.
+words and remove none; kept words are joined by one space; a text of any length
+counts whole; an empty table gives an empty table; columns other than the id
+and the text do not matter, whatever their names.
 
 Shuffles: the grams' hashes twice, once pre-aggregated and once to meet the
-recurring ones; the texts once, all joins by document use it; the segments of
-recurring grams, and the windows of very common ones.
+recurring ones; the texts once, compressed, all joins by document use it; the
+segments of recurring grams, and the windows of very common ones.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BLANK_BYTES, Words, slices
+from .common import Words, mix64, slices
 
 _BASE = 0x10000
 _CHARS = 0x110000 - _BASE
@@ -79,11 +84,27 @@ def _gram_rows(batches, width: int, gram: int):
             yield pa.RecordBatch.from_arrays([pa.array(h), part.column("doc_id").take(pa.array(row)), pa.array(tag)], names=["h", "doc_id", "at"])
 
 
+def _pack(batches, columns: list[str]):
+    """Texts as zstd frames, so that less is shuffled."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for part in slices(batch, "text"):
+            frames = [None if t is None else pack(t.encode()) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(frames, pa.binary())], names=[*columns, "frame"])
+
+
+def _unpacked(batch: pa.RecordBatch, max_bytes: int = 1 << 18):
+    """Runs of rows whose frames have about max_bytes bytes, with their texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for part in slices(batch, "frame", max_bytes):
+        yield part, pa.array([None if f is None else unpack(f).decode() for f in part.column("frame").to_pylist()], pa.large_string())
+
+
 def _segments(batches, width: int, gram: int):
     """(hash, doc_id, tag and place, words) of the runs whose place is in `places`."""
     for batch in batches:
-        for part in slices(batch, "text"):
-            w = Words(part.column("text"))
+        for part, text in _unpacked(batch):
+            w = Words(text)
             row, first, last, h = named_grams(w, width, gram)
             places = part.column("places")
             counts = np.diff(np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1])
@@ -110,79 +131,100 @@ def _hot_windows(batches, width: int, gram: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.full(n, at >> 32)), pa.array(place), pa.array(windows, pa.binary())], names=["doc_id", "tag", "start", "words"])
 
 
-class Shard:
-    """First documents of the windows seen, for the grams of one piece."""
-
-    def __init__(self, width: int):
-        self.width, self.code, self.first, self.again = width, {}, {}, set()
-
-    def text(self, words: bytes) -> str:
-        code = self.code
-        return "".join([code.get(x) or code.setdefault(x, chr(_BASE + len(code))) for x in words.split()])
-
-    def marks(self, docs: list[int], segments: list[bytes]) -> list[list[tuple[int, int]]]:
-        """Runs of words of each segment that windows of smaller documents cover; segments in the order of doc_id within a gram."""
-        n, first, again = self.width, self.first, self.again
-        strings = [self.text(s) for s in segments]
-        for d, s in zip(docs, strings):
-            for i in range(len(s) - n + 1):
-                x = s[i : i + n]
-                if first.setdefault(x, d) < d:
-                    again.add(x)
-        out: list[list[tuple[int, int]]] = [[] for _ in docs]
-        if not again:
-            return out
-        auto = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for x in again:
-            auto.add_word(x, first[x])
-        auto.make_automaton()
-        for k, (d, s) in enumerate(zip(docs, strings)):
-            a = b = -1
-            for end, origin in auto.iter(s):
-                if origin < d:
-                    if end - n + 1 > b:
-                        if b > 0:
-                            out[k].append((a, b))
-                        a = end - n + 1
-                    b = end + 1
-            if b > 0:
-                out[k].append((a, b))
-        return out
+def coded(w: Words) -> np.ndarray:
+    """A number for each word, equal for equal words."""
+    own = np.zeros(len(w.data) + 1, np.int64)
+    own[w.starts], own[w.ends] = 1, -1  # words are apart by a blank
+    own[np.intersect1d(w.starts, w.ends)] = 0  # but for those of neighbouring rows
+    data = w.data[np.cumsum(own[:-1]) > 0]
+    ends = np.cumsum(np.append(0, w.ends - w.starts))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode().indices.to_numpy()
+
+
+def recurring(codes: np.ndarray, at: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, smallest document) of one window of each kind that starts in two documents or more. at: places of windows of n codes, docs: their documents."""
+    if not len(at):
+        return at, docs
+    h = np.zeros(len(codes) - n + 1, np.uint64)
+    for j in range(n):
+        h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + codes[j : j + len(h)].astype(np.uint64))
+    order = np.argsort(h[at], kind="stable")
+    new = np.append(True, np.diff(h[at][order]) != 0)
+    head = at[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    if any((codes[at[order] + j] != codes[head + j]).any() for j in range(n)):  # equal hashes of unlike windows: sort by the words
+        order = np.lexsort([codes[at + j] for j in range(n)])
+        new = np.append(True, np.any([np.diff(codes[at[order] + j]) != 0 for j in range(n)], 0))
+    cut = np.flatnonzero(new)
+    low, high = np.minimum.reduceat(docs[order], cut), np.maximum.reduceat(docs[order], cut)
+    return at[order][cut][low < high], low[low < high]
+
+
+def marks(texts: pa.Array, docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to): runs of words of the segments that windows of smaller documents cover."""
+    w = Words(texts)
+    none = np.zeros(0, np.int64)
+    if len(w) < width:
+        return none, none, none
+    codes = coded(w)
+    at = np.flatnonzero(w.doc[: len(w) - width + 1] == w.doc[width - 1 :])
+    place, origin = recurring(codes, at, docs[w.doc[at]], width)
+    if not len(place):
+        return none, none, none
+    # one string: a character a word, and one that no window holds after each segment
+    codes = np.insert(codes.astype(np.int64) + _BASE + 1, w.first[1:], _BASE)
+    string = codes.astype("<u4").tobytes().decode("utf-32-le")
+    auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, p in enumerate((place + w.doc[place]).tolist()):
+        auto.add_word(string[p : p + width], k)
+    auto.make_automaton()
+    ends, found = np.array(list(auto.iter(string)), np.int64).T
+    row = np.searchsorted(w.first + np.arange(len(w.first)), ends, "right") - 1
+    hit = origin[found] < docs[row]
+    ends, row = ends[hit] + 1, row[hit]
+    if not len(ends):
+        return none, none, none
+    new = np.append(True, (np.diff(ends) > width) | (np.diff(row) != 0))
+    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(ends)) - 1
+    row, start = row[first], w.first[row[first]] + row[first]
+    return row, ends[first] - width - start, ends[last] - start
 
 
 def _shards(batches, width: int, piece: int):
     """(doc_id, tag, from, to): words to remove."""
-    shard, last = Shard(width), None
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        docs, where = rows.column("doc_id").to_numpy(), rows.column("at").to_numpy()
+        texts = rows.column("words").combine_chunks().cast(pa.string())
+        row, start, end = marks(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, docs, width)
+        place = where[row] & 0xFFFFFFFF
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (docs[row], where[row] >> 32, place + start, place + end)], names=["doc_id", "tag", "start", "end"])
+
+    held: list[pa.RecordBatch] = []
+    size, step = 0, min(piece, 4096)
     for batch in batches:
-        for at in range(0, batch.num_rows, piece):
-            part = batch.slice(at, piece)
-            h = part.column("h").to_numpy()
-            docs, where = part.column("doc_id").to_pylist(), part.column("at").to_numpy()
-            words = part.column("words").to_pylist()
-            rows: list[list[int]] = [[], [], [], []]
-            # the gram that continues from the piece before keeps its shard, the others share a new one
-            head = int(np.searchsorted(h != last, True)) if last is not None and h[0] == last else 0
-            tail = int(np.flatnonzero(h == h[-1])[0])
-            spans = [(0, head, shard)] if head else []
-            if tail >= head and head < len(h):
-                spans += [(head, tail, Shard(width))] if tail > head else []
-                shard = Shard(width)
-                spans.append((tail, len(h), shard))
-            last = h[-1]
-            for a, b, s in spans:
-                for k, marks in enumerate(s.marks(docs[a:b], words[a:b]), a):
-                    tag, place = int(where[k]) >> 32, int(where[k]) & 0xFFFFFFFF
-                    for x, y in marks:
-                        for c, v in zip(rows, (docs[k], tag, place + x, place + y)):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "tag", "start", "end"])
+        for at in range(0, batch.num_rows, step):
+            held.append(batch.slice(at, step))
+            size += held[-1].num_rows
+            if size < piece:
+                continue
+            rows = pa.Table.from_batches(held)
+            h = rows.column("h").to_numpy()
+            tail = int(np.flatnonzero(h != h[-1])[-1] + 1) if h[0] != h[-1] else 0  # the last gram may go on
+            if tail:
+                yield solve(rows.slice(0, tail))
+            held = rows.slice(tail).to_batches()
+            size -= tail
+    if held:
+        yield solve(pa.Table.from_batches(held))
 
 
 def _cut(batches):
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            words = text.encode().split() if text else []
+        for frame, spans in zip(batch.column("frame").to_pylist(), batch.column("spans").to_pylist()):
+            words = unpack(frame).split() if frame else []
             n = len(words)
             if spans:
                 out, at = [], 0
@@ -200,7 +242,7 @@ def _cut(batches):
 
 def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, gram: int = 4, piece: int = 20_000) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text, kept_sha256."""
-    piece = min(piece, _CHARS // (2 * (2 * width - gram)))  # a shard of two pieces has a character for each word
+    piece = min(piece, (_CHARS - 1) // (2 * (2 * width - gram)))  # a shard of two pieces has a character for each word
     base = docs.select(doc_id, text)
     if (doc_id, text, base.schema[doc_id].dataType.simpleString()) != ("doc_id", "text", "bigint"):  # a new name makes the two left sides below look different
         base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -217,10 +259,13 @@ def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     common = grams.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     hits = grams.join(common, "h").select("doc_id", F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"), "n")
 
+    pack = lambda df, names: df.select(*names, "text").mapInArrow(lambda it: _pack(it, names), T.StructType([*(df.schema[c] for c in names), T.StructField("frame", T.BinaryType())]))
+    packed = pack(known, keys)
+
     def found(which: str) -> DataFrame:
         places = hits.where(which).groupBy(*keys).agg(F.collect_list("place").alias("places"))
         # all joins by document have the same left side, so its texts are shuffled once
-        return tagged(known.join(places, keys)).select("doc_id", "text", "tag", F.col("places").cast("array<long>").alias("places"))
+        return tagged(packed.join(places, keys)).select("doc_id", "frame", "tag", F.col("places").cast("array<long>").alias("places"))
 
     segments = found(f"n <= {piece}").mapInArrow(lambda it: _segments(it, width, gram), "h long, doc_id long, at long, words binary")
     segments = segments.repartition("h").sortWithinPartitions("h", "doc_id")
@@ -230,6 +275,6 @@ def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     again = windows.join(origins, "words").where("origin < doc_id")
     marks = marks.unionByName(again.select("doc_id", "tag", "start", (F.col("start") + width).alias("end")))
     spans = marks.groupBy(*keys).agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
-    out = known.join(spans, keys, "left").select("doc_id", "text", "spans")
-    out = out.unionByName(base.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans")))
+    out = packed.join(spans, keys, "left").select("doc_id", "frame", "spans")
+    out = out.unionByName(pack(base.where("doc_id IS NULL"), ["doc_id"]).withColumn("spans", F.lit(None).cast("array<long>")))
     return out.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

@@ -94,23 +94,29 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op8_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
+    def form(c: str) -> str:
+        c = f"'  ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || '  '"
+        for word, known in sorted(licenses.SPELLINGS, key=lambda s: (" " in s[0], -len(s[0]), s[0])):
+            c = f"replace({c}, {quote(f' {word} '.replace(' ', '  ')[1:-1])}, {quote(f' {known} '.replace(' ', '  ')[1:-1])})"
+        return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
+
     def canonical(c: str) -> str:
         for pattern, to in (("\r\n?", "\n"), ("(?m)" + licenses.COPYRIGHT_LINE, ""), ("(?m)" + licenses.TITLE_LINE, "")):
             c = f"regexp_replace({c}, {quote(pattern)}, {quote(to)}, 'g')"
-        c = f"'  ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || '  '"
-        for word, known in sorted(licenses.SPELLINGS, key=lambda s: (-len(s[0]), s[0])):
-            c = f"replace({c}, {quote(f' {word} '.replace(' ', '  ')[1:-1])}, {quote(f' {known} '.replace(' ', '  ')[1:-1])})"
-        c = f"regexp_replace({c}, ' +', ' ', 'g')"
-        return f"trim({c})"
+        return form(c)
 
-    values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in (*licenses.LICENSES, *licenses.NOTICES))
+    texts = [*licenses.LICENSES, *licenses.NOTICES]
+    values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in texts)
+    single = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in texts if "\n" not in b)
+    digests = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in licenses.DIGESTS)
     return f"""
 WITH k AS (SELECT id, {canonical("lower(t)")} AS c FROM (VALUES {values}) v(id, t)),
-g AS (SELECT sha256(c) AS d, min(id) AS id FROM k WHERE c <> '' GROUP BY 1),
+g AS (SELECT d, min(id) AS id FROM (SELECT sha256(c) AS d, id FROM k WHERE c <> '' UNION ALL SELECT d, id FROM (VALUES {digests}) v(id, d)) GROUP BY d),
+s AS (SELECT sha256(c) AS d, min(id) AS id FROM (SELECT id, {form("lower(t)")} AS c FROM (VALUES {single}) v(id, t)) GROUP BY 1),
 x AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 w AS (SELECT r, doc_id, sha256({canonical("lower(coalesce(text, ''))")}) AS digest FROM x),
-l AS (SELECT r, sha256({canonical("lower(line)")}) AS d FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM x)),
-n AS (SELECT r, count(*) AS n, string_agg(DISTINCT g.id, ',' ORDER BY g.id) AS ids FROM l JOIN g USING (d) GROUP BY r)
+l AS (SELECT r, sha256({form("lower(line)")}) AS d FROM (SELECT r, unnest(string_split(regexp_replace(text, '\r\n?', '\n', 'g'), chr(10))) AS line FROM x)),
+n AS (SELECT r, count(*) AS n, string_agg(DISTINCT s.id, ',' ORDER BY s.id) AS ids FROM l JOIN s USING (d) GROUP BY r)
 SELECT w.doc_id, w.digest, g.id AS license_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_notices, coalesce(n.ids, '') AS notices
 FROM w LEFT JOIN g ON g.d = w.digest LEFT JOIN n ON n.r = w.r
 """

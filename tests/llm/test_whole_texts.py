@@ -53,6 +53,20 @@ def test_lm_learns_from_every_window(monkeypatch):
     assert seen == Counter(range(50))
 
 
+def test_recurring_windows_survive_colliding_hashes(monkeypatch):
+    rng = np.random.default_rng(2)
+    codes, docs = rng.integers(0, 3, 400), np.repeat(np.arange(8), 50)
+    at = np.flatnonzero(docs[:-3] == docs[3:])
+    seen = {}
+    for i in at:
+        seen.setdefault(tuple(codes[i : i + 4]), set()).add(int(docs[i]))
+    want = sorted((k, min(v)) for k, v in seen.items() if len(v) > 1)
+    for mixed in (phrase_dedup.mix64, lambda h: h & np.uint64(1)):
+        monkeypatch.setattr(phrase_dedup, "mix64", mixed)
+        place, low = phrase_dedup.recurring(codes, at, docs[at], 4)
+        assert sorted((tuple(codes[i : i + 4]), d) for i, d in zip(place, low)) == want
+
+
 def test_phrases_of_a_hot_gram(spark, monkeypatch):
     """A stock phrase with other neighbours in every document: no shard sees more than two pieces of it."""
     piece = 20
@@ -65,19 +79,14 @@ def test_phrases_of_a_hot_gram(spark, monkeypatch):
             break
     else:
         pytest.fail("no hot gram")
-    marks = phrase_dedup.Shard.marks
-
-    def bounded(self, docs, segments):
-        out = marks(self, docs, segments)
-        assert len(self.first) <= 2 * piece * 10
-        self.seen = getattr(self, "seen", 0) + len(docs)
-        assert self.seen <= 2 * piece
-        return out
+    marks, shards = phrase_dedup.marks, phrase_dedup._shards
 
-    shards = phrase_dedup._shards
+    def bounded(texts, docs, width):
+        assert len(docs) <= 2 * piece
+        return marks(texts, docs, width)
 
     def watched(batches, width, size):
-        phrase_dedup.Shard.marks = bounded
+        phrase_dedup.marks = bounded
         yield from shards(batches, width, size)
 
     monkeypatch.setattr(phrase_dedup, "_shards", watched)
