@@ -1,27 +1,34 @@
 """Operator 9: language-model scoring.
 
 Words are lower-cased (A-Z) and cut into subword ids by a public tokenizer. The
-model is causal self-attention in numpy: queries, keys, values and a direct
-term are tables by id, scores have a bias by distance, and the attended vector
-gives logits over the most frequent ids and some buckets of the others; inside
-a bucket an id has its share of the bucket's counts. A document is read in
-overlapping windows: each window scores its second half with the first half as
-context, so every token is scored once, in batches with a causal mask.
+model is causal self-attention in numpy: an id has a vector whose projections
+are query, key and value, and a direct vector; scores have a bias by distance.
+The sum of the attended and the direct vector gives, through a rectifier, the
+probability of the next id in two steps: first a cluster of ids, then the id in
+its cluster. The most frequent ids are in clusters of `size`, those that begin a
+word apart from those that go on; all others are in buckets, where an id has its
+share of the bucket's counts. A document is read in overlapping windows: each
+window scores its second half with the first half as context, so every token is
+scored once, in batches with a causal mask.
 
 Training: windows tile every training document, so that each token is a target
-once a round. Spark shards stream their documents through Adam steps and the
-driver averages the shards' weights, in `rounds` rounds. Ids and buckets come
-from the counts of all tokens of all training documents.
+once. Documents are dealt out to rounds, and in a round to shards whose number grows
+with the corpus. A shard streams its documents through Adam steps; tasks sum up
+the shards' weights, and their mean begins the next round. Small first rounds
+settle where all shards begin. Ids, clusters and buckets come from the counts of
+all tokens of all training documents.
 
 Base: the unigram model over whole words and an end, with counts of all
-training documents. Words that hold at least a `hot` share of a sample (some
-words per `words_per_window`; at most 1 / hot of them) are counted and looked up
-in the tasks, all others meet their counts in a join by hash. The sample only
-chooses the way; both ways count every word.
+training documents. Words that make up at least a `hot` share of all (so at
+most 1 / hot of them) are looked up in the tasks, all others meet their counts
+in a join by hash.
 
 Defined results: null and empty texts are the end alone; rows without doc_id
-are learned from and not held out; rows that repeat are scored alike and each is learned from once;
-without training documents all counts are 0 and the model is uniform in its classes.
+are learned from and not held out; each row is a document, also where rows or
+ids repeat; a text of any length counts whole; without training documents all
+counts are 0 and the model is uniform in its clusters; an empty table gives an
+empty table; columns other than the id and the text do not matter, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, mix64, slices, stage
 
-CONTEXT = STRIDE = 16
+CONTEXT = STRIDE = 8
 SPAN = CONTEXT + STRIDE
 
 
@@ -100,86 +107,134 @@ def streams(w: Words, ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.
     return out, starts
 
 
+def _add_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by row number."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    order = np.argsort(rows, kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(rows[order].astype(np.int64)) != 0))
+    out[rows[order][cut]] = np.add.reduceat(values[order], cut)
+    return out
+
+
+def _by_cluster(clusters: np.ndarray, n: int):
+    """(cluster, rows) of the rows in each of the first n clusters."""
+    order = np.argsort(clusters.astype(np.uint16), kind="stable")
+    cut = np.searchsorted(clusters[order], np.arange(n + 1))
+    return ((j, order[cut[j] : cut[j + 1]]) for j in range(n) if cut[j] < cut[j + 1])
+
+
 class Model:
-    """Tables by dense id. Head classes are the `head` most frequent ids, then buckets."""
-
-    def __init__(self, counts: dict[int, int], vocabulary: int, known: int = 4096, head: int = 128, buckets: int = 8, dim: int = 16, seed: int = 9):
-        order = sorted(counts, key=lambda i: (-counts[i], i))[:known]
-        self.dense = np.full(vocabulary, len(order), np.int32)
-        self.dense[order] = np.arange(len(order))
-        count = np.zeros(vocabulary)
-        count[list(counts)] = list(counts.values())
-        self.cls = np.full(vocabulary, -1, np.int32)
-        top = order[:head]
-        self.cls[top] = np.arange(len(top))
-        rest = np.array(sorted(set(range(vocabulary)) - set(top), key=lambda i: (-count[i], i)), np.int64)
+    """count: of each id, first: whether the id begins a word. The `known` most frequent ids have vectors of their own, all others share one."""
+
+    def __init__(self, count: np.ndarray, first: np.ndarray, known: int = 2048, clusters: int = 32, size: int = 32, buckets: int = 8, dim: int = 16, seed: int = 9):
+        count = np.asarray(count, float)
+        order = np.lexsort((np.arange(len(count)), -count))
+        order = order[count[order] > 0]
+        self.dense = np.full(len(count), len(order[:known]), np.uint16)
+        self.dense[order[:known]] = np.arange(len(order[:known]))
+        top = order[: clusters * size]
+        top = top[np.argsort(~first[top], kind="stable")]
+        self.clusters = n = -(-len(top) // size)
+        self.cls, self.place = np.empty(len(count), np.int16), np.zeros(len(count), np.int16)
+        self.cls[top], self.place[top] = np.arange(len(top)) // size, np.arange(len(top)) % size
+        rest = np.setdiff1d(np.arange(len(count)), top)
+        rest = rest[np.argsort(-count[rest], kind="stable")]
         mass = np.cumsum(count[rest] + 0.5)
-        self.cls[rest] = len(top) + np.minimum(buckets - 1, (mass / mass[-1] * buckets).astype(np.int32))
-        classes = len(top) + buckets
-        total = np.bincount(self.cls[rest], count[rest] + 0.5, classes)
-        self.inside = np.zeros(vocabulary, np.float32)
+        if len(rest):
+            self.cls[rest] = n + np.minimum(buckets - 1, (mass / mass[-1] * buckets).astype(np.int16))
+        total = np.bincount(self.cls[rest], count[rest] + 0.5, n + buckets)
+        self.inside = np.zeros(len(count), np.float32)
         self.inside[rest] = np.log((count[rest] + 0.5) / total[self.cls[rest]])
         rng = np.random.default_rng(seed)
-        n = len(order) + 1
-        start = np.log((np.bincount(self.cls, count, classes) + 1) / (count.sum() + classes))
-        self.params = {k: rng.normal(0, 0.3, (n, dim)).astype(np.float32) for k in ("q", "k", "v", "e")}
-        self.params |= {"w": rng.normal(0, 0.1, (dim, classes)).astype(np.float32), "o": start.astype(np.float32), "b": (-0.1 * np.arange(SPAN)).astype(np.float32), "g": np.zeros(dim, np.float32)}
+        some = np.bincount(self.cls, count, n + buckets) + 1
+        share = np.full((n, size), 1e-9)
+        share[self.cls[top], self.place[top]] = count[top]
+        rows = len(order[:known]) + 1
+        params = {
+            "u": rng.normal(0, 0.5, (rows, dim)), "e": rng.normal(0, 0.3, (rows, dim)), "m": rng.normal(0, 0.5 / math.sqrt(dim), (dim, 3 * dim)), "g": np.zeros(dim), "b": -0.1 * np.arange(SPAN),
+            "w": rng.normal(0, 0.1, (dim, n + buckets)), "o": np.log(some / some.sum()), "w2": rng.normal(0, 0.1, (n, dim, size)), "o2": np.log(share / np.maximum(1e-9, share.sum(1, keepdims=True))),
+        }
+        self.params = {k: v.astype(np.float32) for k, v in params.items()}
         self.scale = np.float32(1 / math.sqrt(dim))
+        far = np.arange(SPAN)[:, None] - np.arange(SPAN)[None]
+        self.far, self.ahead = np.maximum(far, 0), far < 0
 
-    def attend(self, x: np.ndarray, real: np.ndarray, ask: int):
-        """x: (batch, span) dense ids; the last `ask` places ask. Returns all that the backward pass needs."""
+    def attend(self, x: np.ndarray, ask: int, hidden: np.ndarray | None = None):
+        """x: (batch, SPAN) dense ids; the last `ask` places ask; no place sees what follows it, nor what is hidden. Returns what the backward pass needs."""
+        p = self.params
+        d = p["u"].shape[1]
+        u = p["u"][x]
+        q, k, v = np.split((u.reshape(-1, d) @ p["m"]).reshape(*x.shape, 3 * d), 3, 2)
+        bias = p["b"][self.far]
+        bias[self.ahead] = -1e9
+        a = np.matmul(q[:, SPAN - ask :], k.transpose(0, 2, 1))
+        a *= self.scale
+        a += bias[SPAN - ask :]
+        if hidden is not None and hidden.any():
+            at = np.flatnonzero(hidden.any(1))
+            a[at] -= np.float32(1e9) * hidden[at][:, None, :]
+        np.minimum(a, np.float32(60), out=a)
+        np.exp(a, out=a)
+        a /= np.matmul(a, np.ones((SPAN, 1), a.dtype))
+        z = np.matmul(a, v)
+        z += p["e"][x[:, SPAN - ask :]]
+        z += p["g"]
+        return u, q, k, v, a, z
+
+    def _probs(self, h: np.ndarray, w: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unnormed probabilities and their sums; logits above 60 count as 60."""
+        out = h @ w
+        out += o
+        np.minimum(out, np.float32(60), out=out)
+        np.exp(out, out=out)
+        return out, out @ np.ones(out.shape[1], out.dtype)
+
+    def log_probs(self, x: np.ndarray, targets: np.ndarray, hidden: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of the probability of the target ids at the last places. x: (batch, SPAN) ids."""
         p = self.params
-        n = x.shape[1]
-        q, k, v = p["q"][x[:, n - ask :]], p["k"][x], p["v"][x]
-        far = np.arange(n - ask, n)[:, None] - np.arange(n)[None]
-        bias = np.where(far >= 0, p["b"][np.maximum(far, 0)], np.float32(-1e9))
-        s = np.matmul(q, k.transpose(0, 2, 1)) * self.scale + bias
-        s += np.where(real, np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(2, keepdims=True)
-        a = np.exp(s)
-        a /= a.sum(2, keepdims=True)
-        z = p["e"][x[:, n - ask :]] + np.matmul(a, v) + p["g"]
-        return q, k, v, a, z, far
-
-    def log_probs(self, x: np.ndarray, real: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of the target ids at the last places."""
-        z = self.attend(self.dense[x], real, targets.shape[1])[4]
-        logits = np.maximum(z, 0).reshape(-1, z.shape[2]) @ self.params["w"]
-        logits += self.params["o"]
-        c = self.cls[targets].reshape(-1)
-        got = logits[np.arange(len(c)), c]
-        top = logits.max(1)
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        return (got - top - np.log(logits.sum(1))).reshape(targets.shape) + self.inside[targets]
+        h = np.maximum(self.attend(self.dense[x], targets.shape[1], hidden)[-1], 0)
+        h = h.reshape(-1, h.shape[2])
+        c, place = self.cls[targets].reshape(-1), self.place[targets].reshape(-1)
+        prob, total = self._probs(h, p["w"], p["o"])
+        ratio = prob[np.arange(len(c)), c] / total
+        for j, rows in _by_cluster(c, self.clusters):
+            prob, total = self._probs(h[rows], p["w2"][j], p["o2"][j])
+            ratio[rows] *= prob[np.arange(len(rows)), place[rows]] / total
+        return np.log(np.maximum(ratio, np.float32(1e-30))).reshape(targets.shape) + self.inside[targets]
 
     def gradient(self, x: np.ndarray, targets: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss over the real places of windows of ids; what is not real follows all that is."""
         p, x = self.params, self.dense[x]
-        q, k, v, a, z, far = self.attend(x, real, x.shape[1])
+        u, q, k, v, a, z = self.attend(x, SPAN)
         d = z.shape[2]
-        h = np.maximum(z, 0)
-        logits = h.reshape(-1, d) @ p["w"] + p["o"]
-        logits -= logits.max(1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(1, keepdims=True)
-        c = self.cls[targets].reshape(-1)
-        prob[np.arange(len(c)), c] -= 1
-        prob *= real.reshape(-1, 1) / max(1, real.sum())
-        g = {"w": h.reshape(-1, d).T @ prob, "o": prob.sum(0)}
-        dz = (prob @ p["w"].T).reshape(z.shape) * (z > 0)
-        g["g"] = dz.sum((0, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dz)
-        da = np.matmul(dz, v.transpose(0, 2, 1))
-        ds = a * (da - (a * da).sum(2, keepdims=True))
-        g["b"] = np.bincount(np.maximum(far, 0).reshape(-1), (ds.sum(0) * (far >= 0)).reshape(-1), len(p["b"])).astype(np.float32)
-        dq, dk = np.matmul(ds, k) * self.scale, np.matmul(ds.transpose(0, 2, 1), q) * self.scale
+        h = np.maximum(z, 0).reshape(-1, d)
+        weight = (real.reshape(-1) / max(1, real.sum())).astype(h.dtype)
+        c, place = self.cls[targets].reshape(-1), self.place[targets].reshape(-1)
+        prob, total = self._probs(h, p["w"], p["o"])
+        prob *= (weight / total)[:, None]
+        prob[np.arange(len(c)), c] -= weight
+        g = {"w": h.T @ prob, "o": prob.sum(0), "w2": np.zeros_like(p["w2"]), "o2": np.zeros_like(p["o2"])}
+        dz = prob @ p["w"].T
+        for j, rows in _by_cluster(c, self.clusters):
+            own = h[rows]
+            prob, total = self._probs(own, p["w2"][j], p["o2"][j])
+            prob *= (weight[rows] / total)[:, None]
+            prob[np.arange(len(rows)), place[rows]] -= weight[rows]
+            g["w2"][j], g["o2"][j] = own.T @ prob, prob.sum(0)
+            dz[rows] += prob @ p["w2"][j].T
+        dz *= h > 0
+        g["g"] = dz.sum(0)
         flat = x.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        cut = np.flatnonzero(np.append(True, np.diff(flat[order]) > 0))
-        for name, grad in (("q", dq), ("k", dk), ("v", dv), ("e", dz)):
-            out = np.zeros_like(p[name])
-            out[flat[order][cut]] = np.add.reduceat(grad.reshape(-1, d)[order], cut)
-            g[name] = out
+        g["e"] = _add_rows(flat, dz, len(p["e"]))
+        dz = dz.reshape(z.shape)
+        ds = np.matmul(dz, v.transpose(0, 2, 1))
+        ds -= np.matmul(a * ds, np.ones((SPAN, 1), ds.dtype))
+        ds *= a
+        g["b"] = np.bincount(self.far.reshape(-1), np.where(self.ahead, 0, ds.sum(0)).reshape(-1), SPAN).astype(p["b"].dtype)
+        ds *= self.scale
+        all_three = np.concatenate((np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dz)), 2).reshape(-1, 3 * d)
+        g["m"] = u.reshape(-1, d).T @ all_three
+        g["u"] = _add_rows(flat, all_three @ p["m"].T, len(p["u"]))
         return g
 
     def learn(self, chunks, steps: int, batch: int, rate: float, seed: int, expected: int) -> int:
@@ -194,16 +249,20 @@ class Model:
             nonlocal t
             t += 1
             g = self.gradient(x[:, :-1], x[:, 1:], np.arange(SPAN)[None] < (n - 1)[:, None])
-            lr = rate * max(0.05, min(1.0, 2 * (1 - t / (total + 1))))  # a shard with more windows than expected still learns
+            lr = rate * min(1.0, t / 20) * max(0.05, 1 - t / (total + 1))  # a shard with more windows than expected still learns
             for k, v in g.items():
                 m[k] *= 0.9
                 m[k] += 0.1 * v
                 s[k] *= 0.99
                 v *= v
-                s[k] += 0.01 * v
-                root = np.sqrt(s[k] / (1 - 0.99**t))
+                v *= 0.01
+                s[k] += v
+                root = np.sqrt(s[k])
+                root *= 1 / math.sqrt(1 - 0.99**t)
                 root += 1e-8
-                self.params[k] -= np.float32(lr / (1 - 0.9**t)) * m[k] / root
+                np.divide(m[k], root, out=root)
+                root *= np.float32(lr / (1 - 0.9**t))
+                self.params[k] -= root
 
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         rest = (np.zeros((0, SPAN + 1), np.int32), np.zeros(0, np.int64))
@@ -249,12 +308,21 @@ def tiles(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return windows.astype(np.int32), sizes
 
 
-SUBWORD, SAMPLED, WINDOWS = 0, 1, 2
+SUBWORD, WORD, WINDOWS = 0, 1, 2
 
 
-def _tallies(batches, tokenizer, words_per_window: int, seed: int):
-    """(kind, key, n): counts of all subword ids (and ends), of the hashes of sampled words, and the number of windows."""
-    sub, ids_seen, windows = None, None, 0
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[cut], np.add.reduceat(n, cut) if len(cut) else n
+
+
+def _tallies(batches, tokenizer, rounds: tuple[int, ...], most: int = 2_000_000):
+    """(kind, key, n): counts of all subword ids (and ends), of the hashes of all words, and the number of windows by round."""
+    sub, ids_seen, windows = None, None, np.zeros(len(rounds), np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
         sub = sub or Subwords(tokenizer)
         ids_seen = np.zeros(sub.end + 1, np.int64) if ids_seen is None else ids_seen
@@ -263,29 +331,32 @@ def _tallies(batches, tokenizer, words_per_window: int, seed: int):
             ids, sizes = sub.ids(w, w.hashes)
             ids_seen += np.bincount(ids, minlength=sub.end + 1)
             ids_seen[sub.end] += part.num_rows
-            windows += int((-(-np.diff(streams(w, ids, sizes, sub.end)[1] - np.arange(part.num_rows + 1)) // SPAN)).sum())
-            number = 1 + w.counts // words_per_window
-            row = np.repeat(np.arange(part.num_rows), number)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-            h = mix64(part.column("rid").to_numpy()[row].view(np.uint64) + k.astype(np.uint64), seed)
-            first = w.first[row] + (h % np.maximum(1, w.counts[row]).astype(np.uint64)).astype(np.int64)
-            size = np.minimum(12, w.first[row + 1] - first)
-            pick = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            sampled, n = np.unique(w.hashes[pick], return_counts=True)
-            yield _tally(SAMPLED, sampled.view(np.int64), n)
+            tokens = np.diff(np.append(0, np.cumsum(sizes))[w.first]) + 1
+            windows += np.bincount(part.column("round").to_numpy(), -(-tokens // SPAN), len(rounds)).astype(np.int64)
+            held.append(_summed(w.hashes, np.ones(len(w), np.int64)))
+            size += len(held[-1][0])
+            if size > most:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield _tally(WORD, held[0][0].view(np.int64), held[0][1])
+                    held, size = [], 0
+    if held:
+        h, n = _summed(*map(np.concatenate, zip(*held)))
+        yield _tally(WORD, h.view(np.int64), n)
     if sub:
         some = np.flatnonzero(ids_seen)
         yield _tally(SUBWORD, some, ids_seen[some])
-        yield _tally(WINDOWS, np.zeros(1, np.int64), np.array([windows]))
+        yield _tally(WINDOWS, np.arange(len(rounds)), windows)
 
 
 def _tally(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
 
 
-def subword_counts(tallies: DataFrame) -> dict[int, int]:
-    """Counts by subword id; the tokenizer's ids bound it."""
-    return {r["key"]: r["n"] for r in tallies.where(F.col("kind") == SUBWORD).groupBy("key").agg(F.sum("n").alias("n")).collect()}
+def _sums(tallies: DataFrame, kind: int) -> dict[int, int]:
+    """Sums of a kind whose keys are few: subword ids or rounds."""
+    return {r["key"]: r["n"] for r in tallies.where(F.col("kind") == kind).groupBy("key").agg(F.sum("n").alias("n")).collect()}
 
 
 def _learned(batches, model: Model, tokenizer, steps: int, batch: int, rate: float, seed: int, expected: int):
@@ -302,36 +373,20 @@ def _learned(batches, model: Model, tokenizer, steps: int, batch: int, rate: flo
         yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary()), pa.array([n], pa.int64())], names=["params", "n"])
 
 
-def _hot_counts(batches, hot: np.ndarray):
-    total = np.zeros(len(hot), np.int64)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            h = Words(part.column("text"), lower=True).hashes
-            at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
-            total += np.bincount(at[hot[at] == h], minlength=len(hot))
-    yield pa.RecordBatch.from_arrays([pa.array(hot.view(np.int64)), pa.array(total)], names=["h", "c"])
-
-
-def _rare_words(batches, hot: np.ndarray):
+def _mean(batches):
+    """The mean of packed weights by their numbers of windows, one after the other."""
+    total, windows = None, 0
     for batch in batches:
-        for part in slices(batch, "text"):
-            w = Words(part.column("text"), lower=True)
-            h, doc = w.hashes, w.doc
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                rare = hot[at] != h
-                h, doc = h[rare], doc[rare]
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(h)))
-            rows = pa.array(doc[at])
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), part.column("rid").take(rows), pa.array(n.astype(np.int32)), part.column("held_out").take(rows)], names=["h", "rid", "n", "held_out"])
+        for params, n in zip(batch.column("params"), batch.column("n").to_pylist()):
+            flat = np.frombuffer(params.as_buffer(), np.float32) * float(n)
+            total = flat if total is None else total + flat
+            windows += n
+    if windows:
+        yield pa.RecordBatch.from_arrays([pa.array([(total / windows).astype(np.float32).tobytes()], pa.binary()), pa.array([windows], pa.int64())], names=["params", "n"])
 
 
 def _scores(batches, model: Model, tokenizer, hot: np.ndarray, counts: np.ndarray):
+    """A row for each document: its score, what the hot words give to the base, and the hashes and numbers of its other words."""
     sub = None
     logs = np.log10(counts + 0.5)
     for batch in batches:
@@ -339,79 +394,79 @@ def _scores(batches, model: Model, tokenizer, hot: np.ndarray, counts: np.ndarra
         for part in slices(batch, "text"):
             n = part.num_rows
             w = Words(part.column("text"), lower=True)
-            h = w.hashes
+            h, rare = w.hashes, np.ones(len(w), bool)
+            base, known = np.zeros(n), np.zeros(n)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                 ok = hot[at] == h
-                base = np.bincount(w.doc[ok], logs[at[ok]], n)
-                known = np.bincount(w.doc[ok], counts[at[ok]] > 0, n)
-            else:
-                base = known = np.zeros(n)
+                base, known, rare = np.bincount(w.doc[ok], logs[at[ok]], n), np.bincount(w.doc[ok], minlength=n), ~ok
             tokens, starts = streams(w, *sub.ids(w, h), sub.end)
             score = np.zeros(n)
             pieces = -(-(np.diff(starts) - 1) // STRIDE)
             row = np.repeat(np.arange(n), pieces)
             first = starts[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-            for i in range(0, len(row), 512):
-                r, f = row[i : i + 512], first[i : i + 512]
+            for i in range(0, len(row), 1024):
+                r, f = row[i : i + 1024], first[i : i + 1024]
                 at = f[:, None] + np.arange(-CONTEXT, STRIDE)[None]
-                real = (at >= starts[r][:, None]) & (at < starts[r + 1][:, None] - 1)
+                asked = at[:, CONTEXT:] < starts[r + 1][:, None] - 1
                 x = tokens[np.clip(at, 0, len(tokens) - 1)]
-                y = tokens[np.clip(at[:, CONTEXT:] + 1, 0, len(tokens) - 1)]
-                lp = np.where(real[:, CONTEXT:], model.log_probs(x, real, y), 0).sum(1)
+                y = tokens[np.minimum(at[:, CONTEXT:] + 1, len(tokens) - 1)]
+                lp = np.where(asked, model.log_probs(x, y, at < starts[r][:, None]), 0).sum(1)
                 score += np.bincount(r, lp, n)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), part.column("held_out"), pa.array(w.counts + 1), pa.array(base), pa.array(known.astype(np.int64)), pa.array(score / math.log(10))], names=["doc_id", "rid", "held_out", "n_tokens", "hot_base", "hot_known", "score"])
+            doc, h = w.doc[rare], h[rare]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(h))).astype(np.int32)
+            cut = pa.array(np.searchsorted(doc[new], np.arange(n + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h[new].view(np.int64), times)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), part.column("held_out"), pa.array(w.counts + 1), pa.array(base), pa.array(known.astype(np.int64)), pa.array(score / math.log(10)), *lists], names=["doc_id", "rid", "held_out", "n_tokens", "hot_base", "hot_known", "score", "words", "times"])
 
 
 def lm_scores(
-    docs: DataFrame, tokenizer: tuple[str, str], *, doc_id: str = "doc_id", text: str = "text", words_per_window: int = 512, hot: float = 1e-5, rounds: int = 2, shard_windows: int = 4096, max_shards: int = 64,
-    steps: int = 150, batch: int = 64, rate: float = 0.02, seed: int = 9,
+    docs: DataFrame, tokenizer: tuple[str, str], *, doc_id: str = "doc_id", text: str = "text", hot: float = 1e-5, rounds: tuple[int, ...] = (1, 5, 10), shard_windows: int = 65_536, steps: int = 150, batch: int = 512, rate: float = 0.02, seed: int = 9,
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. tokenizer: path of a tiktoken rank file that all machines have, and its pattern."""
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    odd = not ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
-    rid = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text") if odd else F.col("doc_id")
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    base = ids.dropDuplicates(["doc_id", "text"]) if odd else ids
-    base = base.withColumns({"rid": rid, "held_out": held})
-    own = base.where("NOT held_out")
-
-    tallies = stage(own.mapInArrow(lambda it: _tallies(it, tokenizer, words_per_window, seed), "kind int, key long, n long"))
-    counts = subword_counts(tallies)
-    total_of = {r["kind"]: r["n"] for r in tallies.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    n_windows, n_words = total_of.get(WINDOWS, 0), total_of.get(SAMPLED, 0)
-    words = tallies.where(F.col("kind") == SAMPLED).groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, hot * n_words))
-    table = np.sort(np.array([r["h"] for r in words.select("h").collect()], np.int64).view(np.uint64))  # at most 1 / hot rows
-
-    model = Model(counts, _tokenizer(*tokenizer)[1] + 1)
-    shards = max(1, min(max_shards, -(-n_windows // shard_windows)))
-    order = F.xxhash64("rid", F.lit(seed))
-    dealt = own.select("rid", "text", F.pmod(order, F.lit(shards)).alias("shard")).repartition(shards, "shard").sortWithinPartitions("shard", order, "rid")
-    for k in range(rounds if n_windows else 0):
-        now = model
-        got = dealt.mapInArrow(lambda it: _learned(it, now, tokenizer, steps, batch, rate / (k + 1), seed + k, -(-n_windows // shards)), "params binary, n long").collect()
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. tokenizer: path of a tiktoken rank file that all machines have, and its pattern. rounds: shares of the training documents."""
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = base.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False)))
+    order = F.xxhash64(F.lit(seed), "doc_id", "text")
+    turn = F.pmod(order, F.lit(sum(rounds)))
+    number = sum(((turn >= sum(rounds[: k + 1])).cast("int") for k in range(len(rounds) - 1)), F.lit(0))
+    own = base.where("NOT held_out").select("doc_id", "text", number.alias("round"))
+
+    tallies = stage(own.mapInArrow(lambda it: _tallies(it, tokenizer, rounds), "kind int, key long, n long"))
+    encoding, end = _tokenizer(*tokenizer)
+    count = np.zeros(end + 1)
+    for k, n in _sums(tallies, SUBWORD).items():
+        count[k] = n
+    ends = int(count[end])
+    windows = _sums(tallies, WINDOWS)
+    first = np.array([k == end or encoding.decode_single_token_bytes(k)[:1] == b" " for k in range(end + 1)])
+    seen = stage(tallies.where(F.col("kind") == WORD).groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("c")))
+    vocabulary, total = seen.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    train_tokens, vocabulary = int(total) + ends, vocabulary + (ends > 0)
+    below = math.log10(train_tokens + 0.5 * (vocabulary + 1))
+    often = sorted((np.uint64(r["h"] % 2**64), r["c"]) for r in seen.where(F.col("c") >= max(2.0, hot * total)).collect())  # at most 1 / hot rows
+    table, hots = np.array([h for h, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
+
+    model = Model(count, first)
+    for k in range(len(rounds)):
+        n = windows.get(k, 0)
+        if not n:
+            continue
+        now, shards = model, -(-n // shard_windows)
+        shard = F.pmod(F.xxhash64(order, F.lit(k)), F.lit(shards))
+        dealt = own.where(F.col("round") == k).select("text", order.alias("order"), shard.alias("shard")).repartition(shards, "shard").sortWithinPartitions("shard", "order")
+        learned = dealt.mapInArrow(lambda it: _learned(it, now, tokenizer, steps, batch, rate / (1 + k), seed + k, -(-n // shards)), "params binary, n long")
+        means = learned.repartition(math.isqrt(shards)).mapInArrow(_mean, "params binary, n long")
+        got = sorted(means.collect(), key=lambda r: (r["n"], r["params"]))  # the root of the number of shards, about half a MB each
         if got:
-            got.sort(key=lambda r: (r["n"], r["params"]))
             model.unpack(np.average([np.frombuffer(r["params"], np.float32) for r in got], axis=0, weights=[r["n"] for r in got]))
 
-    hots = np.zeros(len(table), np.int64)
-    if len(table):
-        by = {r["h"]: r["c"] for r in own.mapInArrow(lambda it: _hot_counts(it, table), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).collect()}
-        hots = np.array([by.get(int(h), 0) for h in table.view(np.int64)], np.int64)
-    rare = base.mapInArrow(lambda it: _rare_words(it, table), "h long, rid long, n int, held_out boolean")
-    seen = rare.groupBy("h").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("n"))).alias("c"))
-    seen = stage(seen)
-    vocabulary, total = seen.where("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    ends = own.count()
-    train_tokens = int(total) + int(hots.sum()) + ends
-    vocabulary += int((hots > 0).sum()) + (ends > 0)
-    below = math.log10(train_tokens + 0.5 * (vocabulary + 1))
-
-    sums = rare.join(seen, "h").groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    scored = base.select("doc_id", "rid", "held_out", "text").mapInArrow(lambda it: _scores(it, model, tokenizer, table, hots), "doc_id long, rid long, held_out boolean, n_tokens long, hot_base double, hot_known long, score double")
-    out = scored.join(sums, "rid", "left").select(
-        "rid", "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
+    numbered = base.withColumn("rid", F.monotonically_increasing_id())  # of the table as it is written below
+    scored = stage(numbered.mapInArrow(lambda it: _scores(it, model, tokenizer, table, hots), "doc_id long, rid long, held_out boolean, n_tokens long, hot_base double, hot_known long, score double, words array<long>, times array<int>"))
+    rare = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("rid", F.col("w.words").alias("h"), F.col("w.times").alias("n"))
+    rare = rare.join(seen, "h", "left").groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
+    return scored.drop("words", "times").join(rare, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("rare_base", F.lit(0.0)) + F.lit(math.log10(ends + 0.5)) - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score")
-    if odd:
-        out = ids.select(rid.alias("rid")).join(out, "rid")
-    return out.drop("rid")

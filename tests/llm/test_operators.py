@@ -448,46 +448,95 @@ def test_long_licenses(spark, tmp_path):
 
 
 def test_lm(spark, corpus, empty):
-    rows = [(r[0], r[1] if r[1] is None or len(r[1]) < 20_000 else r[1][:9000], *r[2:]) for r in corpus]
-    rows.append((None, "a null id", *rows[0][2:]))
-    got = attention_lm.lm_scores(spark.createDataFrame(rows, DOCS), queries.public_tokenizer(), steps=60).collect()
-    unique = {(r[0], r[1] or "") for r in rows}
-    tokens = {k: [*words(k[1].translate(LOW)), None] for k in unique}
-    held = {k: k[0] is not None and zlib.crc32(str(k[0]).encode()) % 5 == 1 for k in unique}
-    c = Counter(x for k in unique if not held[k] for x in tokens[k])
+    rows = [*corpus, corpus[3], corpus[3], (None, "a null id", *corpus[0][2:]), (None, "a null id", *corpus[0][2:])]
+    got = attention_lm.lm_scores(spark.createDataFrame(rows, DOCS), queries.public_tokenizer(), steps=20).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    tokens = [[*words((r[1] or "").translate(LOW)), None] for r in rows]
+    c = Counter(x for r, t in zip(rows, tokens) if not held(r[0]) for x in t)  # every row counts, also where rows repeat
     n, v = sum(c.values()), len(c)
-    assert len(got) == len(rows)
-    for r in got:
-        k = min((k for k in unique if k[0] == r["doc_id"] and len(tokens[k]) == r["n_tokens"]), default=None)
-        assert k is not None and r["held_out"] == held[k] and r["train_tokens"] == n and r["n_known"] == sum(c[x] > 0 for x in tokens[k])
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens[k]), rel=1e-9)
-        assert r["score"] < 0
+    want = sorted(((r[0], held(r[0]), len(t), sum(c[x] > 0 for x in t), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t)) for r, t in zip(rows, tokens)), key=repr)
+    rest = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got), key=repr)
+    assert [w[:5] for w in want] == [r[:5] for r in rest]
+    assert [w[5] for w in want] == pytest.approx([r[5] for r in rest], rel=1e-9)
+    assert all(r["score"] < 0 for r in got)
     assert attention_lm.lm_scores(empty, queries.public_tokenizer()).count() == 0
 
 
+def small_lm(rng):
+    model = attention_lm.Model(np.array([50 - i if i < 40 else 0 for i in range(60)]), np.arange(60) % 2 == 0, known=30, clusters=3, size=8, buckets=3, dim=4)
+    for k in ("w", "w2"):
+        model.params[k] = rng.normal(size=model.params[k].shape).astype(np.float32)
+    return model
+
+
+def test_lm_scores_window_by_window():
+    """Scores of the operator's task against loops over single tokens: context, mask, both steps of the output."""
+    rng = np.random.default_rng(4)
+    texts = [None, "", "one", *(sentence(rng, n) for n in (2, 3, 9, 31, 200)), "Zwölf  Wörter\n\tund mehr " * 9]
+    tokenizer = queries.public_tokenizer()
+    sub = attention_lm.Subwords(tokenizer)
+    count = np.zeros(sub.end + 1)
+    streams = []
+    for t in texts:
+        ids = [i for x in words((t or "").translate(LOW)) for i in sub.encode.encode_ordinary(" " + x)]
+        streams.append([sub.end, *ids, sub.end])
+        np.add.at(count, streams[-1][1:], 1)
+    model = attention_lm.Model(count, np.arange(len(count)) % 3 == 0, known=40, clusters=4, size=8, buckets=3, dim=4)
+    for k in ("w", "w2", "m"):
+        model.params[k] = rng.normal(size=model.params[k].shape).astype(np.float32)
+    p = {k: v.astype(float) for k, v in model.params.items()}
+
+    def token(stream, at, start):
+        """log10 probability of stream[at + 1], seeing stream[start..at]."""
+        q, k, v = np.split(p["u"][model.dense[stream]] @ p["m"], 3, 1)
+        a = np.array([q[at] @ k[j] / 2 + p["b"][at - j] for j in range(start, at + 1)])
+        a = np.exp(a - a.max())
+        h = np.maximum((a / a.sum()) @ v[start : at + 1] + p["e"][model.dense[stream[at]]] + p["g"], 0)
+        y = stream[at + 1]
+        first = h @ p["w"] + p["o"]
+        out = first[model.cls[y]] - np.log(np.exp(first).sum()) + model.inside[y]
+        if model.cls[y] < model.clusters:
+            second = h @ p["w2"][model.cls[y]] + p["o2"][model.cls[y]]
+            out += second[model.place[y]] - np.log(np.exp(second).sum())
+        return out / math.log(10)
+
+    want = [sum(token(s, at, max(0, at // attention_lm.STRIDE * attention_lm.STRIDE - attention_lm.CONTEXT)) for at in range(len(s) - 1)) for s in streams]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "rid": i, "held_out": False, "text": t or ""} for i, t in enumerate(texts)])
+    got = pa.Table.from_batches(attention_lm._scores([batch], model, tokenizer, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    assert got.column("score").to_pylist() == pytest.approx(want, rel=1e-3)
+
+
 def test_lm_gradient_mask_and_total():
     rng = np.random.default_rng(8)
-    model = attention_lm.Model({i: 50 - i for i in range(40)}, 60, head=10, buckets=3, dim=4)
-    model.params["w"] = rng.normal(size=model.params["w"].shape).astype(np.float32)
-    x = rng.integers(0, 60, (2, attention_lm.SPAN))
-    real = np.arange(attention_lm.SPAN)[None] < np.array([[attention_lm.SPAN], [20]])
-    total = sum(np.exp(model.log_probs(x, real, np.full((2, attention_lm.STRIDE), t))) for t in range(60))
-    assert np.allclose(total[0], 1, atol=1e-4)  # a distribution over all ids
-    later = x.copy()
+    model = small_lm(rng)
+    span, stride = attention_lm.SPAN, attention_lm.STRIDE
+    x = rng.integers(0, 60, (2, span))
+    hidden = np.arange(span)[None] < np.array([[0], [5]])
+    total = sum(np.exp(model.log_probs(x, np.full((2, stride), t), hidden)) for t in range(60))
+    assert np.allclose(total, 1, atol=1e-3)  # a distribution over all ids
+    y = rng.integers(0, 60, (2, stride))
+    later, before = x.copy(), x.copy()
     later[:, -1] = (later[:, -1] + 1) % 60
-    y = rng.integers(0, 60, (2, attention_lm.STRIDE))
-    assert np.allclose(model.log_probs(x, real, y)[0, :-1], model.log_probs(later, real, y)[0, :-1])  # no look at what follows
+    before[1, :5] = (before[1, :5] + 1) % 60
+    assert np.allclose(model.log_probs(x, y)[:, :-1], model.log_probs(later, y)[:, :-1])  # no look at what follows
+    assert np.allclose(model.log_probs(x, y, hidden), model.log_probs(before, y, hidden))  # nor at what is hidden
     targets = rng.integers(0, 60, x.shape)
+    real = np.arange(span)[None] < np.array([[span], [span - 5]])
+    model.params = {k: v.astype(np.float64) for k, v in model.params.items()}
 
     def loss():
-        z = model.attend(model.dense[x], real, x.shape[1])[4]
-        logits = np.maximum(z, 0) @ model.params["w"] + model.params["o"]
-        p = np.log(np.exp(logits).sum(2)) - np.take_along_axis(logits, model.cls[targets][:, :, None], 2)[:, :, 0]
-        return (p * real).sum() / real.sum()
+        z = model.attend(model.dense[x], span)[-1]
+        h, c = np.maximum(z, 0), model.cls[targets]
+        first = h @ model.params["w"] + model.params["o"]
+        out = np.log(np.exp(first).sum(2)) - np.take_along_axis(first, c[:, :, None].astype(int), 2)[:, :, 0]
+        for i, j in np.argwhere(c < model.clusters):
+            second = h[i, j] @ model.params["w2"][c[i, j]] + model.params["o2"][c[i, j]]
+            out[i, j] += np.log(np.exp(second).sum()) - second[model.place[targets[i, j]]]
+        return (out * real).sum() / real.sum()
 
-    model.params = {k: v.astype(np.float64) for k, v in model.params.items()}
     g = model.gradient(x, targets, real)
-    for name, at in (("q", (model.dense[x[0, 5]], 1)), ("k", (model.dense[x[0, 3]], 2)), ("v", (model.dense[x[0, 2]], 0)), ("w", (1, 2)), ("b", (3,)), ("e", (model.dense[x[1, 4]], 3))):
+    places = [("u", (model.dense[x[0, 5]], 1)), ("e", (model.dense[x[1, 4]], 3)), ("m", (1, 2)), ("m", (2, 6)), ("m", (0, 10)), ("w", (1, 2)), ("o", (1,)), ("b", (3,)), ("g", (2,)), ("w2", (0, 1, 2)), ("o2", (1, 3))]
+    for name, at in places:
         keep = model.params[name][at]
         model.params[name][at] = keep + 1e-5
         up = loss()

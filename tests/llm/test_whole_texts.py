@@ -23,9 +23,14 @@ def test_lm_counts_all_subwords_of_long_texts(spark, long_texts):
         want[end] += 1
         for x in (t or "").split():
             want.update(encode.encode_ordinary(" " + x))
-    df = spark.createDataFrame([(i, t or "") for i, t in enumerate(long_texts)], "rid long, text string").repartition(3)
-    tallies = df.mapInArrow(lambda it: attention_lm._tallies(it, tok, 512, 9), "kind int, key long, n long")
-    assert attention_lm.subword_counts(tallies) == want
+    df = spark.createDataFrame([(i, t or "") for i, t in enumerate(long_texts)], "round int, text string").repartition(3)
+    spans = Counter({i: -(-(sum(len(encode.encode_ordinary(" " + x)) for x in (t or "").split()) + 1) // attention_lm.SPAN) for i, t in enumerate(long_texts)})
+    for most in (2_000_000, 50):  # one table of words at the end, or several
+        tallies = df.mapInArrow(lambda it: attention_lm._tallies(it, tok, (1,) * 7, most), "kind int, key long, n long")
+        assert attention_lm._sums(tallies, attention_lm.SUBWORD) == want
+        assert attention_lm._sums(tallies, attention_lm.WINDOWS) == spans
+        counts = sorted(attention_lm._sums(tallies, attention_lm.WORD).values())
+        assert counts == sorted(Counter(x for t in long_texts for x in (t or "").split()).values())
 
 
 def test_lm_windows_tile_whole_texts(long_texts):
@@ -42,7 +47,7 @@ def test_lm_windows_tile_whole_texts(long_texts):
 
 def test_lm_learns_from_every_window(monkeypatch):
     rng = np.random.default_rng(2)
-    model = attention_lm.Model({i: 9 for i in range(40)}, 60, head=10, buckets=3, dim=4)
+    model = attention_lm.Model(np.where(np.arange(60) < 40, 9, 0), np.arange(60) % 2 == 0, clusters=2, size=8, buckets=3, dim=4)
     seen = Counter()
     gradient = attention_lm.Model.gradient
     monkeypatch.setattr(attention_lm.Model, "gradient", lambda self, x, y, real: (seen.update(x[:, 0].tolist()), gradient(self, x, y, real))[1])
