@@ -12,10 +12,16 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 # Elements whose content is never text of the page.
-HIDDEN_TAGS = frozenset("script style template noscript head title svg math iframe object select textarea button canvas audio video map".split())
+HIDDEN_TAGS = frozenset("script style template noscript head title svg iframe object select textarea button canvas audio video map".split())
 RAW_TAGS = frozenset("script style textarea title iframe noscript".split())
 # Elements without an end tag.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements that may stand in a head; any other start tag, or text, ends an open head.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+# Hidden elements that can hold others of their kind.
+NESTS = frozenset("svg object template map".split())
+# Block-level elements that a menu of choices holds.
+CHOICES = frozenset("option optgroup hr".split())
 # A start tag of the key ends an open element of the values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
@@ -37,6 +43,7 @@ class Block:
 class _Open:
     tag: str
     names: tuple[str, ...] = field(default=())
+    left_open: bool = False
 
 
 def names_of(attributes: str) -> tuple[str, ...]:
@@ -70,9 +77,23 @@ def blocks(page: str) -> list[Block]:
         hidden -= sum(o.tag in HIDDEN_TAGS for o in stack[k:])
         del stack[k:]
 
+    last_end: dict[str, int] = {}
+
+    def ends(tag: str, at: int) -> bool:
+        """Whether a hidden element that starts before `at` has an end tag of its own."""
+        if tag in NESTS:
+            if tag not in last_end:
+                last_end[tag] = lower.rfind("</" + tag)
+            return last_end[tag] >= at
+        found = re.compile(rf"<(/?){tag}\b").search(lower, at)
+        return bool(found and found[1])
+
+    lower = page.lower() if len(page.lower()) == n else page
     while at < n:
         m = _TAG.search(page, at)
         stop = m.start() if m else n
+        if stop > at and hidden and stack[-1].tag == "head" and page[at:stop].strip():
+            pop(len(stack) - 1)
         if stop > at and not hidden:
             piece = page[at:stop]
             text.append(piece)
@@ -95,6 +116,12 @@ def blocks(page: str) -> list[Block]:
                 if k is not None:
                     pop(k)
             continue
+        if hidden and tag not in IN_HEAD and stack[-1].tag == "head":
+            pop(len(stack) - 1)
+        if hidden and tag in BLOCK_TAGS and tag not in CHOICES:
+            k = next((k for k, o in enumerate(stack) if o.left_open), None)
+            if k is not None:  # a hidden element without an end holds no block
+                pop(k)
         if tag == "a":
             in_link = 1
         elif tag == "br":
@@ -104,7 +131,7 @@ def blocks(page: str) -> list[Block]:
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = close.end() if close else n
             elif not (m[3] or "").endswith("/"):
-                stack.append(_Open(tag))
+                stack.append(_Open(tag, (), tag != "head" and not ends(tag, at)))
                 hidden += 1
         elif tag in BLOCK_TAGS:
             end_block(tag)

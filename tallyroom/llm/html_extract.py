@@ -12,8 +12,12 @@ labels itself: pages with one article or main element.
 
 Defined results: null and empty pages, and pages without main text, have the
 empty text; rows that repeat give equal rows; white space inside a block is one
-space, blocks are joined by one newline; nothing else is dropped or cut. Script, style, title and form controls
-are never text. Pages are not shuffled.
+space, blocks are joined by one newline; nothing else is dropped or cut. Script,
+style, title and form controls are never text; a head ends where something
+stands that cannot be in a head, and a hidden element without an end tag at the
+next block. A page counts whole, however long; decoding holds a bounded number
+of blocks, or one page. An empty table gives an empty table; input columns named
+text or n_chars are replaced, all others pass through. Pages are not shuffled.
 """
 
 from __future__ import annotations
@@ -151,14 +155,14 @@ def train(pages: list[tuple[list[Block], list[int]]], l2: float = 0.5, rounds: i
     return out
 
 
-def decode(chain: Chain, pages: list[list[Block]]) -> list[list[int]]:
-    """The likeliest labels of each page (Viterbi)."""
-    order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
+def decode(chain: Chain, pages: list[list[Block]], places: int = 1 << 16) -> list[list[int]]:
+    """The likeliest labels of each page (Viterbi). Pages of like length go side by side, at most `places` places at once or one page."""
+    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: -len(pages[i]))
     out: list[list[int]] = [[] for _ in pages]
-    for at in range(0, len(order), 256):
-        pick = [i for i in order[at : at + 256] if pages[i]]
-        if not pick:
-            continue
+    at = 0
+    while at < len(order):
+        pick = order[at : at + max(1, places // len(pages[order[at]]))]
+        at += len(pick)
         b = _Batch([features(pages[i]) for i in pick])
         e = b.emissions(chain.w)
         best = chain.start + e[0]
