@@ -6,14 +6,16 @@ in one document only rules out all windows that name it. What is left is cut
 into segments, the windows that name one gram, and dealt out by the gram, so
 each shard holds every occurrence of its windows.
 
-A shard takes whole grams until it has `piece` segments: windows that start in
+A shard takes whole grams until it has `shard` segments (the automaton looks
+through the words that can follow one after the other, so many small ones are
+faster than a large one): windows that start in
 two documents or more are confirmed word for word, they are compiled into an
 Aho-Corasick automaton whose values are the smallest doc_id, and all segments
 stream through it. A hit from a smaller doc_id marks its words. Inside an
 automaton a word is one character, and every shard has an alphabet of its own.
 A gram with more than `piece` segments goes to no shard: its windows
 meet word for word in an aggregation, combined before the shuffle, and a join,
-so a shard's windows and words are bounded by two pieces.
+so a shard's windows and words are bounded by a shard and a piece.
 
 Defined results: words are runs of characters other than ASCII blanks,
 unchanged; null has none; windows are judged on the input; rows with equal
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, mix64, slices
+from .common import Words, mix64, slices, stage
 
 _BASE = 0x10000
 _CHARS = 0x110000 - _BASE
@@ -133,10 +135,10 @@ def _hot_windows(batches, width: int, gram: int):
 
 def coded(w: Words) -> np.ndarray:
     """A number for each word, equal for equal words."""
-    own = np.zeros(len(w.data) + 1, np.int64)
-    own[w.starts], own[w.ends] = 1, -1  # words are apart by a blank
-    own[np.intersect1d(w.starts, w.ends)] = 0  # but for those of neighbouring rows
-    data = w.data[np.cumsum(own[:-1]) > 0]
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.starts] += 1
+    inside[w.ends] -= 1  # where a row's first word follows another row's last one, both hold
+    data = w.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
     ends = np.cumsum(np.append(0, w.ends - w.starts))
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode().indices.to_numpy()
 
@@ -189,8 +191,8 @@ def marks(texts: pa.Array, docs: np.ndarray, width: int) -> tuple[np.ndarray, np
     return row, ends[first] - width - start, ends[last] - start
 
 
-def _shards(batches, width: int, piece: int):
-    """(doc_id, tag, from, to): words to remove."""
+def _shards(batches, width: int, shard: int):
+    """(doc_id, tag, from, to): words to remove. A shard is closed after the gram in which it reaches `shard` segments."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
@@ -201,12 +203,12 @@ def _shards(batches, width: int, piece: int):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (docs[row], where[row] >> 32, place + start, place + end)], names=["doc_id", "tag", "start", "end"])
 
     held: list[pa.RecordBatch] = []
-    size, step = 0, min(piece, 4096)
+    size, step = 0, min(shard, 4096)
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             held.append(batch.slice(at, step))
             size += held[-1].num_rows
-            if size < piece:
+            if size < shard:
                 continue
             rows = pa.Table.from_batches(held)
             h = rows.column("h").to_numpy()
@@ -240,9 +242,9 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept), pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept])], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
-def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, gram: int = 4, piece: int = 20_000) -> DataFrame:
+def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, gram: int = 4, shard: int = 1_000, piece: int = 20_000) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text, kept_sha256."""
-    piece = min(piece, (_CHARS - 1) // (2 * (2 * width - gram)))  # a shard of two pieces has a character for each word
+    piece = min(piece, (_CHARS - 1) // (2 * (2 * width - gram)))  # a shard has a character for each of its words
     base = docs.select(doc_id, text)
     if (doc_id, text, base.schema[doc_id].dataType.simpleString()) != ("doc_id", "text", "bigint"):  # a new name makes the two left sides below look different
         base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -256,25 +258,30 @@ def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     tagged = (lambda df: df) if repeats else (lambda df: df.withColumn("tag", tag))
     grams = tagged(known).mapInArrow(lambda it: _gram_rows(it, width, gram), "h long, doc_id long, at long")
     # a document names a gram once in each task's output or more: counts of rows are at least counts of documents
-    common = grams.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    hits = grams.join(common, "h").select("doc_id", F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"), "n")
-
+    common = stage(grams.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = F.col("n") > piece
+    hits = grams.join(common, "h").select("doc_id", F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"), hot.alias("hot"))
+    places = hits.groupBy(*keys).agg(F.collect_list(F.when(~F.col("hot"), F.col("place"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot"))
+    some_hot = not common.where(hot).isEmpty()
+    if some_hot:  # both kinds are read
+        places = stage(places)
     pack = lambda df, names: df.select(*names, "text").mapInArrow(lambda it: _pack(it, names), T.StructType([*(df.schema[c] for c in names), T.StructField("frame", T.BinaryType())]))
     packed = pack(known, keys)
 
-    def found(which: str) -> DataFrame:
-        places = hits.where(which).groupBy(*keys).agg(F.collect_list("place").alias("places"))
+    def found(kind: str) -> DataFrame:
+        some = places.where(F.size(kind) > 0).select(*keys, F.col(kind).alias("places"))
         # all joins by document have the same left side, so its texts are shuffled once
-        return tagged(packed.join(places, keys)).select("doc_id", "frame", "tag", F.col("places").cast("array<long>").alias("places"))
+        return tagged(packed.join(some, keys)).select("doc_id", "frame", "tag", F.col("places").cast("array<long>").alias("places"))
 
-    segments = found(f"n <= {piece}").mapInArrow(lambda it: _segments(it, width, gram), "h long, doc_id long, at long, words binary")
+    segments = found("cold").mapInArrow(lambda it: _segments(it, width, gram), "h long, doc_id long, at long, words binary")
     segments = segments.repartition("h").sortWithinPartitions("h", "doc_id")
-    marks = segments.mapInArrow(lambda it: _shards(it, width, piece), "doc_id long, tag long, start long, end long")
-    windows = found(f"n > {piece}").mapInArrow(lambda it: _hot_windows(it, width, gram), "doc_id long, tag long, start long, words binary")
-    origins = windows.groupBy("words").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last")
-    again = windows.join(origins, "words").where("origin < doc_id")
-    marks = marks.unionByName(again.select("doc_id", "tag", "start", (F.col("start") + width).alias("end")))
-    spans = marks.groupBy(*keys).agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
+    marked = segments.mapInArrow(lambda it: _shards(it, width, min(shard, piece)), "doc_id long, tag long, start long, end long")
+    if some_hot:
+        windows = found("hot").mapInArrow(lambda it: _hot_windows(it, width, gram), "doc_id long, tag long, start long, words binary")
+        origins = windows.groupBy("words").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last")
+        again = windows.join(origins, "words").where("origin < doc_id")
+        marked = marked.unionByName(again.select("doc_id", "tag", "start", (F.col("start") + width).alias("end")))
+    spans = marked.groupBy(*keys).agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
     out = packed.join(spans, keys, "left").select("doc_id", "frame", "spans")
     out = out.unionByName(pack(base.where("doc_id IS NULL"), ["doc_id"]).withColumn("spans", F.lit(None).cast("array<long>")))
     return out.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
