@@ -2,13 +2,15 @@
 
 One Aho-Corasick automaton holds all windows of the normalised benchmark
 items; each document is read once and hits map back to places in its original
-text. Inside the automaton a word is one character, so windows match whole
-words only.
+text. Inside the automaton a word is two characters of separate alphabets, so
+windows match whole words only, of any number of distinct words.
 
 Defined results: null and wordless texts have no words; an item of fewer words
 than a window, but not none, is one window; repeated items of one id are one
 item; an empty benchmark hits nothing. Items without an id take no part in
-`items` but their windows hit.
+`items` but their windows hit. Rows that repeat are scanned alike; a text counts
+whole, however long; an empty table gives an empty table; input columns named
+as a result column are replaced, all others pass through.
 
 The benchmark travels to the tasks with the code, so its size is checked
 first: above `max_chars` it is split into parts of at most that, with an
@@ -18,6 +20,7 @@ automaton and a pass each. Documents are not shuffled while there is one part.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from collections import defaultdict
@@ -29,47 +32,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, drop_clashes
+from .common import drop_clashes
 
 #: Words: runs of 0-9, a-z (after lower-casing A-Z) and all characters beyond ASCII.
 _word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_lower = str.maketrans(UPPER, LOWER)
-_BASE = 0x10000  # the characters that stand for words start above the surrogates
+#: The same on UTF-8 bytes: A-Z lower-cased, what parts words is a blank; all bytes of characters beyond ASCII stay.
+_bytes = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256)).lower()
+#: A word is two characters, of the first and of the second kind, so that a node of the automaton has few children and windows match whole words only.
+_FIRST, _SECOND = 0x10000, 0x90000
+_NONE = "\0\0"
 _built: dict[int, tuple] = {}
 
 
-def words(text: str | None) -> list[str]:
-    return _word.findall(text.translate(_lower)) if text else []
+def words(text: str | None) -> list[bytes]:
+    return text.encode().translate(_bytes).split() if text else []
 
 
-def build(items: list[tuple[str | None, str]], window: int) -> tuple[dict[str, str], ahocorasick.Automaton | None]:
-    """Word -> character, and the automaton whose values are (words in the window, item ids)."""
-    code: dict[str, str] = {}
+def build(items: list[tuple[str | None, str]], window: int) -> tuple[dict[bytes, str], ahocorasick.Automaton | None]:
+    """Word -> its two characters, and the automaton whose values are (words in the window, item ids)."""
+    split = [(item, words(text)) for item, text in items]
+    found = dict.fromkeys(x for _, w in split for x in w)
+    base = math.isqrt(len(found)) + 1
+    code = {x: chr(_FIRST + k // base) + chr(_SECOND + k % base) for k, x in enumerate(found)}
     owners: dict[str, set] = defaultdict(set)
-    for item, text in items:
-        w = words(text)
-        s = "".join(code.setdefault(x, chr(_BASE + len(code))) for x in w)
-        for i in range(max(1, len(s) - window + 1) if s else 0):
-            owners[s[i : i + window]].add(item)
+    for item, w in split:
+        s = "".join([code[x] for x in w])
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            owners[s[2 * i : 2 * (i + window)]].add(item)
     if not owners:
         return code, None
     auto = ahocorasick.Automaton()
     for phrase, ids in owners.items():
-        auto.add_word(phrase, (len(phrase), tuple(x for x in ids if x is not None)))
+        auto.add_word(phrase, (len(phrase) // 2, tuple(x for x in ids if x is not None)))
     auto.make_automaton()
     return code, auto
 
 
-def scan(text: str | None, code: dict[str, str], auto) -> tuple[int, list[tuple[int, int]], set]:
+def scan(text: str | None, code: dict[bytes, str], auto) -> tuple[int, list[tuple[int, int]], set]:
     """Number of words, hit runs of words [from, to), and ids of the items hit."""
     w = words(text)
     if auto is None or not w:
         return len(w), [], set()
     runs: list[list[int]] = []
     found: set = set()
-    for end, (n, ids) in auto.iter("".join([code.get(x, "\0") for x in w])):
+    get = code.get
+    for end, (n, ids) in auto.iter("".join([get(x, _NONE) for x in w])):
         found.update(ids)
-        a, b = end + 1 - n, end + 1
+        b = end // 2 + 1
+        a = b - n
         while runs and a <= runs[-1][1]:
             last = runs.pop()
             a, b = min(a, last[0]), max(b, last[1])
@@ -121,7 +131,7 @@ def _pass(docs: DataFrame, items: list, text: str, window: int, merge: bool) ->
                 n, runs, found = scan(s, code, auto)
                 places = []
                 if runs or spans:
-                    at = [(m.start(), m.end()) for m in _word.finditer(s.translate(_lower))]
+                    at = [(m.start(), m.end()) for m in _word.finditer(s.encode().lower().decode())]
                     hit = {i for a, b in runs for i in range(a, b)}
                     for x in spans or ():
                         i = bisect_left(at, (x["start"], 0))
