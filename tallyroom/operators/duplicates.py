@@ -22,6 +22,11 @@ def known_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
 
 
+def described(df: DataFrame, description: str = "dsc") -> DataFrame:
+    """Rows whose description says something: duplicates of INVALID ones mean nothing."""
+    return df.where(F.col(description).isNotNull() & ~F.col(description).isin("", "INVALID"))
+
+
 def duplicate_groups(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
     """Groups of more than one row with equal, known keys."""
     got = known_keys(df, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(amount).alias("total")).where("n > 1")
@@ -57,8 +62,13 @@ def row_pairs(df: DataFrame, keys: list[str], order: str, columns: list[str]) ->
 def tiered_duplicates(df: DataFrame, row: str, description: str = "dsc", amount: str = "amt_coarse") -> DataFrame:
     """Each row in its strictest tier of duplicates: (row, tier, score). Columns that the table lacks are left out of the keys."""
     tiers = [(name, [description, amount, *[c for c in cols.split() if c in df.columns]]) for name, cols in TIERS]
-    counted = df.withColumns({f"__{name}": F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.count("*").over(Window.partitionBy(*keys))) for name, keys in tiers})
-    tier = F.coalesce(*[F.when(F.col(f"__{name}") > 1, F.lit(name)) for name, _ in tiers])
+    pair = [description, amount]
+    columns = list(dict.fromkeys(k for _, keys in tiers for k in keys))
+    # every tier is finer than description and amount: rows alone in their pair are in none and leave with the first
+    # count, and the other windows find their rows in the same tasks already
+    crowded = known_keys(described(df, description), pair).select(row, *columns).withColumn("__2", F.count("*").over(Window.partitionBy(*pair))).where("__2 > 1")
+    counted = crowded.withColumns({f"__{name}": F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.count("*").over(Window.partitionBy(*keys))) for name, keys in tiers if keys != pair})
+    tier = F.coalesce(*[F.when(F.col("__2" if keys == pair else f"__{name}") > 1, F.lit(name)) for name, keys in tiers])
     got = counted.select(row, tier.alias("tier")).where("tier IS NOT NULL")
     return got.withColumn("score", F.round(F.regexp_extract("tier", r"\d", 0).cast("double") / 9 * 100, 1))
 
@@ -75,5 +85,6 @@ def inconsistent_codes(df: DataFrame, pairs: list[tuple[str, str]], many: int =
     there = [(d, c) for d, c in pairs if d in df.columns and c in df.columns]
     cells = F.explode(F.array(*[F.struct(F.lit(f"{d}/{c}").alias("pair"), F.col(d).alias("description"), F.col(c).cast("string").alias("code")) for d, c in there]))
     long = df.select(cells.alias("x")).select("x.*").where("description IS NOT NULL AND description NOT IN ('', 'INVALID') AND code IS NOT NULL")
-    got = long.groupBy("pair", "description").agg(F.count_distinct("code").alias("n_codes"), F.array_join(F.sort_array(F.collect_set("code")), ", ").alias("codes"), F.count("*").alias("n"))
-    return got.where("n_codes > 1").withColumn("severity", F.when(F.col("n_codes") > many, "High").otherwise("Medium"))
+    got = long.groupBy("pair", "description").agg(F.collect_set("code").alias("__codes"), F.count("*").alias("n"))
+    got = got.where(F.size("__codes") > 1).select("pair", "description", F.size("__codes").cast("long").alias("n_codes"), F.array_join(F.sort_array("__codes"), ", ").alias("codes"), "n")
+    return got.withColumn("severity", F.when(F.col("n_codes") > many, "High").otherwise("Medium"))

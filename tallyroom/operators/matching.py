@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import difflib
 import math
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import amount_score, lev_ratio, standard_name, words
+from ..sources.shared import checkpointed
 
 
 @F.pandas_udf(T.DoubleType())
@@ -37,16 +39,56 @@ def band_counts(a: DataFrame, b: DataFrame, key: str, amount_a: str, amount_b: s
     return x.join(found, F.col(amount_a) == F.col("__a")).groupBy(key).agg(F.sum("__n").alias("n"))
 
 
-def _prefixes(df: DataFrame, name: str, least: float, rarity: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(name, token): the rarest (character, occurrence) tokens of each name, enough that similar names share one."""
-    s = F.col(name)
-    nth = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, i, F.lit(1)), (i - F.length(F.replace(F.substr(s, F.lit(1), i), F.substr(s, i, F.lit(1)), F.lit("")))).cast("string")))
-    tokens = df.where(F.length(s) > 0).select(s.alias("name"), F.explode(nth).alias("token"))
+def _tokens(s: Column, size: int) -> Column:
+    """The runs of `size` letters of a name, each with how often it has come: sets of these share what the names share."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - (size - 1))), lambda i: F.substr(s, i, F.lit(size)))
+    return F.transform(runs, lambda g, i: F.concat(F.lit(f"{size} "), g, F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+_LENGTHS = 1000
+
+
+def _most_lost(n: int, size: int, least: float, metric: str) -> int:
+    """The most runs of `size` letters of a name of n letters that a name as similar can lack.
+
+    Levenshtein: an edit destroys `size` runs at most, and there are 1 - least
+    of the longer name's letters. Gestalt: the matched letters are least / 2 of
+    both names' or more; of the others each destroys `size` runs where the name has
+    it and one less where the partner has it. That is linear in the partner's
+    length, so the shortest and the longest partner are looked at.
+    """
+    if metric == "levenshtein":
+        return math.floor(n * (1 - least) / least + 1e-9) * size
+    lengths = (n * least / (2 - least), n * (2 - least) / least)
+    return math.ceil(max(size * n + (size - 1) * m - (2 * size - 1) * least * (n + m) / 2 for m in lengths) + 1e-9)
+
+
+def _prefixes(df: DataFrame, name: str, least: float, metric: str, rarity: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(name, token): the rarest tokens of each name, enough that similar names share one.
+
+    Tokens are runs of three letters where names are sure to have one in common.
+    Names too short for that have runs of two, or single letters, and so have
+    all names that are short enough to be like one of these.
+    """
+    known, n = df.where(F.length(name) > 0).select(F.col(name).alias("name")), F.length("name")
+    parts, reach = [], None  # reach: the longest names that have runs of the present size; all at first
+    for size in (3, 2, 1):
+        lost = [_most_lost(k, size, least, metric) if size > 1 else k - math.ceil(least / (2 - least) * k - 1e-9) for k in range(_LENGTHS)]
+        unsure = [k for k in range(1, _LENGTHS) if k - size + 1 - lost[k] < 1]
+        if size > 1 and len(unsure) > _LENGTHS // 2:
+            continue  # at this likeness names need have no such run in common
+        keep = F.when(n < _LENGTHS, F.get(F.array(*map(F.lit, lost)), F.least(n, F.lit(_LENGTHS - 1))) + 1).otherwise(n)  # very long names keep all
+        own = known if reach is None else known.where(n <= reach)
+        own = own.where(~n.isin(unsure)) if unsure else own
+        parts.append(own.select("name", keep.alias("keep"), F.explode(_tokens(F.col("name"), size)).alias("token"), F.lit(size).alias("size")))
+        reach = max(unsure, default=0) * (2 - least) / least + 1e-9
+        if not reach > 1:
+            break
+    tokens = reduce(DataFrame.unionByName, parts)
     if rarity is None:
         rarity = tokens.groupBy("token").agg(F.count("*").alias("seen"))
-    keep = (F.length("name") - F.ceil(F.lit(least / (2 - least)) * F.length("name") - 1e-9) + 1).cast("int")
-    w = Window.partitionBy("name").orderBy(F.coalesce("seen", F.lit(0)), "token")
-    got = tokens.join(rarity, "token", "left").withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
+    w = Window.partitionBy("name", "size").orderBy(F.coalesce("seen", F.lit(0)), "token")
+    got = tokens.join(rarity, "token", "left").withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("keep"))
     return got.select("name", "token"), rarity
 
 
@@ -55,18 +97,30 @@ def similar_names(a: DataFrame, b: DataFrame, col_a: str, col_b: str, least: flo
     x = a.select(F.col(col_a).alias("a")).where("a IS NOT NULL").distinct()
     y = b.select(F.col(col_b).alias("b")).where("b IS NOT NULL").distinct()
     both = x.select(F.col("a").alias("n")).union(y.select(F.col("b").alias("n"))).distinct()
-    _, rarity = _prefixes(both, "n", least)
-    px, _ = _prefixes(x, "a", least, rarity)
-    py, _ = _prefixes(y, "b", least, rarity)
+    _, rarity = _prefixes(both, "n", least, metric)
+    px, _ = _prefixes(x, "a", least, metric, rarity)
+    py, _ = _prefixes(y, "b", least, metric, rarity)
     pairs = px.select(F.col("name").alias("a"), "token").join(py.select(F.col("name").alias("b"), "token"), "token")
     short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    pairs = pairs.where(short / long >= least / (2 - least) - 1e-9).select("a", "b").distinct()
+    pairs = pairs.where(short / long >= (least if metric == "levenshtein" else least / (2 - least)) - 1e-9).select("a", "b").distinct()
+    # letters in common, as many as the metric needs at least
+    common = F.size(F.array_intersect(_tokens(F.col("a"), 1), _tokens(F.col("b"), 1)))
+    pairs = pairs.where(common >= (long * least if metric == "levenshtein" else (short + long) * least / 2) - 1e-9)
     ratio = lev_ratio(F.col("a"), F.col("b")) if metric == "levenshtein" else gestalt_ratio(F.col("a"), F.col("b"))
     got = pairs.withColumn("ratio", ratio).where(F.col("ratio") >= least)
     empty = x.where("a = ''").join(y.where("b = ''"), F.col("a") == F.col("b")).withColumn("ratio", F.lit(1.0))
     return got.unionByName(empty)
 
 
+def containing(a: DataFrame, b: DataFrame, col_a: str, col_b: str) -> DataFrame:
+    """(a, b) of names of which a contains b: the parts of a that are as long as a name of b, joined to it."""
+    s = F.col(col_a)
+    lengths = b.agg(F.collect_set(F.length(col_b)).alias("__lengths"))  # one row, a number for each length
+    cut = a.crossJoin(F.broadcast(lengths)).withColumn("__k", F.explode(F.filter("__lengths", lambda k: (k > 0) & (k <= F.length(s)))))
+    parts = cut.select(col_a, F.explode(F.transform(F.sequence(F.lit(1), F.length(s) - F.col("__k") + 1), lambda i: F.substr(s, i, F.col("__k")))).alias(col_b)).distinct()
+    return parts.join(b.select(col_b).distinct(), col_b).select(col_a, col_b)
+
+
 def membership(registry: DataFrame, name: str, sources: dict[str, DataFrame], least: float = 0.9, metric: str = "levenshtein", variant: str = "token") -> DataFrame:
     """registry with a boolean per source: whether a name of the source is as similar, after normalising."""
     out = registry.withColumn("__norm", standard_name(F.col(name), variant))
@@ -88,13 +142,15 @@ def greedy_new_names(new: DataFrame, name: str, existing: DataFrame, existing_na
     taken = similar_names(fresh, old, "norm", "norm", least, metric).select(F.col("a").alias("norm")).distinct()
     open_ = fresh.join(taken, "norm", "left_anti")
     like = similar_names(open_, open_, "norm", "norm", least, metric).select("a", "b")
-    links = open_.select("name", F.col("norm").alias("a")).join(like, "a").join(open_.select(F.col("name").alias("other"), F.col("norm").alias("b")), "b").where("other < name").select("name", "other").checkpoint()
-    state = open_.select("name", F.lit(0).alias("state")).checkpoint()  # 0 open, 1 accepted, 2 rejected
+    links = checkpointed(open_.select("name", F.col("norm").alias("a")).join(like, "a").join(open_.select(F.col("name").alias("other"), F.col("norm").alias("b")), "b").where("other < name").select("name", "other"))
+    state = checkpointed(open_.select("name", F.lit(0).alias("state")))  # 0 open, 1 accepted, 2 rejected
     for _ in range(rounds):
         seen = links.join(state.select(F.col("name").alias("other"), F.col("state").alias("s")), "other").groupBy("name").agg(F.max((F.col("s") == 1).cast("int")).alias("hit"), F.max((F.col("s") == 0).cast("int")).alias("wait"))
-        state = state.join(seen, "name", "left").select("name", F.when(F.col("state") != 0, F.col("state")).when(F.col("hit") == 1, 2).when(F.coalesce("wait", F.lit(0)) == 1, 0).otherwise(1).alias("state")).checkpoint()
+        state = checkpointed(state.join(seen, "name", "left").select("name", F.when(F.col("state") != 0, F.col("state")).when(F.col("hit") == 1, 2).when(F.coalesce("wait", F.lit(0)) == 1, 0).otherwise(1).alias("state")))
         if state.where("state = 0").isEmpty():
             break
+    else:
+        raise RuntimeError(f"names are undecided after {rounds} rounds")
     return state.where("state = 1").select("name")
 
 
@@ -134,9 +190,9 @@ def match_by_place(contracts: DataFrame, projects: DataFrame, least: float = 85.
     # places meet on the small table of distinct names first
     ratio = (lambda a, b: lev_ratio(a, b)) if metric == "levenshtein" else gestalt_ratio
     areas, places = c.select("area").where("area <> ''").distinct(), p.select("place").where("place <> ''").distinct()
-    inside = (F.length("place") > 3) & (F.contains("area", "place") | F.contains("place", "area"))
-    near = areas.join(places, inside | (lev_ratio(F.col("area"), F.col("place")) >= 0.8) if metric == "levenshtein" else inside)
-    near = near.withColumn("at", F.when(inside, 1.0).otherwise(ratio(F.col("area"), F.col("place"))))
+    inside = containing(areas, places, "area", "place").union(containing(places, areas, "place", "area").select("area", "place")).where(F.length("place") > 3).distinct()
+    like = similar_names(areas, places, "area", "place", 0.8, metric).select(F.col("a").alias("area"), F.col("b").alias("place"), "ratio")
+    near = inside.withColumn("at", F.lit(1.0)).unionByName(like.withColumnRenamed("ratio", "at")).groupBy("area", "place").agg(F.max("at").alias("at"))
     pairs = band_join(c, p, "money", "cost", percent).join(near, ["area", "place"])
     like = ratio(F.col("awardee"), F.col("contractor"))
     names = F.when(F.col("awardee") == F.col("contractor"), 1.0).when(F.contains("awardee", "contractor") | F.contains("contractor", "awardee"), 0.9).when(like > 0.6, like).otherwise(0.0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rollups import numbered
+
 
 def canonical(gaa: DataFrame, nep: DataFrame) -> DataFrame:
     """Enacted and proposed lines in one schema; region codes are two digits, 0 and -1 are none."""
@@ -61,14 +63,10 @@ def coverage(files: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return got.select("files", "loaded", (F.col("files") - F.col("loaded")).alias("missing"), (100.0 * F.col("loaded") / F.col("files")).alias("percent"))
 
 
-def positions(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-
-
 def paired_rows(a: DataFrame, b: DataFrame, group: list[str], order: list[str], amount: str) -> DataFrame:
     """Rows of both sides at the same place of an explicit order, and the difference of their amounts."""
-    x = positions(a, group, [F.col(c) for c in order]).select(*group, "position", F.col(amount).cast("double").alias("a"))
-    y = positions(b, group, [F.col(c) for c in order]).select(*group, "position", F.col(amount).cast("double").alias("b"))
+    x = numbered(a, *order, partition=tuple(group)).select(*group, "position", F.col(amount).cast("double").alias("a"))
+    y = numbered(b, *order, partition=tuple(group)).select(*group, "position", F.col(amount).cast("double").alias("b"))
     return x.join(y, [*group, "position"]).withColumn("difference", F.round(F.abs(F.col("a") - F.col("b")), 2))
 
 

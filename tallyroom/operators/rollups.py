@@ -42,12 +42,39 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank", partition: list[st
     return df.withColumn(name, F.row_number().over(w.orderBy(*order)))
 
 
+def numbered(df: DataFrame, *order: str, name: str = "position", partition: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+    """df with row numbers over the whole order, or in each partition of it, without one task for all rows.
+
+    Rows are dealt out by ranges of the first column of the order (null first),
+    whose bounds come from a fixed number of its values; a row's number is its number in its range
+    and the rows of the ranges before. The bounds balance the tasks, and change no number.
+    """
+    key = order[0]
+    some = df.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(parts * 16).collect()  # a bounded sample
+    bounds = sorted(r["k"] for r in some)[15::16]
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    dealt = df.withColumn("__range", place)
+    sizes = dealt.groupBy(*partition, "__range").agg(F.count("*").alias("__n"))  # `parts` rows a partition
+    before = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
+    sizes = sizes.withColumn("__before", F.sum("__n").over(before.orderBy("__range")) - F.col("__n")).drop("__n")
+    own = Window.partitionBy(*partition, "__range").orderBy(*order)
+    got = dealt.withColumn("__own", F.row_number().over(own)).join(sizes, [*partition, "__range"])
+    return got.withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before", "__range")
+
+
 def long_values(df: DataFrame, columns: list[str], skip: tuple[str, ...] = ("", "INVALID")) -> DataFrame:
     """(column_name, value) of the known values of all columns: one scan for all of them."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))
     return df.select(pairs.alias("x")).select("x.*").where(F.col("value").isNotNull() & ~F.col("value").isin(*skip))
 
 
+def keyword_statistics(df: DataFrame, label: str, amount: str, order: list[str], top: int = 5) -> DataFrame:
+    """Statistics of each label, and the sum of its `top` largest amounts: only those are ranked."""
+    first = ranked(df, F.desc(amount), *[F.col(c) for c in order], partition=[label]).where(F.col("rank") <= top)
+    first = first.groupBy(label).agg(F.sum(amount).alias(f"top{top}"))
+    return df.groupBy(label).agg(*full_measures(amount)).join(first, label, "left")
+
+
 def value_catalog(df: DataFrame, columns: list[str], per_column: int | None = None) -> DataFrame:
     got = long_values(df, columns, ("", "INVALID", "-1")).groupBy("column_name", "value").agg(F.count("*").alias("n"))
     if per_column:

@@ -54,11 +54,12 @@ def new_large_items(now: DataFrame, before: DataFrame, keys: list[str], amount:
 def concentration(df: DataFrame, label: str, amount: str, top: int = 3, within: int | None = None) -> DataFrame:
     """Share of rows and of amount that the first `top` groups hold, of all groups or of the first `within`."""
     got = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.sum(amount).cast("double").alias("total"))
-    got = got.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("total"), "label")))
     if within:
-        got = got.where(F.col("rank") <= within)
-    first = F.col("rank") <= top
-    out = got.agg((100.0 * F.sum(F.when(first, F.col("n"))) / F.sum("n")).alias("row_share"), (100.0 * F.sum(F.when(first, F.col("total"))) / F.sum("total")).alias("amount_share"), F.count("*").alias("groups"))
+        got = got.orderBy(F.desc("total"), "label").limit(within)
+    first = got.orderBy(F.desc("total"), "label").limit(top).agg(F.sum("n").alias("n_first"), F.sum("total").alias("first"))
+    whole = got.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("groups"))
+    out = whole.crossJoin(F.broadcast(first))  # one row each
+    out = out.select((100.0 * F.col("n_first") / F.col("n")).alias("row_share"), (100.0 * F.col("first") / F.col("total")).alias("amount_share"), "groups")
     return out.withColumn("flag", F.when(F.col("amount_share") >= 60, "HIGH").when(F.col("amount_share") >= 48, "MODERATE").otherwise("LOW"))
 
 

@@ -11,7 +11,7 @@ from ..operators import reconcile as R
 from ..operators import rollups as G
 from ..operators import trends as T
 from ..sources import tables as S
-from .registry import query
+from .registry import folder, query
 
 YEAR, BEFORE = 2000, 1999
 YEARS = [1996, 1997, 1998, 1999, 2000, 2001]
@@ -71,7 +71,11 @@ def s8(t):
 @query("s9_decomposed_codes", "record_id s, department i, agency i, operunit i, uacs_reg_id i, fundcd i, uacs_sobj_cd i", """
 SELECT record_id, CAST(substr(org_uacs_code, 1, 2) AS BIGINT) AS department, CAST(substr(org_uacs_code, 3, 3) AS BIGINT) AS agency, CAST(org_uacs_code AS BIGINT) AS operunit, CAST(region_code AS BIGINT) AS uacs_reg_id, CAST(funding_uacs_code AS BIGINT) AS fundcd, CAST(object_uacs_code AS BIGINT) AS uacs_sobj_cd FROM {nep_line}""")
 def s9(t):
-    return S.decomposed(t("nep_line"))
+    path = folder(t)
+    rows = S.decomposed(t("nep_line")).select("fiscal_year", "record_id", "department", "agency", "operunit", "uacs_reg_id", "fundcd", "uacs_sobj_cd")
+    S.reload(rows, path, "fiscal_year")
+    S.reload(rows, path, "fiscal_year")  # whole years take the place of what is there
+    return t.spark.read.schema(rows.schema).parquet(path)
 
 
 # Filters
@@ -143,7 +147,7 @@ query("g26_department_concentration", "label s, n i, total d, mean d, most d, re
     lambda t: v(t).groupBy(F.col("uacs_dpt_dsc").alias("label")).agg(*G.full_measures("amt"), F.count_distinct("uacs_reg_id").alias("regions")).orderBy(F.desc("total"), "label").limit(20))
 query("g27_keyword_statistics", "category s, n i, total d, mean d, top5 d", f"""SELECT category, count(*) AS n, sum(amt) AS total, CAST(sum(amt) AS DOUBLE)/count(*) AS mean, sum(CASE WHEN r <= 5 THEN amt END) AS top5
 FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY amt DESC, sorder) AS r FROM ({CAT_SQL.replace('{src}', V)}) x) y GROUP BY category""")(
-    lambda t: G.ranked(P.by_category(v(t), "dsc", CATEGORIES), F.desc("amt"), F.col("sorder"), partition=["category"]).groupBy("category").agg(*G.full_measures("amt"), F.sum(F.when(F.col("rank") <= 5, F.col("amt"))).alias("top5")))
+    lambda t: G.keyword_statistics(P.by_category(v(t), "dsc", CATEGORIES), "category", "amt", ["sorder"]))
 
 
 @query("g28_category_years", "category s, year i, n i, total d", f"""SELECT c.category, y.year, coalesce(g.n, 0) AS n, coalesce(g.total, 0) AS total FROM (SELECT unnest({list(CATEGORIES)}) AS category) c CROSS JOIN (SELECT unnest({YEARS}) AS year) y
@@ -173,9 +177,9 @@ K7 = ["dsc", "agency", "department", "uacs_exp_cd", "fundcd", "uacs_sobj_cd", "a
 K9 = ["dsc", "amt_coarse", "agency", "department", "fundcd", "uacs_exp_cd", "operunit", "uacs_reg_id"]
 csv = lambda k: ", ".join(k)
 query("d1_groups_5_keys", "dsc s, uacs_sobj_dsc s, uacs_exp_dsc s, department i, agency i, n i, total d, severity s", f"SELECT {csv(K5)}, count(*) AS n, sum(amt) AS total, CASE WHEN count(*) >= 3 THEN 'high' ELSE 'medium' END AS severity FROM {V} b GROUP BY {csv(K5)} HAVING count(*) > 1")(lambda t: D.duplicate_groups(v(t), K5, "amt"))
-query("d2_groups_7_keys", "dsc s, agency i, department i, amt_coarse d, n i", f"SELECT {csv(K7)}, count(*) AS n FROM {V} b GROUP BY {csv(K7)} HAVING count(*) > 1 ORDER BY n DESC, {csv(K7)} LIMIT 10")(lambda t: D.duplicate_groups(v(t), K7, "amt").orderBy(F.desc("n"), *K7).limit(10))
+query("d2_groups_7_keys", "dsc s, agency i, department i, amt_coarse d, n i", f"SELECT {csv(K7)}, count(*) AS n FROM {V} b WHERE dsc <> 'INVALID' GROUP BY {csv(K7)} HAVING count(*) > 1 ORDER BY n DESC, {csv(K7)} LIMIT 10")(lambda t: D.duplicate_groups(D.described(v(t)), K7, "amt").orderBy(F.desc("n"), *K7).limit(10))
 _tiers = [(n, ["dsc", "amt_coarse", *[c for c in cols.split() if c != "uacs_operdiv_id"]]) for n, cols in D.TIERS]
-query("d3_tiered_duplicates", "tier s, n i, score d", "SELECT tier, count(*) AS n, min(score) AS score FROM (SELECT tier, round(CAST(substr(tier, 1, 1) AS DOUBLE) / 9 * 100, 1) AS score FROM (SELECT CASE " + " ".join(f"WHEN count(*) OVER (PARTITION BY {csv(k)}) > 1 THEN '{n}'" for n, k in _tiers) + f" END AS tier FROM {V} b) x WHERE tier IS NOT NULL) y GROUP BY tier")(
+query("d3_tiered_duplicates", "tier s, n i, score d", "SELECT tier, count(*) AS n, min(score) AS score FROM (SELECT tier, round(CAST(substr(tier, 1, 1) AS DOUBLE) / 9 * 100, 1) AS score FROM (SELECT CASE " + " ".join(f"WHEN count(*) OVER (PARTITION BY {csv(k)}) > 1 THEN '{n}'" for n, k in _tiers) + f" END AS tier FROM {V} b WHERE dsc <> 'INVALID') x WHERE tier IS NOT NULL) y GROUP BY tier")(
     lambda t: D.tiered_duplicates(v(t), "sorder").groupBy("tier").agg(F.count("*").alias("n"), F.min("score").alias("score")))
 ORDER9 = ["sorder", "amt", "uacs_sobj_dsc", "year"]
 query("d4_scored_duplicates", "sorder i, dsc s, amt_coarse d, n i", f"SELECT sorder, dsc, amt_coarse, n FROM (SELECT *, count(*) OVER (PARTITION BY {csv(K9)}) AS n, row_number() OVER (PARTITION BY {csv(K9)} ORDER BY {csv(ORDER9)}) AS r FROM {V} b) x WHERE n > 1 AND r = 1")(lambda t: D.scored_duplicates(v(t), K9, ORDER9))

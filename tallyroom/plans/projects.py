@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.columns import GENERIC_WORDS, SUBSTRINGS, SUFFIX_WORDS, former_parts, standard_name, valid_name
@@ -15,7 +13,7 @@ from ..operators import matching as M
 from ..operators import rollups as G
 from ..sources import tables as S
 from ..streaming import ingest as K
-from .registry import query
+from .registry import folder, query
 
 # Project statistics
 
@@ -46,7 +44,8 @@ FACETS = ["region", "infra_year", "city", "contractor"]
 def g19(t):
     p = t("project")
     got = G.long_values(p, FACETS).groupBy(F.col("column_name").alias("facet"), "value").agg(F.count("*").alias("n"))
-    got = G.ranked(got, F.desc("n"), F.col("value"), partition=["facet"]).where("facet <> 'contractor' OR rank <= 50").drop("rank")
+    most = got.where("facet = 'contractor'").orderBy(F.desc("n"), "value").limit(50)
+    got = got.where("facet <> 'contractor'").unionByName(most)
     whole = p.agg(F.count("*").alias("rows"), F.count_distinct("contractor").alias("contractors"))
     return got.unionByName(whole.select(F.lit("all").alias("facet"), F.stack(F.lit(2), F.lit("rows"), "rows", F.lit("contractors"), "contractors").alias("value", "n")))
 
@@ -83,7 +82,8 @@ query("x3_pair_classes", "kind s, n i, same i, gap d", f"SELECT kind, count(*) A
 LINES = "SELECT {lng} AS lng, count(*) AS n, count(DISTINCT round(lat, 6)) AS places, min(lat) AS low, max(lat) AS high FROM {project} {where} GROUP BY 1 HAVING count(*) > {n} AND count(DISTINCT round(lat, 6)) > 1 AND max(lat) - min(lat) > 0.01"
 query("x4_vertical_lines", "lng d, n i, places i, km d", "SELECT *, (high - low) * 111 AS km FROM (" + LINES.replace("{lng}", "lng").replace("{where}", "").replace("{n}", "1") + ") x WHERE NOT lng BETWEEN 120.5 AND 120.6")(lambda t: X.vertical_lines(t("project"), known=((120.5, 120.6),)))
 query("x5_aligned_in_area", "lng d, n i, km d", "SELECT *, (high - low) * 111 AS km FROM (" + LINES.replace("{lng}", "round(lng, 4)").replace("{where}", "WHERE lat BETWEEN 10 AND 18 AND lng BETWEEN 118 AND 122").replace("{n}", "5") + ") x")(lambda t: X.vertical_lines(P.in_box(t("project"), (10, 18), (118, 122)), more_than=5, digits=4))
-query("x7_coordinate_listing", "position i, id i, lng d, lat d", "SELECT row_number() OVER (ORDER BY lng, lat, id) AS position, id, lng, lat FROM {project} WHERE province = 'NATION_3'")(lambda t: G.ranked(t("project").where("province = 'NATION_3'"), F.col("lng"), F.col("lat"), F.col("id"), name="position"))
+query("x7_coordinate_listing", "position i, id i, lng d, lat d", "SELECT row_number() OVER (ORDER BY lng, lat, id) AS position, id, lng, lat FROM {project} WHERE province = 'NATION_3'")(
+    lambda t: G.numbered(t("project").where("province = 'NATION_3'"), "lng", "lat", "id"))
 query("g36_shared_points", "lat d, lng d, n i, percent d", "SELECT lat, lng, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM {project}) AS percent FROM {project} GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY n DESC, lat, lng LIMIT 20")(lambda t: X.shared_points(t("project"), 20))
 
 # Hierarchy: nation -> region, supplier -> nation, line -> supplier
@@ -161,14 +161,28 @@ known = lambda t: t("contractor_name").where("id % 6 IN (0, 4)").select("contrac
 query("j6_similar_names", "a s, b s, ratio d", f"SELECT a.n AS a, b.n AS b, {ratio_sql('a.n', 'b.n')} AS ratio FROM {FRESH} a JOIN {KNOWN} b ON {ratio_sql('a.n', 'b.n')} >= 0.8")(lambda t: M.similar_names(fresh(t), known(t), "contractor_name", "contractor_name", 0.8))
 query("j6_similar_names_gestalt", "a s, b s, ratio d")(lambda t: M.similar_names(fresh(t), known(t), "contractor_name", "contractor_name", 0.8, "gestalt"))
 query("e6_membership", "contractor_name s, seen b", f"SELECT k.n AS contractor_name, EXISTS (SELECT 1 FROM {FRESH} f WHERE {ratio_sql(token_sql('f.n'), token_sql('k.n'))} >= 0.9) AS seen FROM {KNOWN} k")(lambda t: M.membership(known(t), "contractor_name", {"seen": fresh(t)}))
+# the same by difflib's ratio, which SQL does not have
+query("e6_membership_gestalt", "contractor_name s, seen b")(lambda t: M.membership(known(t), "contractor_name", {"seen": fresh(t)}, metric="gestalt"))
+query("e7_greedy_new_names_gestalt", "name s")(lambda t: M.greedy_new_names(fresh(t), "contractor_name", known(t), "contractor_name", metric="gestalt"))
+query("e8_best_registry_match_gestalt", "name s, match s, ratio d")(
+    lambda t: M.best_registry_match(fresh(t), "contractor_name", known(t), "contractor_name", metric="gestalt"))
+query("e9_match_by_amount_gestalt", "contract_id i, project_id i, score d")(lambda t: M.match_by_amount(t("contract"), t("project"), metric="gestalt"))
+query("e10_match_by_place_gestalt", "contract_id i, project_id i, score d")(lambda t: M.match_by_place(t("contract"), t("project"), metric="gestalt"))
 query("e7_greedy_new_names", "name s")(lambda t: M.greedy_new_names(fresh(t), "contractor_name", known(t), "contractor_name"))
 query("e8_best_registry_match", "name s, match s, ratio d", f"""SELECT name, match, ratio FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ratio DESC, match) AS r FROM (SELECT f.n AS name, k.n AS match, {ratio_sql(suffix_sql('f.n'), suffix_sql('k.n'))} AS ratio, len(list_intersect(string_split({suffix_sql('f.n')}, ' '), string_split({suffix_sql('k.n')}, ' '))) AS common, {suffix_sql('f.n')} = {suffix_sql('k.n')} AS same
 FROM {FRESH} f JOIN {KNOWN} k ON {ratio_sql(suffix_sql('f.n'), suffix_sql('k.n'))} >= 0.8) x WHERE same OR ratio > 0.9 OR (ratio > 0.8 AND common >= 2)) y WHERE r = 1""")(lambda t: M.best_registry_match(fresh(t), "contractor_name", known(t), "contractor_name"))
 query("j3_exact_amount_join", "contract_id i, project_id i", "SELECT c.id AS contract_id, p.id AS project_id FROM {contract} c JOIN {project} p ON c.amount = p.cost")(lambda t: t("contract").select(F.col("id").alias("contract_id"), F.col("amount").alias("cost")).join(t("project").select(F.col("id").alias("project_id"), "cost"), "cost"))
-query("j4_band_join", "contract_id i, n i", "SELECT c.id AS contract_id, count(*) AS n FROM {contract} c JOIN {project} p ON c.amount > 0 AND p.cost > 0 AND abs(CAST(c.amount AS DOUBLE) - CAST(p.cost AS DOUBLE)) / greatest(CAST(c.amount AS DOUBLE), CAST(p.cost AS DOUBLE)) <= 0.01 AND c.id % 10 = p.id % 10 GROUP BY 1")(
-    lambda t: M.band_join(t("contract").select(F.col("id").alias("contract_id"), "amount"), t("project").select(F.col("id").alias("project_id"), "cost"), "amount", "cost", 1.0).where("contract_id % 10 = project_id % 10").groupBy("contract_id").agg(F.count("*").alias("n")))
-query("j4_band_join_whole", "contract_id i, n i", "SELECT c.id AS contract_id, count(*) AS n FROM {contract} c JOIN {project} p ON c.amount > 0 AND p.cost > 0 AND abs(CAST(c.amount AS DOUBLE) - CAST(p.cost AS DOUBLE)) / greatest(CAST(c.amount AS DOUBLE), CAST(p.cost AS DOUBLE)) <= 0.05 GROUP BY 1")(
-    lambda t: M.band_counts(t("contract").select(F.col("id").alias("contract_id"), "amount"), t("project").select("cost"), "contract_id", "amount", "cost", 5.0))
+BAND_SQL = """SELECT c.id AS contract_id, count(*) AS n FROM {contract} c JOIN {project} p ON c.amount > 0 AND p.cost > 0
+AND abs(CAST(c.amount AS DOUBLE) - CAST(p.cost AS DOUBLE)) / greatest(CAST(c.amount AS DOUBLE), CAST(p.cost AS DOUBLE)) <= 0.05 GROUP BY 1"""
+
+
+def band_counts(t):
+    contracts = t("contract").select(F.col("id").alias("contract_id"), "amount")
+    return M.band_counts(contracts, t("project").select("cost"), "contract_id", "amount", "cost", 5.0)
+
+
+query("j4_band_join", "contract_id i, n i", BAND_SQL)(band_counts)
+query("j4_band_join_whole", "contract_id i, n i", BAND_SQL)(band_counts)  # an earlier name of the same query
 same_sql = f"CASE WHEN upper(c.awardee) = upper(p.contractor) THEN 1.0 ELSE {ratio_sql('upper(c.awardee)', 'upper(p.contractor)')} END"
 title_sql = f"greatest({ratio_sql('upper(c.award_title)', 'upper(p.project_name)')}, {ratio_sql('upper(c.notice_title)', 'upper(p.project_name)')})"
 query("e9_match_by_amount", "contract_id i, project_id i, score d", f"SELECT contract_id, project_id, score FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY score DESC, project_id) AS r FROM (SELECT c.id AS contract_id, p.id AS project_id, round(({title_sql} * 0.6 + {same_sql} * 0.4) * 100, 2) AS score FROM {{contract}} c JOIN {{project}} p ON c.amount = p.cost AND c.amount > 0) x WHERE score >= 60) y WHERE r = 1")(lambda t: M.match_by_amount(t("contract"), t("project")))
@@ -181,35 +195,33 @@ query("e10_match_by_place", "contract_id i, project_id i, score d", f"SELECT con
 # Files and streams: batch files written from the events, read and ingested again
 
 
-def _folder(t) -> str:
-
-    sc = t.spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="tallyroom-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 EVENT = "event_id long, user_id long, event_type string, value double"
-EVENT_SQL = "SELECT event_id, user_id, event_type, value FROM {events}"
 
 
-def _written(t, kind: str) -> str:
-    path = _folder(t)
-    S.export(t("events").select("event_id", "user_id", "event_type", "value"), path, kind)
-    return path
+@query("s3_json_batches", "id s, budget_type s, fiscal_year s, amount d, description s, org_uacs_code s, region_code s, funding_uacs_code s, object_uacs_code s",
+       "SELECT record_id AS id, budget_type, CAST(fiscal_year AS VARCHAR) AS fiscal_year, amount, description, org_uacs_code, region_code, funding_uacs_code, object_uacs_code FROM {nep_line}")
+def s3(t):
+    path = folder(t)
+    rows = t("nep_line").select(F.col("record_id").alias("id"), "budget_type", F.col("fiscal_year").cast("string").alias("fiscal_year"), "amount", "description",
+                                "org_uacs_code", "region_code", "funding_uacs_code", "object_uacs_code")
+    S.write_batches(rows, path)
+    return S.read_batches(t.spark, path)
 
 
-query("s3_json_batches", "event_id i, user_id i, event_type s, value d", EVENT_SQL)(lambda t: t.spark.read.schema(EVENT).json(_written(t, "json")).select("*", F.col("_metadata.file_name").alias("source_file")))
-query("s4_csv_contracts", "event_id i, user_id i, event_type s, value d", EVENT_SQL)(lambda t: t.spark.read.schema(EVENT).csv(_written(t, "csv"), header=True))
+@query("s4_csv_contracts", "reference_id s, award_title s, notice_title s, awardee_name s, area_of_delivery s, contract_amount d",
+       "SELECT CAST(id AS VARCHAR) AS reference_id, award_title, notice_title, awardee AS awardee_name, area_of_delivery, amount AS contract_amount FROM {contract}")
+def s4(t):
+    path = folder(t)
+    null = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
+    rows = t("contract").select(F.col("id").cast("string").alias("reference_id"), null("contract_no"), "award_title", "notice_title", F.col("awardee").alias("awardee_name"), null("organization_name"),
+                                "area_of_delivery", null("business_category"), F.col("amount").alias("contract_amount"), null("award_date", "date"), null("award_status"))
+    S.export(rows, path, "csv")
+    return S.read_contracts(t.spark, path)
 
 
 @query("s5_semi_structured", "ProjectID s, cost d, lat d", "SELECT CAST(id AS VARCHAR) AS ProjectID, cost, lat FROM {project}")
 def s5(t):
-    path = _folder(t)
+    path = folder(t)
     p = t("project")
     p.select(F.col("id").cast("string").alias("ProjectID"), F.col("cost").cast("string").alias("ContractCost"), F.struct("lat", "lng").alias("_geo")).write.json(path)
     return S.read_projects(t.spark, path).select("ProjectID", F.col("ContractCost").cast("decimal(20,2)").alias("cost"), F.col("_geo.lat").alias("lat"))
@@ -217,26 +229,28 @@ def s5(t):
 
 @query("s10_summary_sink", "fiscal_year i, n i, total d", "SELECT fiscal_year, count(*) AS n, sum(amount) AS total FROM {nep_line} GROUP BY 1")
 def s10(t):
-    path = _folder(t)
-    S.write_summary(t("nep_line").groupBy("fiscal_year").agg(*G.measures("amount")), path, "parquet")
-    return t.spark.read.parquet(path)
+    path = folder(t)
+    S.write_summary(t("nep_line").groupBy("fiscal_year").agg(*G.measures("amount")), path, "json")
+    return t.spark.read.schema("fiscal_year long, n long, total decimal(30,2)").json(path)
 
 
 @query("s11_search_export", "id i, project_name s", "SELECT id, project_name FROM {project} WHERE contains(lower(project_name), 'building')")
 def s11(t):
-    path = _folder(t)
+    path = folder(t)
     S.export(P.search_all_words(t("project").select("id", "project_name"), ["project_name"], "building"), path, "csv")
     return t.spark.read.schema("id long, project_name string").csv(path, header=True)
 
 
 def _ingested(t):
-    src, base = _folder(t), _folder(t)
+    src, base = folder(t), folder(t)
     e = t("events").select("event_id", "user_id", "event_type", "value")
     e.write.json(src)
     e.where("event_id % 3 = 0").write.mode("append").json(src)  # keys that come again
-    K.ingest(t.spark, src, f"{base}/table", f"{base}/state", key="event_id", schema=EVENT, year="event_type", multi_line=False).awaitTermination()
-    return t.spark.read.parquet(f"{base}/table")
+    K.ingest(t.spark, src, f"{base}/table", f"{base}/state", key="event_id", schema=EVENT, year="event_type", amount="value", summary=f"{base}/summary", multi_line=False).awaitTermination()
+    return base
 
 
-query("k1_incremental_ingest", "event_id i, user_id i, event_type s", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id) AS r FROM {events}) x WHERE r = 1")(_ingested)
-query("k2_refreshed_summary", "event_type s, n i", "SELECT event_type, count(*) AS n FROM (SELECT event_id, min(event_type) AS event_type FROM {events} GROUP BY 1) x GROUP BY 1")(lambda t: _ingested(t).groupBy("event_type").agg(F.count("*").alias("n")))
+query("k1_incremental_ingest", "event_id i, user_id i, event_type s", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id) AS r FROM {events}) x WHERE r = 1")(
+    lambda t: t.spark.read.parquet(f"{_ingested(t)}/table"))
+query("k2_refreshed_summary", "event_type s, n i", "SELECT event_type, count(*) AS n FROM (SELECT event_id, min(event_type) AS event_type FROM {events} GROUP BY 1) x GROUP BY 1")(
+    lambda t: K.read_summary(t.spark, f"{_ingested(t)}/summary", "event_type").withColumnRenamed("total_records", "n"))

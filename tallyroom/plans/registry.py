@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
 from .proxies import duck, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +16,11 @@ _SPARK = {"s": "string", "i": "long", "d": "double", "b": "boolean"}
 _DUCK = {"s": "CAST({c} AS VARCHAR)", "i": "CAST({c} AS BIGINT)", "d": "round(CAST({c} AS DOUBLE), 2)", "b": "CAST({c} AS BOOLEAN)", "m": "round(CAST({c} AS DOUBLE), 4)"}
 
 
+def folder(t: Tables) -> str:
+    """A new folder that driver and executors share."""
+    return new_folder(t.spark)
+
+
 class Tables:
     """Tables of one scale folder by name."""
 

@@ -33,6 +33,13 @@ def read_batches(spark: SparkSession, glob: str, schema: str = BATCH_SCHEMA) ->
     return df.select("*", F.col("_metadata.file_name").alias("source_file"))
 
 
+def write_batches(df: DataFrame, path: str, rows: int = 5000) -> None:
+    """JSON array files of about `rows` rows each."""
+    n = max(1, -(-df.count() // rows))
+    dealt = df.select(F.pmod(F.xxhash64(*df.columns), F.lit(n)).alias("__file"), F.struct(*df.columns).alias("__row")).groupBy("__file").agg(F.to_json(F.collect_list("__row")).alias("value"))
+    dealt.repartition(n, "__file").select("value").write.mode("overwrite").text(path)
+
+
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONTRACT_SCHEMA).csv(path, header=True, multiLine=True, escape='"')
 

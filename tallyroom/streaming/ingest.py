@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,19 +14,32 @@ def summary_by_year(df: DataFrame, year: str = "fiscal_year", amount: str = "amo
     return df.groupBy(year).agg(F.count("*").alias("total_records"), F.sum(amount).alias("total_amount"))
 
 
-def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, *, key: str = "id", schema: str = BATCH_SCHEMA, year: str = "fiscal_year", summary: str | None = None, multi_line: bool = True) -> StreamingQuery:
+def read_summary(spark: SparkSession, summary: str, year: str = "fiscal_year") -> DataFrame:
+    """The yearly summary of all epochs; its parts are as long as the years times the epochs, not as the target."""
+    return spark.read.parquet(summary).groupBy(year).agg(F.sum("total_records").alias("total_records"), F.sum("total_amount").alias("total_amount"))
+
+
+def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, *, key: str = "id", schema: str = BATCH_SCHEMA, year: str = "fiscal_year", amount: str = "amount", summary: str | None = None, multi_line: bool = True) -> StreamingQuery:
     """Read the files that are new in the folder once, keep one row per key over all runs, and append them to the target.
 
-    The keys seen are the stream's state; a batch form without state is
-    `new_records`. With `summary`, the yearly summary of the whole target is
-    written again after each micro-batch.
+    The stream keeps no state of keys: each micro-batch takes one row per key
+    and leaves out the keys that earlier epochs of the target have. With
+    `summary`, each micro-batch writes its part of the yearly summary;
+    `read_summary` sums the parts.
     """
-    stream = spark.readStream.schema(schema).option("multiLine", multi_line).json(folder).dropDuplicates([key])
+    stream = spark.readStream.schema(schema).option("multiLine", multi_line).json(folder)
 
     def write(batch: DataFrame, epoch: int) -> None:
         # one folder per epoch: a batch that runs again after a failure replaces its own rows
-        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        new = batch.dropDuplicates([key])
+        try:
+            earlier = spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, epoch long").parquet(target)
+            new = new.join(earlier.where(F.col("epoch") < epoch).select(key), key, "left_anti")
+        except AnalysisException as e:  # the first epoch has no target yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        new.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
         if summary:
-            summary_by_year(spark.read.parquet(target), year).write.mode("overwrite").parquet(summary)
+            summary_by_year(spark.read.parquet(f"{target}/epoch={epoch}"), year, amount).write.mode("overwrite").parquet(f"{summary}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

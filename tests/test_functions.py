@@ -102,7 +102,7 @@ def test_ingest_reads_each_file_and_key_once(spark, tmp_path):
     (src / "a_0002.json").write_text('[{"id": "2", "fiscal_year": "2025", "amount": 9}, {"id": "3", "fiscal_year": "2026", "amount": 1}]')
     run()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3"]
-    assert {r["fiscal_year"]: r["total_records"] for r in spark.read.parquet(str(tmp_path / "sum")).collect()} == {"2025": 2, "2026": 1}
+    assert {r["fiscal_year"]: r["total_records"] for r in ingest.read_summary(spark, str(tmp_path / "sum")).collect()} == {"2025": 2, "2026": 1}
     assert tables.read_batches(spark, str(src / "*.json")).count() == 4
 
 
