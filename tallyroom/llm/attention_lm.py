@@ -58,41 +58,47 @@ def _tokenizer(path: str, pattern: str):
 
 
 class Subwords:
-    """Ids of words, kept by the word's hash while the table is small."""
+    """Ids of words, by the word's hash: a table with one place a slot, behind it a dictionary of all words seen, which starts again when it has `keep`."""
 
-    def __init__(self, tokenizer: tuple[str, str], keep: int = 400_000):
+    def __init__(self, tokenizer: tuple[str, str], keep: int = 400_000, slots: int = 1 << 20):
         self.encode, self.end = _tokenizer(*tokenizer)
-        self.keep, self.hashes, self.sizes, self.flat = keep, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.at = np.zeros(0, np.int64)
+        self.keep, self.slots = keep, slots
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[int, tuple[int, int]] = {}
+        self.flat: list[np.ndarray] = [np.zeros(0, np.int32)]
+        self.keys, self.at, self.sizes = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
+
+    def _look_up(self, w: Words, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of distinct hashes; words: a word of each."""
+        new = [k for k, h in enumerate(hashes.tolist()) if h not in self.known]
+        if new:
+            raw = w.data.tobytes()
+            lists = self.encode.encode_ordinary_batch([" " + raw[w.starts[i] : w.ends[i]].decode("utf-8", "replace") for i in words[new]], num_threads=1)
+            at = sum(map(len, self.flat))
+            for h, x in zip(hashes[new].tolist(), lists):
+                self.known[h] = at, len(x)
+                at += len(x)
+            self.flat = [np.concatenate((*self.flat, np.fromiter((i for x in lists for i in x), np.int32)))]
+        found = np.array([self.known[h] for h in hashes.tolist()], np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
 
     def ids(self, w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each word)."""
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, unique)
-        known = np.zeros(len(unique), bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == unique[inside]
-        new = np.flatnonzero(~known)
-        raw = w.data.tobytes()
-        lists = [self.encode.encode_ordinary(" " + raw[w.starts[i] : w.ends[i]].decode("utf-8", "replace")) for i in first[new]]
-        if len(self.hashes) + len(new) > self.keep:  # start the table again with what this call needs
-            old = np.flatnonzero(known)
-            lists += [self.flat[self.at[j] : self.at[j] + self.sizes[j]].tolist() for j in at[old]]
-            hs = np.concatenate((unique[new], unique[old]))
-            self.flat, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
-            starts = np.zeros(0, np.int64)
-        else:
-            hs, sizes, starts = np.concatenate((self.hashes, unique[new])), self.sizes, self.at
-        add = np.array([len(x) for x in lists], np.int64)
-        starts = np.concatenate((starts, len(self.flat) + np.cumsum(add) - add))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in lists for i in x), np.int32, int(add.sum()))))
-        sizes = np.concatenate((sizes, add))
-        order = np.argsort(hs, kind="stable")
-        self.hashes, self.sizes, self.at = hs[order], sizes[order], starts[order]
-        at = np.searchsorted(self.hashes, unique)
-        n, a = self.sizes[at][back], self.at[at][back]
+        if len(self.known) > self.keep:
+            self._clear()
+        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
+        a, n = self.at[slot], self.sizes[slot]
+        miss = np.flatnonzero(self.keys[slot] != hashes)
+        if len(miss):
+            unique, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            at, size = self._look_up(w, unique, miss[first])
+            a[miss], n[miss] = at[back], size[back]
+            own = slot[miss[first]]
+            self.keys[own], self.at[own], self.sizes[own] = unique, at, size
         off = np.cumsum(n) - n
-        return self.flat[np.repeat(a - off, n) + np.arange(int(n.sum()))], n
+        return self.flat[0][np.repeat(a - off, n) + np.arange(int(n.sum()))], n
 
 
 def streams(w: Words, ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,13 +122,6 @@ def _add_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _by_cluster(clusters: np.ndarray, n: int):
-    """(cluster, rows) of the rows in each of the first n clusters."""
-    order = np.argsort(clusters.astype(np.uint16), kind="stable")
-    cut = np.searchsorted(clusters[order], np.arange(n + 1))
-    return ((j, order[cut[j] : cut[j + 1]]) for j in range(n) if cut[j] < cut[j + 1])
-
-
 class Model:
     """count: of each id, first: whether the id begins a word. The `known` most frequent ids have vectors of their own, all others share one."""
 
@@ -164,10 +163,11 @@ class Model:
         p = self.params
         d = p["u"].shape[1]
         u = p["u"][x]
-        q, k, v = np.split((u.reshape(-1, d) @ p["m"]).reshape(*x.shape, 3 * d), 3, 2)
+        k, v = np.split((u.reshape(-1, d) @ p["m"][:, d:]).reshape(*x.shape, 2 * d), 2, 2)
+        q = np.matmul(u[:, SPAN - ask :], p["m"][:, :d])
         bias = p["b"][self.far]
         bias[self.ahead] = -1e9
-        a = np.matmul(q[:, SPAN - ask :], k.transpose(0, 2, 1))
+        a = np.matmul(q, k.transpose(0, 2, 1))
         a *= self.scale
         a += bias[SPAN - ask :]
         if hidden is not None and hidden.any():
@@ -189,43 +189,54 @@ class Model:
         np.exp(out, out=out)
         return out, out @ np.ones(out.shape[1], out.dtype)
 
+    def _sorted(self, targets: np.ndarray):
+        """Order of the targets by cluster, their clusters and places in this order, and (cluster, from, to) of the clusters that have ids."""
+        c = self.cls[targets].reshape(-1)
+        order = np.argsort(c.astype(np.uint16), kind="stable")
+        c = c[order]
+        cut = np.searchsorted(c, np.arange(self.clusters + 1)).tolist()
+        return order, c, self.place[targets].reshape(-1)[order], [(j, cut[j], cut[j + 1]) for j in range(self.clusters) if cut[j] < cut[j + 1]]
+
     def log_probs(self, x: np.ndarray, targets: np.ndarray, hidden: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the probability of the target ids at the last places. x: (batch, SPAN) ids."""
         p = self.params
-        h = np.maximum(self.attend(self.dense[x], targets.shape[1], hidden)[-1], 0)
-        h = h.reshape(-1, h.shape[2])
-        c, place = self.cls[targets].reshape(-1), self.place[targets].reshape(-1)
+        order, c, place, parts = self._sorted(targets)
+        z = self.attend(self.dense[x], targets.shape[1], hidden)[-1]
+        h = np.maximum(z.reshape(-1, z.shape[2])[order], 0)
+        rows = np.arange(len(c))
         prob, total = self._probs(h, p["w"], p["o"])
-        ratio = prob[np.arange(len(c)), c] / total
-        for j, rows in _by_cluster(c, self.clusters):
-            prob, total = self._probs(h[rows], p["w2"][j], p["o2"][j])
-            ratio[rows] *= prob[np.arange(len(rows)), place[rows]] / total
-        return np.log(np.maximum(ratio, np.float32(1e-30))).reshape(targets.shape) + self.inside[targets]
+        ratio = prob[rows, c] / total
+        for j, a, b in parts:
+            prob, total = self._probs(h[a:b], p["w2"][j], p["o2"][j])
+            ratio[a:b] *= prob[rows[: b - a], place[a:b]] / total
+        out = np.empty_like(ratio)
+        out[order] = np.log(np.maximum(ratio, np.float32(1e-30)))
+        return out.reshape(targets.shape) + self.inside[targets]
 
     def gradient(self, x: np.ndarray, targets: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over the real places of windows of ids; what is not real follows all that is."""
         p, x = self.params, self.dense[x]
         u, q, k, v, a, z = self.attend(x, SPAN)
         d = z.shape[2]
-        h = np.maximum(z, 0).reshape(-1, d)
-        weight = (real.reshape(-1) / max(1, real.sum())).astype(h.dtype)
-        c, place = self.cls[targets].reshape(-1), self.place[targets].reshape(-1)
+        order, c, place, parts = self._sorted(targets)
+        h = np.maximum(z.reshape(-1, d)[order], 0)
+        weight = (real.reshape(-1)[order] / max(1, real.sum())).astype(h.dtype)
+        rows = np.arange(len(c))
         prob, total = self._probs(h, p["w"], p["o"])
         prob *= (weight / total)[:, None]
-        prob[np.arange(len(c)), c] -= weight
+        prob[rows, c] -= weight
         g = {"w": h.T @ prob, "o": prob.sum(0), "w2": np.zeros_like(p["w2"]), "o2": np.zeros_like(p["o2"])}
-        dz = prob @ p["w"].T
-        for j, rows in _by_cluster(c, self.clusters):
-            own = h[rows]
-            prob, total = self._probs(own, p["w2"][j], p["o2"][j])
-            prob *= (weight[rows] / total)[:, None]
-            prob[np.arange(len(rows)), place[rows]] -= weight[rows]
-            g["w2"][j], g["o2"][j] = own.T @ prob, prob.sum(0)
-            dz[rows] += prob @ p["w2"][j].T
-        dz *= h > 0
-        g["g"] = dz.sum(0)
-        flat = x.reshape(-1)
-        g["e"] = _add_rows(flat, dz, len(p["e"]))
+        dh = prob @ p["w"].T
+        for j, i, to in parts:
+            prob, total = self._probs(h[i:to], p["w2"][j], p["o2"][j])
+            prob *= (weight[i:to] / total)[:, None]
+            prob[rows[: to - i], place[i:to]] -= weight[i:to]
+            g["w2"][j], g["o2"][j] = h[i:to].T @ prob, prob.sum(0)
+            dh[i:to] += prob @ p["w2"][j].T
+        dh *= h > 0
+        g["g"] = dh.sum(0)
+        dz = np.empty_like(dh)
+        dz[order] = dh
         dz = dz.reshape(z.shape)
         ds = np.matmul(dz, v.transpose(0, 2, 1))
         ds -= np.matmul(a * ds, np.ones((SPAN, 1), ds.dtype))
@@ -234,7 +245,8 @@ class Model:
         ds *= self.scale
         all_three = np.concatenate((np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dz)), 2).reshape(-1, 3 * d)
         g["m"] = u.reshape(-1, d).T @ all_three
-        g["u"] = _add_rows(flat, all_three @ p["m"].T, len(p["u"]))
+        both = _add_rows(x.reshape(-1), np.concatenate((all_three @ p["m"].T, dz.reshape(-1, d)), 1), len(p["u"]))
+        g["u"], g["e"] = both[:, :d].copy(), both[:, d:].copy()
         return g
 
     def learn(self, chunks, steps: int, batch: int, rate: float, seed: int, expected: int) -> int:
@@ -405,8 +417,8 @@ def _scores(batches, model: Model, tokenizer, hot: np.ndarray, counts: np.ndarra
             pieces = -(-(np.diff(starts) - 1) // STRIDE)
             row = np.repeat(np.arange(n), pieces)
             first = starts[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-            for i in range(0, len(row), 1024):
-                r, f = row[i : i + 1024], first[i : i + 1024]
+            for i in range(0, len(row), 2048):
+                r, f = row[i : i + 2048], first[i : i + 2048]
                 at = f[:, None] + np.arange(-CONTEXT, STRIDE)[None]
                 asked = at[:, CONTEXT:] < starts[r + 1][:, None] - 1
                 x = tokens[np.clip(at, 0, len(tokens) - 1)]
