@@ -436,7 +436,7 @@ def _scores(batches, model: Model, tokenizer, hot: np.ndarray, counts: np.ndarra
 
 
 def lm_scores(
-    docs: DataFrame, tokenizer: tuple[str, str], *, doc_id: str = "doc_id", text: str = "text", hot: float = 1e-5, rounds: tuple[int, ...] = (1, 5, 10), shard_windows: int = 65_536, steps: int = 150, batch: int = 512, rate: float = 0.02, seed: int = 9,
+    docs: DataFrame, tokenizer: tuple[str, str], *, doc_id: str = "doc_id", text: str = "text", hot: float = 1e-5, rounds: tuple[int, ...] = (1, 5, 10), shard_windows: int = 131_072, steps: int = 200, batch: int = 256, rate: float = 0.02, seed: int = 9,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. tokenizer: path of a tiktoken rank file that all machines have, and its pattern. rounds: shares of the training documents."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -469,7 +469,7 @@ def lm_scores(
         now, shards = model, -(-n // shard_windows)
         shard = F.pmod(F.xxhash64(order, F.lit(k)), F.lit(shards))
         dealt = own.where(F.col("round") == k).select("text", order.alias("order"), shard.alias("shard")).repartition(shards, "shard").sortWithinPartitions("shard", "order")
-        learned = dealt.mapInArrow(lambda it: _learned(it, now, tokenizer, steps, batch, rate / (1 + k), seed + k, -(-n // shards)), "params binary, n long")
+        learned = dealt.mapInArrow(lambda it: _learned(it, now, tokenizer, steps, batch, rate / (1 + k / 2), seed + k, -(-n // shards)), "params binary, n long")
         means = learned.repartition(math.isqrt(shards)).mapInArrow(_mean, "params binary, n long")
         got = sorted(means.collect(), key=lambda r: (r["n"], r["params"]))  # the root of the number of shards, about half a MB each
         if got:
