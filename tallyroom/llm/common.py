@@ -6,9 +6,6 @@ memory follows the slice and not the batch.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -17,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -28,32 +27,27 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose tasks run on this machine, gets a new one where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="tallyroom-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 _staged: list[str] = []
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner a known size."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "stage")
     df.write.parquet(path)
     _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_stages(spark: SparkSession, keep: int = 0) -> None:
-    """Remove the folders that `stage` wrote, but for the last `keep`: once a result is written, nothing reads what it was made from."""
-    gone, _staged[:] = _staged[: len(_staged) - keep], _staged[len(_staged) - keep :]
+def staged() -> int:
+    """How many folders `stage` has written so far."""
+    return len(_staged)
+
+
+def clear_stages(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Remove the folders that `stage` wrote after the first `since`, but for the last `keep`: once a result is written, nothing reads what it was made from."""
+    end = len(_staged) - keep
+    gone = _staged[since:end]
+    del _staged[since:end]
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

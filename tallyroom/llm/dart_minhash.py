@@ -20,12 +20,16 @@ distances to the head beyond it (the Jaccard distance is a metric). The exact
 similarity decides again. So the pairs of a group stay linear in its size but
 for classes at its very edge, and no bucket pair that could join components is left out.
 
-Defined results: shingles are `width` consecutive words (A-Z lower-cased); a
+Defined results: shingles are `width` consecutive words (A-Z lower-cased), of
+the weight that they occur (`weighted`; else 1); a
 text of fewer words, but not none, is one shingle; null and wordless texts are
 one document each and link with nothing; the class id is the smallest doc_id
 of the component; rows without an id take no part and keep themselves.
 Rows that repeat an id are one document: they share a class and are kept or
-dropped together. At the default 20 bands of 4, a pair at exactly 0.8 is missed with
+dropped together (`drop_near_duplicates` keeps one row of a class also then). A
+text of any length counts whole; an empty table gives an empty table; columns
+other than the id and the text do not matter, whatever their names. At the
+default 20 bands of 4, a pair at exactly 0.8 is missed with
 probability 3e-5, one at 0.85 with 1e-7.
 """
 
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, drop_clashes, mix64, slices, stage
+from .common import Words, mix64, slices, stage
 from .graph import components
 
 _U = 2.0**-53
@@ -206,7 +210,7 @@ def _likely(batches, least: float, near: float, best: bool):
 
 
 def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, min_similarity: float = 0.8, weighted: bool = False, bands: int = 20, depth: int = 4, long: int = 512, block: int = 4096, seed: int = 6,
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, min_similarity: float = 0.8, weighted: bool = True, bands: int = 20, depth: int = 4, long: int = 512, block: int = 4096, seed: int = 6,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of the component) and keep (doc_id = class_id).
 
@@ -265,7 +269,16 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs less all but the smallest id of each class."""
-    gone = stage(near_duplicates(docs, doc_id=doc_id, text=text, **options).where(~F.col("keep")).select(F.col("doc_id").alias("__gone")).distinct())
-    docs = drop_clashes(docs, ["__gone"])
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """docs with one row of each class: that of the smallest id, of equal ids any. Rows without words are classes of their own.
+
+    Where an id repeats or is null, rows are told apart by a number of their own.
+    """
+    odd = not docs.groupBy(doc_id).agg(F.count("*").alias("n")).where(F.col(doc_id).isNull() | (F.col("n") > 1)).isEmpty()
+    if not odd:
+        gone = stage(near_duplicates(docs, doc_id=doc_id, text=text, **options).where(~F.col("keep")).select(F.col("doc_id").alias("__gone")).distinct())
+        return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()))  # numbers of the table as it is written
+    classes = near_duplicates(rows, doc_id="__row", text=text, **options).select(F.col("doc_id").alias("__row"), "class_id")
+    ids = rows.select("__row", F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("__row").alias("row")).alias("__first"))
+    kept = ids.join(classes, "__row").groupBy("class_id").agg(F.min("__first").alias("__first")).select(F.col("__first.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -309,15 +309,16 @@ def test_lines(docs, corpus, empty, min_docs, min_key):
 # 6 ------------------------------------------------------------------------
 
 
-def grams(text, n=5):
+def grams(text, weighted, n=5):
     w = [x.translate(LOW) for x in words(text)]
-    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+    got = Counter(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else Counter()
+    return got if weighted else Counter(set(got))
 
 
-def near_classes(rows, least=0.8):
+def near_classes(rows, weighted=True, least=0.8):
     sets = {}
     for r in rows:
-        sets.setdefault(r[0], []).append(grams(r[1]))
+        sets.setdefault(r[0], []).append(grams(r[1], weighted))
     ids = sorted(sets)
     parent = {i: i for i in ids}
 
@@ -328,20 +329,37 @@ def near_classes(rows, least=0.8):
 
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if any(x and y and len(x & y) / len(x | y) >= least for x in sets[a] for y in sets[b]):
+            if any(x and y and (x & y).total() / (x | y).total() >= least for x in sets[a] for y in sets[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in ids}
 
 
-def test_near_duplicates(docs, corpus, empty):
-    got = dart_minhash.near_duplicates(docs).collect()
-    want = near_classes(corpus)
-    assert len(got) == len(corpus) and {r["doc_id"]: r["class_id"] for r in got} == want
+@pytest.mark.parametrize("weighted", [True, False])
+def test_near_duplicates(spark, corpus, empty, weighted):
+    twice = " ".join(f"p{i}" for i in range(40))
+    rows = [*corpus, (700, twice, *corpus[0][2:]), (701, twice + " " + twice, *corpus[0][2:])]  # equal sets but for the seam, other weights
+    got = dart_minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), weighted=weighted).collect()
+    want = near_classes(rows, weighted)
+    assert len(got) == len(rows) and {r["doc_id"]: r["class_id"] for r in got} == want
+    assert (want[700] == want[701]) == (not weighted)
     assert all(r["keep"] == (r["doc_id"] == r["class_id"]) for r in got)
-    kept = dart_minhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and sorted({r["doc_id"] for r in kept.collect()}) == sorted({i for i, c in want.items() if i == c})
-    assert dart_minhash.near_duplicates(empty).count() == 0
+    assert dart_minhash.near_duplicates(empty, weighted=weighted).count() == 0
+
+
+def test_drop_near_duplicates(spark, corpus, empty):
+    """One row of each class stays, also of rows that repeat and of rows without an id; documents without words stay."""
+    rows = corpus[:-1]
+    kept = dart_minhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in near_classes(rows).items() if i == c)
+    odd = [*corpus, corpus[5], *[(None, *corpus[6][1:])] * 2, *[(None, "a text of its own without any id at all", *corpus[0][2:])] * 3, *[(None, None, *corpus[0][2:])] * 2]
+    kept = dart_minhash.drop_near_duplicates(spark.createDataFrame(odd, DOCS).repartition(4))
+    assert kept.columns == DOCS.replace(",", "").split()[::2]
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    classes = near_classes(rows)
+    want = Counter((r[0], r[1]) for r in rows if classes[r[0]] == r[0]) + Counter({(None, odd[-3][1]): 1, (None, None): 2})
+    assert got == want
+    assert dart_minhash.drop_near_duplicates(empty).count() == 0
 
 
 def test_dart_signatures_estimate_weighted_jaccard():
