@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Single words that are no contractor name by themselves.
-GENERIC_WORDS = (
-    "SUPPLY SUPPLIES CONSTRUCTION BUILDERS BUILDER TRADING ENTERPRISE ENTERPRISES INC CORP CORPORATION CO COMPANY LTD LIMITED THE AND FOR OF GENERAL SERVICES DEVELOPMENT CONTRACTOR CONTRACTORS ENGINEERING DESIGN MAINTENANCE BUILD CONST MERCHANDISE"
-).split()
+GENERIC_WORDS = [
+    "SUPPLY", "SUPPLIES", "CONSTRUCTION", "BUILDERS", "BUILDER", "TRADING", "ENTERPRISE", "ENTERPRISES", "INC", "CORP", "CORPORATION", "CO", "COMPANY",
+    "LTD", "LIMITED", "THE", "AND", "FOR", "OF", "GENERAL", "SERVICES", "DEVELOPMENT", "CONTRACTOR", "CONTRACTORS", "ENGINEERING", "DESIGN",
+    "MAINTENANCE", "BUILD", "CONST", "MERCHANDISE",
+]
 # Substrings that the substring normaliser removes, in this order.
 SUBSTRINGS = ["INC.", "INC", "CORP.", "CORP", "CO.", "CO", "LTD.", "LTD", "CORPORATION", "INCORPORATED", "COMPANY", "LIMITED", "CONSTRUCTION", "TRADING", "ENTERPRISES", "DEVELOPMENT", "BUILDERS", "CONTRACTOR", "CONTRACTORS", "SERVICES", "GEN.", "GENERAL", "AND", "&"]
 # Words that the token normaliser removes.
@@ -138,17 +142,27 @@ def split_names(name: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", F.array().cast("array<string>")).when((F.size(both) > 0) | signs, both).otherwise(F.array(F.trim(name)))
 
 
+# Signs of several names in one, with the tag of each; the first of a group that holds counts.
+SPLIT_SIGNS = [
+    [("HAS_FORMER_NAME", r"(?i)\b(FORMERLY|FORMER|PREVIOUSLY|PREV)\b")],
+    [("HAS_JV_SLASH", r"/")],
+    [("HAS_PAREN_FORMER", r"(?i)\([^)]*(?:FORMERLY|FORMER)[^)]*\)"), ("HAS_LONG_PAREN", r"\([^)]{10,}\)")],
+]
+# Text that shows a fragment of JSON.
+JSON_SIGNS = ['", "', "logoUrl", "nameAbbreviation"]
+
+
 def name_issues(name: Column) -> tuple[Column, Column]:
     """(signs of several names, signs of an invalid name), as arrays of tags."""
     w, up = words(name), F.upper(name)
-    split = F.array(
-        F.when(name.rlike(r"(?i)\b(FORMERLY|FORMER|PREVIOUSLY|PREV)\b"), F.lit("HAS_FORMER_NAME")), F.when(F.contains(name, F.lit("/")), F.lit("HAS_JV_SLASH")),
-        F.when(name.rlike(r"(?i)\([^)]*(?:FORMERLY|FORMER)[^)]*\)"), F.lit("HAS_PAREN_FORMER")).when(name.rlike(r"\([^)]{10,}\)"), F.lit("HAS_LONG_PAREN")),
-    )
+    tags = []
+    for group in SPLIT_SIGNS:
+        tags.append(F.coalesce(*[F.when(name.rlike(pattern), F.lit(tag)) for tag, pattern in group]))
+    split = F.array(*tags)
     bad = F.array(
         F.when(F.length(name) < 5, F.lit("TOO_SHORT")), F.when(F.size(w) == 1, F.when(up.isin(GENERIC_WORDS), F.lit("SINGLE_COMMON_WORD")).otherwise(F.lit("SINGLE_WORD"))),
         F.when((F.size(w) > 0) & F.forall(w, lambda x: F.upper(x).isin(GENERIC_WORDS)), F.lit("ALL_COMMON_WORDS")),
-        F.when(F.contains(name, F.lit('", "')) | F.contains(name, F.lit("logoUrl")) | F.contains(name, F.lit("nameAbbreviation")), F.lit("JSON_FRAGMENT")),
+        F.when(reduce(lambda a, b: a | b, [F.contains(name, F.lit(x)) for x in JSON_SIGNS]), F.lit("JSON_FRAGMENT")),
     )
     keep = lambda a: F.filter(a, lambda x: x.isNotNull())
     return keep(split), keep(bad)

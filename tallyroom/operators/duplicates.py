@@ -10,12 +10,25 @@ from pyspark.sql import functions as F
 from ..functions.columns import duplicate_score, severity
 
 # Key columns beside description and amount, from the strictest tier to the loosest.
-TIERS = (
-    ("9", "agency department fundcd uacs_exp_cd operunit uacs_operdiv_id uacs_reg_id"), ("8a", "agency department fundcd uacs_exp_cd operunit uacs_operdiv_id"), ("8b", "agency department fundcd uacs_exp_cd operunit uacs_reg_id"),
-    ("7", "agency department fundcd uacs_exp_cd operunit"), ("6a", "agency department fundcd uacs_exp_cd"), ("6b", "agency department fundcd operunit"), ("6c", "agency department uacs_exp_cd operunit"),
-    ("5a", "agency department fundcd"), ("5b", "agency department uacs_exp_cd"), ("5c", "agency department operunit"), ("4a", "agency department"), ("4b", "agency fundcd"), ("4c", "department fundcd"),
-    ("3a", "agency"), ("3b", "department"), ("3c", "fundcd"), ("2", ""),
-)
+TIERS = [
+    ("9", ["agency", "department", "fundcd", "uacs_exp_cd", "operunit", "uacs_operdiv_id", "uacs_reg_id"]),
+    ("8a", ["agency", "department", "fundcd", "uacs_exp_cd", "operunit", "uacs_operdiv_id"]),
+    ("8b", ["agency", "department", "fundcd", "uacs_exp_cd", "operunit", "uacs_reg_id"]),
+    ("7", ["agency", "department", "fundcd", "uacs_exp_cd", "operunit"]),
+    ("6a", ["agency", "department", "fundcd", "uacs_exp_cd"]),
+    ("6b", ["agency", "department", "fundcd", "operunit"]),
+    ("6c", ["agency", "department", "uacs_exp_cd", "operunit"]),
+    ("5a", ["agency", "department", "fundcd"]),
+    ("5b", ["agency", "department", "uacs_exp_cd"]),
+    ("5c", ["agency", "department", "operunit"]),
+    ("4a", ["agency", "department"]),
+    ("4b", ["agency", "fundcd"]),
+    ("4c", ["department", "fundcd"]),
+    ("3a", ["agency"]),
+    ("3b", ["department"]),
+    ("3c", ["fundcd"]),
+    ("2", []),
+]
 
 
 def known_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +74,7 @@ def row_pairs(df: DataFrame, keys: list[str], order: str, columns: list[str]) ->
 
 def tiered_duplicates(df: DataFrame, row: str, description: str = "dsc", amount: str = "amt_coarse") -> DataFrame:
     """Each row in its strictest tier of duplicates: (row, tier, score). Columns that the table lacks are left out of the keys."""
-    tiers = [(name, [description, amount, *[c for c in cols.split() if c in df.columns]]) for name, cols in TIERS]
+    tiers = [(name, [description, amount, *[c for c in cols if c in df.columns]]) for name, cols in TIERS]
     pair = [description, amount]
     columns = list(dict.fromkeys(k for _, keys in tiers for k in keys))
     # every tier is finer than description and amount: rows alone in their pair are in none and leave with the first

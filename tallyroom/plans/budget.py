@@ -178,7 +178,7 @@ K9 = ["dsc", "amt_coarse", "agency", "department", "fundcd", "uacs_exp_cd", "ope
 csv = lambda k: ", ".join(k)
 query("d1_groups_5_keys", "dsc s, uacs_sobj_dsc s, uacs_exp_dsc s, department i, agency i, n i, total d, severity s", f"SELECT {csv(K5)}, count(*) AS n, sum(amt) AS total, CASE WHEN count(*) >= 3 THEN 'high' ELSE 'medium' END AS severity FROM {V} b GROUP BY {csv(K5)} HAVING count(*) > 1")(lambda t: D.duplicate_groups(v(t), K5, "amt"))
 query("d2_groups_7_keys", "dsc s, agency i, department i, amt_coarse d, n i", f"SELECT {csv(K7)}, count(*) AS n FROM {V} b WHERE dsc <> 'INVALID' GROUP BY {csv(K7)} HAVING count(*) > 1 ORDER BY n DESC, {csv(K7)} LIMIT 10")(lambda t: D.duplicate_groups(D.described(v(t)), K7, "amt").orderBy(F.desc("n"), *K7).limit(10))
-_tiers = [(n, ["dsc", "amt_coarse", *[c for c in cols.split() if c != "uacs_operdiv_id"]]) for n, cols in D.TIERS]
+_tiers = [(n, ["dsc", "amt_coarse", *[c for c in cols if c != "uacs_operdiv_id"]]) for n, cols in D.TIERS]
 query("d3_tiered_duplicates", "tier s, n i, score d", "SELECT tier, count(*) AS n, min(score) AS score FROM (SELECT tier, round(CAST(substr(tier, 1, 1) AS DOUBLE) / 9 * 100, 1) AS score FROM (SELECT CASE " + " ".join(f"WHEN count(*) OVER (PARTITION BY {csv(k)}) > 1 THEN '{n}'" for n, k in _tiers) + f" END AS tier FROM {V} b WHERE dsc <> 'INVALID') x WHERE tier IS NOT NULL) y GROUP BY tier")(
     lambda t: D.tiered_duplicates(v(t), "sorder").groupBy("tier").agg(F.count("*").alias("n"), F.min("score").alias("score")))
 ORDER9 = ["sorder", "amt", "uacs_sobj_dsc", "year"]
