@@ -21,7 +21,10 @@ link counts and a spanning forest of its links.
 Defined results: a vector that is null, empty, zero, or holds a null or a
 non-finite number, and one with a null label, links with nothing; vectors of
 different lengths do not link; each row is a vector, also where rows repeat (equal
-rows link with each other); a row without vec_id links and counts, and has the smallest known id of its component.
+rows link with each other); a row without vec_id links and counts, and has the
+smallest known id of its component; a vector counts whole, however long; an
+empty table gives an empty table; columns other than the id, the vector and the
+label do not matter, whatever their names.
 """
 
 from __future__ import annotations

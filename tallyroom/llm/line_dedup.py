@@ -7,7 +7,7 @@ Defined results: each row is one document, also where rows or ids repeat; a
 null or empty text is one empty line; a line's key is 128 bits of hash of the
 line, trimmed of ASCII blanks and with A-Z lower-cased; keys of fewer than
 `min_key_chars` code points are never dropped; when all lines go, the text is
-empty; an empty table gives an empty table. Other columns pass through, but for
+empty; a text counts whole, however long; an empty table gives an empty table. Other columns pass through, but for
 those named as a result column, which the result replaces.
 
 Only (id, position, hash) rows meet the frequent hashes, in a join that Spark

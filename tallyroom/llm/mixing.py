@@ -18,8 +18,9 @@ and per shard are ranked, never documents; the number of shards is bounded by
 
 Defined results: size is the number of words, 0 for a null or blank text; a
 null source is a source of its own and last in the order; rows that repeat are
-documents of their own; documents of no words take 0; an empty table gives an
-empty table.
+documents of their own; documents of no words take 0; a text counts whole,
+however long; an empty table gives an empty table; input columns named as a
+result column are replaced, all others pass through.
 """
 
 from __future__ import annotations
