@@ -45,22 +45,22 @@ def _tokens(s: Column, size: int) -> Column:
     return F.transform(runs, lambda g, i: F.concat(F.lit(f"{size} "), g, F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
 
 
-_LENGTHS = 1000
-
-
-def _most_lost(n: int, size: int, least: float, metric: str) -> int:
-    """The most runs of `size` letters of a name of n letters that a name as similar can lack.
-
-    Levenshtein: an edit destroys `size` runs at most, and there are 1 - least
-    of the longer name's letters. Gestalt: the matched letters are least / 2 of
-    both names' or more; of the others each destroys `size` runs where the name has
-    it and one less where the partner has it. That is linear in the partner's
-    length, so the shortest and the longest partner are looked at.
+def _most_lost(n, size: int, least: float, metric: str, floor=math.floor, ceil=math.ceil, most=max):
+    """The most runs of `size` letters of a name of n letters that a name as similar can lack; n is a number or, with functions of columns, a column.
+
+    Single letters: those without a match. Runs, Levenshtein: an edit destroys
+    `size` runs at most, and there are 1 - least of the longer name's letters.
+    Runs, gestalt: the matched letters are least / 2 of both names' or more; of the others
+    each destroys `size` runs where the name has it and one less where the
+    partner has it. That is linear in the partner's length, so the shortest and
+    the longest partner are looked at.
     """
+    if size == 1:
+        return n - ceil(n * (least / (2 - least)) - 1e-9)
     if metric == "levenshtein":
-        return math.floor(n * (1 - least) / least + 1e-9) * size
-    lengths = (n * least / (2 - least), n * (2 - least) / least)
-    return math.ceil(max(size * n + (size - 1) * m - (2 * size - 1) * least * (n + m) / 2 for m in lengths) + 1e-9)
+        return floor(n * ((1 - least) / least) + 1e-9) * size
+    share = least / (2 - least)
+    return ceil(most(*(n * (size + (size - 1) * m - (2 * size - 1) * least * (1 + m) / 2) for m in (share, 1 / share))) + 1e-9)
 
 
 def _prefixes(df: DataFrame, name: str, least: float, metric: str, rarity: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -73,11 +73,10 @@ def _prefixes(df: DataFrame, name: str, least: float, metric: str, rarity: DataF
     known, n = df.where(F.length(name) > 0).select(F.col(name).alias("name")), F.length("name")
     parts, reach = [], None  # reach: the longest names that have runs of the present size; all at first
     for size in (3, 2, 1):
-        lost = [_most_lost(k, size, least, metric) if size > 1 else k - math.ceil(least / (2 - least) * k - 1e-9) for k in range(_LENGTHS)]
-        unsure = [k for k in range(1, _LENGTHS) if k - size + 1 - lost[k] < 1]
-        if size > 1 and len(unsure) > _LENGTHS // 2:
+        unsure = [k for k in range(1, 1000) if k - size + 1 - _most_lost(k, size, least, metric) < 1]
+        if size > 1 and len(unsure) > 500:
             continue  # at this likeness names need have no such run in common
-        keep = F.when(n < _LENGTHS, F.get(F.array(*map(F.lit, lost)), F.least(n, F.lit(_LENGTHS - 1))) + 1).otherwise(n)  # very long names keep all
+        keep = (_most_lost(n, size, least, metric, F.floor, F.ceil, F.greatest) + 1).cast("int")
         own = known if reach is None else known.where(n <= reach)
         own = own.where(~n.isin(unsure)) if unsure else own
         parts.append(own.select("name", keep.alias("keep"), F.explode(_tokens(F.col("name"), size)).alias("token"), F.lit(size).alias("size")))
