@@ -58,47 +58,51 @@ def _tokenizer(path: str, pattern: str):
 
 
 class Subwords:
-    """Ids of words, by the word's hash: a table with one place a slot, behind it a dictionary of all words seen, which starts again when it has `keep`."""
+    """Ids of words in a table by the word's hash, a word a slot: a word that finds another in its slot is encoded again and takes it. `keep` ids are kept, then the table starts again."""
 
-    def __init__(self, tokenizer: tuple[str, str], keep: int = 400_000, slots: int = 1 << 20):
+    def __init__(self, tokenizer: tuple[str, str], keep: int = 1 << 23, slots: int = 1 << 22):
         self.encode, self.end = _tokenizer(*tokenizer)
         self.keep, self.slots = keep, slots
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, tuple[int, int]] = {}
-        self.flat: list[np.ndarray] = [np.zeros(0, np.int32)]
-        self.keys, self.at, self.sizes = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
-
-    def _look_up(self, w: Words, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of the ids of distinct hashes; words: a word of each."""
-        new = [k for k, h in enumerate(hashes.tolist()) if h not in self.known]
-        if new:
-            raw = w.data.tobytes()
-            lists = self.encode.encode_ordinary_batch([" " + raw[w.starts[i] : w.ends[i]].decode("utf-8", "replace") for i in words[new]], num_threads=1)
-            at = sum(map(len, self.flat))
-            for h, x in zip(hashes[new].tolist(), lists):
-                self.known[h] = at, len(x)
-                at += len(x)
-            self.flat = [np.concatenate((*self.flat, np.fromiter((i for x in lists for i in x), np.int32)))]
-        found = np.array([self.known[h] for h in hashes.tolist()], np.int64).reshape(-1, 2)
-        return found[:, 0], found[:, 1]
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.keys, self.at, self.sizes = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
+
+    def _encoded(self, w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in `flat` and number of the ids of words, encoded now."""
+        raw, encode = w.data.tobytes(), self.encode.encode_ordinary
+        lists = [encode(" " + raw[a:b].decode("utf-8", "replace")) for a, b in zip(w.starts[words].tolist(), w.ends[words].tolist())]
+        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+        total = int(sizes.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used + total, np.int32)))
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), np.int32, total)
+        at = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
+        self.used += total
+        return at, sizes
 
     def ids(self, w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each word)."""
-        if len(self.known) > self.keep:
+        if self.used > self.keep:
             self._clear()
         slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
-        a, n = self.at[slot], self.sizes[slot]
+        a, n = self.at[slot].astype(np.int64), self.sizes[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != hashes)
         if len(miss):
             unique, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            at, size = self._look_up(w, unique, miss[first])
+            at, size = self._encoded(w, miss[first])
             a[miss], n[miss] = at[back], size[back]
             own = slot[miss[first]]
             self.keys[own], self.at[own], self.sizes[own] = unique, at, size
         off = np.cumsum(n) - n
-        return self.flat[0][np.repeat(a - off, n) + np.arange(int(n.sum()))], n
+        return self.flat[np.repeat(a - off, n) + np.arange(int(n.sum()))], n
+
+
+@lru_cache(maxsize=1)
+def subwords(tokenizer: tuple[str, str]) -> Subwords:
+    """The table of this process: Python workers go from task to task, and so do the words that they know."""
+    return Subwords(tokenizer)
 
 
 def streams(w: Words, ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,7 +340,7 @@ def _tallies(batches, tokenizer, rounds: tuple[int, ...], most: int = 2_000_000)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
-        sub = sub or Subwords(tokenizer)
+        sub = sub or subwords(tokenizer)
         ids_seen = np.zeros(sub.end + 1, np.int64) if ids_seen is None else ids_seen
         for part in slices(batch, "text"):
             w = Words(part.column("text"), lower=True)
@@ -372,7 +376,7 @@ def _sums(tallies: DataFrame, kind: int) -> dict[int, int]:
 
 
 def _learned(batches, model: Model, tokenizer, steps: int, batch: int, rate: float, seed: int, expected: int):
-    sub = Subwords(tokenizer)
+    sub = subwords(tokenizer)
 
     def chunks():
         for b in batches:
@@ -402,7 +406,7 @@ def _scores(batches, model: Model, tokenizer, hot: np.ndarray, counts: np.ndarra
     sub = None
     logs = np.log10(counts + 0.5)
     for batch in batches:
-        sub = sub or Subwords(tokenizer)
+        sub = sub or subwords(tokenizer)
         for part in slices(batch, "text"):
             n = part.num_rows
             w = Words(part.column("text"), lower=True)

@@ -33,6 +33,19 @@ def test_lm_counts_all_subwords_of_long_texts(spark, long_texts):
         assert counts == sorted(Counter(x for t in long_texts for x in (t or "").split()).values())
 
 
+def test_lm_ids_of_words_that_share_slots(long_texts):
+    """A table of few slots that starts again gives the ids that the tokenizer gives."""
+    tok = queries.public_tokenizer()
+    sub = attention_lm.Subwords(tok, keep=500, slots=16)
+    texts = ["ünlike wörds", "\x00 a", *long_texts] * 2
+    for k in range(0, len(texts), 3):
+        w = common.Words(pa.array(texts[k : k + 3], pa.string()), lower=True)
+        ids, n = sub.ids(w, w.hashes)
+        raw = w.data.tobytes()
+        want = [sub.encode.encode_ordinary(" " + raw[a:b].decode()) for a, b in zip(w.starts, w.ends)]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_lm_windows_tile_whole_texts(long_texts):
     tok = queries.public_tokenizer()
     sub = attention_lm.Subwords(tok)
