@@ -39,10 +39,18 @@ def band_counts(a: DataFrame, b: DataFrame, key: str, amount_a: str, amount_b: s
     return x.join(found, F.col(amount_a) == F.col("__a")).groupBy(key).agg(F.sum("__n").alias("n"))
 
 
-def _tokens(s: Column, size: int) -> Column:
-    """The runs of `size` letters of a name, each with how often it has come: sets of these share what the names share."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - (size - 1))), lambda i: F.substr(s, i, F.lit(size)))
-    return F.transform(runs, lambda g, i: F.concat(F.lit(f"{size} "), g, F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+def _tokens(names: DataFrame, size: int) -> DataFrame:
+    """names with a row for each run of `size` letters, each with how often it has come: sets of these tokens share what the names share."""
+    n = F.greatest(F.lit(1), F.length("name") - (size - 1))
+    runs = names.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("name", i, F.lit(size)))).alias("__at", "__run"))
+    nth = F.row_number().over(Window.partitionBy("name", "__run").orderBy("__at"))
+    return runs.withColumn("token", F.concat(F.lit(f"{size} "), "__run", nth.cast("string"))).drop("__at", "__run")
+
+
+def _common_letters(a: Column, b: Column) -> Column:
+    """How many letters two names share, each as often as both have it."""
+    many = lambda s, x: F.length(s) - F.length(F.replace(s, x, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda t, x: t + F.when(x == "", 0).otherwise(F.least(many(a, x), many(b, x))))
 
 
 def _most_lost(n, size: int, least: float, metric: str, floor=math.floor, ceil=math.ceil, most=max):
@@ -79,7 +87,7 @@ def _prefixes(df: DataFrame, name: str, least: float, metric: str, rarity: DataF
         keep = (_most_lost(n, size, least, metric, F.floor, F.ceil, F.greatest) + 1).cast("int")
         own = known if reach is None else known.where(n <= reach)
         own = own.where(~n.isin(unsure)) if unsure else own
-        parts.append(own.select("name", keep.alias("keep"), F.explode(_tokens(F.col("name"), size)).alias("token"), F.lit(size).alias("size")))
+        parts.append(_tokens(own.select("name", keep.alias("keep"), F.lit(size).alias("size")), size))
         reach = max(unsure, default=0) * (2 - least) / least + 1e-9
         if not reach > 1:
             break
@@ -103,7 +111,7 @@ def similar_names(a: DataFrame, b: DataFrame, col_a: str, col_b: str, least: flo
     short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
     pairs = pairs.where(short / long >= (least if metric == "levenshtein" else least / (2 - least)) - 1e-9).select("a", "b").distinct()
     # letters in common, as many as the metric needs at least
-    common = F.size(F.array_intersect(_tokens(F.col("a"), 1), _tokens(F.col("b"), 1)))
+    common = _common_letters(F.col("a"), F.col("b"))
     pairs = pairs.where(common >= (long * least if metric == "levenshtein" else (short + long) * least / 2) - 1e-9)
     ratio = lev_ratio(F.col("a"), F.col("b")) if metric == "levenshtein" else gestalt_ratio(F.col("a"), F.col("b"))
     got = pairs.withColumn("ratio", ratio).where(F.col("ratio") >= least)

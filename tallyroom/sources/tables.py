@@ -29,7 +29,7 @@ def all_years(tables: dict[int, DataFrame | None]) -> DataFrame:
 
 def read_batches(spark: SparkSession, glob: str, schema: str = BATCH_SCHEMA) -> DataFrame:
     """JSON array files, with the name of their file."""
-    df = spark.read.schema(schema).json(glob, multiLine=True)
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).json(glob, multiLine=True)
     return df.select("*", F.col("_metadata.file_name").alias("source_file"))
 
 
@@ -37,7 +37,7 @@ def write_batches(df: DataFrame, path: str, rows: int = 5000) -> None:
     """JSON array files of about `rows` rows each."""
     n = max(1, -(-df.count() // rows))
     dealt = df.select(F.pmod(F.xxhash64(*df.columns), F.lit(n)).alias("__file"), F.struct(*df.columns).alias("__row")).groupBy("__file").agg(F.to_json(F.collect_list("__row")).alias("value"))
-    dealt.repartition(n, "__file").select("value").write.mode("overwrite").text(path)
+    dealt.write.mode("overwrite").partitionBy("__file").text(path)  # a folder and a file for each array
 
 
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
