@@ -21,7 +21,7 @@ similarity decides again. So the pairs of a group stay linear in its size but
 for classes at its very edge, and no bucket pair that could join components is left out.
 
 Defined results: shingles are `width` consecutive words (A-Z lower-cased), of
-the weight that they occur (`weighted`; else 1); a
+weight 1, or of as much as they occur (`weighted`); a
 text of fewer words, but not none, is one shingle; null and wordless texts are
 one document each and link with nothing; the class id is the smallest doc_id
 of the component; rows without an id take no part and keep themselves.
@@ -210,7 +210,7 @@ def _likely(batches, least: float, near: float, best: bool):
 
 
 def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, min_similarity: float = 0.8, weighted: bool = True, bands: int = 20, depth: int = 4, long: int = 512, block: int = 4096, seed: int = 6,
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, min_similarity: float = 0.8, weighted: bool = False, bands: int = 20, depth: int = 4, long: int = 512, block: int = 4096, seed: int = 6,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of the component) and keep (doc_id = class_id).
 

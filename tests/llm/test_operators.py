@@ -315,7 +315,7 @@ def grams(text, weighted, n=5):
     return got if weighted else Counter(set(got))
 
 
-def near_classes(rows, weighted=True, least=0.8):
+def near_classes(rows, weighted=False, least=0.8):
     sets = {}
     for r in rows:
         sets.setdefault(r[0], []).append(grams(r[1], weighted))
