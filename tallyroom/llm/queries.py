@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, binary_codes, cotrain, dart_minhash, decontaminate, html_extract, licenses, line_dedup, mixing, phrase_dedup
+from . import attention_lm, binary_codes, collocations, cotrain, dart_minhash, decontaminate, exact_topk, filter_audit, html_extract, licenses, line_dedup, mixing, phrase_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -137,9 +137,74 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+s AS (SELECT lang, ws, i, unnest([1, 2, 3, 4]) AS k FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM s WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+t AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND n >= 30),
+u AS MATERIALIZED (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+x AS (SELECT u.lang, u.phrase, u.a, u.j, l.n AS l, r.n AS r, CAST(2000000 * CAST(u.a AS HUGEINT) // (l.n + r.n) AS BIGINT) AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.x JOIN f r ON r.lang = u.lang AND r.phrase = u.y),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+h AS (SELECT c.lang, array_to_string(c.ws[i.i:i.i + m.m - 1], ' ') AS phrase, max(c.a) AS longer FROM c JOIN range(2, 4) m(m) ON m.m < c.k JOIN range(1, 4) i(i) ON i.i + m.m - 1 <= c.k GROUP BY 1, 2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE h.longer IS NULL OR 100 * h.longer < 80 * b.a)
+SELECT o.lang, CAST(o.rank AS BIGINT) AS rank, o.phrase, CAST(o.a AS BIGINT) AS a, CAST(o.l AS BIGINT) AS l, CAST(o.r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n, o.score
+FROM o JOIN t ON t.lang = o.lang WHERE o.rank <= 2000
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.filter_audit(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+s AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id),
+m AS (SELECT w.part, coalesce(s.good, 0) AS good, coalesce(s.bad, 0) AS bad, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+      + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(w.first < w.doc_id, false) AS INT) AS mask
+      FROM w LEFT JOIN s ON s.doc_id = w.doc_id),
+g AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY ALL),
+p AS (SELECT '' AS o, CAST(0 AS BIGINT) AS done UNION ALL SELECT o || chr(CAST(65 + b.b AS INT)), done | (1 << b.b) FROM p, range(5) b(b) WHERE done & (1 << b.b) = 0),
+t AS (SELECT o AS filter_order, i.i AS step, ascii(o[i.i]) - 65 AS f, list_sum(list_transform(range(1, i.i), lambda j: 1 << (ascii(o[j]) - 65))) AS before FROM p, range(1, 6) i(i) WHERE length(o) = 5),
+a AS (SELECT g.part, t.filter_order, t.step, t.f, sum(n) FILTER (WHERE mask & before = 0 AND mask & (1 << f) = 0) AS kept, sum(n) FILTER (WHERE mask & before = 0 AND mask & (1 << f) <> 0) AS removed,
+      sum(n) FILTER (WHERE mask & before <> 0 AND mask & (1 << f) <> 0) AS redundant, sum(n) FILTER (WHERE mask = 1 << f) AS unique_fails,
+      sum(good) FILTER (WHERE mask & before = 0 AND mask & (1 << f) <> 0) AS good_lost, sum(bad) FILTER (WHERE mask & before = 0 AND mask & (1 << f) <> 0) AS toxic_lost
+      FROM g, (SELECT filter_order, step, f, CAST(coalesce(before, 0) AS BIGINT) AS before FROM t) t GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM a
+"""
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_top_k(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP13_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score, c.r AS other
+      FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_phrase_dedup, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op8_license_scan, op9_attention_lm, op10_decontaminate)}
+    found = (op1_mix_sources, op2_html_extract, op3_phrase_dedup, op4_cotrain, op5_line_dedup, op6_dart_minhash, op7_binary_codes, op8_license_scan, op9_attention_lm, op10_decontaminate)
+    return {f.__name__: f for f in (*found, op11_collocations, op12_filter_audit, op13_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_phrase_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_binary_codes": OP7_SQL, "op8_license_scan": _op8_sql()}
+    return {"op3_phrase_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_binary_codes": OP7_SQL, "op8_license_scan": _op8_sql(), "op11_collocations": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_exact_topk": OP13_SQL}
