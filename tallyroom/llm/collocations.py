@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, mix64, stage
+from .common import LOWER_BYTES, mix64, slices, stage
 
 LONGEST = 4
 W = [f"w{i}" for i in range(1, LONGEST + 1)]
@@ -42,7 +42,7 @@ _PIECE_BYTES, _WORD_BYTES = np.zeros(256, bool), np.ones(256, bool)
 _PIECE_BYTES[list(_PIECE)] = True
 _WORD_BYTES[list(_PIECE + b" \t")] = False
 _piece = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
-_SLICE = 12 << 20
+_SLICE = 5 << 20
 
 
 def place(words: np.ndarray, bits: int) -> np.ndarray:
@@ -97,18 +97,19 @@ def _blobs(batches, size: int = _SLICE) -> Iterator[list[tuple[str, bytes]]]:
     """Lists of (lang, bytes) of about `size` bytes in all; a longer text is cut after a piece."""
     have, n = [], 0
     for b in batches:
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            at = 0
-            while at < len(text):
-                end = len(text)
-                if end - at > size:
-                    m = _piece.search(text, at + size)
-                    end = m.end() if m else end
-                have.append((lang, text[at:end]))
-                n, at = n + end - at, end
-                if n >= size:
-                    yield have
-                    have, n = [], 0
+        for some in slices(b, "text"):
+            for lang, text in zip(some.column("lang").to_pylist(), some.column("text").to_pylist()):
+                at = 0
+                while at < len(text):
+                    end = len(text)
+                    if end - at > size:
+                        m = _piece.search(text, at + size)
+                        end = m.end() if m else end
+                    have.append((lang, text[at:end]))
+                    n, at = n + end - at, end
+                    if n >= size:
+                        yield have
+                        have, n = [], 0
     if have:
         yield have
 
@@ -119,18 +120,18 @@ class Slice:
     def __init__(self, rows: list[tuple[str, bytes]], seed: int):
         data = LOWER_BYTES[np.frombuffer(b"\n".join(t for _, t in rows), np.uint8)]
         word = _WORD_BYTES[data]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
-        starts, ends = edge[::2], edge[1::2]
+        starts = np.flatnonzero(word & ~np.append(False, word[:-1])).astype(np.int32)
         self.piece = np.cumsum(_PIECE_BYTES[data], dtype=np.int32)[starts]
-        sizes = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
-        bare, texts = _number(pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(sizes), pa.py_buffer(data[word])]))
+        sizes = np.append(np.cumsum(word, dtype=np.int32)[starts] - 1, np.int32(word.sum()))  # where each word begins if only words stood there
+        bare, texts = _number(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(data[word])]))
+        del data, word, sizes
         first = np.cumsum([0] + [len(t) + 1 for _, t in rows])
         lang, langs = _number(pa.array([x for x, _ in rows], pa.string()))
         key = lang[np.searchsorted(first, starts, "right") - 1] * len(texts) + bare
         self.word, keys = _number(pa.array(key, pa.int64()))
         keys = keys.to_numpy()
         self.lang = langs.take(pa.array(keys // max(1, len(texts))))
-        self.text = texts.take(pa.array(keys % max(1, len(texts)))).cast(pa.large_string()).cast(pa.string())
+        self.text = texts.take(pa.array(keys % max(1, len(texts)))).cast(pa.string())
         seeds = [xxhash.xxh3_64_intdigest(x.encode(), seed) for x in langs.to_pylist()]
         every = texts.to_pylist()
         self.hash = np.array([xxhash.xxh3_64_intdigest(every[k % len(every)], seeds[k // len(every)]) or 1 for k in keys.tolist()], np.uint64)
