@@ -77,7 +77,7 @@ class Block:
         for t, v in zip(component.tolist(), value.tolist()):
             if t in self.postings:
                 at, weight = self.postings[t]
-                score[at] += weight * v
+                score[at] += weight.astype(score.dtype, copy=False) * v
         return np.array([min(max(int(s), _LEAST), _MOST) for s in score], np.int64) if exact else score
 
 
