@@ -73,16 +73,29 @@ def row_pairs(df: DataFrame, keys: list[str], order: str, columns: list[str]) ->
 
 
 def tiered_duplicates(df: DataFrame, row: str, description: str = "dsc", amount: str = "amt_coarse") -> DataFrame:
-    """Each row in its strictest tier of duplicates: (row, tier, score). Columns that the table lacks are left out of the keys."""
+    """Each row in its strictest tier of duplicates: (row, tier, score). Columns that the table lacks are left out of the keys.
+
+    Rows with the same values in all key columns are in the same tier, so they
+    are counted as one first, which also breaks up a frequent description and amount. What shares
+    those with others is then counted in all tiers in one aggregate, by 128-bit
+    hashes of each tier's keys. All tables that are looked up have a key once, so no
+    task gets a group whole.
+    """
     tiers = [(name, [description, amount, *[c for c in cols if c in df.columns]]) for name, cols in TIERS]
     pair = [description, amount]
     columns = list(dict.fromkeys(k for _, keys in tiers for k in keys))
-    # every tier is finer than description and amount: rows alone in their pair are in none and leave with the first
-    # count, and the other windows find their rows in the same tasks already
-    crowded = known_keys(described(df, description), pair).select(row, *columns).withColumn("__2", F.count("*").over(Window.partitionBy(*pair))).where("__2 > 1")
-    counted = crowded.withColumns({f"__{name}": F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.count("*").over(Window.partitionBy(*keys))) for name, keys in tiers if keys != pair})
-    tier = F.coalesce(*[F.when(F.col("__2" if keys == pair else f"__{name}") > 1, F.lit(name)) for name, keys in tiers])
-    got = counted.select(row, tier.alias("tier")).where("tier IS NOT NULL")
+    digest = lambda keys, t: [F.xxhash64(F.lit(t), *keys).alias("h1"), F.xxhash64(*keys, F.lit(~t)).alias("h2")]
+    own = dict(zip(("c1", "c2"), (F.xxhash64(F.lit(-1), *[F.struct(c) for c in columns]), F.xxhash64(*[F.struct(c) for c in columns], F.lit(-1)))))
+    rows = known_keys(described(df, description), pair).select(row, *columns)
+    different = rows.groupBy(*columns).agg(F.count("*").alias("n"))
+    crowded = different.groupBy(*pair).agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(*pair)
+    different = different.join(crowded.hint("shuffle_hash"), pair, "left_semi")
+    keys_of = [F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.struct(F.lit(t).alias("t"), *digest(keys, t))) for t, (_, keys) in enumerate(tiers)]
+    member = different.withColumns(own).select("c1", "c2", "n", F.explode(F.filter(F.array(*keys_of), lambda x: x.isNotNull())).alias("k")).select("c1", "c2", "n", "k.*")
+    shared = member.groupBy("t", "h1", "h2").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("t", "h1", "h2")
+    strictest = member.join(shared.hint("shuffle_hash"), ["t", "h1", "h2"], "left_semi").groupBy("c1", "c2").agg(F.min("t").alias("t"))
+    tier = F.element_at(F.array(*[F.lit(name) for name, _ in tiers]), F.col("t") + 1)
+    got = rows.withColumns(own).join(strictest.hint("shuffle_hash"), ["c1", "c2"]).select(row, tier.alias("tier"))
     return got.withColumn("score", F.round(F.regexp_extract("tier", r"\d", 0).cast("double") / 9 * 100, 1))
 
 

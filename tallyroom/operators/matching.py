@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import amount_score, lev_ratio, standard_name, words
 from ..sources.shared import checkpointed
+from .rollups import running_total
 
 
 @F.pandas_udf(T.DoubleType())
@@ -30,21 +31,40 @@ def band_join(a: DataFrame, b: DataFrame, amount_a: str, amount_b: str, percent:
     return x.join(y, "__k").where(F.abs(p - q) / F.greatest(p, q) <= percent / 100).drop("__k")
 
 
+def _band_ends(x: Column, percent: float) -> tuple[Column, Column]:
+    """The least and the largest double within percent % of x, as the floating-point test has it.
+
+    Up to 50 % the difference is exact and the test monotone in the other
+    amount, so the end is the outermost of the doubles around the rounded
+    one that passes; half steps of the last place meet each of them.
+    """
+    share = percent / 100
+    step = lambda y: F.transform(F.sequence(F.lit(-32), F.lit(32)), lambda i: y + i * (y * 2.0**-53))
+    low = F.array_min(F.filter(step(x * (1 - share)), lambda y: (y > 0) & ((y >= x) | ((x - y) / x <= share))))
+    high = F.array_max(F.filter(step(x / (1 - share)), lambda y: (y <= x) | ((y - x) / y <= share)))
+    return low, high
+
+
 def band_counts(a: DataFrame, b: DataFrame, key: str, amount_a: str, amount_b: str, percent: float) -> DataFrame:
-    """(key, n): the rows of b within percent % of the amounts of each key of a that has any. Equal amounts meet once: both sides are distinct amounts with counts."""
-    x = a.where(F.col(amount_a) > 0)
-    own = x.select(F.col(amount_a).alias("__a")).distinct()
-    other = b.where(F.col(amount_b) > 0).groupBy(F.col(amount_b).alias("__b")).agg(F.count("*").alias("__n"))
-    found = band_join(own, other, "__a", "__b", percent).groupBy("__a").agg(F.sum("__n").alias("__n"))
-    return x.join(found, F.col(amount_a) == F.col("__a")).groupBy(key).agg(F.sum("__n").alias("n"))
+    """(key, n): the rows of b within percent % (50 at most) of the amounts of each key of a that has any.
 
+    No pair is made: the amounts of b and the ends of the bands of a stand in
+    one order, and a band has what the running count at its upper end is above that at its lower.
+    """
+    if not 0 <= percent <= 50:
+        raise ValueError(f"not between 0 and 50 %: {percent}")
+    sound = lambda df, c: df.withColumn("__x", F.col(c).cast("double")).where((F.col("__x") > 0) & (F.col("__x") < float("inf")))
+    x = sound(a, amount_a)
+    low, high = _band_ends(F.col("__x"), percent)
+    ends = x.select("__x").distinct().select(F.explode(F.array(F.struct(low.alias("at"), F.lit(0).alias("kind"), F.col("__x").alias("of")), F.struct(high.alias("at"), F.lit(2).alias("kind"), F.col("__x").alias("of")))).alias("e"))
+    there = sound(b, amount_b).groupBy(F.col("__x").alias("at")).agg(F.count("*").alias("n"))
+    line = there.select("at", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("of"), "n").unionByName(ends.select("e.*", F.lit(0).cast("long").alias("n")))
+    so_far = running_total(checkpointed(line), F.col("n"), "at", "kind", name="total")
+    found = so_far.where("kind <> 1").groupBy("of").agg(F.sum(F.when(F.col("kind") == 2, F.col("total")).otherwise(-F.col("total"))).alias("n")).where("n > 0")
+    return x.join(found, F.col("__x") == F.col("of")).groupBy(key).agg(F.sum("n").alias("n"))
 
-def _tokens(names: DataFrame, size: int) -> DataFrame:
-    """names with a row for each run of `size` letters, each with how often it has come: sets of these tokens share what the names share."""
-    n = F.greatest(F.lit(1), F.length("name") - (size - 1))
-    runs = names.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("name", i, F.lit(size)))).alias("__at", "__run"))
-    nth = F.row_number().over(Window.partitionBy("name", "__run").orderBy("__at"))
-    return runs.withColumn("token", F.concat(F.lit(f"{size} "), "__run", nth.cast("string"))).drop("__at", "__run")
+
+# Names that are alike: an index gives pairs of names, counts of common parts leave few of these, and only then are strings compared.
 
 
 def _common_letters(a: Column, b: Column) -> Column:
@@ -53,68 +73,124 @@ def _common_letters(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda t, x: t + F.when(x == "", 0).otherwise(F.least(many(a, x), many(b, x))))
 
 
-def _most_lost(n, size: int, least: float, metric: str, floor=math.floor, ceil=math.ceil, most=max):
-    """The most runs of `size` letters of a name of n letters that a name as similar can lack; n is a number or, with functions of columns, a column.
+def _pieces(n: Column, least: float) -> Column:
+    """Into how many pieces an indexed name of n letters is cut: one more than the most edits that a name as similar can be away."""
+    return (F.floor(F.floor(n / least + 1e-9) * (1 - least) + 1e-9) + 1).cast("int")
+
 
-    Single letters: those without a match. Runs, Levenshtein: an edit destroys
-    `size` runs at most, and there are 1 - least of the longer name's letters.
-    Runs, gestalt: the matched letters are least / 2 of both names' or more; of the others
-    each destroys `size` runs where the name has it and one less where the
-    partner has it. That is linear in the partner's length, so the shortest and
-    the longest partner are looked at.
+def _piece(n: Column, m: Column, i: Column) -> tuple[Column, Column]:
+    """(start, length) of the i-th of m pieces of a name of n letters; the last pieces are the longer ones."""
+    size, more = F.floor(n / m).cast("int"), n - F.floor(n / m).cast("int") * m
+    return (i - 1) * size + F.greatest(F.lit(0), i - 1 - (m - more)) + 1, size + (i > m - more).cast("int")
+
+
+def _indexed(names: DataFrame, least: float) -> DataFrame:
+    """(name, token): the pieces of each name; the letters of names with fewer letters than pieces."""
+    name, n, m = F.col("name"), F.length("name"), F.col("m")
+
+    def token(i: Column) -> Column:
+        start, size = _piece(n, m, i)
+        return F.concat_ws(":", n, i, F.substr(name, start, size))
+
+    letters = F.transform(F.array_distinct(F.split(name, "")), lambda x: F.concat_ws(":", n, F.lit("any"), x))
+    tokens = F.when(n >= m, F.transform(F.sequence(F.lit(1), m), token)).otherwise(letters)
+    return names.withColumn("m", _pieces(n, least)).select("name", F.explode(tokens).alias("token"))
+
+
+def _probes(names: DataFrame, least: float) -> DataFrame:
+    """(name, token): the runs of each name that can be a piece of an indexed one.
+
+    If two names are k edits apart, one of the k + 1 pieces is whole in the
+    other, moved by no more than the pieces before it and after it can be
+    edited: the i-th by i - 1 counted from the left, and by m - i from the right.
     """
-    if size == 1:
-        return n - ceil(n * (least / (2 - least)) - 1e-9)
-    if metric == "levenshtein":
-        return floor(n * ((1 - least) / least) + 1e-9) * size
-    share = least / (2 - least)
-    return ceil(most(*(n * (size + (size - 1) * m - (2 * size - 1) * least * (1 + m) / 2) for m in (share, 1 / share))) + 1e-9)
+    name, n, other, m, i = F.col("name"), F.length("name"), F.col("other"), F.col("m"), F.col("i")
+    lengths = names.withColumn("other", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))))
+    cut = lengths.withColumn("m", _pieces(other, least)).where("other > 0")
+    short = cut.where("other < m").select("name", F.explode(F.transform(F.array_distinct(F.split(name, "")), lambda x: F.concat_ws(":", "other", F.lit("any"), x))).alias("token"))
+    runs = cut.where("other >= m").withColumn("i", F.explode(F.sequence(F.lit(1), m)))
+    start, size = _piece(other, m, i)
+    runs = runs.withColumns({"start": start, "size": size})
+    start, size, shift = F.col("start"), F.col("size"), n - other
+    first, last = F.greatest(F.lit(1), start - (i - 1), start + shift - (m - i)), F.least(n - size + 1, start + (i - 1), start + shift + (m - i))
+    runs = runs.withColumns({"first": first, "last": last}).where("first <= last")
+    token = lambda p: F.concat_ws(":", "other", "i", F.substr(name, p, size))
+    return runs.select("name", F.explode(F.array_distinct(F.transform(F.sequence("first", "last"), token))).alias("token")).union(short)
 
 
-def _prefixes(df: DataFrame, name: str, least: float, metric: str, rarity: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(name, token): the rarest tokens of each name, enough that similar names share one.
+def _tokens(names: DataFrame, size: int) -> DataFrame:
+    """names with a row for each run of `size` letters, each with how often it has come: sets of these tokens share what the names share."""
+    n = F.greatest(F.lit(1), F.length("name") - (size - 1))
+    runs = names.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("name", i, F.lit(size)))).alias("__at", "__run"))
+    nth = F.row_number().over(Window.partitionBy("name", "__run").orderBy("__at"))
+    return runs.withColumn("token", F.concat(F.lit(f"{size} "), "__run", nth.cast("string"))).drop("__at", "__run")
+
 
-    Tokens are runs of three letters where names are sure to have one in common.
-    Names too short for that have runs of two, or single letters, and so have
-    all names that are short enough to be like one of these.
+def _common_runs(whole: Column, size: int, least: float) -> Column:
+    """How many runs of `size` letters two names of `whole` letters together share at least, if difflib finds them so similar.
+
+    Half of least times the whole is matched; each letter without a match parts
+    one block from the next at most, and a block has size - 1 fewer runs than letters.
     """
-    known, n = df.where(F.length(name) > 0).select(F.col(name).alias("name")), F.length("name")
-    parts, reach = [], None  # reach: the longest names that have runs of the present size; all at first
-    for size in (3, 2, 1):
-        unsure = [k for k in range(1, 1000) if k - size + 1 - _most_lost(k, size, least, metric) < 1]
-        if size > 1 and len(unsure) > 500:
-            continue  # at this likeness names need have no such run in common
-        keep = (_most_lost(n, size, least, metric, F.floor, F.ceil, F.greatest) + 1).cast("int")
-        own = known if reach is None else known.where(n <= reach)
-        own = own.where(~n.isin(unsure)) if unsure else own
-        parts.append(_tokens(own.select("name", keep.alias("keep"), F.lit(size).alias("size")), size))
-        reach = max(unsure, default=0) * (2 - least) / least + 1e-9
-        if not reach > 1:
-            break
+    matched = F.ceil(whole * least / 2 - 1e-9)
+    return matched - (size - 1) * (whole - 2 * matched + 1)
+
+
+def _prefixes(names: DataFrame, least: float) -> DataFrame:
+    """(name, size, token, place, n): the rarest of the n tokens of each name, by place, enough that similar names share one.
+
+    Tokens are runs of two letters, where all partners are sure to have one in
+    common, else single letters; names whose partners may be such short ones have both.
+    """
+    n, parts = F.length("name"), []
+    shortest, longest = F.ceil(n * least / (2 - least) - 1e-9), F.floor(n * (2 - least) / least + 1e-9)
+    sure = [k for k in range(1, 2000) if all(_runs_of(k + j, 2, least) >= 1 for j in range(math.ceil(k * least / (2 - least) - 1e-9), math.floor(k * (2 - least) / least + 1e-9) + 1))]
+    unsure = max(set(range(1, 2000)) - set(sure))
+    pairs = unsure < 1999
+    reach = F.lit(unsure * (2 - least) / least + 1e-9) if pairs else F.lit(float("inf"))
+    for size in (2, 1) if pairs else (1,):
+        own = names.where(~n.isin(*(set(range(1, unsure + 1)) - set(sure)))) if size == 2 else names.where(n <= reach)
+        need = F.greatest(F.lit(1), F.array_min(F.transform(F.sequence(shortest, longest), lambda other: _common_runs(n + other, size, least))))
+        parts.append(_tokens(own.select("name", F.lit(size).alias("size"), need.alias("need")), size))
     tokens = reduce(DataFrame.unionByName, parts)
-    if rarity is None:
-        rarity = tokens.groupBy("token").agg(F.count("*").alias("seen"))
-    w = Window.partitionBy("name", "size").orderBy(F.coalesce("seen", F.lit(0)), "token")
-    got = tokens.join(rarity, "token", "left").withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("keep"))
-    return got.select("name", "token"), rarity
+    rarity = tokens.groupBy("token").agg(F.count("*").alias("seen"))
+    w = Window.partitionBy("name", "size")
+    got = tokens.join(rarity, "token").withColumns({"place": F.row_number().over(w.orderBy("seen", "token")), "n": F.count("*").over(w)})
+    return got.where(F.col("place") <= F.col("n") - F.col("need") + 1).select("name", "size", "token", "place", "n")
+
+
+def _runs_of(whole: int, size: int, least: float) -> int:
+    matched = math.ceil(whole * least / 2 - 1e-9)
+    return matched - (size - 1) * (whole - 2 * matched + 1)
+
+
+def likely_pairs(x: DataFrame, y: DataFrame, least: float, metric: str = "levenshtein") -> DataFrame:
+    """(a, b) of the distinct, non-empty names `a` of x and `b` of y that may be so similar; those that are are among them."""
+    x, y = x.where("a <> ''"), y.where("b <> ''")
+    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    if metric == "levenshtein":
+        index = _indexed(y.select(F.col("b").alias("name")), least).withColumnRenamed("name", "b")
+        pairs = _probes(x.select(F.col("a").alias("name")), least).withColumnRenamed("name", "a").join(index, "token").select("a", "b").distinct()
+        return pairs.where(_common_letters(F.col("a"), F.col("b")) >= long - F.floor(long * (1 - least) + 1e-9))
+    side = lambda df, c: df.select(F.col(c).alias("name"), F.lit(c).alias("side"))
+    both = side(x, "a").union(side(y, "b"))
+    tokens = checkpointed(_prefixes(both.select("name").distinct(), least))
+    ta, tb = (tokens.join(df.select(F.col(c).alias("name")), "name").select(F.col("name").alias(c), "size", "token", F.col("place").alias(f"place_{c}"), F.col("n").alias(f"n_{c}")) for df, c in ((x, "a"), (y, "b")))
+    whole = F.length("a") + F.length("b")
+    met = ta.join(tb, ["token", "size"]).where(short >= F.ceil(whole * least / 2 - 1e-9))
+    # tokens shared in the prefixes, and as many as can follow the last of these: below the bound, strings needn't meet
+    summed = met.groupBy("a", "b", "size").agg(F.count("*").alias("shared"), F.min(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))).alias("rest"))
+    need = F.when(F.col("size") == 2, _common_runs(whole, 2, least)).otherwise(_common_runs(whole, 1, least))
+    enough = summed.where(F.col("shared") + F.col("rest") >= need).select("a", "b").distinct()
+    return enough.where(_common_letters(F.col("a"), F.col("b")) >= F.ceil(whole * least / 2 - 1e-9))
 
 
 def similar_names(a: DataFrame, b: DataFrame, col_a: str, col_b: str, least: float, metric: str = "levenshtein") -> DataFrame:
-    """(a, b, ratio) of the distinct names at least so similar. No pair is lost: names this similar share a token of their prefixes and have lengths and letters in common; the rest is compared exactly. Empty names equal each other."""
+    """(a, b, ratio) of the distinct names at least so similar. No pair is lost (`likely_pairs`). Empty names equal each other."""
     x = a.select(F.col(col_a).alias("a")).where("a IS NOT NULL").distinct()
     y = b.select(F.col(col_b).alias("b")).where("b IS NOT NULL").distinct()
-    both = x.select(F.col("a").alias("n")).union(y.select(F.col("b").alias("n"))).distinct()
-    _, rarity = _prefixes(both, "n", least, metric)
-    px, _ = _prefixes(x, "a", least, metric, rarity)
-    py, _ = _prefixes(y, "b", least, metric, rarity)
-    pairs = px.select(F.col("name").alias("a"), "token").join(py.select(F.col("name").alias("b"), "token"), "token")
-    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    pairs = pairs.where(short / long >= (least if metric == "levenshtein" else least / (2 - least)) - 1e-9).select("a", "b").distinct()
-    # letters in common, as many as the metric needs at least
-    common = _common_letters(F.col("a"), F.col("b"))
-    pairs = pairs.where(common >= (long * least if metric == "levenshtein" else (short + long) * least / 2) - 1e-9)
     ratio = lev_ratio(F.col("a"), F.col("b")) if metric == "levenshtein" else gestalt_ratio(F.col("a"), F.col("b"))
-    got = pairs.withColumn("ratio", ratio).where(F.col("ratio") >= least)
+    got = likely_pairs(x, y, least, metric).withColumn("ratio", ratio).where(F.col("ratio") >= least)
     empty = x.where("a = ''").join(y.where("b = ''"), F.col("a") == F.col("b")).withColumn("ratio", F.lit(1.0))
     return got.unionByName(empty)
 
@@ -138,27 +214,64 @@ def membership(registry: DataFrame, name: str, sources: dict[str, DataFrame], le
     return out.drop("__norm")
 
 
-def greedy_new_names(new: DataFrame, name: str, existing: DataFrame, existing_name: str, least: float = 0.85, metric: str = "levenshtein", rounds: int = 100) -> DataFrame:
-    """New names to accept, in code-point order: those like no existing name and like no smaller accepted one.
+def first_independent(nodes: DataFrame, links: DataFrame, names_a_range: int = 200_000) -> DataFrame:
+    """Of nodes (name) and links (name, other) with other < name: the names that have no link to a smaller one that is kept.
 
-    Each round accepts the names without an undecided or accepted smaller like,
-    and rejects their larger likes; every round is checkpointed.
+    Names stand in ranges of their order. A round decides in each range, from its
+    smallest name on, all that depends on no undecided name of another range; as links only
+    lead to smaller names, the first range with undecided names is decided whole. So there are no more
+    rounds than ranges, however long a chain is, and few where chains are short. A task
+    keeps the names of a range, not their links, which stream past in order.
     """
+    ranges = max(1, -(-nodes.count() // names_a_range))
+    state = nodes.repartitionByRange(ranges, "name").select("name", F.spark_partition_id().alias("part"), F.lit(0).alias("state"))  # 0 open, 1 kept, 2 dropped
+    state = checkpointed(state)
+    links = checkpointed(links.join(state.select("name", "part"), "name").join(state.select(F.col("name").alias("other"), F.col("part").alias("other_part")), "other"))
+    for _ in range(ranges):
+        known = links.join(state.select(F.col("name").alias("other"), F.col("state").alias("other_state")), "other")
+        outside = known.where("part <> other_part OR other_state <> 0").groupBy("name").agg(F.max((F.col("other_state") == 1).cast("int")).alias("hit"), F.max((F.col("other_state") == 0).cast("int")).alias("wait"))
+        open_ = state.where("state = 0").join(outside, "name", "left").select("part", "name", F.lit(None).cast("string").alias("other"), F.coalesce("hit", F.lit(0)).alias("hit"), F.coalesce("wait", F.lit(0)).alias("wait"))
+        inside = known.where("part = other_part AND other_state = 0").select("part", "name", "other", F.lit(0).alias("hit"), F.lit(0).alias("wait"))
+        dealt = open_.unionByName(inside).repartition("part").sortWithinPartitions("part", "name", F.asc_nulls_first("other"))
+        decided = dealt.mapInPandas(_decide, "name string, state int")
+        state = checkpointed(state.where("state <> 0").unionByName(state.where("state = 0").select("name", "part").join(decided, "name")))
+        links = checkpointed(links.join(state.where("state = 0").select("name"), "name", "left_semi"))  # links of decided names say no more
+        if links.isEmpty():
+            break
+    return state.where("state = 1").select("name")
+
+
+def _decide(frames):
+    """(name, state) of rows (part, name, other, hit, wait) in order: a name's row of its own, then its links within the part."""
+    part, name, kept, dropped, now = None, None, set(), set(), 0
+    for frame in frames:
+        out = []
+        for p, n, other, hit, wait in frame.itertuples(index=False):
+            if n != name or p != part:
+                if name is not None:
+                    out.append((name, now))
+                    (kept.add if now == 1 else dropped.add if now == 2 else lambda _: None)(name)
+                if p != part:
+                    kept, dropped = set(), set()
+                part, name, now = p, n, 2 if hit else 0 if wait else 1
+            elif other in kept:
+                now = 2
+            elif now == 1 and other not in dropped:
+                now = 0
+        yield pd.DataFrame(out, columns=["name", "state"])
+    if name is not None:
+        yield pd.DataFrame([(name, now)], columns=["name", "state"])
+
+
+def greedy_new_names(new: DataFrame, name: str, existing: DataFrame, existing_name: str, least: float = 0.85, metric: str = "levenshtein") -> DataFrame:
+    """New names to accept, in code-point order: those like no existing name and like no smaller accepted one. Names equal after normalising are alike."""
     norm = lambda df, c: df.select(F.col(c).alias("name"), standard_name(F.col(c), "substring").alias("norm")).where("name IS NOT NULL").distinct()
     fresh, old = norm(new, name), norm(existing, existing_name)
     taken = similar_names(fresh, old, "norm", "norm", least, metric).select(F.col("a").alias("norm")).distinct()
-    open_ = fresh.join(taken, "norm", "left_anti")
+    open_ = checkpointed(fresh.join(taken, "norm", "left_anti"))
     like = similar_names(open_, open_, "norm", "norm", least, metric).select("a", "b")
-    links = checkpointed(open_.select("name", F.col("norm").alias("a")).join(like, "a").join(open_.select(F.col("name").alias("other"), F.col("norm").alias("b")), "b").where("other < name").select("name", "other"))
-    state = checkpointed(open_.select("name", F.lit(0).alias("state")))  # 0 open, 1 accepted, 2 rejected
-    for _ in range(rounds):
-        seen = links.join(state.select(F.col("name").alias("other"), F.col("state").alias("s")), "other").groupBy("name").agg(F.max((F.col("s") == 1).cast("int")).alias("hit"), F.max((F.col("s") == 0).cast("int")).alias("wait"))
-        state = checkpointed(state.join(seen, "name", "left").select("name", F.when(F.col("state") != 0, F.col("state")).when(F.col("hit") == 1, 2).when(F.coalesce("wait", F.lit(0)) == 1, 0).otherwise(1).alias("state")))
-        if state.where("state = 0").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"names are undecided after {rounds} rounds")
-    return state.where("state = 1").select("name")
+    links = open_.select("name", F.col("norm").alias("a")).join(like, "a").join(open_.select(F.col("name").alias("other"), F.col("norm").alias("b")), "b").where("other < name").select("name", "other")
+    return first_independent(open_.select("name"), links)
 
 
 def best_registry_match(names: DataFrame, name: str, registry: DataFrame, registry_name: str, *, sure: float = 0.9, fair: float = 0.8, shared: int = 2, metric: str = "levenshtein") -> DataFrame:
@@ -174,17 +287,24 @@ def best_registry_match(names: DataFrame, name: str, registry: DataFrame, regist
 
 
 def match_by_amount(contracts: DataFrame, projects: DataFrame, least: float = 60.0, metric: str = "levenshtein") -> DataFrame:
-    """The best project of each contract of exactly its amount, by title (0.6) and contractor (0.4). Ties go to the smallest project id."""
-    c = contracts.select(F.col("id").alias("contract_id"), F.col("amount").alias("money"), "award_title", "notice_title", F.upper(F.trim("awardee")).alias("awardee"))
-    p = projects.select(F.col("id").alias("project_id"), F.col("cost").alias("money"), "project_name", F.upper(F.trim("contractor")).alias("contractor"))
-    pairs = c.where("money > 0").join(p, "money")
-    ratio = (lambda a, b: lev_ratio(a, b)) if metric == "levenshtein" else gestalt_ratio
-    title = lambda x: ratio(standard_name(x, "title"), standard_name(F.col("project_name"), "title"))
+    """The best project of each contract of exactly its amount, by title (0.6) and contractor (0.4). Ties go to the smallest project id.
+
+    A title that is null or has only words that say nothing is like no other.
+    Likeness is computed once for each pair of different titles and contractors of one amount.
+    """
+    title = lambda x: standard_name(F.col(x), "title")
+    c = contracts.select(F.col("id").alias("contract_id"), F.col("amount").alias("money"), title("award_title").alias("award"), title("notice_title").alias("notice"), F.upper(F.trim("awardee")).alias("awardee"))
+    p = projects.select(F.col("id").alias("project_id"), F.col("cost").alias("money"), title("project_name").alias("project"), F.upper(F.trim("contractor")).alias("contractor"))
+    sides = ["money", "award", "notice", "awardee"], ["money", "project", "contractor"]
+    different = c.where("money > 0").select(*sides[0]).distinct().join(p.groupBy(*sides[1]).agg(F.min("project_id").alias("project_id")), "money")
+    ratio = lev_ratio if metric == "levenshtein" else gestalt_ratio
+    alike = lambda x: F.when((F.col(x) == "") | (F.col("project") == ""), 0.0).otherwise(ratio(F.col(x), F.col("project")))
     names = F.when(F.col("awardee") == F.col("contractor"), 1.0).when(F.contains("awardee", "contractor") | F.contains("contractor", "awardee"), 0.9).otherwise(ratio(F.col("awardee"), F.col("contractor")))
-    got = pairs.withColumn("score", F.round((F.greatest(title(F.col("award_title")), title(F.col("notice_title"))) * 0.6 + names * 0.4) * 100, 2)).where(F.col("score") >= least)
-    w = Window.partitionBy("contract_id").orderBy(F.desc("score"), "project_id")
-    got = got.withColumn("rank", F.row_number().over(w)).where("rank = 1")
-    return got.select("contract_id", "project_id", "score", F.when(F.col("score") >= 80, "excellent").when(F.col("score") >= 70, "good").otherwise("fair").alias("quality"))
+    got = different.withColumn("score", F.round((F.greatest(alike("award"), alike("notice")) * 0.6 + names * 0.4) * 100, 2)).where(F.col("score") >= least)
+    w = Window.partitionBy(*sides[0]).orderBy(F.desc("score"), "project_id")
+    best = got.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(*[F.col(x).alias(f"of_{x}") for x in sides[0]], "project_id", "score")
+    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"of_{x}")) for x in sides[0]])
+    return c.join(best, same).select("contract_id", "project_id", "score", F.when(F.col("score") >= 80, "excellent").when(F.col("score") >= 70, "good").otherwise("fair").alias("quality"))
 
 
 def match_by_place(contracts: DataFrame, projects: DataFrame, least: float = 85.0, percent: float = 1.0, metric: str = "levenshtein") -> DataFrame:

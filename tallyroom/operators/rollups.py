@@ -42,24 +42,72 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank", partition: list[st
     return df.withColumn(name, F.row_number().over(w.orderBy(*order)))
 
 
+def _ranges(df: DataFrame, order: tuple[str, ...], parts: int) -> Column:
+    """The range of each row, of about `parts` over the whole order (null first), by bounds from a bounded sample of rows. All columns of the order count, so a frequent first value is more than one range."""
+    some = df.select(*order).orderBy(F.rand(7)).limit(parts * 16).collect()
+    known = sorted({tuple(r) for r in some}, key=lambda r: tuple((x is not None, x) for x in r))
+    bounds = [known[i] for i in sorted({len(known) * k // parts for k in range(1, parts)}) if i < len(known)]
+    if not bounds:
+        return F.lit(0)
+    kinds = [df.schema[c].dataType for c in order]
+    literal = lambda row: F.struct(*[F.lit(x).cast(k).alias(c) for x, k, c in zip(row, kinds, order)])
+    own = F.struct(*order)
+    return F.size(F.filter(F.array(*map(literal, bounds)), lambda b: b < own))
+
+
+def running_total(df: DataFrame, amount: Column, *order: str, name: str = "running", partition: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+    """df with the sum of amount so far over the whole order, or in each partition of it, without one task for all rows.
+
+    Rows are dealt out by ranges of the order; the sum is that in the row's
+    range and of the ranges before. The bounds balance the tasks, and change no sum.
+    """
+    dealt = df.withColumns({"__range": _ranges(df, order, parts), "__amount": amount})
+    sums = dealt.groupBy(*partition, "__range").agg(F.sum("__amount").alias("__sum"))  # `parts` rows a partition
+    before = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
+    sums = sums.withColumn("__before", F.sum("__sum").over(before.orderBy("__range")) - F.col("__sum")).drop("__sum")
+    own = Window.partitionBy(*partition, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = dealt.withColumn("__own", F.sum("__amount").over(own)).join(sums, [*partition, "__range"])
+    return got.withColumn(name, F.col("__own") + F.col("__before")).drop("__own", "__before", "__range", "__amount")
+
+
 def numbered(df: DataFrame, *order: str, name: str = "position", partition: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
-    """df with row numbers over the whole order, or in each partition of it, without one task for all rows.
+    """df with row numbers over the whole order, or in each partition of it: running totals of one a row."""
+    return running_total(df, F.lit(1).cast("long"), *order, name=name, partition=partition, parts=parts)
 
-    Rows are dealt out by ranges of the first column of the order (null first),
-    whose bounds come from a fixed number of its values; a row's number is its number in its range
-    and the rows of the ranges before. The bounds balance the tasks, and change no number.
+
+def exact_quantile(df: DataFrame, group: list[str], amount: str, q: float = 0.5, accuracy: int = 10_000) -> DataFrame:
+    """group and `quantile`, with linear interpolation, exactly, without a group's amounts in one place. Null and NaN amounts take no part.
+
+    A first pass gives each group's size and, by a sketch whose error is at most
+    1 / accuracy of its rows, two amounts with the sought places between them. A second
+    counts what is below, and the different amounts between, of which only a
+    few in `accuracy` rows are left. Groups of up to 4 * accuracy rows are between their ends.
     """
-    key = order[0]
-    some = df.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(parts * 16).collect()  # a bounded sample
-    bounds = sorted(r["k"] for r in some)[15::16]
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    dealt = df.withColumn("__range", place)
-    sizes = dealt.groupBy(*partition, "__range").agg(F.count("*").alias("__n"))  # `parts` rows a partition
-    before = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    sizes = sizes.withColumn("__before", F.sum("__n").over(before.orderBy("__range")) - F.col("__n")).drop("__n")
-    own = Window.partitionBy(*partition, "__range").orderBy(*order)
-    got = dealt.withColumn("__own", F.row_number().over(own)).join(sizes, [*partition, "__range"])
-    return got.withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before", "__range")
+    x = F.col(amount).cast("double")
+    known = df.select(*group, x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    near = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
+    ends = known.groupBy(*group).agg(F.count("*").alias("__n"), F.min("__x").alias("__least"), F.max("__x").alias("__most"), F.percentile_approx("__x", near, accuracy).alias("__near"))
+    small = F.col("__n") <= 4 * accuracy
+    ends = ends.select(*[F.col(c).alias(f"__of_{c}") for c in group], "__n", F.when(small, F.col("__least")).otherwise(F.col("__near")[0]).alias("__low"), F.when(small, F.col("__most")).otherwise(F.col("__near")[1]).alias("__high"))
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in group]
+    # amounts below the bracket count as one that is
+    between = known.join(ends, same).where(F.col("__x") <= F.col("__high")).withColumn("__x", F.when(F.col("__x") >= F.col("__low"), F.col("__x")))
+    counts = between.groupBy(*group, "__n", "__x").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*group).orderBy(F.asc_nulls_first("__x")))
+    place = q * (F.col("__n") - 1)
+    first, second = F.floor(place) + 1, F.ceil(place) + 1
+    counts = counts.withColumn("__upto", upto)
+    at = lambda k: F.min(F.when(F.col("__x").isNotNull() & (F.col("__upto") >= k), F.col("__x")))
+    found = counts.groupBy(*group, "__n").agg(at(first).alias("__a"), at(second).alias("__b"))
+    return found.select(*group, (F.col("__a") + (F.col("__b") - F.col("__a")) * (place - F.floor(place))).alias("quantile"))
+
+
+def regional_profile(df: DataFrame, label: str, amount: str, least_rows: int) -> DataFrame:
+    """Statistics of the labels with `least_rows` rows or more, and the exact median."""
+    named = df.withColumn("label", F.col(label))
+    middle = exact_quantile(named, ["label"], amount).select(F.col("label").alias("__label"), F.col("quantile").alias("median"))
+    got = named.groupBy("label").agg(*full_measures(amount)).where(F.col("n") >= least_rows)
+    return got.join(middle, F.col("label").eqNullSafe(F.col("__label")), "left").drop("__label")
 
 
 def long_values(df: DataFrame, columns: list[str], skip: tuple[str, ...] = ("", "INVALID")) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import GENERIC_WORDS, SUBSTRINGS, SUFFIX_WORDS, former_parts, standard_name, valid_name
+from ..functions.columns import GENERIC_WORDS, SUBSTRINGS, SUFFIX_WORDS, TITLE_WORDS, former_parts, standard_name, valid_name
 from ..operators import entities as E
 from ..operators import filters as P
 from ..operators import geo as X
@@ -184,7 +184,9 @@ def band_counts(t):
 query("j4_band_join", "contract_id i, n i", BAND_SQL)(band_counts)
 query("j4_band_join_whole", "contract_id i, n i", BAND_SQL)(band_counts)  # an earlier name of the same query
 same_sql = f"CASE WHEN upper(c.awardee) = upper(p.contractor) THEN 1.0 ELSE {ratio_sql('upper(c.awardee)', 'upper(p.contractor)')} END"
-title_sql = f"greatest({ratio_sql('upper(c.award_title)', 'upper(p.project_name)')}, {ratio_sql('upper(c.notice_title)', 'upper(p.project_name)')})"
+norm_title = lambda c: f"array_to_string(list_filter(string_split(trim(regexp_replace(upper(coalesce({c}, '')), '\\s+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({sql_list(TITLE_WORDS)})), ' ')"
+alike_sql = lambda a, b: f"CASE WHEN {norm_title(a)} = '' OR {norm_title(b)} = '' THEN 0.0 ELSE {ratio_sql(norm_title(a), norm_title(b))} END"
+title_sql = f"greatest({alike_sql('c.award_title', 'p.project_name')}, {alike_sql('c.notice_title', 'p.project_name')})"
 query("e9_match_by_amount", "contract_id i, project_id i, score d", f"SELECT contract_id, project_id, score FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY score DESC, project_id) AS r FROM (SELECT c.id AS contract_id, p.id AS project_id, round(({title_sql} * 0.6 + {same_sql} * 0.4) * 100, 2) AS score FROM {{contract}} c JOIN {{project}} p ON c.amount = p.cost AND c.amount > 0) x WHERE score >= 60) y WHERE r = 1")(lambda t: M.match_by_amount(t("contract"), t("project")))
 am = "abs(CAST(c.amount AS DOUBLE) - CAST(p.cost AS DOUBLE)) / greatest(CAST(c.amount AS DOUBLE), CAST(p.cost AS DOUBLE)) * 100"
 amt_sql = f"CASE WHEN c.amount = p.cost THEN 1.0 WHEN {am} <= 5 THEN 1.0 - {am} / 5.0 ELSE 0 END"
