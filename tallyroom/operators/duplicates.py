@@ -84,14 +84,17 @@ def tiered_duplicates(df: DataFrame, row: str, description: str = "dsc", amount:
     tiers = [(name, [description, amount, *[c for c in cols if c in df.columns]]) for name, cols in TIERS]
     pair = [description, amount]
     columns = list(dict.fromkeys(k for _, keys in tiers for k in keys))
-    digest = lambda keys, t: [F.xxhash64(F.lit(t), *keys).alias("h1"), F.xxhash64(*keys, F.lit(~t)).alias("h2")]
+    digest = lambda keys, t: [F.xxhash64("p1", F.lit(t), *keys).alias("h1"), F.xxhash64("p2", *keys, F.lit(~t)).alias("h2")]
+    all_known = lambda keys: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
     own = dict(zip(("c1", "c2"), (F.xxhash64(F.lit(-1), *[F.struct(c) for c in columns]), F.xxhash64(*[F.struct(c) for c in columns], F.lit(-1)))))
     rows = known_keys(described(df, description), pair).select(row, *columns)
     different = rows.groupBy(*columns).agg(F.count("*").alias("n"))
     crowded = different.groupBy(*pair).agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(*pair)
     different = different.join(crowded.hint("shuffle_hash"), pair, "left_semi")
-    keys_of = [F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.struct(F.lit(t).alias("t"), *digest(keys, t))) for t, (_, keys) in enumerate(tiers)]
-    member = different.withColumns(own).select("c1", "c2", "n", F.explode(F.filter(F.array(*keys_of), lambda x: x.isNotNull())).alias("k")).select("c1", "c2", "n", "k.*")
+    # description and amount are in every tier's keys: their hashes stand for them
+    short = different.withColumns(own).withColumns({"p1": F.xxhash64(*pair), "p2": F.xxhash64(*pair, F.lit(1))}).drop(*pair)
+    keys_of = [F.struct(F.lit(t).alias("t"), *digest(keys[2:], t), all_known(keys[2:]).alias("known")) for t, (_, keys) in enumerate(tiers)]
+    member = short.select("c1", "c2", "n", F.inline(F.array(*keys_of))).where("known").drop("known")
     shared = member.groupBy("t", "h1", "h2").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("t", "h1", "h2")
     strictest = member.join(shared.hint("shuffle_hash"), ["t", "h1", "h2"], "left_semi").groupBy("c1", "c2").agg(F.min("t").alias("t"))
     tier = F.element_at(F.array(*[F.lit(name) for name, _ in tiers]), F.col("t") + 1)
