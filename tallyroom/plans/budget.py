@@ -29,19 +29,29 @@ def v(t):
     return P.valid_lines(t("budget_line"))
 
 
+def now(t):
+    """Valid lines of the latest year: its folder alone is read."""
+    return P.valid_lines(t.by_year("budget_line").of(YEAR))
+
+
+def before(t):
+    """Valid lines of the latest year before it that the catalog has: the scan waits for the catalog's answer."""
+    return P.valid_lines(t.by_year("budget_line").before(YEAR))
+
+
 def nv(t):
     return P.valid_proposals(t("nep_line"))
 
 
 # Scans and loads
 
-query("s1_year_scan", LINE_T, f"SELECT {LINE} FROM {{budget_line}} WHERE year = {YEAR}")(lambda t: S.year_scan(t("budget_line"), YEAR))
+query("s1_year_scan", LINE_T, f"SELECT {LINE} FROM {{budget_line}} WHERE year = {YEAR}")(lambda t: t.by_year("budget_line").of(YEAR))
 
 
 @query("s2_all_years", "year i, sorder i, amt d, fundcd i", "SELECT year, sorder, amt, CASE WHEN year <> 1997 THEN fundcd END AS fundcd FROM {budget_line} WHERE year BETWEEN 1996 AND 1998")
 def s2(t):
-    b = t("budget_line")
-    years = {y: S.year_scan(b, y).drop("year") for y in (1996, 1997, 1998)}
+    b = t.by_year("budget_line")
+    years = {y: b.of(y).drop("year") for y in (1996, 1997, 1998)}
     return S.all_years(years | {1997: years[1997].drop("fundcd"), 1990: None})
 
 
@@ -216,8 +226,10 @@ query("t3_against_mean", "label s, latest d, mean d, over_mean d, over_last d",
 RISE = f"""SELECT a.label, a.n, a.total, b.label IS NULL AS is_new, CASE WHEN b.label IS NOT NULL THEN CASE WHEN b.total > 0 THEN (a.total - b.total) / b.total * 100 ELSE 0 END END AS growth, a.total - coalesce(b.total, 0) AS increase,
 CASE WHEN b.label IS NULL AND a.total >= 1000 THEN 'NEW' WHEN b.label IS NOT NULL AND CASE WHEN b.total > 0 THEN (a.total - b.total) / b.total * 100 ELSE 0 END >= 50 AND a.total >= 0 THEN 'ALERT' ELSE 'OK' END AS status
 FROM (SELECT uacs_agy_dsc AS label, count(*) AS n, CAST(sum(amt) AS DOUBLE) AS total FROM {V} x WHERE year = {YEAR} GROUP BY 1) a LEFT JOIN (SELECT uacs_agy_dsc AS label, CAST(sum(amt) AS DOUBLE) AS total FROM {V} y WHERE year = {BEFORE} AND agency <> 4 GROUP BY 1) b ON a.label = b.label"""
-query("t4_sudden_rise", "label s, n i, total d, is_new b, growth d, increase d, status s", RISE)(lambda t: T.sudden_rise(S.year_scan(v(t), YEAR), S.year_scan(v(t), BEFORE).where("agency <> 4"), "uacs_agy_dsc", "amt", 0, 1000))
-query("j10_later_left_join", "label s, total d, increase d", f"SELECT label, total, increase FROM ({RISE}) r")(lambda t: T.sudden_rise(S.year_scan(v(t), YEAR), S.year_scan(v(t), BEFORE).where("agency <> 4"), "uacs_agy_dsc", "amt"))
+query("t4_sudden_rise", "label s, n i, total d, is_new b, growth d, increase d, status s", RISE)(
+    lambda t: T.sudden_rise(now(t), before(t).where("agency <> 4"), "uacs_agy_dsc", "amt", 0, 1000))
+query("j10_later_left_join", "label s, total d, increase d", f"SELECT label, total, increase FROM ({RISE}) r")(
+    lambda t: T.sudden_rise(now(t), before(t).where("agency <> 4"), "uacs_agy_dsc", "amt"))
 
 
 @query("t5_category_rise", "label s, latest d, mean d, over_mean d, status s", f"SELECT label, latest, mean, over_mean, CASE WHEN over_last >= 30 OR over_mean >= 50 THEN 'ALERT' WHEN over_last >= 21 OR over_mean >= 35 THEN 'WATCH' ELSE 'OK' END AS status FROM ({MEAN.replace('{src}', f'''SELECT category AS label, year, CAST(sum(amt) AS DOUBLE) AS total FROM ({CAT_SQL.replace('{src}', V)}) c GROUP BY 1, 2''')}) z")
@@ -228,7 +240,7 @@ def t5(t):
 
 NEW_KEYS = ["dsc", "amt", "uacs_reg_id", "operunit"]
 query("t6_new_large_items", "dsc s, amt d, n i, total d", f"SELECT dsc, amt, n, CAST(amt AS DOUBLE) * n AS total FROM (SELECT {csv(NEW_KEYS)}, count(*) AS n FROM {V} a WHERE year = {YEAR} AND amt >= 30000 GROUP BY {csv(NEW_KEYS)} ORDER BY amt DESC, {csv(NEW_KEYS)} LIMIT 100) x WHERE dsc NOT IN (SELECT dsc FROM {V} b WHERE year = {BEFORE} AND operunit < 3 AND dsc IS NOT NULL)")(
-    lambda t: T.new_large_items(S.year_scan(v(t), YEAR), S.year_scan(v(t), BEFORE).where("operunit < 3"), NEW_KEYS, "amt", 30000, 100, "dsc"))
+    lambda t: T.new_large_items(now(t), before(t).where("operunit < 3"), NEW_KEYS, "amt", 30000, 100, "dsc"))
 CONC = f"""SELECT 100.0 * sum(CASE WHEN r <= 3 THEN n END) / sum(n) AS row_share, 100.0 * sum(CASE WHEN r <= 3 THEN total END) / sum(total) AS amount_share, count(*) AS groups FROM (SELECT *, row_number() OVER (ORDER BY total DESC, label) AS r FROM (SELECT uacs_reg_dsc AS label, count(*) AS n, CAST(sum(amt) AS DOUBLE) AS total FROM {V} b GROUP BY 1) x) y"""
 query("t7_concentration", "row_share d, amount_share d, groups i, flag s", f"SELECT *, CASE WHEN amount_share >= 60 THEN 'HIGH' WHEN amount_share >= 48 THEN 'MODERATE' ELSE 'LOW' END AS flag FROM ({CONC}) z")(lambda t: T.concentration(v(t), "uacs_reg_dsc", "amt"))
 PROFILE = f"SELECT uacs_agy_dsc AS label, CAST(sum(amt) AS DOUBLE)/count(*) AS mean FROM {V} b GROUP BY 1 HAVING count(*) >= 10"
@@ -250,7 +262,7 @@ def t10(t):
 # Comparisons and reconciliation
 
 query("j8_absent_descriptions", "dsc s, n i", f"SELECT dsc, count(*) AS n FROM {V} a WHERE year = {YEAR} AND lower(dsc) NOT IN (SELECT lower(dsc) FROM {V} b WHERE year = {BEFORE} AND operunit < 3 AND dsc IS NOT NULL) GROUP BY 1")(
-    lambda t: S.year_scan(v(t), YEAR).withColumn("k", F.lower("dsc")).join(S.year_scan(v(t), BEFORE).where("operunit < 3").select(F.lower("dsc").alias("k")).distinct(), "k", "left_anti").groupBy("dsc").agg(F.count("*").alias("n")))
+    lambda t: now(t).withColumn("k", F.lower("dsc")).join(before(t).where("operunit < 3").select(F.lower("dsc").alias("k")).distinct(), "k", "left_anti").groupBy("dsc").agg(F.count("*").alias("n")))
 DRIFT = ["dsc", "amt", "fundcd", "uacs_reg_dsc", "uacs_exp_cd"]
 
 

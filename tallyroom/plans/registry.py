@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_folder
+from ..sources.years import YearTable, write_years
 from .proxies import duck, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +17,9 @@ _SPARK = {"s": "string", "i": "long", "d": "double", "b": "boolean"}
 _DUCK = {"s": "CAST({c} AS VARCHAR)", "i": "CAST({c} AS BIGINT)", "d": "round(CAST({c} AS DOUBLE), 2)", "b": "CAST({c} AS BOOLEAN)", "m": "round(CAST({c} AS DOUBLE), 4)"}
 
 
+_by_year: dict[tuple, YearTable] = {}
+
+
 def folder(t: Tables) -> str:
     """A new folder that driver and executors share."""
     return new_folder(t.spark)
@@ -30,6 +34,16 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return read(self.spark, self.sf_dir, name)
 
+    def by_year(self, name: str, year: str = "year") -> YearTable:
+        """A table with a folder for each year, written once a session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _by_year:
+            df, path = self(name), new_folder(self.spark, "years")
+            write_years(df, path, year)
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != year)
+            _by_year[key] = YearTable(self.spark, path, schema, year)
+        return _by_year[key]
+
 
 def query(name: str, columns: str, sql: str | None = None):
     """Register f(tables) under a name. columns: "name kind, ..."; kinds are s (text), i (integer), d (number, two decimals), m (four decimals), b (boolean)."""
