@@ -260,7 +260,10 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, meta: l
     known = known.agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("__good"))
     chosen = stage(smallest(known, F.xxhash64(F.lit(seed), "__id"), max_labelled))  # at most max_labelled rows: small enough to broadcast
     pool = docs.select(F.col(doc_id).cast("long").alias("__id"), text, *meta)
-    labelled = stage(pool.join(F.broadcast(chosen), "__id").select("__id", "__good", text, *meta).mapInArrow(lambda it: _features(it, text, meta), "id long, good int, text binary, meta binary"))
+    # one row of each id, that of the smallest hash, so that a repeated id brings no more than one row here
+    hashed = F.min(F.struct(F.xxhash64(text, *meta).alias("__hash"), text, *meta)).alias("__row")
+    single = pool.join(F.broadcast(chosen), "__id").groupBy("__id", "__good").agg(hashed).select("__id", "__good", "__row.*")
+    labelled = stage(single.select("__id", "__good", text, *meta).mapInArrow(lambda it: _features(it, text, meta), "id long, good int, text binary, meta binary"))
     rows = sorted(map(tuple, labelled.toLocalIterator()))  # an order of its own, partition after partition
     ids = np.array([r[0] for r in rows], np.int64)
     good = np.array([r[1] for r in rows], float)
