@@ -11,14 +11,15 @@ source go to its shards in the same way, so every shard has an integer quota.
 A shard takes all its blocks quota // blocks times and one more of the first
 quota % blocks in a seeded order of its blocks.
 
-A shard holds some hundred documents, chosen by a seeded hash of the id; a
+A shard holds some hundred documents, chosen by a seeded hash of the id and the text; a
 source of a third of all rows has a third of all shards. Only counts per source
 and per shard are ranked, never documents; the number of shards is bounded by
 `max_shards` (then shards grow).
 
 Defined results: size is the number of words, 0 for a null or blank text; a
 null source is a source of its own and last in the order; rows that repeat are
-documents of their own; documents of no words take 0; a text counts whole,
+documents of their own; rows without doc_id, or of one id, are dealt out by their
+texts, and only those with equal texts too stand in one shard; documents of no words take 0; a text counts whole,
 however long; an empty table gives an empty table; input columns named as a
 result column are replaced, all others pass through.
 """
@@ -82,7 +83,7 @@ def mix_sources(
     """
     names = ["size", "source_size", "target", "taken", "spans"]
     docs = drop_clashes(docs, names)
-    sized = docs.withColumns({"size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "__src": F.coalesce(F.col(source).cast("string"), F.lit("")), "__none": F.col(source).isNull()})
+    sized = docs.withColumns({"size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "__src": F.coalesce(F.col(source).cast("string"), F.lit("")), "__none": F.col(source).isNull(), "__text": F.xxhash64(text)})
     by = sized.groupBy(F.col("__src").alias("source"), F.col("__none").alias("none")).agg(F.sum("size").alias("size"))
     turn = (F.row_number().over(Window.orderBy("none", "source")) - 1) % len(weights)
     by = by.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), turn))
@@ -92,7 +93,7 @@ def mix_sources(
 
     key = ["__src", "__none"]
     named = by.withColumnsRenamed({"source": "__src", "none": "__none"})
-    placed = sized.join(named, key).withColumns({"__order": F.xxhash64(F.lit(seed), doc_id), "__shard": F.pmod(F.xxhash64(F.lit(seed + 1), doc_id), F.col("__shards"))})
+    placed = sized.join(named, key).withColumns({"__order": F.xxhash64(F.lit(seed), doc_id, "__text"), "__shard": F.pmod(F.xxhash64(F.lit(seed + 1), doc_id, "__text"), F.col("__shards"))})
     cells = placed.groupBy(*key, "__shard").agg(F.sum("size").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_words).cast("long"))
     cells = stage(cells)
     seats = named.join(cells.groupBy(*key).agg(F.sum("blocks").alias("blocks")), key)
