@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.llm import cotrain, dart_minhash, decontaminate, line_dedup, mixing
-from tallyroom.llm.common import clear_stages, stage, staged
+from tallyroom.llm.common import clear_stages, own_stages, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -73,8 +73,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = staged()
-    for _, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir))
-        clear_stages(spark, before, keep=1)
+    with own_stages() as mine:
+        for _, step in STAGES:
+            docs = stage(step(spark, docs, sf_dir))
+            clear_stages(spark, mine, keep=1)
     return docs

@@ -7,6 +7,8 @@ memory follows the slice and not the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cached_property
 
 import numpy as np
@@ -27,27 +29,34 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-_staged: list[str] = []
+_mine: ContextVar[list[str] | None] = ContextVar("stages", default=None)
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner a known size."""
     path = new_folder(df.sparkSession, "stage")
     df.write.parquet(path)
-    _staged.append(path)
+    mine = _mine.get()
+    if mine is not None:
+        mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def staged() -> int:
-    """How many folders `stage` has written so far."""
-    return len(_staged)
+@contextmanager
+def own_stages() -> Iterator[list[str]]:
+    """The folders that `stage` writes in this block, in this thread: other runs have lists of their own."""
+    mine: list[str] = []
+    token = _mine.set(mine)
+    try:
+        yield mine
+    finally:
+        _mine.reset(token)
 
 
-def clear_stages(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Remove the folders that `stage` wrote after the first `since`, but for the last `keep`: once a result is written, nothing reads what it was made from."""
-    end = len(_staged) - keep
-    gone = _staged[since:end]
-    del _staged[since:end]
+def clear_stages(spark: SparkSession, folders: list[str], keep: int = 0) -> None:
+    """Remove the folders, but for the last `keep`: once a result is written, nothing reads what it was made from."""
+    gone = folders[: len(folders) - keep]
+    del folders[: len(folders) - keep]
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
