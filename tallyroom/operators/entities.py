@@ -99,5 +99,5 @@ def registry_records(pages: DataFrame, text: str = "value") -> DataFrame:
     part = lambda k: F.trim(F.regexp_extract("r", _RECORD, k))
     date = F.coalesce(*[F.try_to_timestamp(part(3), F.lit(f)) for f in ("MMMM d, yyyy", "MM/dd/yyyy", "yyyy-MM-dd")]).cast("date")
     got = got.select(part(1).alias("contractor_name"), part(2).alias("sec_number"), date.alias("date_registered"), part(4).alias("status"), part(5).alias("address"))
-    w = Window.partitionBy("sec_number").orderBy(F.desc_nulls_last("date_registered"), F.desc("contractor_name"), F.desc("address"))
-    return got.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    last = F.max(F.struct("date_registered", "contractor_name", "address", "status")).alias("x")  # null dates are least
+    return got.groupBy("sec_number").agg(last).select("x.contractor_name", "sec_number", "x.date_registered", "x.status", "x.address")

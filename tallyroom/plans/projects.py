@@ -11,6 +11,7 @@ from ..operators import geo as X
 from ..operators import hierarchy as H
 from ..operators import matching as M
 from ..operators import rollups as G
+from ..sources import pages as N
 from ..sources import tables as S
 from ..streaming import ingest as K
 from .registry import folder, query
@@ -146,10 +147,23 @@ query("e20_bridge", "project_id i, name s, role s", f"SELECT DISTINCT * FROM (SE
 query("e21_array_names", "name s", "SELECT DISTINCT unnest([contractor, office]) AS name FROM {project}")(lambda t: E.array_names(t("project").select(F.array(F.concat(F.lit('{"name": "'), "contractor", F.lit('"}')), "office").alias("names")), "names"))
 
 
-@query("e19_registry_records", "contractor_name s, sec_number s, status s, date_registered s")
-def e19(t):
-    page = F.concat(F.lit("COMPANY DETAILS\n\nCompany Name\n"), "contractor_name", F.lit("\n\nSEC Number\n"), F.coalesce("sec_number", F.lit("none")), F.lit("\n\nDate Registered\n"), F.when(F.col("id") % 2 == 0, "March 3, 2011").otherwise("2009-07-21"), F.lit("\n\nStatus\n"), "status", F.lit("\n\nAddress\nMain Street\n\n"))
-    return E.registry_records(t("contractor_name").select(page.alias("value")))
+# Pages of all kinds, written as files and read back: a third hold no record, some are empty or hold other text
+PAGE = """CASE WHEN id % 3 = 1 THEN 'Search results' || chr(10) || 'No Record found for ' || contractor_name WHEN id % 11 = 0 THEN '' WHEN id % 13 = 0 THEN 'Service is not available'
+ELSE 'COMPANY DETAILS' || chr(10) || chr(10) || 'Company Name' || chr(10) || contractor_name || chr(10) || chr(10) || 'SEC Number' || chr(10) || coalesce(sec_number, 'none') || chr(10) || chr(10) || 'Date Registered' || chr(10)
+|| CASE WHEN id % 2 = 0 THEN 'March 3, 2011' ELSE '2009-07-21' END || chr(10) || chr(10) || 'Status' || chr(10) || status || chr(10) || chr(10) || 'Address' || chr(10) || 'Main Street ' || CAST(id AS VARCHAR(20)) || chr(10) END"""
+RECORDS = "(SELECT contractor_name, coalesce(sec_number, 'none') AS sec_number, status, CASE WHEN id % 2 = 0 THEN '2011-03-03' ELSE '2009-07-21' END AS date_registered, 'Main Street ' || CAST(id AS VARCHAR) AS address FROM {contractor_name} WHERE id % 3 <> 1 AND id % 11 <> 0 AND id % 13 <> 0)"
+
+
+def registry_pages(t):
+    path = folder(t)
+    N.write_pages(t("contractor_name").select(F.expr(PAGE).alias("value")), path, "\f")
+    return N.read_pages(t.spark, path, "\f")
+
+
+query("e19_registry_records", "contractor_name s, sec_number s, status s, date_registered s", f"SELECT contractor_name, sec_number, status, date_registered FROM (SELECT *, row_number() OVER (PARTITION BY sec_number ORDER BY date_registered DESC, contractor_name DESC, address DESC, status DESC) AS r FROM {RECORDS} x) y WHERE r = 1")(
+    lambda t: E.registry_records(registry_pages(t).where(N.page_state(F.col("value")) == "record")))
+query("e19_registry_pages", "state s, n i", "SELECT CASE WHEN id % 3 = 1 THEN 'no_record' WHEN id % 11 = 0 THEN 'empty' WHEN id % 13 = 0 THEN 'other' ELSE 'record' END AS state, count(*) AS n FROM {contractor_name} GROUP BY 1")(
+    lambda t: N.page_counts(registry_pages(t)))
 
 
 # Similar names and matches
@@ -248,7 +262,7 @@ def _ingested(t):
     e = t("events").select("event_id", "user_id", "event_type", "value")
     e.write.json(src)
     e.where("event_id % 3 = 0").write.mode("append").json(src)  # keys that come again
-    K.ingest(t.spark, src, f"{base}/table", f"{base}/state", key="event_id", schema=EVENT, year="event_type", amount="value", summary=f"{base}/summary", multi_line=False).awaitTermination()
+    K.ingest(t.spark, src, f"{base}/table", f"{base}/state", key="event_id", schema=EVENT, year="event_type", amount="value", summary=f"{base}/summary", multi_line=False, buckets=16).awaitTermination()
     return base
 
 

@@ -1,13 +1,14 @@
 """Hand-computed values, and similarity joins against brute force."""
 
 import difflib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyroom.functions import columns as C
 from tallyroom.operators import duplicates, entities, matching, trends
-from tallyroom.sources import tables
+from tallyroom.sources import pages, tables
 from tallyroom.streaming import ingest
 
 
@@ -106,6 +107,48 @@ def test_ingest_reads_each_file_and_key_once(spark, tmp_path):
     assert tables.read_batches(spark, str(src / "*.json")).count() == 4
 
 
+def test_a_batch_reads_its_own_buckets_alone(spark, tmp_path):
+    """Keys in other buckets cost a batch nothing, however many they are."""
+    target, rows = str(tmp_path / "t"), spark.range(4000).select(F.col("id").cast("string").alias("id"), F.lit("2025").alias("fiscal_year"))
+    write = lambda df, epoch: df.withColumns({"bucket": ingest.bucket_of("id", 16), "epoch": F.lit(epoch)}).write.mode("append").partitionBy("bucket", "epoch").parquet(target)
+    write(rows.where("id < 500"), 0)
+    own = [rows.where("id = 7").select(ingest.bucket_of("id", 16)).first()[0]]
+    read = lambda: ingest.earlier_keys(spark, target, "id", "string", own, 5)
+    before = sorted(read().inputFiles()), read().count()
+    write(rows.where((F.col("id") >= 500) & (ingest.bucket_of("id", 16) != own[0])), 1)
+    plan = read()._jdf.queryExecution().executedPlan().toString()
+    assert read().count() == before[1] > 0 and re.search(r"PartitionFilters: \[[^]]*bucket#\d+ = \d+\)", plan) and "ReadSchema: struct<id:string>" in plan
+    assert ingest.earlier_keys(spark, str(tmp_path / "none"), "id", "string", own, 5) is None
+
+
+def test_ingest_takes_the_first_by_file_and_place(spark, tmp_path):
+    """Repeats that differ: within a file the first line, over files the first name, over epochs the earlier; a rerun gives equal rows."""
+    src = tmp_path / "in"
+    src.mkdir()
+    line = lambda i, a: f'{{"id": {i if i is None else chr(34) + i + chr(34)}, "fiscal_year": "2025", "amount": {a}}}'.replace("None", "null") + "\n"
+    (src / "b.json").write_text(line("1", 10) + line("2", 20) + line("2", 21) + line("3", 30))
+    (src / "a.json").write_text(line("9", 90) + line("2", 25) + line("2", 26) + line(None, 1) + line("9", 91))
+    run = lambda name: ingest.ingest(spark, str(src), str(tmp_path / f"{name}-t"), str(tmp_path / f"{name}-c"), multi_line=False, buckets=4, summary=str(tmp_path / f"{name}-s")).awaitTermination()
+    rows = lambda name: {r["id"]: float(r["amount"]) for r in spark.read.parquet(str(tmp_path / f"{name}-t")).collect()}
+    run("one")
+    (src / "0.json").write_text(line("1", 99) + line("4", 40))
+    run("one")
+    assert rows("one") == {"1": 10.0, "2": 25.0, "3": 30.0, "9": 90.0, "4": 40.0}
+    assert {r["fiscal_year"]: (r["total_records"], float(r["total_amount"])) for r in ingest.read_summary(spark, str(tmp_path / "one-s")).collect()} == {"2025": (5, 195.0)}
+    run("two")
+    assert rows("two") == {"1": 99.0, "2": 25.0, "3": 30.0, "9": 90.0, "4": 40.0}
+
+
+def test_pages_of_files(spark, tmp_path):
+    """One page a file: records, notices, empty files and other text are told apart and counted."""
+    record = "x\nCOMPANY DETAILS\nCompany Name\n{}\n\nSEC Number\nCS1\n\nDate Registered\n{}\n\nStatus\nRegistered\n\nAddress\nStreet\n"
+    for name, text in {"a": record.format("A CORP", "March 3, 2011"), "b": record.format("B CORP", "2012-01-01"), "c": "", "d": "\n", "e": "No Record found", "f": "busy", "g": record.format("C CORP", "soon")}.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    got = pages.read_pages(spark, str(tmp_path))
+    assert got.count() == 7 and {r["state"]: r["n"] for r in pages.page_counts(got).collect()} == {"record": 3, "empty": 2, "no_record": 1, "other": 1}
+    assert [(r["contractor_name"], str(r["date_registered"])) for r in entities.registry_records(got).collect()] == [("B CORP", "2012-01-01")]
+
+
 def test_year_scan_refuses_bad_years(spark):
     with pytest.raises(ValueError):
         tables.year_scan(spark.range(1), "20x5")
