@@ -14,11 +14,12 @@ def read_pages(spark: SparkSession, path: str, separator: str | None = None) ->
     """(file, value): a row for each file, or for each page of files that hold several, parted by `separator`. Empty files are rows too."""
     reader = spark.read.option("recursiveFileLookup", True)
     pages = reader.option("lineSep", separator).text(path) if separator else reader.text(path, wholetext=True)
-    pages = pages.select(F.col("_metadata.file_name").alias("file"), "value")
-    if separator:
-        return pages
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") == 0)  # a text reader gives no row for these
-    return pages.unionByName(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.lit("").alias("value")))
+    pages = pages.select(F.col("_metadata.file_path").alias("path"), "value")
+    if not separator:
+        # scans leave out files of no bytes, which the driver has listed with the others
+        listed = spark.createDataFrame([(p,) for p in pages.inputFiles()], "path string").withColumn("path", F.url_decode("path"))
+        pages = listed.join(pages.withColumn("path", F.url_decode("path")), "path", "left").na.fill("", ["value"])
+    return pages.select(F.element_at(F.split("path", "/"), -1).alias("file"), "value")
 
 
 def write_pages(df: DataFrame, path: str, separator: str, text: str = "value") -> None:

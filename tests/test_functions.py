@@ -142,7 +142,7 @@ def test_ingest_takes_the_first_by_file_and_place(spark, tmp_path):
 def test_pages_of_files(spark, tmp_path):
     """One page a file: records, notices, empty files and other text are told apart and counted."""
     record = "x\nCOMPANY DETAILS\nCompany Name\n{}\n\nSEC Number\nCS1\n\nDate Registered\n{}\n\nStatus\nRegistered\n\nAddress\nStreet\n"
-    for name, text in {"a": record.format("A CORP", "March 3, 2011"), "b": record.format("B CORP", "2012-01-01"), "c": "", "d": "\n", "e": "No Record found", "f": "busy", "g": record.format("C CORP", "soon")}.items():
+    for name, text in {"a": record.format("A CORP", "March 3, 2011"), "b": record.format("B CORP", "2012-01-01"), "c c": "", "d": "\n", "e": "No Record found", "f f": "busy", "g": record.format("C CORP", "soon")}.items():
         (tmp_path / f"{name}.txt").write_text(text)
     got = pages.read_pages(spark, str(tmp_path))
     assert got.count() == 7 and {r["state"]: r["n"] for r in pages.page_counts(got).collect()} == {"record": 3, "empty": 2, "no_record": 1, "other": 1}
