@@ -17,8 +17,9 @@ def read_pages(spark: SparkSession, path: str, separator: str | None = None) ->
     pages = pages.select(F.col("_metadata.file_path").alias("path"), "value")
     if not separator:
         # scans leave out files of no bytes, which the driver has listed with the others
-        listed = spark.createDataFrame([(p,) for p in pages.inputFiles()], "path string").withColumn("path", F.url_decode("path"))
-        pages = listed.join(pages.withColumn("path", F.url_decode("path")), "path", "left").na.fill("", ["value"])
+        plain = F.url_decode(F.regexp_replace("path", r"^(\w+):/+", "$1:/"))  # the two spell paths differently
+        listed = spark.createDataFrame([(p,) for p in pages.inputFiles()], "path string").withColumn("path", plain)
+        pages = listed.join(pages.withColumn("path", plain), "path", "left").na.fill("", ["value"])
     return pages.select(F.element_at(F.split("path", "/"), -1).alias("file"), "value")
 
 
