@@ -150,7 +150,7 @@ CATALOG = ["uacs_dpt_dsc", "uacs_agy_dsc", "dsc", "uacs_fundsubcat_dsc", "uacs_e
 CATALOG_SQL = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {{src}} WHERE {c} IS NOT NULL AND CAST({c} AS VARCHAR) NOT IN ('', 'INVALID', '-1') GROUP BY {c}" for c in CATALOG)
 query("g22_value_catalog", "column_name s, value s, n i", CATALOG_SQL.replace("{src}", "{budget_line}"))(lambda t: G.value_catalog(t("budget_line"), CATALOG))
 query("g23_cascading_options", "column_name s, value s, n i", f"SELECT column_name, value, n FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS r FROM ({CATALOG_SQL.replace('{src}', '(SELECT * FROM {budget_line} WHERE department = 3) x')}) y) z WHERE r <= 1000")(lambda t: G.value_catalog(P.filter_lines(t("budget_line"), {"department": 3}), CATALOG, 1000))
-query("g24_table_metadata", "n i, columns i, files i", "SELECT count(*) AS n, 20 AS columns, count(DISTINCT source_file) AS files FROM {budget_line}")(lambda t: (b := t("budget_line")).agg(F.count("*").alias("n"), F.lit(len(b.columns)).alias("columns"), F.count_distinct("source_file").alias("files")))
+query("g24_table_metadata", "n i, columns i, files i", "SELECT count(*) AS n, max(len(json_keys(to_json(b)))) AS columns, count(DISTINCT source_file) AS files FROM {budget_line} b")(lambda t: (b := t("budget_line")).agg(F.count("*").alias("n"), F.lit(len(b.columns)).alias("columns"), F.count_distinct("source_file").alias("files")))
 query("g25_regional_profile", "label s, n i, mean d, median d, least d, most d, total d", f"SELECT uacs_reg_dsc AS label, count(*) AS n, CAST(sum(amt) AS DOUBLE)/count(*) AS mean, quantile_cont(CAST(amt AS DOUBLE), 0.5) AS median, min(amt) AS least, max(amt) AS most, sum(amt) AS total FROM {V} b GROUP BY 1 HAVING count(*) >= 10")(
     lambda t: G.regional_profile(v(t), "uacs_reg_dsc", "amt", 10))
 query("g26_department_concentration", "label s, n i, total d, mean d, most d, regions i", f"SELECT uacs_dpt_dsc AS label, count(*) AS n, sum(amt) AS total, CAST(sum(amt) AS DOUBLE)/count(*) AS mean, max(amt) AS most, count(DISTINCT uacs_reg_id) AS regions FROM {V} b GROUP BY 1 ORDER BY total DESC, label LIMIT 20")(

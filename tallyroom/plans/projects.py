@@ -126,12 +126,12 @@ query("e1_standard_names_substring", "norm s, n i, names i", f"SELECT {sub} AS n
 query("e1_standard_names_token", "norm s, n i, names i", f"SELECT {token_sql('contractor_name')} AS norm, count(*) AS n, count(DISTINCT contractor_name) AS names FROM {{contractor_name}} GROUP BY 1")(lambda t: E.standardise(t("contractor_name"), "contractor_name", "token"))
 query("e1_standard_names_suffix", "norm s, n i", f"SELECT {suffix_sql('contractor_name')} AS norm, count(*) AS n FROM {{contractor_name}} GROUP BY 1")(lambda t: t("contractor_name").groupBy(F.upper(standard_name(F.col("contractor_name"), "suffix")).alias("norm")).agg(F.count("*").alias("n")))
 query("e2_valid_names", "id i, valid b", f"SELECT id, {valid_sql('contractor_name')} AS valid FROM {{contractor_name}}")(lambda t: t("contractor_name").withColumn("valid", valid_name(F.col("contractor_name"))))
-CUR = "CASE WHEN id % 6 = 3 THEN trim(split_part(contractor_name, ' (FORMERLY', 1)) ELSE contractor_name END"
-OLD = "CASE WHEN id % 6 = 3 THEN trim(replace(split_part(contractor_name, 'FORMERLY: ', 2), ')', '')) END"
+CUR = "CASE WHEN contains(contractor_name, '(FORMERLY') THEN trim(split_part(contractor_name, ' (FORMERLY', 1)) ELSE contractor_name END"
+OLD = "CASE WHEN contains(contractor_name, '(FORMERLY') THEN trim(replace(split_part(contractor_name, 'FORMERLY: ', 2), ')', '')) END"
 query("e3_former_names", "id i, current s, former s", f"SELECT id, {CUR} AS current, {OLD} AS former FROM {{contractor_name}}")(lambda t: t("contractor_name").select("id", former_parts(F.col("contractor_name"))[0].alias("current"), former_parts(F.col("contractor_name"))[1].alias("former")))
-SPLIT = f"SELECT id, unnest(CASE WHEN id % 6 = 3 THEN [{CUR}, {OLD}] WHEN id % 6 = 2 THEN [trim(split_part(contractor_name, '/', 1)), trim(split_part(contractor_name, '/', 2))] ELSE [contractor_name] END) AS name FROM {{contractor_name}}"
+SPLIT = f"SELECT id, unnest(CASE WHEN contains(contractor_name, '(FORMERLY') THEN [{CUR}, {OLD}] WHEN contains(contractor_name, ' / ') THEN [trim(split_part(contractor_name, '/', 1)), trim(split_part(contractor_name, '/', 2))] ELSE [contractor_name] END) AS name FROM {{contractor_name}}"
 query("e4_split_names", "name s", f"SELECT DISTINCT name FROM ({SPLIT}) x")(lambda t: E.split_all(t("contractor_name"), "contractor_name"))
-query("e5_name_audit", "id i, class s, split_issues s, invalid_issues s", "SELECT id, CASE id % 6 WHEN 2 THEN 'needs_split' WHEN 3 THEN 'needs_split' WHEN 5 THEN 'invalid' ELSE 'clean' END AS class, CASE id % 6 WHEN 2 THEN 'HAS_JV_SLASH' WHEN 3 THEN 'HAS_FORMER_NAME,HAS_PAREN_FORMER' ELSE '' END AS split_issues, CASE id % 6 WHEN 5 THEN 'SINGLE_COMMON_WORD,ALL_COMMON_WORDS' ELSE '' END AS invalid_issues FROM {contractor_name}")(lambda t: E.audit(t("contractor_name"), "contractor_name"))
+query("e5_name_audit", "id i, class s, split_issues s, invalid_issues s", "SELECT id, CASE WHEN contains(contractor_name, ' / ') OR contains(contractor_name, '(FORMERLY') THEN 'needs_split' WHEN contractor_name = 'SUPPLY' THEN 'invalid' ELSE 'clean' END AS class, CASE WHEN contains(contractor_name, ' / ') THEN 'HAS_JV_SLASH' WHEN contains(contractor_name, '(FORMERLY') THEN 'HAS_FORMER_NAME,HAS_PAREN_FORMER' ELSE '' END AS split_issues, CASE WHEN contractor_name = 'SUPPLY' THEN 'SINGLE_COMMON_WORD,ALL_COMMON_WORDS' ELSE '' END AS invalid_issues FROM {contractor_name}")(lambda t: E.audit(t("contractor_name"), "contractor_name"))
 DIRTY = "CASE id % 3 WHEN 0 THEN '{\"id\": 1, \"name\": \"' || contractor_name || '\"}' WHEN 1 THEN '\"' || contractor_name || '\"' ELSE contractor_name END"
 query("e13_json_fragments", "id i, name s", f"SELECT min_by(id, (CAST(d <> contractor_name AS INT), id)) AS id, contractor_name AS name FROM (SELECT id, contractor_name, {DIRTY} AS d FROM {{contractor_name}}) x GROUP BY contractor_name")(lambda t: E.clean_fragments(t("contractor_name").withColumn("name", F.expr(DIRTY)), "id", "name"))
 query("e14_consolidated_names", "id i, contractor_name s, source s, sec_number s, n i", "SELECT min(id) AS id, contractor_name, coalesce(string_agg(DISTINCT tag, ',' ORDER BY tag) FILTER (WHERE tag NOT IN ('', 'unknown')), '') AS source, min_by(sec_number, CASE WHEN sec_number IS NOT NULL THEN id END) AS sec_number, count(DISTINCT id) AS n FROM (SELECT *, unnest(string_split(source, ',')) AS tag FROM {contractor_name}) x GROUP BY contractor_name")(lambda t: E.consolidate(t("contractor_name")))
@@ -140,7 +140,7 @@ query("e15_merged_tags", "contractor_name s, source s", f"SELECT coalesce(a.cont
     lambda t: E.merge_tag(t("contractor_name").where("id % 6 IN (0, 4)").groupBy("contractor_name").agg(F.min("source").alias("source")), t("contractor_name").where("id % 6 IN (1, 4)").select("contractor_name"), "dime"))
 query("e16_source_flags", "id i, has_flood b, has_dime b, has_philgeps b", "SELECT id, contains(source, 'flood') AS has_flood, contains(source, 'dime') AS has_dime, contains(source, 'philgeps') AS has_philgeps FROM {contractor_name}")(lambda t: E.source_flags(t("contractor_name")))
 query("e17_split_and_replace", "contractor_name s, former_id i", f"WITH p AS (SELECT s.id, s.name FROM ({SPLIT}) s JOIN {{contractor_name}} c ON c.id = s.id WHERE s.name <> c.contractor_name), f AS (SELECT name, min(id) AS former_id FROM p WHERE name NOT IN (SELECT contractor_name FROM {{contractor_name}}) GROUP BY name) SELECT contractor_name, CAST(NULL AS BIGINT) AS former_id FROM {{contractor_name}} WHERE sec_number IS NOT NULL OR id NOT IN (SELECT p.id FROM p JOIN f USING (name)) UNION ALL SELECT name, former_id FROM f")(lambda t: E.split_and_replace(t("contractor_name")))
-query("e18_drop_unsplit", "id i", "SELECT id FROM {contractor_name} WHERE NOT (id % 6 IN (2, 3) AND sec_number IS NULL)")(lambda t: E.drop_unsplit(t("contractor_name")))
+query("e18_drop_unsplit", "id i", "SELECT id FROM {contractor_name} WHERE NOT ((contains(contractor_name, ' / ') OR contains(contractor_name, '(FORMERLY')) AND sec_number IS NULL)")(lambda t: E.drop_unsplit(t("contractor_name")))
 JV = "SELECT id, contractor, CASE WHEN id % 4 = 0 THEN office END AS jv_partner1, CASE WHEN id % 8 = 0 THEN ' ' ELSE city END AS jv_partner2 FROM {project}"
 query("e20_bridge", "project_id i, name s, role s", f"SELECT DISTINCT * FROM (SELECT id AS project_id, contractor AS name, 'main' AS role FROM ({JV}) a UNION ALL SELECT id, jv_partner1, 'jv_partner1' FROM ({JV}) b UNION ALL SELECT id, jv_partner2, 'jv_partner2' FROM ({JV}) c) x WHERE trim(name) <> ''")(
     lambda t: E.bridge(t("project").selectExpr("id", "contractor", "CASE WHEN id % 4 = 0 THEN office END AS jv_partner1", "CASE WHEN id % 8 = 0 THEN ' ' ELSE city END AS jv_partner2")))
