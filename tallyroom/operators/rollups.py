@@ -110,10 +110,11 @@ def regional_profile(df: DataFrame, label: str, amount: str, least_rows: int) ->
     return got.join(middle, F.col("label").eqNullSafe(F.col("__label")), "left").drop("__label")
 
 
-def long_values(df: DataFrame, columns: list[str], skip: tuple[str, ...] = ("", "INVALID")) -> DataFrame:
-    """(column_name, value) of the known values of all columns: one scan for all of them."""
+def long_values(df: DataFrame, columns: list[str], skip: tuple[str, ...] = ("", "INVALID"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(column_name, value) of the known values of all columns, with the columns to keep: one scan for all of them."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))
-    return df.select(pairs.alias("x")).select("x.*").where(F.col("value").isNotNull() & ~F.col("value").isin(*skip))
+    known = df.select(*keep, pairs.alias("x")).select(*keep, "x.*").where(F.col("value").isNotNull())
+    return known.where(~F.col("value").isin(*skip)) if skip else known
 
 
 def keyword_statistics(df: DataFrame, label: str, amount: str, order: list[str], top: int = 5) -> DataFrame:

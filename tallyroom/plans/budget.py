@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import money
 from ..operators import duplicates as D
 from ..operators import filters as P
+from ..operators import partials as Q
 from ..operators import reconcile as R
 from ..operators import rollups as G
 from ..operators import trends as T
@@ -133,6 +134,21 @@ query("g4_overview_year", "n i, total d, departments i, agencies i", f"SELECT co
 OVER = "SELECT 'all_years' AS scope, count(*) AS n, sum({a}) AS total FROM {t} UNION ALL SELECT CAST({y} AS VARCHAR), count(*), sum({a}) FROM {t} GROUP BY {y}"
 query("g5_overview_all_years", "scope s, n i, total d", OVER.replace("{a}", "amt").replace("{y}", "year").replace("{t}", "{budget_line}"))(lambda t: G.overview(t("budget_line"), "year", "amt"))
 query("s13_summary_table", "scope s, n i, total d", OVER.replace("{a}", "amount").replace("{y}", "fiscal_year").replace("{t}", "{nep_line}"))(lambda t: G.overview(t("nep_line"), "fiscal_year", "amount"))
+PARTS = ["department", "uacs_agy_dsc", "uacs_exp_dsc"]
+
+
+def partial_summary(t, years=None):
+    """Partial aggregates of all years, then one year refreshed alone, then merged."""
+    path, lines = folder(t), t("budget_line")
+    Q.refresh(lines, path, year="year", amount="amt", distinct=PARTS)
+    Q.refresh(S.year_scan(lines, YEAR), path, year="year", amount="amt", distinct=PARTS)
+    return Q.merged(t.spark, path, PARTS, years)
+
+
+RECOUNT = "SELECT {s} AS scope, count(*) AS n, sum(amt) AS total, " + ", ".join(f"count(DISTINCT {c}) AS {c}" for c in PARTS) + " FROM {budget_line}"
+query("s13_merged_partials", "scope s, n i, total d, department i, uacs_agy_dsc i, uacs_exp_dsc i", RECOUNT.replace("{s}", "'all_years'") + " UNION ALL " + RECOUNT.replace("{s}", "CAST(year AS VARCHAR)") + " GROUP BY year")(partial_summary)
+query("g4_overview_from_partials", "n i, total d, departments i, agencies i", f"SELECT count(*) AS n, CAST(sum(amt) AS DOUBLE) / 1000 AS total, count(DISTINCT department) AS departments, count(DISTINCT uacs_agy_dsc) AS agencies FROM {{budget_line}} WHERE year = {YEAR}")(
+    lambda t: partial_summary(t, [YEAR]).where("scope = 'all_years'").select("n", (F.col("total").cast("double") / 1000).alias("total"), F.col("department").alias("departments"), F.col("uacs_agy_dsc").alias("agencies")))
 query("g6_top_organisation", "label s, total d", f"SELECT org_uacs_code AS label, sum(amount) AS total FROM {NV} x GROUP BY 1 ORDER BY total DESC, label LIMIT 1")(lambda t: G.top_by(nv(t), "org_uacs_code", "amount", 1))
 query("g7_last_updated", "last s", "SELECT strftime(max(updated_at), '%Y-%m-%d') AS last FROM {nep_line}")(lambda t: t("nep_line").agg(F.date_format(F.max("updated_at"), "yyyy-MM-dd").alias("last")))
 query("g8_yearly_totals", "fiscal_year i, n i, total d", f"SELECT fiscal_year, count(*) AS n, sum(amount) AS total FROM {NV} x GROUP BY 1")(lambda t: nv(t).groupBy("fiscal_year").agg(*G.measures("amount")))
