@@ -74,12 +74,12 @@ query("u3_distinct_keys", "key s", "SELECT region_code AS key FROM {nep_line} UN
 
 KM = "2 * 6371 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
 NEAR = f"SELECT * FROM (SELECT a.cost_coarse AS cost, a.id AS a_id, b.id AS b_id, a.contractor AS ac, b.contractor AS bc, a.infra_year AS ay, b.infra_year AS by_, a.project_name AS an, b.project_name AS bn, {KM} AS km FROM {{project}} a JOIN {{project}} b ON a.cost_coarse = b.cost_coarse AND a.id < b.id) x WHERE km <= 10"
-near = lambda t: X.near_same_cost(t("project"), cost="cost_coarse", columns=("contractor", "infra_year", "project_name"))
+near = lambda t, km=10.0: X.near_same_cost(t("project"), cost="cost_coarse", km=km, columns=("contractor", "infra_year", "project_name"))
 query("j5_near_same_cost", "cost d, a_id i, b_id i, km d", f"SELECT cost, a_id, b_id, km FROM ({NEAR}) p")(near)
 bands = ((0, 1, "km_0_1"), (1, 2, "km_1_2"), (2, 5, "km_2_5"), (5, 7.5, "km_5_7"), (7.5, 10, "km_7_10"))
-query("x2_distance_summary", "pairs i, least_km d, most_km d, mean_km d, km_0_1 i, km_1_2 i, km_2_5 i, km_5_7 i, km_7_10 i", "SELECT count(*) AS pairs, min(km) AS least_km, max(km) AS most_km, avg(km) AS mean_km, " + ", ".join(f"count(*) FILTER (WHERE km >= {a} AND km < {b}) AS {n}" for a, b, n in bands) + f" FROM ({NEAR}) p")(lambda t: X.distance_summary(near(t)))
+query("x2_distance_summary", "pairs i, least_km d, most_km d, mean_km d, km_0_1 i, km_1_2 i, km_2_5 i, km_5_7 i, km_7_10 i", "SELECT count(*) AS pairs, min(km) AS least_km, max(km) AS most_km, avg(km) AS mean_km, " + ", ".join(f"count(*) FILTER (WHERE km >= {a} AND km < {b}) AS {n}" for a, b, n in bands) + f" FROM ({NEAR}) p")(lambda t: X.near_summary(t("project"), cost="cost_coarse"))
 query("x3_pair_classes", "kind s, n i, same i, gap d", f"SELECT kind, count(*) AS n, sum(same) AS same, avg(gap) AS gap FROM (SELECT CASE WHEN ac = bc AND ay = by_ AND an = bn THEN 'duplicate_entry' WHEN ac = bc AND ay <> by_ THEN 'multi_year_tracking' ELSE 'different_projects' END AS kind, CAST(ac = bc AS INT) AS same, abs(ay - by_) AS gap FROM ({NEAR}) p WHERE km <= 1) q GROUP BY kind")(
-    lambda t: X.classify_pairs(near(t)).groupBy("kind").agg(F.count("*").alias("n"), F.sum("same_contractor").alias("same"), F.avg("year_gap").alias("gap")))
+    lambda t: X.classify_pairs(near(t, 1.0)).groupBy("kind").agg(F.count("*").alias("n"), F.sum("same_contractor").alias("same"), F.avg("year_gap").alias("gap")))
 LINES = "SELECT {lng} AS lng, count(*) AS n, count(DISTINCT round(lat, 6)) AS places, min(lat) AS low, max(lat) AS high FROM {project} {where} GROUP BY 1 HAVING count(*) > {n} AND count(DISTINCT round(lat, 6)) > 1 AND max(lat) - min(lat) > 0.01"
 query("x4_vertical_lines", "lng d, n i, places i, km d", "SELECT *, (high - low) * 111 AS km FROM (" + LINES.replace("{lng}", "lng").replace("{where}", "").replace("{n}", "1") + ") x WHERE NOT lng BETWEEN 120.5 AND 120.6")(lambda t: X.vertical_lines(t("project"), known=((120.5, 120.6),)))
 query("x5_aligned_in_area", "lng d, n i, km d", "SELECT *, (high - low) * 111 AS km FROM (" + LINES.replace("{lng}", "round(lng, 4)").replace("{where}", "WHERE lat BETWEEN 10 AND 18 AND lng BETWEEN 118 AND 122").replace("{n}", "5") + ") x")(lambda t: X.vertical_lines(P.in_box(t("project"), (10, 18), (118, 122)), more_than=5, digits=4))
