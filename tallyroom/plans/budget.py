@@ -93,13 +93,16 @@ def s9(t):
 
 query("p1_valid_lines", LINE_T, f"SELECT {LINE} FROM {V} b")(v)
 query("p2_valid_proposals", "record_id s, amount d", f"SELECT record_id, amount FROM {NV} n")(nv)
+SEARCHED = ["project_name", "province"]
 FILTERS = {"amt_min": "20000", "amt_max": "60000", "department": "3", "agency": "not a number", "dsc": "RED", "uacs_fundsubcat_dsc": " "}
 query("p3_filter_map", LINE_T, f"SELECT {LINE} FROM {{budget_line}} WHERE amt >= 20000 AND amt <= 60000 AND department = 3 AND contains(lower(dsc), 'red')")(lambda t: P.filter_lines(t("budget_line"), FILTERS))
+query("p3_filter_map_indexed", LINE_T, f"SELECT {LINE} FROM {{budget_line}} WHERE amt >= 20000 AND amt <= 60000 AND department = 3 AND contains(lower(dsc), 'red')")(lambda t: P.filter_lines(t.by_gram("budget_line", ["dsc"]).with_terms({"dsc": FILTERS["dsc"]}), FILTERS))
 query("p4_project_filter", "id i, project_name s", "SELECT id, project_name FROM {project} WHERE status = 'Completed' AND region = 'ASIA' AND lower(project_name) LIKE '%building%'")(lambda t: P.filter_projects(t("project"), search="BUILDING", status="Completed", region="ASIA"))
 query("p5_facet_filter", "id i", "SELECT id FROM {project} WHERE city = 'MACHINERY' AND office = '1-URGENT'")(lambda t: P.filter_facets(t("project"), {"city": "MACHINERY", "office": "1-URGENT", "region": ""}))
 query("p6_raw_predicate", LINE_T, f"SELECT {LINE} FROM {{budget_line}} WHERE amt > 50000 AND (agency = 3 OR dsc = 'red ring')")(lambda t: P.filter_raw(t("budget_line"), "amt > 50000 AND (agency = 3 OR dsc = 'red ring')"))
 query("p7_keyword_categories", "category s, sorder i, amt d", f"SELECT category, sorder, amt FROM ({CAT_SQL.replace('{src}', '{budget_line}')}) x")(lambda t: P.by_category(t("budget_line"), "dsc", CATEGORIES))
 query("p8_prefix_values", "value s", "SELECT DISTINCT province AS value FROM {project} WHERE lower(province) LIKE 'nation_1%' ORDER BY value LIMIT 10")(lambda t: P.prefix_values(t("project"), "province", "nation_1"))
+query("p8_prefix_values_indexed", "value s", "SELECT DISTINCT province AS value FROM {project} WHERE lower(province) LIKE 'nation_1%' ORDER BY value LIMIT 10")(lambda t: P.prefix_values(t.by_gram("project", SEARCHED).with_prefix("province", "nation_1"), "province", "nation_1"))
 
 
 @query("p9_linked_rows", "id i, status s, contract_id i, amount d, rank i", """
@@ -111,6 +114,7 @@ def p9(t):
 
 
 query("p10_all_words_search", "id i", "SELECT id FROM {project} WHERE contains(lower(project_name || ' ' || province), 'works') AND contains(lower(project_name || ' ' || province), 'nation_7')")(lambda t: P.search_all_words(t("project"), ["project_name", "province"], "Works NATION_7"))
+query("p10_all_words_search_indexed", "id i", "SELECT id FROM {project} WHERE contains(lower(project_name || ' ' || province), 'works') AND contains(lower(project_name || ' ' || province), 'nation_7')")(lambda t: P.search_all_words(t.by_gram("project", SEARCHED).with_words(SEARCHED, "Works NATION_7"), SEARCHED, "Works NATION_7"))
 query("p11_bounding_box", "id i, lat d, lng d", "SELECT id, lat, lng FROM {project} WHERE lat BETWEEN 15.0 AND 16.6 AND lng BETWEEN 120.0 AND 121.2")(lambda t: P.in_box(t("project")))
 
 

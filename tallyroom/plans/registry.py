@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.grams import GramTable, write_grams
 from ..sources.shared import new_folder
 from ..sources.years import YearTable, write_years
 from .proxies import duck, read
@@ -18,6 +19,7 @@ _DUCK = {"s": "CAST({c} AS VARCHAR)", "i": "CAST({c} AS BIGINT)", "d": "round(CA
 
 
 _by_year: dict[tuple, YearTable] = {}
+_by_gram: dict[tuple, GramTable] = {}
 
 
 def folder(t: Tables) -> str:
@@ -44,6 +46,15 @@ class Tables:
             _by_year[key] = YearTable(self.spark, path, schema, year)
         return _by_year[key]
 
+    def by_gram(self, name: str, fields: list[str], rows_a_part: int = 500_000) -> GramTable:
+        """A table with an index of the trigrams of its fields, written once a session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, *fields)
+        if key not in _by_gram:
+            df, path = self(name), new_folder(self.spark, "grams")
+            write_grams(df, path, fields, rows_a_part)
+            _by_gram[key] = GramTable(self.spark, path, df)
+        return _by_gram[key]
+
 
 def query(name: str, columns: str, sql: str | None = None):
     """Register f(tables) under a name. columns: "name kind, ..."; kinds are s (text), i (integer), d (number, two decimals), m (four decimals), b (boolean)."""
