@@ -24,7 +24,8 @@ different lengths do not link; each row is a vector, also where rows repeat (equ
 rows link with each other); a row without vec_id links and counts, and has the
 smallest known id of its component; a vector counts whole, however long; an
 empty table gives an empty table; columns other than the id, the vector and the
-label do not matter, whatever their names.
+label do not matter, whatever their names; labels that aren't whole numbers are
+told apart by a 64-bit hash of their text.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import mix64, stage
 from .graph import components
@@ -219,16 +221,24 @@ def _links(batches, cosine: float, tables: int, concat: int, seed: int, sigmas:
         yield from solve(pa.Table.from_batches(held))
 
 
+def _label_key(vectors: DataFrame, label: str) -> Column:
+    """Whole numbers stand for themselves, other labels for a hash of their text."""
+    if isinstance(vectors.schema[label].dataType, IntegralType):
+        return F.col(label).cast("long")
+    return F.when(F.col(label).isNotNull(), F.xxhash64(F.col(label).cast("string")))
+
+
 def near_vectors(
     vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93, miss: float = 1e-6, sigmas: float = 6.0, block: int = 512, seed: int = 7,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), _label_key(vectors, label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     good = F.col("label").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = rows.where(F.coalesce(good, F.lit(False)))
-    # a class is a label and a vector; its number is a hash, told apart by the vector itself
+    # a class is a label and a vector; its number is its place in the table that `stage` writes, and rows find it by 128 bits of hashes
+    names = {f"h{k}": F.xxhash64(F.lit(seed + k), "label", "vector") for k in (1, 2)}
     classes = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
-    classes = classes.withColumn("rep", F.xxhash64(F.lit(seed), "label", "vector")).withColumn("dim", F.size("vector"))
+    classes = classes.withColumns(names).withColumn("rep", F.monotonically_increasing_id()).withColumn("dim", F.size("vector"))
     classes = stage(classes)
     shape = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.min("dim").alias("low"), F.max("dim").alias("high")).first()
     if shape["n"] is None:
@@ -252,9 +262,9 @@ def near_vectors(
     found = stage(found)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    labelled = classes.select("rep", "least", "mult").join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+    labelled = classes.select("rep", *names, "least", "mult").join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
     lowest = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(lowest, "part").join(counts, "rep", "left").select("rep", "component_id", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = rows.withColumn("rep", F.when(F.coalesce(good, F.lit(False)), F.xxhash64(F.lit(seed), "label", "vector"))).select("vec_id", "rep")
-    out = out.join(stage(labelled), "rep", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
+    labelled = labelled.join(lowest, "part").join(counts, "rep", "left").select(*names, "component_id", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    out = rows.select("vec_id", *[F.when(F.coalesce(good, F.lit(False)), h).alias(n) for n, h in names.items()])
+    out = out.join(stage(labelled), list(names), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -420,6 +420,16 @@ def test_vectors(spark):
         got = binary_codes.near_vectors(df, block=block).collect()
         assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == want
     assert binary_codes.near_vectors(df.limit(0)).count() == 0
+    texts = df.selectExpr("vec_id", "embedding", "'class ' || label AS label")
+    got = binary_codes.near_vectors(texts).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == want
+
+
+def test_vectors_without_id_and_long_vectors(spark):
+    long = [float(x) for x in np.random.default_rng(6).normal(size=20_000)]
+    rows = [(5, long, 1), (None, [2 * x for x in long], 1), (3, [-x for x in long], 1), (None, None, 1), (None, [1.0, 0.0], 2), (8, [1.0, -0.0], 2), (9, [1.0, 0.0], None)]
+    got = binary_codes.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=repr) == sorted([(5, 1, 5), (None, 1, 5), (3, 0, 3), (None, 0, None), (None, 1, 8), (8, 1, 8), (9, 0, 9)], key=repr)
 
 
 def test_code_estimates_are_unbiased():
