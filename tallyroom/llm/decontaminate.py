@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_clashes
+from .common import drop_clashes, stage
 
 #: Words: runs of 0-9, a-z (after lower-casing A-Z) and all characters beyond ASCII.
 _word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -111,7 +111,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """docs with n_words, n_hit (words inside a window), n_items, items_sha256, contaminated, items (ids, sorted) and spans (code points [start, end) of the original text)."""
     out = drop_clashes(docs, SCHEMA.names)
     for k, part in enumerate(_parts(benchmark, item_id, item_text, max_chars)):
-        out = _pass(out, part, text, window, merge=k > 0)
+        # a part is a job of its own, so that no worker holds more than one part's automaton
+        out = _pass(stage(out) if k else out, part, text, window, merge=k > 0)
     return out
 
 
