@@ -127,7 +127,7 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br":
             text.append(" ")
         elif tag in HIDDEN_TAGS:
-            if tag in RAW_TAGS:
+            if tag in RAW_TAGS and (tag != "noscript" or ends(tag, at)):
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = close.end() if close else n
             elif not (m[3] or "").endswith("/"):

@@ -98,6 +98,9 @@ def test_hand_made_pages(chain):
     ("<p>a <math><mi>x</mi></math> b", ["a x b"]),
     ("<svg><title>no</title><text>t</text></svg><p>a", ["a"]),
     ("<template><p>a</p></template><p>b", ["b"]),
+    ("<p>a<noscript>x<p>b", ["a", "b"]),
+    ("<p>a<noscript>x</div><p>y</noscript><p>b", ["a", "b"]),
+    ("<div><noscript><noscript>q</noscript><p>b", ["b"]),
     ("<p>a &lt; b &amp;amp; &eacute;&#x20AC;&nbsp;c", ["a < b &amp; é€ c"]),
     ("<p>a<script>if (1<2) '</p>'</script>b<!-- <p>no --><p>c", ["ab", "c"]),
 ])
