@@ -1,7 +1,7 @@
 """Substring search without a full scan (P3, P8, P10): an index of trigrams says which parts of a table can hold a term.
 
 `path/lines/gram_part=K/` are the rows, ordered by the indexed fields so that rows with like texts
-share parts, each part one file of one row group; `path/grams` has a row for each
+share parts, each part one file; `path/grams` has a row for each
 (field, gram, gram_part). A text's grams are its runs of three characters, lower-cased, with
 a mark in front, so that prefixes have grams of their own. A part that lacks a gram of a
 term in every field is not read (dynamic partition pruning); what is read takes the exact test,
