@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, mix64, slices, stage
+from .common import Words, mix64, slices, small_batches, stage
 
 _BASE = 0x10000
 _CHARS = 0x110000 - _BASE
@@ -244,6 +244,7 @@ def _cut(batches):
 
 def dedup_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, gram: int = 4, shard: int = 1_000, piece: int = 20_000) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text, kept_sha256."""
+    small_batches(docs.sparkSession)
     piece = min(piece, (_CHARS - 1) // (2 * (2 * width - gram)))  # a shard has a character for each of its words
     base = docs.select(doc_id, text)
     if (doc_id, text, base.schema[doc_id].dataType.simpleString()) != ("doc_id", "text", "bigint"):  # a new name makes the two left sides below look different

@@ -3,9 +3,10 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallyroom.llm import common, cotrain, mixing
+from tallyroom.llm import common, cotrain, mixing, phrase_dedup
 
 
 @pytest.fixture
@@ -76,3 +77,28 @@ def test_runs_have_their_own_stages(spark, tmp_path):
     assert not os.path.exists(path(one)) and three.count() == 5
     outside = common.stage(spark.range(2))
     assert len(first) == 1 and outside.count() == 2
+
+
+@pytest.fixture
+def default_batches(spark):
+    """The session as Spark starts it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    yield key
+    spark.conf.unset(key)
+
+
+def test_phrase_dedup_hands_out_small_batches(spark, default_batches):
+    """24 MB of texts in one task come as batches of some 4 MB; a bound that the session has stays."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["bytes"])
+
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 1500) AS text")
+    phrase_dedup.dedup_phrases(docs.limit(20))
+    got = [r[0] for r in docs.mapInArrow(sizes, "bytes long").collect()]
+    assert sum(got) > 16_000_000 and max(got) < 5_000_000
+    spark.conf.set(default_batches, "1m")
+    common.small_batches(spark)
+    assert spark.conf.get(default_batches) == "1m"
