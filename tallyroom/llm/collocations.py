@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, mix64, slices, stage
+from .common import LOWER_BYTES, mix64, slices, small_batches, stage
 
 LONGEST = 4
 W = [f"w{i}" for i in range(1, LONGEST + 1)]
@@ -128,8 +128,9 @@ class Slice:
         first = np.cumsum([0] + [len(t) + 1 for _, t in rows])
         lang, langs = _number(pa.array([x for x, _ in rows], pa.string()))
         key = lang[np.searchsorted(first, starts, "right") - 1] * len(texts) + bare
-        self.word, keys = _number(pa.array(key, pa.int64()))
-        keys = keys.to_numpy()
+        word, keys = _number(pa.array(key, pa.int64()))
+        self.word, keys = word.astype(np.int32), keys.to_numpy()
+        del word, key, bare, starts
         self.lang = langs.take(pa.array(keys // max(1, len(texts))))
         self.text = texts.take(pa.array(keys % max(1, len(texts)))).cast(pa.string())
         seeds = [xxhash.xxh3_64_intdigest(x.encode(), seed) for x in langs.to_pylist()]
@@ -144,7 +145,7 @@ class Slice:
         """
         n = len(self.word)
         # number of the phrase that begins at each place, -1: none; of each phrase its word numbers, and whether the first pass and this one count it
-        at, rows = self.word, np.arange(len(self.hash))[:, None]
+        at, rows = self.word, np.arange(len(self.hash), dtype=np.int32)[:, None]
         before, now = np.ones(len(rows), bool), np.full(len(rows), known is None)
         if known is None:
             yield 1, rows, np.bincount(at, minlength=len(rows))
@@ -154,6 +155,9 @@ class Slice:
             hashes = np.zeros((len(rows), LONGEST), np.uint64)
             hashes[:, : k - 1] = self.hash[rows]
             part = before & proposed.member(hashes) if proposed else before
+            if known is not None:
+                ahead = known.member(hashes) | now
+            del hashes
             start = np.flatnonzero((self.piece[: n - k + 1] == self.piece[k - 1 :]) & (at[: n - k + 1] >= 0) & (at[1 : n - k + 2] >= 0))
             left, right = at[start], at[start + 1]
             first = part[left] & part[right]
@@ -161,14 +165,15 @@ class Slice:
                 start, first = start[first], first[first]
                 fresh = first
             else:
-                part = known.member(hashes) | now
-                both = part[left] & part[right]
+                both = ahead[left] & ahead[right]
                 start, first = start[both], first[both]
                 fresh = ~first
-            number, key = _number(pa.array(at[start] << 32 | self.word[start + k - 1], pa.int64()))
+            del left, right
+            number, key = _number(pa.array(at[start].astype(np.int64) << 32 | self.word[start + k - 1], pa.int64()))
             key = key.to_numpy()
-            rows = np.concatenate((rows[key >> 32], (key & 0xFFFFFFFF)[:, None]), axis=1)
-            at = np.full(n, -1)
+            rows = np.concatenate((rows[key >> 32], (key & 0xFFFFFFFF).astype(np.int32)[:, None]), axis=1)
+            del key
+            at = np.full(n, -1, np.int32)
             at[start] = number
             before, now = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
             before[number], now[number] = first, fresh
@@ -205,6 +210,7 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     One in `sample` documents, by a hash, proposes; its threshold is lower than
     its share of `support`, so that few frequent phrases are left to the border.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text")).where(F.length("text") > 0)
     send = docs.sparkSession.sparkContext.broadcast
     for at in range(seed, seed + 16):

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyroom.llm import common, cotrain, mixing, phrase_dedup
+from tallyroom.llm import collocations, common, cotrain, mixing, phrase_dedup
 
 
 @pytest.fixture
@@ -102,3 +102,16 @@ def test_phrase_dedup_hands_out_small_batches(spark, default_batches):
     spark.conf.set(default_batches, "1m")
     common.small_batches(spark)
     assert spark.conf.get(default_batches) == "1m"
+
+
+def test_collocations_hand_out_small_batches(spark, default_batches):
+    """24 MB of texts in one task come as batches of some 4 MB."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["bytes"])
+
+    docs = spark.range(3000, numPartitions=1).selectExpr("'en' AS lang", "repeat(concat('w', id, ' '), 1500) AS text")
+    collocations.frequent_phrases(docs.limit(20))
+    got = [r[0] for r in docs.mapInArrow(sizes, "bytes long").collect()]
+    assert sum(got) > 16_000_000 and max(got) < 5_000_000
