@@ -58,7 +58,7 @@ def _tokenizer(path: str, pattern: str):
 
 
 class Subwords:
-    """Ids of words in a table by the word's hash, a word a slot: a word that finds another in its slot is encoded again and takes it. `keep` ids are kept, then the table starts again."""
+    """Ids of words in a table by the word's hash, a word a slot: a word takes the first of its two slots if that is empty; one that finds others in both is encoded again and takes the second. `keep` ids are kept, then the table starts again."""
 
     def __init__(self, tokenizer: tuple[str, str], keep: int = 1 << 23, slots: int = 1 << 22):
         self.encode, self.end = _tokenizer(*tokenizer)
@@ -87,13 +87,16 @@ class Subwords:
         if self.used > self.keep:
             self._clear()
         slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
-        a, n = self.at[slot].astype(np.int64), self.sizes[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != hashes)
+        slot[miss] = ((hashes[miss] >> np.uint64(32)) & np.uint64(self.slots - 1)).astype(np.int64)
+        miss = miss[self.keys[slot[miss]] != hashes[miss]]
+        a, n = self.at[slot].astype(np.int64), self.sizes[slot].astype(np.int64)
         if len(miss):
             unique, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
             at, size = self._encoded(w, miss[first])
             a[miss], n[miss] = at[back], size[back]
-            own = slot[miss[first]]
+            own = (unique & np.uint64(self.slots - 1)).astype(np.int64)
+            own = np.where(self.keys[own] == 0, own, slot[miss[first]])
             self.keys[own], self.at[own], self.sizes[own] = unique, at, size
         off = np.cumsum(n) - n
         return self.flat[np.repeat(a - off, n) + np.arange(int(n.sum()))], n
@@ -117,13 +120,23 @@ def streams(w: Words, ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.
     return out, starts
 
 
+@lru_cache(maxsize=2)
+def _places(n: int, d: int) -> np.ndarray:
+    return np.arange(n * d).reshape(n, d)
+
+
 def _add_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of values by row number."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    order = np.argsort(rows, kind="stable")
-    cut = np.flatnonzero(np.append(True, np.diff(rows[order].astype(np.int64)) != 0))
-    out[rows[order][cut]] = np.add.reduceat(values[order], cut)
-    return out
+    out = np.zeros(n * values.shape[1], values.dtype)
+    np.add.at(out, _places(n, values.shape[1]).take(rows, 0, mode="clip").reshape(-1), values.reshape(-1))
+    return out.reshape(n, -1)
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """e**x in place; values above 60 count as 60."""
+    if x.size and not x.max() <= 60:
+        np.minimum(x, np.float32(60), out=x)
+    return np.exp(x, out=x)
 
 
 class Model:
@@ -166,9 +179,15 @@ class Model:
         """x: (batch, SPAN) dense ids; the last `ask` places ask; no place sees what follows it, nor what is hidden. Returns what the backward pass needs."""
         p = self.params
         d = p["u"].shape[1]
-        u = p["u"][x]
-        k, v = np.split((u.reshape(-1, d) @ p["m"][:, d:]).reshape(*x.shape, 2 * d), 2, 2)
-        q = np.matmul(u[:, SPAN - ask :], p["m"][:, :d])
+        asks = x[:, SPAN - ask :]
+        if x.size > 4 * len(p["u"]):  # many places: an id's projections are made once
+            u, all_three = None, p["u"] @ p["m"]
+            q, kv = all_three[:, :d].take(asks, 0, mode="clip"), all_three[:, d:].take(x, 0, mode="clip")
+            k, v = kv[..., :d], kv[..., d:]
+        else:
+            u = p["u"].take(x, 0, mode="clip")
+            all_three = (u.reshape(-1, d) @ p["m"]).reshape(*x.shape, 3 * d)
+            q, k, v = all_three[:, SPAN - ask :, :d], all_three[..., d : 2 * d], all_three[..., 2 * d :]
         bias = p["b"][self.far]
         bias[self.ahead] = -1e9
         a = np.matmul(q, k.transpose(0, 2, 1))
@@ -177,108 +196,136 @@ class Model:
         if hidden is not None and hidden.any():
             at = np.flatnonzero(hidden.any(1))
             a[at] -= np.float32(1e9) * hidden[at][:, None, :]
-        np.minimum(a, np.float32(60), out=a)
-        np.exp(a, out=a)
+        _exp(a)
         a /= np.matmul(a, np.ones((SPAN, 1), a.dtype))
         z = np.matmul(a, v)
-        z += p["e"][x[:, SPAN - ask :]]
-        z += p["g"]
+        z += (p["e"] + p["g"]).take(asks, 0, mode="clip")
         return u, q, k, v, a, z
 
-    def _probs(self, h: np.ndarray, w: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unnormed probabilities and their sums; logits above 60 count as 60."""
-        out = h @ w
-        out += o
-        np.minimum(out, np.float32(60), out=out)
-        np.exp(out, out=out)
-        return out, out @ np.ones(out.shape[1], out.dtype)
-
-    def _sorted(self, targets: np.ndarray):
-        """Order of the targets by cluster, their clusters and places in this order, and (cluster, from, to) of the clusters that have ids."""
-        c = self.cls[targets].reshape(-1)
-        order = np.argsort(c.astype(np.uint16), kind="stable")
-        c = c[order]
-        cut = np.searchsorted(c, np.arange(self.clusters + 1)).tolist()
-        return order, c, self.place[targets].reshape(-1)[order], [(j, cut[j], cut[j + 1]) for j in range(self.clusters) if cut[j] < cut[j + 1]]
+    def _probs(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unnormed probabilities and their sums. w: weights, and the bias as their last row."""
+        out = _exp(np.matmul(h, w))
+        return out, np.matmul(out, np.ones(out.shape[-1], out.dtype))
+
+    def _rectified(self, z: np.ndarray) -> np.ndarray:
+        """What the output sees of z, and a one for the bias; one more row, of zeros."""
+        n, d = z.size // z.shape[-1], z.shape[-1]
+        h = np.empty((n + 1, d + 1), z.dtype)
+        np.maximum(z.reshape(n, d), 0, out=h[:n, :d])
+        h[:n, d], h[n] = 1, 0
+        return h
+
+    def _tiled(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Targets of one cluster fill tiles of 32 places, or of 64 if there are many. From the targets' clusters: which target a place has (their number: none), the tiles' clusters, where each cluster's tiles begin, and the place of each target (one past the last: none, its cluster has no vectors)."""
+        size = 64 if len(c) > 128 * self.clusters else 32
+        order = np.argsort(np.minimum(c, self.clusters).astype(np.uint16), kind="stable")
+        n = np.bincount(np.minimum(c, self.clusters), minlength=self.clusters + 1)[:-1]
+        tiles = -(-n // size)
+        begin = np.append(0, np.cumsum(tiles))
+        order = order[: n.sum()]
+        to = np.arange(len(order)) + np.repeat(size * begin[:-1] - np.cumsum(n) + n, n)
+        which = np.full(begin[-1] * size, len(c))
+        which[to] = order
+        places = np.full(len(c), len(which))
+        places[order] = to
+        return which.reshape(-1, size), np.repeat(np.arange(self.clusters), tiles), begin, places
 
     def log_probs(self, x: np.ndarray, targets: np.ndarray, hidden: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the probability of the target ids at the last places. x: (batch, SPAN) ids."""
         p = self.params
-        order, c, place, parts = self._sorted(targets)
-        z = self.attend(self.dense[x], targets.shape[1], hidden)[-1]
-        h = np.maximum(z.reshape(-1, z.shape[2])[order], 0)
-        rows = np.arange(len(c))
-        prob, total = self._probs(h, p["w"], p["o"])
-        ratio = prob[rows, c] / total
-        for j, a, b in parts:
-            prob, total = self._probs(h[a:b], p["w2"][j], p["o2"][j])
-            ratio[a:b] *= prob[rows[: b - a], place[a:b]] / total
-        out = np.empty_like(ratio)
-        out[order] = np.log(np.maximum(ratio, np.float32(1e-30)))
-        return out.reshape(targets.shape) + self.inside[targets]
+        c, place = self.cls[targets].reshape(-1), self.place[targets].reshape(-1)
+        h = self._rectified(self.attend(self.dense[x], targets.shape[1], hidden)[-1])
+        prob, total = self._probs(h[:-1], np.vstack((p["w"], p["o"])))
+        ratio = prob[np.arange(len(c)), c] / total
+        which, tiles, _, places = self._tiled(c)
+        prob, total = self._probs(h.take(which, 0, mode="clip"), np.concatenate((p["w2"], p["o2"][:, None]), 1)[tiles])
+        own = np.flatnonzero(places < which.size)
+        at = places[own]
+        ratio[own] *= prob.reshape(-1, prob.shape[-1])[at, place[own]] / total.reshape(-1)[at]
+        return np.log(np.maximum(ratio, np.float32(1e-30))).reshape(targets.shape) + self.inside[targets]
 
     def gradient(self, x: np.ndarray, targets: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over the real places of windows of ids; what is not real follows all that is."""
         p, x = self.params, self.dense[x]
         u, q, k, v, a, z = self.attend(x, SPAN)
         d = z.shape[2]
-        order, c, place, parts = self._sorted(targets)
-        h = np.maximum(z.reshape(-1, d)[order], 0)
-        weight = (real.reshape(-1)[order] / max(1, real.sum())).astype(h.dtype)
-        rows = np.arange(len(c))
-        prob, total = self._probs(h, p["w"], p["o"])
-        prob *= (weight / total)[:, None]
-        prob[rows, c] -= weight
-        g = {"w": h.T @ prob, "o": prob.sum(0), "w2": np.zeros_like(p["w2"]), "o2": np.zeros_like(p["o2"])}
+        c, place = self.cls[targets].reshape(-1), self.place[targets].reshape(-1)
+        h = self._rectified(z)
+        weight = np.append(real.reshape(-1) / max(1, real.sum()), 0).astype(h.dtype)
+        first = np.vstack((p["w"], p["o"]))
+        prob, total = self._probs(h[:-1], first)
+        prob *= (weight[:-1] / total)[:, None]
+        prob[np.arange(len(c)), c] -= weight[:-1]
+        both = h[:-1].T @ prob
+        g = {"w": both[:d], "o": both[d]}
         dh = prob @ p["w"].T
-        for j, i, to in parts:
-            prob, total = self._probs(h[i:to], p["w2"][j], p["o2"][j])
-            prob *= (weight[i:to] / total)[:, None]
-            prob[rows[: to - i], place[i:to]] -= weight[i:to]
-            g["w2"][j], g["o2"][j] = h[i:to].T @ prob, prob.sum(0)
-            dh[i:to] += prob @ p["w2"][j].T
-        dh *= h > 0
-        g["g"] = dh.sum(0)
-        dz = np.empty_like(dh)
-        dz[order] = dh
-        dz = dz.reshape(z.shape)
+        which, tiles, begin, places = self._tiled(c)
+        second = np.concatenate((p["w2"], p["o2"][:, None]), 1)
+        h2, weight2 = h.take(which, 0, mode="clip"), weight.take(which)
+        prob, total = self._probs(h2, second[tiles])
+        prob *= (weight2 / total)[..., None]
+        own = np.flatnonzero(places < which.size)
+        prob.reshape(-1, prob.shape[-1])[places[own], place[own]] -= weight[own]
+        both = np.zeros_like(second)
+        flat, probs = h2.reshape(-1, d + 1), prob.reshape(-1, prob.shape[-1])
+        cut = (begin * which.shape[1]).tolist()
+        for j in range(self.clusters):
+            if cut[j] < cut[j + 1]:
+                np.matmul(flat[cut[j] : cut[j + 1]].T, probs[cut[j] : cut[j + 1]], out=both[j])
+        g["w2"], g["o2"] = both[:, :d], both[:, d]
+        back = np.zeros((which.size + 1, d), h.dtype)
+        np.matmul(prob, p["w2"][tiles].transpose(0, 2, 1), out=back[:-1].reshape(*which.shape, d))
+        dh += back.take(places, 0, mode="clip")
+        dh *= h[:-1, :d] > 0
+        g["g"] = np.ones(len(dh), dh.dtype) @ dh
+        dz = dh.reshape(z.shape)
         ds = np.matmul(dz, v.transpose(0, 2, 1))
-        ds -= np.matmul(a * ds, np.ones((SPAN, 1), ds.dtype))
         ds *= a
-        g["b"] = np.bincount(self.far.reshape(-1), np.where(self.ahead, 0, ds.sum(0)).reshape(-1), SPAN).astype(p["b"].dtype)
+        ds -= a * np.matmul(ds, np.ones((SPAN, 1), ds.dtype))
+        by_place = (np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)).reshape(SPAN, SPAN)
+        g["b"] = np.bincount(self.far.reshape(-1), np.where(self.ahead, 0, by_place).reshape(-1), SPAN).astype(p["b"].dtype)
         ds *= self.scale
-        all_three = np.concatenate((np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dz)), 2).reshape(-1, 3 * d)
+        all_three = np.empty((*x.shape, 3 * d), ds.dtype)
+        np.matmul(ds, k, out=all_three[..., :d])
+        np.matmul(ds.transpose(0, 2, 1), q, out=all_three[..., d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), dz, out=all_three[..., 2 * d :])
+        all_three = all_three.reshape(-1, 3 * d)
+        u = p["u"].take(x, 0, mode="clip") if u is None else u
         g["m"] = u.reshape(-1, d).T @ all_three
-        both = _add_rows(x.reshape(-1), np.concatenate((all_three @ p["m"].T, dz.reshape(-1, d)), 1), len(p["u"]))
-        g["u"], g["e"] = both[:, :d].copy(), both[:, d:].copy()
+        both = np.empty((len(dh), 2 * d), dh.dtype)
+        np.matmul(all_three, p["m"].T, out=both[:, :d])
+        both[:, d:] = dh
+        both = _add_rows(x.reshape(-1), both, len(p["u"]))
+        g["u"], g["e"] = both[:, :d], both[:, d:]
         return g
 
     def learn(self, chunks, steps: int, batch: int, rate: float, seed: int, expected: int) -> int:
         """Adam over all windows of chunks of (rows of ids, how many of them are real), at least `steps` steps: the first windows repeat if there are fewer. Returns the number of windows."""
         rng = np.random.default_rng(seed)
-        self.params = {k: v.copy() for k, v in self.params.items()}
-        m = {k: np.zeros_like(v) for k, v in self.params.items()}
-        s = {k: np.zeros_like(v) for k, v in self.params.items()}
+        shapes = {k: v.shape for k, v in self.params.items()}
+        flat = np.concatenate([v.reshape(-1) for v in self.params.values()])
+        cuts = np.cumsum([v.size for v in self.params.values()])[:-1]
+        self.params = {k: v.reshape(n) for (k, n), v in zip(shapes.items(), np.split(flat, cuts))}
+        m, s, root = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)  # moments, 10 and 100 times as large
         total, t, seen = max(steps, -(-expected // batch)), 0, 0
 
         def step(x: np.ndarray, n: np.ndarray) -> None:
             nonlocal t
             t += 1
             g = self.gradient(x[:, :-1], x[:, 1:], np.arange(SPAN)[None] < (n - 1)[:, None])
+            g = np.concatenate([g[k].reshape(-1) for k in shapes])
             lr = rate * min(1.0, t / 20) * max(0.05, 1 - t / (total + 1))  # a shard with more windows than expected still learns
-            for k, v in g.items():
-                m[k] *= 0.9
-                m[k] += 0.1 * v
-                s[k] *= 0.99
-                v *= v
-                v *= 0.01
-                s[k] += v
-                root = np.sqrt(s[k])
-                root *= 1 / math.sqrt(1 - 0.99**t)
-                root += 1e-8
-                np.divide(m[k], root, out=root)
-                root *= np.float32(lr / (1 - 0.9**t))
-                self.params[k] -= root
+            np.multiply(m, np.float32(0.9), out=m)
+            np.add(m, g, out=m)
+            np.multiply(g, g, out=g)
+            np.multiply(s, np.float32(0.99), out=s)
+            np.add(s, g, out=s)
+            np.sqrt(s, out=root)
+            size = 10 * math.sqrt(1 - 0.99**t)
+            np.add(root, np.float32(1e-8 * size), out=root)
+            np.divide(m, root, out=root)
+            np.multiply(root, np.float32(lr * 0.1 * size / (1 - 0.9**t)), out=root)
+            np.subtract(flat, root, out=flat)
 
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         rest = (np.zeros((0, SPAN + 1), np.int32), np.zeros(0, np.int64))
@@ -421,13 +468,13 @@ def _scores(batches, model: Model, tokenizer, hot: np.ndarray, counts: np.ndarra
             pieces = -(-(np.diff(starts) - 1) // STRIDE)
             row = np.repeat(np.arange(n), pieces)
             first = starts[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-            for i in range(0, len(row), 2048):
-                r, f = row[i : i + 2048], first[i : i + 2048]
-                at = f[:, None] + np.arange(-CONTEXT, STRIDE)[None]
-                asked = at[:, CONTEXT:] < starts[r + 1][:, None] - 1
-                x = tokens[np.clip(at, 0, len(tokens) - 1)]
-                y = tokens[np.minimum(at[:, CONTEXT:] + 1, len(tokens) - 1)]
-                lp = np.where(asked, model.log_probs(x, y, at < starts[r][:, None]), 0).sum(1)
+            views = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(CONTEXT, np.int32), tokens, np.zeros(STRIDE, np.int32))), SPAN + 1)
+            for i in range(0, len(row), 1024):
+                r, f = row[i : i + 1024], first[i : i + 1024]
+                x, hidden = views[f], np.zeros((len(r), SPAN), bool)
+                hidden[f == starts[r], :CONTEXT] = True
+                asked = np.arange(STRIDE) < (starts[r + 1] - 1 - f)[:, None]
+                lp = np.where(asked, model.log_probs(x[:, :-1], x[:, CONTEXT + 1 :], hidden), 0).sum(1)
                 score += np.bincount(r, lp, n)
             doc, h = w.doc[rare], h[rare]
             order = np.lexsort((h, doc))

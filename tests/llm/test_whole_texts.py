@@ -71,6 +71,46 @@ def test_lm_learns_from_every_window(monkeypatch):
     assert seen == Counter(range(50))
 
 
+def test_lm_words_that_share_a_slot_are_encoded_once():
+    sub = attention_lm.Subwords(queries.public_tokenizer(), slots=1 << 14)
+    text = pa.array([" ".join(f"word{i}" for i in range(400))])
+    w = common.Words(text, lower=True)
+    first = (w.hashes & np.uint64(sub.slots - 1)).tolist()
+    assert len(set(first)) < len(first)  # some words share their first slot
+    sub.ids(w, w.hashes)
+    sub.ids(w, w.hashes)  # a word whose slot another took in the same call is encoded once more
+    used = sub.used
+    sub.ids(w, w.hashes)
+    assert sub.used == used
+
+
+def test_lm_targets_fill_tiles_of_their_cluster():
+    rng = np.random.default_rng(3)
+    model = attention_lm.Model(np.where(np.arange(60) < 40, 9, 0), np.arange(60) % 2 == 0, clusters=3, size=8, buckets=3, dim=4)
+    for n in (0, 1, 33, 500):  # the last in tiles of 64
+        c = model.cls[rng.integers(0, 60, n)]
+        which, tiles, begin, places = model._tiled(c)
+        has = which < n
+        assert sorted(which[has].tolist()) == np.flatnonzero(c < model.clusters).tolist()
+        assert all((c[w[h]] == t).all() for w, h, t in zip(which, has, tiles))
+        assert [tiles[a:b].tolist() for a, b in zip(begin, begin[1:])] == [[j] * (b - a) for j, (a, b) in enumerate(zip(begin, begin[1:]))]
+        own = places < which.size
+        assert (own == (c < model.clusters)).all() and (which.reshape(-1)[places[own]] == np.flatnonzero(own)).all()
+
+
+def test_lm_many_and_few_windows_give_the_same_log_probs():
+    """Projections by id and by place, tiles of both sizes, logits above 60."""
+    rng = np.random.default_rng(5)
+    model = attention_lm.Model(np.where(np.arange(60) < 40, 9, 0), np.arange(60) % 2 == 0, clusters=3, size=8, buckets=3, dim=4)
+    model.params = {k: (v + rng.normal(size=v.shape)).astype(np.float32) for k, v in model.params.items()}
+    x = rng.integers(0, 60, (300, attention_lm.SPAN + 1))
+    for w in (1, 40):
+        model.params["w"] *= w
+        whole = model.log_probs(x[:, :-1], x[:, attention_lm.CONTEXT + 1 :])
+        assert np.isfinite(whole).all()
+        assert np.allclose(whole, np.concatenate([model.log_probs(r[:, :-1], r[:, attention_lm.CONTEXT + 1 :]) for r in np.split(x, 300)]), rtol=1e-3, atol=1e-3)
+
+
 def test_recurring_windows_survive_colliding_hashes(monkeypatch):
     rng = np.random.default_rng(2)
     codes, docs = rng.integers(0, 3, 400), np.repeat(np.arange(8), 50)
