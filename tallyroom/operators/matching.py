@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import math
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import amount_score, lev_ratio, standard_name, words
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, stored
 from .rollups import running_total
 
 
@@ -307,23 +308,107 @@ def match_by_amount(contracts: DataFrame, projects: DataFrame, least: float = 60
     return c.join(best, same).select("contract_id", "project_id", "score", F.when(F.col("score") >= 80, "excellent").when(F.col("score") >= 70, "good").otherwise("fair").alias("quality"))
 
 
+@F.pandas_udf(T.StructType([T.StructField("letters", T.LongType()), T.StructField("runs", T.LongType())]))
+def _marks(names: pd.Series) -> pd.DataFrame:
+    """Two marks of 64 bits: of a name's letters, with how often each has come, and of its runs of two. A bit that another name's mark lacks stands for something that the other lacks."""
+
+    @functools.cache
+    def marks(name):
+        come, letters, runs, last = {}, 0, 0, None
+        for x in map(ord, name):
+            k = come[x] = come.get(x, 0) + 1
+            letters |= 1 << (x + 29 * k & 63)
+            if last is not None:
+                runs |= 1 << (x + 37 * last & 63)
+            last = x
+        return [v - (v >> 63 << 64) for v in (letters, runs)]
+
+    return pd.DataFrame([marks(x or "") for x in names], columns=["letters", "runs"])
+
+
+def _most_alike(metric: str) -> Column:
+    """No less than the contractor's part of the score, by lengths and marks: 0.9 where one name may hold the other, else what the marks leave of the likeness.
+
+    An edit takes away and adds one letter and two runs of two at most; difflib's ratio counts common letters alone.
+    """
+    letters, runs = (F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_there"))) for x in ("letters", "runs"))
+    n, m = F.col("length"), F.col("length_there")
+    if metric == "levenshtein":
+        like = 1 - F.ceil(F.greatest(letters / 2, runs / 4)) / F.greatest(n, m)
+    else:
+        like = 1 - letters / (n + m)
+    both = F.col("letters").bitwiseAND(F.col("letters_there"))
+    held = (both == F.col("letters")) | (both == F.col("letters_there"))  # also where a name is missing or empty
+    return F.when(held, 1.0).when(like > 0.6 - 1e-9, like).otherwise(0.0)
+
+
 def match_by_place(contracts: DataFrame, projects: DataFrame, least: float = 85.0, percent: float = 1.0, metric: str = "levenshtein") -> DataFrame:
-    """The best project of each contract by place (0.5), amount (0.4) and contractor (0.1).
+    """The best project of each contract by place (0.5), amount (0.4) and contractor (0.1). Ties go to the smallest project id.
 
-    A match needs an amount score of 0.8 or more, so amounts differ by 1 % at most and the band join can be that narrow.
+    A match needs an amount score of 0.8 or more, so amounts differ by 1 % at most. Different contracts look for different projects in the
+    rings of amounts around theirs, from narrow to wide; a project that
+    cannot reach the best score so far by its amount and the marks of its contractor's name is not compared,
+    and a contract for which the next ring holds none looks no further. No pair is stored or sent.
     """
-    c = contracts.select(F.col("id").alias("contract_id"), F.col("amount").alias("money"), standard_name(F.col("area_of_delivery"), "place").alias("area"), F.upper(F.trim("awardee")).alias("awardee"))
-    p = projects.select(F.col("id").alias("project_id"), F.col("cost").alias("cost"), standard_name(F.col("province"), "place").alias("place"), F.upper(F.trim("contractor")).alias("contractor"))
+    sound = lambda df, x: df.withColumn(x, F.col(x).cast("double")).where((F.col(x) > 0) & (F.col(x) < float("inf")))
+    c = sound(contracts.select(F.col("id").alias("contract_id"), F.col("amount").alias("money"), standard_name(F.col("area_of_delivery"), "place").alias("area"), F.upper(F.trim("awardee")).alias("awardee")), "money")
+    p = sound(projects.select(F.col("id").alias("project_id"), F.col("cost").alias("cost"), standard_name(F.col("province"), "place").alias("place"), F.upper(F.trim("contractor")).alias("contractor")), "cost")
     # places meet on the small table of distinct names first
     ratio = (lambda a, b: lev_ratio(a, b)) if metric == "levenshtein" else gestalt_ratio
     areas, places = c.select("area").where("area <> ''").distinct(), p.select("place").where("place <> ''").distinct()
     inside = containing(areas, places, "area", "place").union(containing(places, areas, "place", "area").select("area", "place")).where(F.length("place") > 3).distinct()
     like = similar_names(areas, places, "area", "place", 0.8, metric).select(F.col("a").alias("area"), F.col("b").alias("place"), "ratio")
-    near = inside.withColumn("at", F.lit(1.0)).unionByName(like.withColumnRenamed("ratio", "at")).groupBy("area", "place").agg(F.max("at").alias("at"))
-    pairs = band_join(c, p, "money", "cost", percent).join(near, ["area", "place"])
-    like = ratio(F.col("awardee"), F.col("contractor"))
-    names = F.when(F.col("awardee") == F.col("contractor"), 1.0).when(F.contains("awardee", "contractor") | F.contains("contractor", "awardee"), 0.9).when(like > 0.6, like).otherwise(0.0)
-    got = pairs.withColumn("by_amount", amount_score(F.col("money"), F.col("cost"))).where((F.col("by_amount") >= 0.8) & (F.col("at") >= 0.8))
-    got = got.withColumn("score", F.round((F.col("at") * 0.5 + F.col("by_amount") * 0.4 + names * 0.1) * 100, 2)).where(F.col("score") >= least)
-    w = Window.partitionBy("contract_id").orderBy(F.desc("score"), "project_id")
-    return got.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("contract_id", "project_id", "score")
+    near = stored(inside.withColumn("at", F.lit(1.0)).unionByName(like.withColumnRenamed("ratio", "at")).groupBy("area", "place").agg(F.max("at").alias("at")).where("at >= 0.8"))
+    sides = ["money", "area", "awardee"], ["place", "contractor", "cost"]
+    marked = lambda df, name, end: df.withColumn("__m", _marks(F.col(name))).select("*", F.length(F.coalesce(name, F.lit(""))).alias(f"length{end}"), F.col("__m.letters").alias(f"letters{end}"), F.col("__m.runs").alias(f"runs{end}")).drop("__m")
+    asked = stored(marked(c.join(near.select("area").distinct(), "area").select(*sides[0]).distinct(), "awardee", "").withColumn("who", F.monotonically_increasing_id()))
+    first = F.min(F.struct("project_id")).getField("project_id")
+    there = stored(marked(p.join(near.select("place").distinct(), "place").groupBy(*sides[1]).agg(first.alias("project_id")), "contractor", "_there"))
+    # the places most like an area come first: others seldom reach what is found there
+    near = near.join(near.groupBy("area").agg(F.max("at").alias("most")), "area").select("area", "place", "at", (F.col("at") == F.col("most")).alias("main"))
+    best, rings = None, _rings(there, percent)
+    if len(rings) == 1:
+        rings *= 2  # the second time for the other places
+    for k, ring in enumerate(rings):
+        inner = F.lit(-1.0) if k == 0 else F.when(F.col("main") | (k > 1), rings[k - 1]).otherwise(-1.0)
+        found = _best_in_ring(asked, there, near.where("main") if k == 0 else near, best, inner, ring, least, percent, metric, ratio)
+        best = stored(found if best is None else best.unionByName(found).groupBy("who").agg(F.min("best").alias("best")))
+    same = (c["money"] == asked["money"]) & (c["area"] == asked["area"]) & c["awardee"].eqNullSafe(asked["awardee"])
+    got = c.join(asked, same).select("contract_id", "who").join(best, "who").groupBy("contract_id").agg(F.min("best").alias("best"))
+    return got.select("contract_id", "best.project_id", (-F.col("best.below")).alias("score"))
+
+
+def _rings(there: DataFrame, percent: float, few: int = 8) -> list[float]:
+    """Shares by which amounts differ, up to percent %: each eight times the one before, the first so small that a contract meets few projects within it."""
+    bucket = F.floor(F.log("cost") / -math.log(1 - percent / 100))
+    met = there.groupBy("place", bucket.alias("k")).agg(F.count("*").alias("n")).agg(2 * F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0
+    ends = [percent / 100]
+    while met > few:
+        ends.insert(0, ends[0] / 8)
+        met /= 8
+    return ends
+
+
+def _best_in_ring(asked: DataFrame, there: DataFrame, near: DataFrame, best: DataFrame | None, inner: Column, ring: float, least: float, percent: float, metric: str, ratio) -> DataFrame:
+    """(who, best) of those for whom a project whose amount differs by more than `inner` and at most `ring` has at least the best score so far."""
+    open_ = asked.withColumn("floor", F.lit(least)) if best is None else asked.join(best.select("who", (-F.col("best.below")).alias("score")), "who", "left").withColumn("floor", F.coalesce("score", F.lit(least))).drop("score")
+    lowest = F.col("floor") - 0.0051  # what rounds to the floor
+    # the amount's part of the score falls from 40 to 0 over 5 %
+    room = F.col("at") * 50 + 40 - lowest
+    reach = F.least(F.lit(ring), (room + 10) / 800 + 1e-9)
+    width = -math.log(1 - ring) * (1 + 1e-9)
+    open_ = open_.join(near, "area").withColumns({"room": room + 1e-6, "reach": reach, "inner": inner}).where("reach > 0 AND reach > inner")
+    log, span = F.log("money"), -F.log(1 - F.col("reach")) + 1e-9
+    x = open_.withColumn("__k", F.explode(F.sequence(F.floor((log - span) / width), F.floor((log + span) / width)))).drop("area", "reach", "floor", "main")
+    y = there.withColumn("__k", F.floor(F.log("cost") / width)).hint("merge")
+    p, q = F.col("money"), F.col("cost")
+    off = F.abs(p - q) / F.greatest(p, q)
+    # little code in the join, so that the JVM compiles it
+    met = x.join(y, ["place", "__k"]).where((off > F.col("inner")) & (off <= ring) & (off * 800 - _most_alike(metric) * 10 <= F.col("room")))
+    by_amount = amount_score(p, q)
+    if percent > 1:
+        met = met.where(by_amount >= 0.8)
+    a, b = F.col("awardee"), F.col("contractor")
+    names = F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9).when(F.col("like") > 0.6, F.col("like")).otherwise(0.0)
+    score = F.round((F.col("at") * 0.5 + by_amount * 0.4 + names * 0.1) * 100, 2)
+    return met.withColumn("like", ratio(a, b)).select("who", F.struct((-score).alias("below"), "project_id").alias("best")).groupBy("who").agg(F.min("best").alias("best")).where(F.col("best.below") <= -least)

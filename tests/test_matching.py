@@ -3,6 +3,7 @@
 import difflib
 import math
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -224,6 +225,73 @@ def test_match_by_place_query_by_gestalt(spark):
     assert got.keys() == best.keys() and sum(got[k] == (p, -s) for k, (s, p) in best.items()) >= len(best) - 2  # last places of rounded halves
 
 
+def half_up(x):
+    return float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def best_by_place(contracts, projects, metric):
+    """Names of places are as they are after normalising."""
+    like, best = RATIO[metric], {}
+    near = lambda a, b: 1.0 if (a in b or b in a) and len(b) > 3 else like(a, b)
+    for i, money, area, who in contracts:
+        for j, cost, place, con in projects:
+            if not (money and cost and math.isfinite(money) and money > 0 and area and place) or abs(money - cost) / max(money, cost) > 0.01:
+                continue
+            by_amount, at = 1.0 if money == cost else 1.0 - abs(money - cost) / max(money, cost) * 100 / 5.0, near(area, place)
+            if metric == "gestalt":
+                r = like(who or "", con or "")
+            else:
+                r = 0.0 if None in (who, con) and (who or con or who == con) else like(who or "", con or "")  # as lev_ratio has it
+            names = 1.0 if None not in (who, con) and who == con else 0.9 if None not in (who, con) and (who in con or con in who) else r if r > 0.6 else 0.0
+            score = half_up((at * 0.5 + by_amount * 0.4 + names * 0.1) * 100)
+            if at >= 0.8 and by_amount >= 0.8 and score >= 85:
+                best[i] = min(best.get(i, (0, 0)), (-score, -1 if j is None else j))
+    return {i: (None if j == -1 else j, -s) for i, (s, j) in best.items()}
+
+
+@pytest.mark.parametrize("metric", ["levenshtein", "gestalt"])
+@pytest.mark.parametrize("rings", [None, [0.01 / 64, 0.01 / 8, 0.01]])
+def test_match_by_place_by_brute_force(spark, monkeypatch, metric, rings):
+    """Crowded amounts, names alike, held, missing and empty, places alike and held, ids and rows that come twice."""
+    rng = random.Random(8)
+    place = lambda: rng.choice(["SAMAR", "NORTH SAMAR", "SAMAR NORD", "SOUTH SAMAR", "CEBU", "CEBU", "CEBO", "LUZ", "", None])
+    name = lambda: rng.choice([None, "", "ABC", "ABC BUILDERS", "É BAU"] + [f"FIRM {rng.choice('0123')}{rng.choice('0123')}{rng.choice('01234567')}" for _ in range(14)])
+    money = lambda: rng.choice([100.0, 100.0, 101.0, 99.0, round(rng.uniform(97, 103), 2), round(rng.uniform(99.9, 100.1), 4), round(1e6 * rng.uniform(0.98, 1.02), 2)])
+    contracts = [(i % 230, money(), place(), name()) for i in range(260)] + [(900, None, "CEBU", "ABC"), (901, -5.0, "CEBU", "ABC"), (902, math.nan, "CEBU", "ABC"), (903, math.inf, "CEBU", "ABC"), (904, 0.0, "CEBU", "ABC")]
+    projects = [(i % 320 + 1, money(), place(), name()) for i in range(340)] + [(None, 100.0, "CEBU", "FIRM 000"), (990, math.inf, "CEBU", "ABC"), (991, None, "CEBU", "ABC"), (992, math.nan, "CEBU", "ABC")]
+    contracts, projects = contracts + contracts[:5], projects + projects[:5]
+    c = spark.createDataFrame(contracts, "id long, amount double, area_of_delivery string, awardee string").repartition(3)
+    p = spark.createDataFrame(projects, "id long, cost double, province string, contractor string").repartition(3)
+    if rings:
+        monkeypatch.setattr(matching, "_rings", lambda there, percent: [*rings])
+    want = best_by_place(contracts, [x for x in projects if x[1] is not None and math.isfinite(x[1])], metric)
+    got = {r["contract_id"]: (r["project_id"], r["score"]) for r in matching.match_by_place(c, p, metric=metric).collect()}
+    assert got == want and len(want) > 120
+
+
+def shuffled(spark, run):
+    """Rows that all stages of run() sent through shuffles."""
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    known = {stages().apply(i).stageId() for i in range(stages().size())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    now = stages()
+    return sum(now.apply(i).shuffleWriteRecords() for i in range(now.size()) if now.apply(i).stageId() not in known)
+
+
+@pytest.mark.parametrize("metric", ["levenshtein", "gestalt"])
+def test_match_by_place_sends_no_pairs(spark, metric):
+    """2,000 contracts and 2,000 projects of one place within 1 % are four million pairs; no shuffle has them."""
+    rng = random.Random(9)
+    c = spark.createDataFrame([(i, rng.uniform(1000, 1009), "CEBU", f"FIRM {rng.randrange(10**6):06d}") for i in range(2000)], "id long, amount double, area_of_delivery string, awardee string")
+    p = spark.createDataFrame([(i, rng.uniform(1000, 1009), "CEBU", f"FIRM {rng.randrange(10**6):06d}") for i in range(2000)], "id long, cost double, province string, contractor string")
+    got = []
+    assert shuffled(spark, lambda: got.extend(matching.match_by_place(c, p, metric=metric).collect())) < 100_000
+    assert len(got) == 2000
+
+
 # D3 -------------------------------------------------------------------------
 
 
