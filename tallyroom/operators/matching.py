@@ -7,6 +7,7 @@ import functools
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +18,49 @@ from ..sources.shared import checkpointed, stored
 from .rollups import running_total
 
 
+def _matched(pairs: list[tuple[str, str]], cells: int = 1 << 18) -> np.ndarray:
+    """How many letters difflib matches in each pair of texts, of which the second has fewer than 200 letters: the longest common run, the earliest of several, then the same left and right of it."""
+    sides = [[p[k] for p in pairs] for k in (0, 1)]
+    flat = [np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.int32) for x in sides]
+    sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in sides]
+    starts = [np.cumsum(n) - n for n in sizes]
+    found = np.zeros(len(pairs), np.int64)
+    of = np.flatnonzero((sizes[0] > 0) & (sizes[1] > 0))
+    todo = [np.stack([of, starts[0][of], sizes[0][of], starts[1][of], sizes[1][of]])] if len(of) else []
+    while todo:
+        work = np.concatenate(todo, 1)
+        work, todo = work[:, np.argsort(work[2] * 256 + work[4], kind="stable")], []
+        while work.shape[1]:
+            n = max(1, cells // (int(work[2, : 1 << 12].max()) * int(work[4, : 1 << 12].max())))
+            (of, i, p, j, q), work = work[:, : min(n, 1 << 12)], work[:, min(n, 1 << 12) :]
+            w, h = np.arange(p.max()), np.arange(q.max())
+            x = np.where(w < p[:, None], flat[0][np.minimum(i[:, None] + w, len(flat[0]) - 1)], -1)
+            y = np.where(h < q[:, None], flat[1][np.minimum(j[:, None] + h, len(flat[1]) - 1)], -2)
+            run = (x[:, :, None] == y[:, None, :]).astype(np.uint8)  # then as long as the common run that ends here
+            for k in range(1, len(w)):
+                run[:, k, 1:] *= run[:, k - 1, :-1] + np.uint8(1)
+            run = run.reshape(len(of), -1)
+            end = run.argmax(1)
+            size = run[np.arange(len(of)), end].astype(np.int64)
+            found += np.bincount(of, size, len(found)).astype(np.int64)
+            a, b = end // len(h) - size + 1, end % len(h) - size + 1
+            todo += [np.stack([of, i, a, j, b])[:, (size > 0) & (a > 0) & (b > 0)]]
+            a, b = a + size, b + size
+            todo += [np.stack([of, i + a, p - a, j + b, q - b])[:, (size > 0) & (a < p) & (b < q)]]
+        todo = [x for x in todo if x.shape[1]]
+    return found
+
+
 @F.pandas_udf(T.DoubleType())
 def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of two names; argument order counts. Runs on candidate pairs only."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    pairs = [(x or "", y or "") for x, y in zip(a, b)]
+    short = [k for k, (x, y) in enumerate(pairs) if len(y) < 200]  # in longer ones difflib leaves out common letters
+    out = np.array([0.0 if len(y) < 200 else difflib.SequenceMatcher(None, x, y).ratio() for x, y in pairs])
+    if short:
+        lengths = np.array([len(pairs[k][0]) + len(pairs[k][1]) for k in short])
+        out[short] = np.where(lengths == 0, 1.0, 2.0 * _matched([pairs[k] for k in short]) / np.maximum(lengths, 1))
+    return pd.Series(out)
 
 
 def band_join(a: DataFrame, b: DataFrame, amount_a: str, amount_b: str, percent: float) -> DataFrame:

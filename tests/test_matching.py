@@ -6,6 +6,7 @@ import random
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,24 @@ def test_match_by_place_sends_no_pairs(spark, metric):
     assert len(got) == 2000
 
 
+def test_gestalt_ratio_is_that_of_difflib(spark):
+    """Short and long texts of few letters, which tie often, in both orders; from 200 letters on difflib leaves out common ones."""
+    rng = random.Random(10)
+    text = lambda al, n: "".join(rng.choice(al) for _ in range(rng.randrange(n)))
+    pairs = [(text(al, n), text(al, m)) for al in ("ab", "abcd", "ABCDEFG 0123", "é漢𝄞a") for n in (3, 25, 230) for m in (3, 25, 230) for _ in range(40)]
+    pairs += [(None, "a"), (None, None), ("", ""), ("a" * 300, "a" * 199), ("a" * 199, "a" * 300)]
+    got = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").select("k", matching.gestalt_ratio("a", "b").alias("r")).collect()
+    assert {r["k"]: r["r"] for r in got} == {k: RATIO["gestalt"](a or "", b or "") for k, (a, b) in enumerate(pairs)}
+    calls = []
+    one = difflib.SequenceMatcher
+    try:
+        difflib.SequenceMatcher = lambda *a: calls.append(a) or one(*a)
+        matching.gestalt_ratio.func(*(pd.Series([f"FIRM {k + j}" for k in range(1000)]) for j in (0, 7)))
+    finally:
+        difflib.SequenceMatcher = one
+    assert not calls  # names are compared many at a time
+
+
 # D3 -------------------------------------------------------------------------
 
 
