@@ -210,7 +210,7 @@ query("d1_groups_5_keys", "dsc s, uacs_sobj_dsc s, uacs_exp_dsc s, department i,
 query("d2_groups_7_keys", "dsc s, agency i, department i, amt_coarse d, n i", f"SELECT {csv(K7)}, count(*) AS n FROM {V} b WHERE dsc <> 'INVALID' GROUP BY {csv(K7)} HAVING count(*) > 1 ORDER BY n DESC, {csv(K7)} LIMIT 10")(lambda t: D.duplicate_groups(D.described(v(t)), K7, "amt").orderBy(F.desc("n"), *K7).limit(10))
 _tiers = [(n, ["dsc", "amt_coarse", *[c for c in cols if c != "uacs_operdiv_id"]]) for n, cols in D.TIERS]
 query("d3_tiered_duplicates", "tier s, n i, score d", "SELECT tier, count(*) AS n, min(score) AS score FROM (SELECT tier, round(CAST(substr(tier, 1, 1) AS DOUBLE) / 9 * 100, 1) AS score FROM (SELECT CASE " + " ".join(f"WHEN count(*) OVER (PARTITION BY {csv(k)}) > 1 THEN '{n}'" for n, k in _tiers) + f" END AS tier FROM {V} b WHERE dsc <> 'INVALID') x WHERE tier IS NOT NULL) y GROUP BY tier")(
-    lambda t: D.tiered_duplicates(v(t), "sorder").groupBy("tier").agg(F.count("*").alias("n"), F.min("score").alias("score")))
+    lambda t: D.tier_sizes(v(t)))
 ORDER9 = ["sorder", "amt", "uacs_sobj_dsc", "year"]
 query("d4_scored_duplicates", "sorder i, dsc s, amt_coarse d, n i", f"SELECT sorder, dsc, amt_coarse, n FROM (SELECT *, count(*) OVER (PARTITION BY {csv(K9)}) AS n, row_number() OVER (PARTITION BY {csv(K9)} ORDER BY {csv(ORDER9)}) AS r FROM {V} b) x WHERE n > 1 AND r = 1")(lambda t: D.scored_duplicates(v(t), K9, ORDER9))
 query("d5_pair_scores", "severity s, n i, mean d", f"""SELECT severity, count(*) AS n, avg(score) AS mean FROM (SELECT score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' ELSE 'low' END AS severity FROM (

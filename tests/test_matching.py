@@ -3,6 +3,7 @@
 import difflib
 import math
 import random
+from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -334,6 +335,53 @@ def test_tiers_by_brute_force(spark):
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def tiers_of(rows, cols, left_out=()):
+    """(sorder, tier) of rows (sorder, dsc, amt, *cols) by brute force."""
+    known = [r for r in (dict(zip(["sorder", "dsc", "amt", *cols], r)) for r in rows) if r["dsc"] not in (None, "", "INVALID") and r["amt"] is not None]
+    seen = [Counter(tuple(r[k] for k in ["dsc", "amt", *keys]) for r in known) for keys in ([k for k in keys if k not in left_out] for _, keys in duplicates.TIERS)]
+    found = []
+    for r in known:
+        for (name, keys), n in zip(duplicates.TIERS, seen):
+            key = tuple(r[k] for k in ["dsc", "amt", *[k for k in keys if k not in left_out]])
+            if None not in key and n[key] > 1:
+                found.append((r["sorder"], name))
+                break
+    return found
+
+
+@pytest.mark.parametrize("left_out", [(), ("department",), ("agency", "uacs_reg_id"), ("agency", "department")])
+@pytest.mark.parametrize("size, most", [(1 << 17, 1 << 20), (40, 1 << 20), (40, 60)])
+def test_tiers_in_batches_by_brute_force(spark, left_out, size, most):
+    """Also with groups longer than what a task takes at a time or at all, with one hot row, and with codes that change places with nulls."""
+    rng = random.Random(11)
+    cols = ["agency", "department", "fundcd", "uacs_exp_cd", "operunit", "uacs_operdiv_id", "uacs_reg_id"]
+    pick = lambda *x: rng.choice([*x, None])
+    rows = [(rng.choice(["road", "bridge", "dam", "INVALID"]), rng.choice([1.0, 2.0, 3.0]), pick("A", "B", "C"), pick(1, 2, 3, 4), pick(1, 2, 3), pick(1, 2, 3), pick(*range(9)), pick(1, 2), pick(1, 2)) for _ in range(500)]
+    rows += [("hot", 9.0, "A", 1, k % 7, k % 5, k % 90, None, k % 3) for k in range(400)] + [("hot", 9.0, "A", 2, 1, 1, 1, 1, 1)] * 300 + [("hot", 8.0, None, None, 1, 1, 1, 1, 1)] * 150
+    rows += [("swap", 1.0, None, 5, 1, 7, 1, 1, 1), ("swap", 1.0, "5", None, 2, None, 7, 1, 1), ("swap", 1.0, None, 5, 3, 8, 1, 1, None), ("alone", 1.0, "A", 1, 1, 1, 1, 1, 1)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "sorder int, dsc string, amt double, agency string, " + ", ".join(f"{c} int" for c in cols[1:])).repartition(5).drop(*left_out)
+    want = tiers_of(rows, cols, left_out)
+    got = duplicates.tiered_duplicates(df, "sorder", "dsc", "amt", size=size, most=most)
+    assert sorted((r["sorder"], r["tier"]) for r in got.collect()) == sorted(want)
+    sizes = {r["tier"]: (r["n"], r["score"]) for r in duplicates.tier_sizes(df, "dsc", "amt", size=size, most=most).collect()}
+    assert sizes == {t: (n, round(int(t[0]) / 9 * 100, 1)) for t, n in Counter(t for _, t in want).items()}
+
+
+def test_tier_query_sends_a_row_once(spark):
+    """Of 20,000 rows each is sent to those of its description, amount, agency and department; no row is sent for each tier."""
+    rng = random.Random(12)
+    cols = ["agency", "department", "fundcd", "uacs_exp_cd", "operunit", "uacs_reg_id"]
+    rows = [(i, rng.choice(["road", "bridge", "dam"]), rng.choice([1.0, 2.0]), *[rng.randrange(5) for _ in cols]) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "sorder int, dsc string, amt_coarse double, " + ", ".join(f"{c} int" for c in cols)).repartition(4).checkpoint()
+    got = []
+    assert shuffled(spark, lambda: got.extend(duplicates.tier_sizes(df).collect())) < 40_000
+    assert sum(r["n"] for r in got) == 20_000
+    import __spark_entry__ as e
+
+    assert shuffled(spark, lambda: e.queries()["d3_tiered_duplicates"](spark, SF).collect()) < 60_000  # of 6,000 rows
+
+
 # G25 ------------------------------------------------------------------------
 
 
