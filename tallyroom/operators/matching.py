@@ -405,14 +405,14 @@ def match_by_place(contracts: DataFrame, projects: DataFrame, least: float = 85.
     first = F.min(F.struct("project_id")).getField("project_id")
     there = stored(marked(p.join(near.select("place").distinct(), "place").groupBy(*sides[1]).agg(first.alias("project_id")), "contractor", "_there"))
     # the places most like an area come first: others seldom reach what is found there
-    near = near.join(near.groupBy("area").agg(F.max("at").alias("most")), "area").select("area", "place", "at", (F.col("at") == F.col("most")).alias("main"))
-    best, rings = None, _rings(there, percent)
-    if len(rings) == 1:
-        rings *= 2  # the second time for the other places
-    for k, ring in enumerate(rings):
-        inner = F.lit(-1.0) if k == 0 else F.when(F.col("main") | (k > 1), rings[k - 1]).otherwise(-1.0)
-        found = _best_in_ring(asked, there, near.where("main") if k == 0 else near, best, inner, ring, least, percent, metric, ratio)
-        best = stored(found if best is None else best.unionByName(found).groupBy("who").agg(F.min("best").alias("best")))
+    near = stored(near.join(near.groupBy("area").agg(F.max("at").alias("most")), "area").select("area", "place", "at", (F.col("at") == F.col("most")).alias("main")))
+    rings = _rings(there, percent)
+    best = None
+    for places in ("main", "NOT main"):
+        if best is None or not near.where(places).isEmpty():
+            for inner, ring in zip([-1.0, *rings], rings):
+                found = _best_in_ring(asked, there, near.where(places), best, inner, ring, least, percent, metric, ratio)
+                best = stored(found if best is None else best.unionByName(found).groupBy("who").agg(F.min("best").alias("best")))
     same = (c["money"] == asked["money"]) & (c["area"] == asked["area"]) & c["awardee"].eqNullSafe(asked["awardee"])
     got = c.join(asked, same).select("contract_id", "who").join(best, "who").groupBy("contract_id").agg(F.min("best").alias("best"))
     return got.select("contract_id", "best.project_id", (-F.col("best.below")).alias("score"))
@@ -429,7 +429,7 @@ def _rings(there: DataFrame, percent: float, few: int = 8) -> list[float]:
     return ends
 
 
-def _best_in_ring(asked: DataFrame, there: DataFrame, near: DataFrame, best: DataFrame | None, inner: Column, ring: float, least: float, percent: float, metric: str, ratio) -> DataFrame:
+def _best_in_ring(asked: DataFrame, there: DataFrame, near: DataFrame, best: DataFrame | None, inner: float, ring: float, least: float, percent: float, metric: str, ratio) -> DataFrame:
     """(who, best) of those for whom a project whose amount differs by more than `inner` and at most `ring` has at least the best score so far."""
     open_ = asked.withColumn("floor", F.lit(least)) if best is None else asked.join(best.select("who", (-F.col("best.below")).alias("score")), "who", "left").withColumn("floor", F.coalesce("score", F.lit(least))).drop("score")
     lowest = F.col("floor") - 0.0051  # what rounds to the floor
@@ -437,14 +437,14 @@ def _best_in_ring(asked: DataFrame, there: DataFrame, near: DataFrame, best: Dat
     room = F.col("at") * 50 + 40 - lowest
     reach = F.least(F.lit(ring), (room + 10) / 800 + 1e-9)
     width = -math.log(1 - ring) * (1 + 1e-9)
-    open_ = open_.join(near, "area").withColumns({"room": room + 1e-6, "reach": reach, "inner": inner}).where("reach > 0 AND reach > inner")
+    open_ = open_.join(near, "area").withColumns({"room": room + 1e-6, "reach": reach}).where((F.col("reach") > 0) & (F.col("reach") > inner))
     log, span = F.log("money"), -F.log(1 - F.col("reach")) + 1e-9
     x = open_.withColumn("__k", F.explode(F.sequence(F.floor((log - span) / width), F.floor((log + span) / width)))).drop("area", "reach", "floor", "main")
     y = there.withColumn("__k", F.floor(F.log("cost") / width)).hint("merge")
     p, q = F.col("money"), F.col("cost")
     off = F.abs(p - q) / F.greatest(p, q)
     # little code in the join, so that the JVM compiles it
-    met = x.join(y, ["place", "__k"]).where((off > F.col("inner")) & (off <= ring) & (off * 800 - _most_alike(metric) * 10 <= F.col("room")))
+    met = x.join(y, ["place", "__k"]).where((off > inner) & (off <= ring) & (off * 800 - _most_alike(metric) * 10 <= F.col("room")))
     by_amount = amount_score(p, q)
     if percent > 1:
         met = met.where(by_amount >= 0.8)
